@@ -1,0 +1,6 @@
+"""All queries by name, with the SQL that gives the same rows where SQL can."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict = {}
