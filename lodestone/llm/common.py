@@ -99,8 +99,8 @@ def filter_log2(n: int, bits_each: int = 12) -> int:
     return min(MOST_LOG2, max(16, int(np.ceil(np.log2(max(1, n) * bits_each)))))
 
 
-def repeated_filter(hashes: DataFrame, log2: int) -> Bloom:
-    """First pass of two-pass Bloom filtering: a filter of all values that may occur more than once in ``hashes`` (one LONG column h, not null).
+def repeated_filter(hashes: DataFrame, log2: int, least: int = 2) -> Bloom:
+    """First pass of two-pass Bloom filtering: a filter of all values that may occur ``least`` (1 or 2) times or more in ``hashes`` (one LONG column h, not null).
 
     Every task keeps a filter of what it has seen and one of what it has seen again, and sends the touched pages of both,
     compressed. Merging ORs the "again" pages and what two tasks have both seen. The driver gets at most 2**log2 bits.
@@ -112,7 +112,8 @@ def repeated_filter(hashes: DataFrame, log2: int) -> Bloom:
         for batch in batches:
             h = np.asarray(batch.column(0).to_numpy(zero_copy_only=False)).view(np.uint64)
             first, counts = np.unique(h, return_counts=True)
-            twice.add(first[(counts > 1) | once.has(first)])
+            if least > 1:
+                twice.add(first[(counts > 1) | once.has(first)])
             once.add(first)
         a, b = once.bits.reshape(-1, min(page, len(once.bits))), twice.bits.reshape(-1, min(page, len(once.bits)))
         for i in np.flatnonzero(a.any(axis=1)):
@@ -127,7 +128,7 @@ def repeated_filter(hashes: DataFrame, log2: int) -> Bloom:
             once = once | o
             if t:
                 twice = twice | np.frombuffer(zlib.decompress(t), np.uint8)
-        return pa.table({"page": pa.array([key[0].as_py()], pa.int32()), "twice": pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())})
+        return pa.table({"page": pa.array([key[0].as_py()], pa.int32()), "twice": pa.array([zlib.compress((twice if least > 1 else once).tobytes(), 1)], pa.binary())})
 
     pages = hashes.mapInArrow(scan, "page int, once binary, twice binary").groupBy("page").applyInArrow(merge, "page int, twice binary")
     out = Bloom(log2)

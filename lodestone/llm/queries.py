@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import suffix_dedup as suffixes
 from .common import table
 from .exact_dedup import exact_dedup
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.suffix_dedup(table(spark, sf_dir, "documents"), 200))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup}
+QUERIES = {"op3_suffix_dedup": op3_suffix_dedup, "op4_exact_dedup": op4_exact_dedup}
 
 SQL = {
     "op4_exact_dedup": r"""
