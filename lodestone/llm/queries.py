@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import suffix_dedup as suffixes
 from .common import table
 from .exact_dedup import exact_dedup
+from .simhash import simhash_dedup
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +19,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_suffix_dedup": op3_suffix_dedup, "op4_exact_dedup": op4_exact_dedup}
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(table(spark, sf_dir, "documents"), words=3, budget=2)
+
+
+QUERIES = {"op3_suffix_dedup": op3_suffix_dedup, "op4_exact_dedup": op4_exact_dedup, "op6_simhash": op6_simhash}
 
 SQL = {
     "op4_exact_dedup": r"""
