@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import line_dedup as lines
 from . import suffix_dedup as suffixes
 from .common import table
 from .exact_dedup import exact_dedup
@@ -23,9 +24,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"), words=3, budget=2)
 
 
-QUERIES = {"op3_suffix_dedup": op3_suffix_dedup, "op4_exact_dedup": op4_exact_dedup, "op6_simhash": op6_simhash}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10)
+
+
+QUERIES = {"op3_suffix_dedup": op3_suffix_dedup, "op4_exact_dedup": op4_exact_dedup, "op6_simhash": op6_simhash, "op9_line_dedup": op9_line_dedup}
 
 SQL = {
+    "op9_line_dedup": lines.SQL,
     "op4_exact_dedup": r"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         k AS (SELECT doc_id, length(text) AS n, sha256(regexp_replace(text, '[ \t\n\v\f\r]', '', 'g')) AS text_sha256 FROM t)
