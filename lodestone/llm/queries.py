@@ -6,10 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup as lines
+from . import sentencepiece_codec as pieces
 from . import suffix_dedup as suffixes
 from .common import table
 from .exact_dedup import exact_dedup
+from .packing import best_fit_packing, word_lengths
 from .simhash import simhash_dedup
+from .token_ids import token_rows
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_ids and the digest of the text that the ids decode to."""
+    decoded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents")))
+    return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +37,15 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10)
 
 
-QUERIES = {"op3_suffix_dedup": op3_suffix_dedup, "op4_exact_dedup": op4_exact_dedup, "op6_simhash": op6_simhash, "op9_line_dedup": op9_line_dedup}
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rows(table(spark, sf_dir, "documents"), width=2048)
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(word_lengths(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op3_suffix_dedup": op3_suffix_dedup, "op4_exact_dedup": op4_exact_dedup, "op6_simhash": op6_simhash, "op8_token_ids": op8_token_ids, "op9_line_dedup": op9_line_dedup, "op10_best_fit_packing": op10_best_fit_packing}
 
 SQL = {
     "op9_line_dedup": lines.SQL,
