@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, filter_log2, repeated_filter, text_rows
+from .common import cut, filter_log2, repeated_filter, slices, text_rows
 
 BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -26,7 +26,7 @@ def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_points (code points of the text), h (64 bits of the digest), digest (SHA-256 of the text without blanks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             keys = [hashlib.sha256(t.encode().translate(None, BLANKS)).digest() for t in texts]
             yield pa.RecordBatch.from_arrays(

@@ -129,7 +129,7 @@ def repeated_starts(buckets: list[list[bytes]], width: int) -> list[list[np.ndar
         take, total, longest = [], 0, 0
         while at < len(order):
             size = sum(map(len, buckets[order[at]])) + len(buckets[order[at]])
-            if take and (total + size > 3_000_000):
+            if take and (total + size > 600_000):
                 break
             take.append(order[at])
             total, longest, at = total + size, size, at + 1
