@@ -10,7 +10,9 @@ with a context of at most 2 * width - k bytes.
 3. One copy of each different context of the other anchors is fetched, and the contexts of an anchor get a suffix array
    (linear grouping construction, suffix_array.py); suffixes next to each other that share ``width`` bytes mark their windows.
 4. An anchor with very many different contexts (a line that thousands of documents share) would make one large array. Its
-   windows are dealt out by their own content instead, as groups of one string each, which are counted.
+   runs are cut into shorter ones of windows at like distance from the anchor, which are brought together by the bytes that
+   all windows of such a piece share; then counting and suffix arrays go on as in 2 and 3. Pieces get shorter until no group
+   is large: those of one window hold equal strings only.
 5. Each document gets its marked spans and is cut.
 
 Defined results: null text counts as empty; texts shorter than ``width`` stay whole; equal rows (same doc_id and text) are two
@@ -22,20 +24,25 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, filter_log2, mix, repeated_filter, text_buffer, text_rows
-from .suffix_array import repeated_starts, spread
+from .common import cut, filter_log2, mix, repeated_filter, slices, text_buffer, text_rows
+from .suffix_array import repeated_starts
 
 BLOCK = 1 << 18
 PLACES = np.uint64((1 << 20) - 1)
 #: Bytes of different contexts up to which an anchor gets one suffix array.
 MOST_BYTES = 32_768
+#: Windows in the pieces of runs whose anchor has more than that.
+PIECES = (32, 4, 1)
+#: Bytes of contexts that a task holds at a time.
+SOME_BYTES = 500_000
 
 
 @lru_cache(2)
@@ -111,10 +118,6 @@ class Runs:
         self.context = self.hashed.of(self.first, self.last + width)
         self.doc = np.searchsorted(offsets, self.first, "right") - 1
 
-    def windows(self, which: int) -> np.ndarray:
-        p = np.arange(self.first[which], self.last[which] + 1)
-        return self.hashed.of(p, p + self.width)
-
 
 def place_key(rid: np.ndarray, start: np.ndarray) -> np.ndarray:
     return mix(rid.astype(np.int64).view(np.uint64) ^ (start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
@@ -174,11 +177,11 @@ def repeated_spans(docs: DataFrame, width: int = 200) -> DataFrame:
                 if not len(on):
                     continue
                 many = dealt.value.has(runs.anchor[on])
-                body = [(runs.windows(i) if hot else runs.text[runs.first[i] : runs.last[i] + width]).tobytes() for i, hot in zip(on, many, strict=True)]
+                body = [runs.text[a : b + width].tobytes() for a, b in zip(runs.first[on], runs.last[on], strict=True)]
                 ids = batch.select(["rid", "doc_id"]).take(pa.array(rows[on]))
-                yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(runs.first[on] + shift[on]), signed(runs.anchor[on]), pa.array(many), pa.array(body, pa.binary())], ["rid", "doc_id", "first", "h", "many", "body"])
+                yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(runs.first[on] + shift[on]), pa.array(runs.place[on] + shift[on]), signed(runs.anchor[on]), pa.array(many), pa.array(body, pa.binary())], ["rid", "doc_id", "first", "place", "h", "many", "body"])
 
-    fetched = cut(docs.mapInArrow(fetch, "rid long, doc_id long, first long, h long, many boolean, body binary"))
+    fetched = cut(docs.mapInArrow(fetch, "rid long, doc_id long, first long, place long, h long, many boolean, body binary"))
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole buckets, as they come sorted by h, some megabytes at a time."""
@@ -203,7 +206,7 @@ def repeated_spans(docs: DataFrame, width: int = 200) -> DataFrame:
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if weight > 3_000_000 and row[3] != held[-1][3]:
+                if weight > SOME_BYTES and row[3] != held[-1][3]:
                     yield marked()
                     held, weight = [], 0
                 held.append(row)
@@ -211,23 +214,49 @@ def repeated_spans(docs: DataFrame, width: int = 200) -> DataFrame:
         if held:
             yield marked()
 
-    spans = "rid long, doc_id long, start long, stop long"
-    by_array = fetched.filter("NOT many").select("rid", "doc_id", "first", "h", "body").repartition("h").sortWithinPartitions("h").mapInArrow(arrays, spans)
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            body = batch.column("body").to_pylist()
-            sizes = np.array([len(b) // 8 for b in body], np.int64)
-            rows = pa.array(np.repeat(np.arange(len(body)), sizes))
-            start = spread(batch.column("first").to_numpy(), sizes)
-            yield pa.RecordBatch.from_arrays([*batch.select(["rid", "doc_id", "h"]).take(rows).columns, pa.array(start), pa.array(np.frombuffer(b"".join(body), np.int64))], ["rid", "doc_id", "h", "start", "w"])
-
-    single = fetched.filter("many").mapInArrow(windows, "rid long, doc_id long, h long, start long, w long")
-    again = cut(single.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "w"))
-    by_window = single.join(again, ["h", "w"]).select("rid", "doc_id", "start", (F.col("start") + width).alias("stop"))
+    def in_arrays(rows: DataFrame) -> DataFrame:
+        by_key = rows.select("rid", "doc_id", "first", "h", "body").repartition("h").sortWithinPartitions("h")
+        return by_key.mapInArrow(arrays, "rid long, doc_id long, start long, stop long")
+
+    found_in = [in_arrays(fetched.filter("NOT many"))]
+    rest = fetched.filter("many")
+    for step in PIECES:
+        if rest.isEmpty():
+            break
+        dealt_rows = cut(_pieces(rest, width, step))
+        kinds = cut(dealt_rows.groupBy("h", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "first")).alias("one"), F.max(F.octet_length("body")).alias("size")))
+        repeated = cut(kinds.filter("n > 1").select("h", "content"))
+        found_in.append(dealt_rows.join(repeated, ["h", "content"]).select("rid", "doc_id", F.col("first").alias("start"), (F.col("first") + F.octet_length("body")).alias("stop")))
+        keys_of = cut(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("bytes")).filter("kinds > 1"))
+        needed = cut(kinds.join(keys_of, "h").select("h", "content", "one.rid", "one.first", (F.col("bytes") > MOST_BYTES).alias("many")))
+        held = cut(dealt_rows.join(needed, ["h", "content", "rid", "first"]).select("rid", "doc_id", "first", "place", "h", "many", "body"))
+        found_in.append(in_arrays(held.filter("NOT many")))
+        rest = held.filter("many")
     copies = cut(contexts.filter("n > 1").select("h", "context"))
     whole = found.join(copies, ["h", "context"]).select("rid", "doc_id", F.col("first").alias("start"), (F.col("last") + width).alias("stop"))
-    return whole.unionByName(by_array).unionByName(by_window)
+    return reduce(DataFrame.unionByName, found_in, whole)
+
+
+def _pieces(rows: DataFrame, width: int, step: int) -> DataFrame:
+    """Runs cut where windows pass a multiple of ``step`` in their distance from the anchor; h is by the bytes that all windows of a piece share, content by all its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = xxhash.xxh64_intdigest
+        for batch in slices(batches):
+            out: list[tuple] = []
+            for rid, doc_id, first, place, body in zip(*(batch.column(c).to_pylist() for c in ("rid", "doc_id", "first", "place", "body")), strict=True):
+                at, last = first, first + len(body) - width
+                while at <= last:
+                    away = (place - at) // step
+                    high = place - away * step
+                    end = min(last, high)
+                    piece, shared = body[at - first : end - first + width], body[high - first : high - first + width - step + 1]
+                    out.append((rid, doc_id, at, place, of(shared, away), of(piece, 1), piece))
+                    at = end + 1
+            longs = [pa.array(np.array([r[i] for r in out], np.uint64 if i in (4, 5) else np.int64).view(np.int64)) if i != 1 else pa.array([r[1] for r in out], pa.int64()) for i in range(6)]
+            yield pa.RecordBatch.from_arrays([*longs, pa.array([r[6] for r in out], pa.binary())], ["rid", "doc_id", "first", "place", "h", "content", "body"])
+
+    return rows.mapInArrow(run, "rid long, doc_id long, first long, place long, h long, content long, body binary")
 
 
 def suffix_dedup(docs: DataFrame, width: int = 200) -> DataFrame:
@@ -237,7 +266,7 @@ def suffix_dedup(docs: DataFrame, width: int = 200) -> DataFrame:
     joined = docs.join(spans.withColumnRenamed("doc_id", "id"), (docs["rid"] == spans["rid"]) & F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "text", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             kept, runs, sizes = [], [], []
             for text, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data, merged = text.encode(), []
