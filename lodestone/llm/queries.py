@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat_format as chats
 from . import line_dedup as lines
 from . import sentencepiece_codec as pieces
 from . import suffix_dedup as suffixes
+from . import media
 from .common import table
 from .exact_dedup import exact_dedup
 from .packing import best_fit_packing, word_lengths
+from .quality import score_quality
 from .simhash import simhash_dedup
 from .token_ids import token_rows
 
@@ -21,6 +24,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.chat_format(table(spark, sf_dir, "conversations"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.suffix_dedup(table(spark, sf_dir, "documents"), 200))
 
@@ -29,6 +36,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.decode_media(media.encode_media(table(spark, sf_dir, "documents")), tensors=False))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"), words=3, budget=2)
 
@@ -37,6 +48,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rows(table(spark, sf_dir, "documents"), width=2048)
 
@@ -45,9 +60,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(word_lengths(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op3_suffix_dedup": op3_suffix_dedup, "op4_exact_dedup": op4_exact_dedup, "op6_simhash": op6_simhash, "op8_token_ids": op8_token_ids, "op9_line_dedup": op9_line_dedup, "op10_best_fit_packing": op10_best_fit_packing}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_chat_format": op2_chat_format, "op3_suffix_dedup": op3_suffix_dedup, "op4_exact_dedup": op4_exact_dedup, "op5_media": op5_media, "op6_simhash": op6_simhash, "op7_quality": op7_quality, "op8_token_ids": op8_token_ids, "op9_line_dedup": op9_line_dedup, "op10_best_fit_packing": op10_best_fit_packing}
 
 SQL = {
+    "op2_chat_format": chats.SQL,
     "op9_line_dedup": lines.SQL,
     "op4_exact_dedup": r"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
