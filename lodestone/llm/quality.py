@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import slices
 
@@ -71,10 +72,10 @@ def statistics(text: str) -> tuple[float, ...]:
     )
 
 
-def with_statistics(rows: DataFrame) -> DataFrame:
-    """``rows`` (its text column null: empty) with the statistics, without the text."""
-    kept = [c for c in rows.columns if c != "text"]
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes if c != "text"), *(f"{s} double" for s in STATISTICS)])
+def with_statistics(rows: DataFrame, keep_text: bool = False) -> DataFrame:
+    """``rows`` (its text column null: empty) with the statistics; the text goes unless it is to be kept."""
+    kept = [c for c in rows.columns if c != "text" or keep_text]
+    schema = StructType([*(f for f in rows.schema if f.name in kept), *(StructField(s, DoubleType()) for s in STATISTICS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -194,3 +195,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     score = compile_score(train(docs, labels, sample))
     rows = with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("score", score)
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that are predicted to be of quality 1."""
+    score = compile_score(train(docs, labels, sample))
+    packed = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
+    good = with_statistics(packed, keep_text=True).filter(score >= 0.7)
+    return good.select(*["text" if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, text_rows
+from .common import cut, filter_log2, repeated_filter, slices, text_rows
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Fingerprints in a bucket; larger ones are split.
@@ -127,20 +127,20 @@ def _keys(mask: Column, parts: int, level: int) -> Column:
 
 
 def links(codes: DataFrame, budget: int = 2) -> DataFrame:
-    """Links a, b (b the first member of a's component in some bucket) between the different fingerprints of ``codes`` (code)."""
+    """Links seed, a, b (b the first member of a's component in some bucket) between the different fingerprints of ``codes`` (seed, code)."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(rows: np.ndarray) -> pa.RecordBatch:
-            order = np.lexsort((rows[:, 2].view(np.uint64), rows[:, 1], rows[:, 0]))
+            order = np.lexsort((rows[:, 3].view(np.uint64), rows[:, 2], rows[:, 1], rows[:, 0]))
             rows = rows[order]
-            edges = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1), True])
+            edges = np.flatnonzero(np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1), True])
             low, high = edges[:-1], edges[1:]
             several = high - low > 1
-            own = np.ascontiguousarray(rows[:, 2])
+            own = np.ascontiguousarray(rows[:, 3])
             i, j = trie_pairs(own.view(np.uint64), low[several], high[several], budget)
             first = first_members(len(rows), i, j)
             at = np.flatnonzero(first != np.arange(len(rows)))
-            return pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(own[first[at]])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[at, 0])), pa.array(own[at]), pa.array(own[first[at]])], ["seed", "a", "b"])
 
         held: list[np.ndarray] = []
         for batch in batches:  # sorted by bucket: the last bucket may go on
@@ -148,7 +148,7 @@ def links(codes: DataFrame, budget: int = 2) -> DataFrame:
             held.append(rows)
             if sum(map(len, held)) > 200_000:
                 rows = np.concatenate(held)
-                last = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))
+                last = np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(axis=1))
                 whole = int(last[-1]) + 1 if len(last) else 0
                 if whole:
                     yield linked(rows[:whole])
@@ -156,21 +156,21 @@ def links(codes: DataFrame, budget: int = 2) -> DataFrame:
         if held and len(rows := np.concatenate(held)):
             yield linked(rows)
 
-    out, level, rest, mask = None, 0, codes, F.lit(None)
+    out, level, rest, mask, bucket = None, 0, codes.select(F.col("seed").cast("long").alias("seed"), "code"), F.lit(None), ["seed", "mask", "part"]
     while True:
         mask = _keys(F.col("mask") if level else mask, budget + 1, level)
-        rows = rest.select(F.explode(mask).alias("mask"), "code").withColumn("part", F.col("code").bitwiseAND(F.col("mask"))).select("mask", "part", "code")
+        rows = rest.select("seed", F.explode(mask).alias("mask"), "code").withColumn("part", F.col("code").bitwiseAND(F.col("mask"))).select("seed", "mask", "part", "code")
         if level:
             rows = cut(rows.distinct())  # buckets above overlap
-        sizes = rows.groupBy("mask", "part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        sizes = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         large = cut(sizes.filter(F.col("n") > MOST))
         stop = level == 3 or large.isEmpty()
-        small = rows if stop else rows.join(large, ["mask", "part"], "left_anti")
-        new = small.repartition("mask", "part").sortWithinPartitions("mask", "part").mapInArrow(join, "a long, b long")
+        small = rows if stop else rows.join(large, bucket, "left_anti")
+        new = small.repartition(*bucket).sortWithinPartitions(*bucket).mapInArrow(join, "seed long, a long, b long")
         out = cut(new if out is None else out.unionByName(new))
         if stop:
             return out
-        rest, level = rows.join(large, ["mask", "part"], "left_semi"), level + 1
+        rest, level = rows.join(large, bucket, "left_semi"), level + 1
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -191,8 +191,98 @@ def simhash_dedup(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame
     """One row per row of ``docs``: doc_id, fingerprint (16 hexadecimal digits) and component_id (smallest doc_id reachable)."""
     rows = cut(fingerprints(docs, words))
     firsts = cut(rows.groupBy("code").agg(F.min("doc_id").alias("first")))
-    labels = components(links(firsts.select("code"), budget))
+    labels = components(links(firsts.select(F.lit(0).alias("seed"), "code"), budget).select("a", "b"))
     named = cut(firsts.join(labels, "code", "left").select("code", "first", F.coalesce("label", "code").alias("label")))
     least = cut(named.groupBy("label").agg(F.min("first").alias("component_id")))
     named = cut(named.join(least, "label").select("code", "component_id"))
     return rows.join(named, "code").select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Near duplicates of a pipeline: fingerprints of pairs of words for each of SEEDS hashes, linked at NEAR bits.
+SEEDS, NEAR = 16, 3
+_ODD = np.random.default_rng(11).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+
+
+def _shingles(tokens: list[bytes], words: int) -> np.ndarray:
+    """Sorted hashes of the different shingles; of the whole text if it has fewer words."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(tokens[i : i + words]), 42) for i in range(max(1, len(tokens) - words + 1))], np.uint64))
+
+
+def _many_fingerprints(h: np.ndarray, seeds: int) -> list[int]:
+    out = []
+    for odd in _ODD[:seeds]:
+        mixed = (h ^ (h >> np.uint64(31))) * odd
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+        counts = np.zeros(64, np.int64)
+        for k in range(0, len(mixed), 4096):
+            counts += np.unpackbits(mixed[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+        out.append(int.from_bytes(np.packbits(counts * 2 > len(h), bitorder="little").tobytes(), "little", signed=True))
+    return out
+
+
+def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds: int = SEEDS, budget: int = NEAR) -> DataFrame:
+    """``docs`` without near duplicates: each row that goes has ``similarity`` (Jaccard, of ``words``-word shingles) or more to one that stays.
+
+    Candidates are components of texts that share or nearly share one of several fingerprints. In each component the row of
+    least doc_id (null last) leads, rows similar to it go, and so on with what is left until all rows are leaders or gone.
+    Texts of the same words are one text. Rows equal in doc_id and text leave one.
+    """
+    names = [c for c in docs.columns if c != "_rid"]
+    docs = docs.withColumn("_rid", F.xxhash64("doc_id", "text"))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keys, codes = [], []
+            for text in batch.column("text").to_pylist():
+                tokens = text.encode().translate(LOWER).split()
+                keys.append(xxhash.xxh64_intdigest(b" ".join(tokens), 1))
+                codes.append(_many_fingerprints(_shingles(tokens, 2), seeds))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_rid"), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(codes, pa.list_(pa.int64()))], ["doc_id", "rid", "key", "codes"])
+
+    rows = cut(text_rows(docs, "_rid").mapInArrow(sketch, "doc_id long, rid long, key long, codes array<long>"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    texts = cut(rows.groupBy("key").agg(F.min(F.struct(order.alias("order"), "codes")).alias("one")).select("key", "one.order", "one.codes"))
+    codes = cut(texts.select("key", F.posexplode("codes").alias("seed", "code")))
+    found = links(codes.select("seed", "code").distinct(), budget)
+    shared = codes.groupBy("seed", "code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed", "code")
+    used = cut(shared.union(found.select("seed", "a")).union(found.select("seed", "b")).distinct())
+    name = lambda c: F.xxhash64("seed", c, F.lit("code"))
+    edges = found.select(name("a").alias("a"), name("b").alias("b")).union(codes.join(used, ["seed", "code"]).select(F.col("key").alias("a"), name("code").alias("b")))
+    labels = components(edges)
+    labelled = cut(texts.join(labels, texts["key"] == labels["code"]).select("key", "order", "label"))
+    several = cut(labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("label"))
+    members = cut(labelled.join(several, "label"))
+    wanted = docs.sparkSession.sparkContext.broadcast(repeated_filter(members.select(F.col("order.rid").alias("h")), filter_log2(members.count()), least=1))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            on = np.flatnonzero(wanted.value.has(batch.column("_rid").to_numpy().view(np.uint64)))
+            shingled = [_shingles(t.encode().translate(LOWER).split(), words).tobytes() for t in batch.column("text").take(pa.array(on)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_rid").take(pa.array(on)), pa.array(shingled, pa.binary())], ["rid", "shingles"])
+
+    shingled = text_rows(docs, "_rid").mapInArrow(sets, "rid long, shingles binary").dropDuplicates(["rid"])
+    left = cut(members.join(shingled, F.col("order.rid") == F.col("rid")).select("label", "order", "key", "shingles"))
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            same = []
+            for a, b in zip(batch.column("shingles").to_pylist(), batch.column("leads").to_pylist(), strict=True):
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                same.append(both >= similarity * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(same)], ["key", "same"])
+
+    gone = None
+    while not left.isEmpty():
+        first = left.groupBy("label").agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("label", "first")
+        lead = cut(left.join(first.withColumnRenamed("label", "_label"), (F.col("label") == F.col("_label")) & (F.col("order") == F.col("first"))).select("label", F.col("shingles").alias("leads"), F.col("key").alias("leader")))
+        tested = left.join(lead, "label").filter("key <> leader").select("key", "shingles", "leads").mapInArrow(alike, "key long, same boolean")
+        tested = cut(tested)
+        new = tested.filter("same").select("key")
+        gone = new if gone is None else gone.union(new)
+        left = cut(left.join(tested.filter("NOT same").select("key"), "key", "left_semi"))
+    kept = texts if gone is None else texts.join(gone, "key", "left_anti")
+    kept = cut(kept.select(F.col("order.rid").alias("_rid")))
+    return docs.join(kept, "_rid", "left_semi").dropDuplicates(["_rid"]).select(*names)

@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from .common import cut, filter_log2, mix, repeated_filter, slices, text_buffer, text_rows
 from .suffix_array import repeated_starts
@@ -259,16 +260,16 @@ def _pieces(rows: DataFrame, width: int, step: int) -> DataFrame:
     return rows.mapInArrow(run, "rid long, doc_id long, first long, place long, h long, content long, body binary")
 
 
-def suffix_dedup(docs: DataFrame, width: int = 200) -> DataFrame:
-    """doc_id, kept (binary: the bytes left), spans (array of start, stop: maximal removed runs), n_bytes, one row per row of ``docs``."""
-    docs = text_rows(docs).withColumn("rid", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(docs, width).groupBy("rid", "doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
-    joined = docs.join(spans.withColumnRenamed("doc_id", "id"), (docs["rid"] == spans["rid"]) & F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "text", "spans")
+def suffix_dedup(docs: DataFrame, width: int = 200, as_text: bool = False) -> DataFrame:
+    """doc_id, row (the other columns), kept (the bytes left; as text without what is left of characters that were cut through), spans (array of start, stop: maximal removed runs), n_bytes, one row per row of ``docs``."""
+    docs = text_rows(docs, F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c not in ("doc_id", "text")]).alias("row")).withColumn("rid", F.xxhash64("doc_id", "text"))
+    spans = repeated_spans(docs.drop("row"), width).groupBy("rid", "doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    joined = docs.join(spans.withColumnRenamed("doc_id", "id"), (docs["rid"] == spans["rid"]) & F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "row", "text", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             kept, runs, sizes = [], [], []
-            for text, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, marks in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 data, merged = text.encode(), []
                 for mark in marks or ():
                     if merged and mark["start"] <= merged[-1]["stop"]:
@@ -279,12 +280,14 @@ def suffix_dedup(docs: DataFrame, width: int = 200) -> DataFrame:
                 for run in merged:
                     left.append(data[at : run["start"]])
                     at = run["stop"]
-                kept.append(b"".join([*left, data[at:]]))
+                whole = b"".join([*left, data[at:]])
+                kept.append(whole.decode(errors="ignore") if as_text else whole)
                 runs.append(merged)
                 sizes.append(len(data))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(sizes, pa.int64())], ["doc_id", "kept", "spans", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(sizes, pa.int64())], ["doc_id", "row", "kept", "spans", "n_bytes"])
 
-    return joined.mapInArrow(remove, "doc_id long, kept binary, spans array<struct<start:long,stop:long>>, n_bytes long")
+    schema = StructType([joined.schema["doc_id"], joined.schema["row"]]).add("kept", "string" if as_text else "binary").add("spans", ArrayType(StructType().add("start", "long").add("stop", "long"))).add("n_bytes", "long")
+    return joined.mapInArrow(remove, schema)
 
 
 def digest(cut_docs: DataFrame) -> DataFrame:
@@ -296,3 +299,9 @@ def digest(cut_docs: DataFrame) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+def without_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
+    """``docs`` with repeated passages cut out of text; what is left of a character that was cut through goes too."""
+    left = suffix_dedup(docs, width, as_text=True)
+    return left.select(*[F.col("kept").alias(c) if c == "text" else F.col(c) if c == "doc_id" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
