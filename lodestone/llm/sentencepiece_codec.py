@@ -17,6 +17,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,8 @@ from .common import slices, text_rows
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Fixed values of the format: the blank's sign, what an unknown character costs beside the worst piece, and byte pieces.
 BLANK, PENALTY, BYTE = "▁", 10.0, re.compile(r"<0x([0-9A-F]{2})>")
-#: Words whose ids a task keeps at hand, and their length.
-KEPT, SHORT = 300_000, 48
+#: Words whose ids a task keeps at hand.
+KEPT = 300_000
 
 
 def load_pieces(path: str) -> tuple[list[tuple[str, float, str]], bool]:
@@ -44,6 +45,10 @@ def load_pieces(path: str) -> tuple[list[tuple[str, float, str]], bool]:
     return [(model.id_to_piece(i), model.get_score(i), kind(i)) for i in range(model.get_piece_size())], proto.trainer_spec.model_type == 2
 
 
+def pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}i", *ids)
+
+
 class Codec:
     """Encoder and decoder of one vocabulary."""
 
@@ -57,20 +62,33 @@ class Codec:
                 node = node.setdefault(c, {})
             node[""] = (score, i)
         self.rank = {p: s for p, s, _ in usable}
+        self.scored = {p: (s, i) for p, s, i in usable}
+        self.prefixes: dict[str, tuple[int, int, float]] = {}
         self.pieces = [p for p, _, _ in pieces]
         self.allowed: dict[tuple[int, int], bool] = {}
         self.longest = max((len(p) for p, _, _ in usable), default=1)
         self.unknown = next((i for i, p in enumerate(pieces) if p[2] == "unknown"), 0)
         self.bytes = {int(m[1], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == "byte" and (m := BYTE.fullmatch(p))}
         self.worst = min((s for _, s, _ in usable), default=0.0) - PENALTY
-        reach = any(re.search(f"[^{BLANK}]{BLANK}", p) for p, _, _ in usable)
-        self.words = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+").findall if not reach else lambda text: [text]
+        self.words = self._cutter([p for p, _, _ in usable])
         self.known: dict[str, bytes] = {}
         self.text_of = np.array([BYTE.fullmatch(p) and "" or ("" if kind == "" else p) for p, _, kind in pieces], object)
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.is_byte = np.zeros(len(pieces), bool)
         self.is_byte[list(self.byte_of)] = True
 
+    @staticmethod
+    def _cutter(pieces: list[str]):
+        """A function that cuts a text before blanks and before marks, where no piece reaches from another character to one."""
+        if any(re.search(f"[^{BLANK}]{BLANK}", p) for p in pieces):
+            return lambda text: [text]
+        marks = {chr(i) for i in range(128) if not chr(i).isalnum()}
+        pairs = {pair for p in pieces for pair in zip(p, p[1:], strict=False)}
+        while bad := {b for a, b in pairs if b in marks and a not in marks and a != BLANK}:
+            marks -= bad
+        of = "".join(map(re.escape, sorted(marks)))
+        return re.compile(f"{BLANK}*[{of}]*[^{BLANK}{of}]+|{BLANK}*[{of}]+|{BLANK}+" if of else f"{BLANK}*[^{BLANK}]+|{BLANK}+").findall
+
     def follows(self, before: int, after: int) -> bool:
         """If merging the text of two pieces gives back these two."""
         if before < 0 or after < 0 or (found := self.allowed.get((before, after))):
@@ -113,7 +131,7 @@ class Codec:
                         best[end], back[end] = total, (i, which)
             if not single and (total := here + worst) > best.get(i + 1, -np.inf):
                 best[i + 1], back[i + 1] = total, (i, -1)
-            if i - done >= longest or len(best) == 1:
+            if i - done >= longest:
                 meet = self._meet(best, back, done)
                 if meet > done:
                     yield self._ids(text, back, done, meet)
@@ -124,6 +142,32 @@ class Codec:
         if done < n:
             yield self._ids(text, back, done, n)
 
+    def whole(self, word: str) -> list[int]:
+        """Ids of a word that the window holds as a whole; the last step of each of its prefixes is looked up if another word began so."""
+        known, steps = self.prefixes, [(0, -1, 0.0)]
+        for end in range(1, len(word) + 1):
+            prefix = word[:end]
+            step = known.get(prefix)
+            if step is None:
+                for start in range(end - 1, max(0, end - self.longest) - 1, -1):
+                    if (piece := self.scored.get(prefix[start:])) is None:
+                        continue
+                    score, which = piece
+                    if not self.merges:
+                        total = score + steps[start][2]
+                        if step is None or total >= step[2]:
+                            step = start, which, total
+                    elif not start or self.follows(steps[start][1], which):
+                        step = start, which, 0.0
+                        break
+                if step is None or (not self.merges and prefix[-1] not in self.scored and steps[end - 1][2] + self.worst > step[2]):
+                    step = end - 1, -1, steps[end - 1][2] + self.worst
+                if len(known) >= 2 * KEPT:
+                    known.clear()
+                known[prefix] = step
+            steps.append(step)
+        return self._ids(word, dict(enumerate(steps)), 0, len(word))
+
     @staticmethod
     def _meet(best: dict[int, float], back: dict[int, tuple[int, int]], done: int) -> int:
         """The last place that the paths to all live places go through."""
@@ -137,7 +181,7 @@ class Codec:
     def _ids(self, text: str, back: dict[int, tuple[int, int]], start: int, stop: int) -> list[int]:
         out: list[int] = []
         while stop > start:
-            before, which = back[stop]
+            before, which = back[stop][:2]
             if which >= 0:
                 out.append(which)
             elif self.bytes:
@@ -155,8 +199,9 @@ class Codec:
         for word in self.words(BLANK + text.replace(" ", BLANK)):
             ids = known.get(word)
             if ids is None:
-                ids = np.array([i for part in self.stream(word) for i in part], "<i4").tobytes()
-                if len(word) <= SHORT:
+                short = len(word) <= self.longest
+                ids = pack(self.whole(word) if short else [i for part in self.stream(word) for i in part])
+                if short:
                     if len(known) >= KEPT:
                         known.clear()
                     known[word] = ids

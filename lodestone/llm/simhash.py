@@ -225,8 +225,9 @@ def _many_fingerprints(h: np.ndarray, seeds: int) -> list[int]:
 def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds: int = SEEDS, budget: int = NEAR) -> DataFrame:
     """``docs`` without near duplicates: each row that goes has ``similarity`` (Jaccard, of ``words``-word shingles) or more to one that stays.
 
-    Candidates are components of texts that share or nearly share one of several fingerprints. In each component the row of
-    least doc_id (null last) leads, rows similar to it go, and so on with what is left until all rows are leaders or gone.
+    Candidates are in groups of texts that share or nearly share a fingerprint, for each of several fingerprints. A text that is
+    the first one (least doc_id, null last) in all of its groups leads: it stays, and those of its groups' texts that are similar
+    to it go. So on with what is left, until all texts have led or are gone.
     Texts of the same words are one text. Rows equal in doc_id and text leave one.
     """
     names = [c for c in docs.columns if c != "_rid"]
@@ -242,28 +243,25 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_rid"), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(codes, pa.list_(pa.int64()))], ["doc_id", "rid", "key", "codes"])
 
     rows = cut(text_rows(docs, "_rid").mapInArrow(sketch, "doc_id long, rid long, key long, codes array<long>"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "key")
     texts = cut(rows.groupBy("key").agg(F.min(F.struct(order.alias("order"), "codes")).alias("one")).select("key", "one.order", "one.codes"))
-    codes = cut(texts.select("key", F.posexplode("codes").alias("seed", "code")))
-    found = links(codes.select("seed", "code").distinct(), budget)
-    shared = codes.groupBy("seed", "code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed", "code")
-    used = cut(shared.union(found.select("seed", "a")).union(found.select("seed", "b")).distinct())
-    name = lambda c: F.xxhash64("seed", c, F.lit("code"))
-    edges = found.select(name("a").alias("a"), name("b").alias("b")).union(codes.join(used, ["seed", "code"]).select(F.col("key").alias("a"), name("code").alias("b")))
-    labels = components(edges)
-    labelled = cut(texts.join(labels, texts["key"] == labels["code"]).select("key", "order", "label"))
-    several = cut(labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("label"))
-    members = cut(labelled.join(several, "label"))
-    wanted = docs.sparkSession.sparkContext.broadcast(repeated_filter(members.select(F.col("order.rid").alias("h")), filter_log2(members.count()), least=1))
+    codes = cut(texts.select("key", "order", F.posexplode("codes").alias("seed", "code")))
+    name = lambda c: F.xxhash64("seed", c)
+    labels = components(links(codes.select("seed", "code").distinct(), budget).select(name("a").alias("a"), name("b").alias("b")))
+    grouped = cut(codes.withColumn("node", name("code")).join(labels.withColumnRenamed("code", "node"), "node", "left").select(F.coalesce("label", "node").alias("group"), "key", "order"))
+    several = cut(grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group"))
+    left = cut(grouped.join(several, "group"))
+    firsts = cut(left.select("order.rid", "key").distinct())
+    wanted = docs.sparkSession.sparkContext.broadcast(repeated_filter(firsts.select(F.col("rid").alias("h")), filter_log2(firsts.count()), least=1))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 100):
             on = np.flatnonzero(wanted.value.has(batch.column("_rid").to_numpy().view(np.uint64)))
             shingled = [_shingles(t.encode().translate(LOWER).split(), words).tobytes() for t in batch.column("text").take(pa.array(on)).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_rid").take(pa.array(on)), pa.array(shingled, pa.binary())], ["rid", "shingles"])
 
-    shingled = text_rows(docs, "_rid").mapInArrow(sets, "rid long, shingles binary").dropDuplicates(["rid"])
-    left = cut(members.join(shingled, F.col("order.rid") == F.col("rid")).select("label", "order", "key", "shingles"))
+    shingled = text_rows(docs, "_rid").mapInArrow(sets, "rid long, shingles binary").join(firsts, "rid").select("key", "shingles")
+    shingled = cut(shingled.dropDuplicates(["key"]))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -276,13 +274,16 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds:
 
     gone = None
     while not left.isEmpty():
-        first = left.groupBy("label").agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("label", "first")
-        lead = cut(left.join(first.withColumnRenamed("label", "_label"), (F.col("label") == F.col("_label")) & (F.col("order") == F.col("first"))).select("label", F.col("shingles").alias("leads"), F.col("key").alias("leader")))
-        tested = left.join(lead, "label").filter("key <> leader").select("key", "shingles", "leads").mapInArrow(alike, "key long, same boolean")
-        tested = cut(tested)
-        new = tested.filter("same").select("key")
+        first = cut(left.groupBy("group").agg(F.min("order").alias("first")))
+        tagged = cut(left.join(first, "group"))
+        leaders = cut(tagged.groupBy("key").agg(F.bool_and(F.col("order") == F.col("first")).alias("leads")).filter("leads").select("key"))
+        pairs = tagged.filter("key <> first.key").select("key", F.col("first.key").alias("leader")).distinct()
+        pairs = cut(pairs.join(leaders.withColumnRenamed("key", "leader"), "leader"))
+        both = cut(pairs.join(shingled, "key").select("key", "leader", "shingles")).join(shingled.withColumnsRenamed({"key": "leader", "shingles": "leads"}), "leader")
+        new = cut(both.select("key", "shingles", "leads").mapInArrow(alike, "key long, same boolean").filter("same").select("key").distinct())
         gone = new if gone is None else gone.union(new)
-        left = cut(left.join(tested.filter("NOT same").select("key"), "key", "left_semi"))
+        rest = cut(left.join(new.union(leaders), "key", "left_anti"))
+        left = cut(rest.join(rest.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group"), "group"))
     kept = texts if gone is None else texts.join(gone, "key", "left_anti")
     kept = cut(kept.select(F.col("order.rid").alias("_rid")))
     return docs.join(kept, "_rid", "left_semi").dropDuplicates(["_rid"]).select(*names)
