@@ -1,45 +1,46 @@
-"""Code hierarchies, each within one edition: ancestors with faults, descendants, children. Recursive SQL with a guard against cycles."""
+"""Code hierarchies, each within one edition: ancestors with faults, descendants, children.
+
+Walks go level by level over tables, all codes at once; each level is written out, so neither the number of rows nor that of
+levels is bounded by a plan. A walk keeps the codes it has passed and ends where it would come to one of them again.
+"""
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _view(df: DataFrame) -> str:
-    name = f"codes_{uuid.uuid4().hex}"
-    df.createOrReplaceTempView(name)
-    return name
+from ..sources.files import cut
 
 
 def ancestors(codes: DataFrame) -> DataFrame:
     """edition, code, ancestor, depth (from 1) and issue: "" , "cycle" or "dangling" for the step. ``codes`` has edition, code and parent ('' at the top)."""
-    view = _view(codes.select("edition", "code", "parent"))
-    return codes.sparkSession.sql(f"""
-        WITH RECURSIVE up AS (
-            SELECT edition, code, parent AS ancestor, 1 AS depth, array(code) AS path FROM {view} WHERE parent <> ''
-            UNION ALL
-            SELECT u.edition, u.code, c.parent, u.depth + 1, array_append(u.path, u.ancestor)
-            FROM up u JOIN {view} c ON c.edition = u.edition AND c.code = u.ancestor
-            WHERE c.parent <> '' AND NOT array_contains(u.path, u.ancestor))
-        SELECT u.edition, u.code, u.ancestor, CAST(u.depth AS BIGINT) AS depth,
-               CASE WHEN array_contains(u.path, u.ancestor) THEN 'cycle' WHEN k.code IS NULL THEN 'dangling' ELSE '' END AS issue
-        FROM up u LEFT JOIN {view} k ON k.edition = u.edition AND k.code = u.ancestor""")
+    known = cut(codes.select("edition", F.col("code").alias("ancestor"), F.col("parent").alias("next")))
+    level = codes.filter("parent <> ''").select("edition", "code", F.col("parent").alias("ancestor"), F.lit(1).cast("bigint").alias("depth"), F.array("code").alias("path"))
+    levels = []
+    while True:
+        joined = level.join(known, ["edition", "ancestor"], "left")
+        issue = F.when(F.array_contains("path", F.col("ancestor")), "cycle").when(F.col("next").isNull(), "dangling").otherwise("")
+        step = cut(joined.withColumn("issue", issue))
+        levels.append(step.select("edition", "code", "ancestor", "depth", "issue"))
+        level = step.filter("issue = '' AND next <> ''").select("edition", "code", F.col("next").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.array_append("path", F.col("ancestor")).alias("path"))
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
 
 
 def descendants(codes: DataFrame, roots: DataFrame) -> DataFrame:
     """edition, root, code, depth (0 for the root) below each root (edition, root), each code once."""
-    view, tops = _view(codes.select("edition", "code", "parent")), _view(roots.select("edition", "root"))
-    return codes.sparkSession.sql(f"""
-        WITH RECURSIVE down AS (
-            SELECT r.edition, r.root, c.code, 0 AS depth, array(c.code) AS path FROM {tops} r JOIN {view} c ON c.edition = r.edition AND c.code = r.root
-            UNION ALL
-            SELECT d.edition, d.root, c.code, d.depth + 1, array_append(d.path, c.code)
-            FROM down d JOIN {view} c ON c.edition = d.edition AND c.parent = d.code
-            WHERE NOT array_contains(d.path, c.code))
-        SELECT edition, root, code, CAST(min(depth) AS BIGINT) AS depth FROM down GROUP BY edition, root, code""")
+    below = cut(codes.select("edition", F.col("parent").alias("code"), F.col("code").alias("child")))
+    known = codes.select("edition", F.col("code").alias("root"))
+    level = cut(roots.select("edition", "root").distinct().join(known, ["edition", "root"], "left_semi").select("edition", "root", F.col("root").alias("code"), F.lit(0).cast("bigint").alias("depth")))
+    levels = [level]
+    while True:
+        found = level.join(below, ["edition", "code"]).select("edition", "root", F.col("child").alias("code"), (F.col("depth") + 1).alias("depth")).distinct()
+        level = cut(found.join(reduce(DataFrame.unionByName, levels), ["edition", "root", "code"], "left_anti"))
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+        levels.append(level)
 
 
 def children(codes: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.vectors import area, distance, in_box, polyline_length, symmetric_distance
+
 
 def with_children(parents: DataFrame, children: DataFrame, on: str, columns: Sequence[str], name: str = "children") -> DataFrame:
     """Parents with a sorted array of their children (empty if none)."""
@@ -67,7 +69,7 @@ def prefix_overlap(a: DataFrame, b: DataFrame, a_key: str, b_key: str, shortest:
 
 
 def nearest_value(a: DataFrame, b: DataFrame, by: str, a_id: str, a_value: str, b_id: str, b_value: str) -> DataFrame:
-    """For each row of ``a`` the row of ``b`` in the same group whose value is nearest (ties: least id): by, a_id, b_id, distance.
+    """For each row of ``a`` the row of ``b`` in the same group whose value is nearest (ties: least id; null if the group has none): by, a_id, b_id, distance.
 
     One sorted pass over both tables: only the last value before and the first one after can be nearest, so no pairs are made.
     """
@@ -97,3 +99,34 @@ def with_default(facts: DataFrame, dimension: DataFrame, on: str, default: str =
     """Facts with a dimension's text columns, ``default`` where it has no row."""
     joined = facts.join(dimension, on, "left")
     return joined.na.fill(default, [c for c in dimension.columns if c != on])
+
+
+def smallest_box(points: DataFrame, boxes: DataFrame, on: str) -> DataFrame:
+    """``points`` (on, point_id, point) with the smallest box (on, box_id, box) that holds the point, ties by box_id; null if none does."""
+    held = points.join(boxes, on).filter(in_box(F.col("point"), F.col("box")))
+    best = held.groupBy(on, "point_id").agg(F.min_by("box_id", F.struct(area(F.col("box")), F.col("box_id"))).alias("box_id"))
+    return points.select(on, "point_id").join(best, [on, "point_id"], "left")
+
+
+def attachment_box(points: DataFrame, boxes: DataFrame, on: str, enlarged: float = 0.2, reach: float = 1.5) -> DataFrame:
+    """on, point_id, box_id: the box with the nearest centre of those that hold the point when enlarged, or whose centre is within ``reach`` diagonals."""
+    box, point = F.col("box"), F.col("point")
+    centre = F.array((box[0] + box[2]) / 2, (box[1] + box[3]) / 2)
+    away = distance(point, centre)
+    near = points.join(boxes, on).filter(in_box(point, box, enlarged) | (away <= reach * F.hypot(box[2] - box[0], box[3] - box[1])))
+    return near.groupBy(on, "point_id").agg(F.min_by("box_id", F.struct(away.alias("d"), F.col("box_id"))).alias("box_id"))
+
+
+def nearest_end(lines: DataFrame, others: DataFrame, on: str, reach: float = 0.4) -> DataFrame:
+    """on, line_id, other_id: the other line whose end is nearest to a line's end, within ``reach`` of the line's length; ties by other_id."""
+    end = lambda c: F.element_at(F.col(c), -1)
+    away = distance(end("line"), end("other"))
+    near = lines.join(others, on).filter(away <= reach * polyline_length(F.col("line")))
+    return near.groupBy(on, "line_id").agg(F.min_by("other_id", F.struct(away.alias("d"), F.col("other_id"))).alias("other_id"))
+
+
+def best_match(lines: DataFrame, others: DataFrame, on: str, most: float = 0.5) -> DataFrame:
+    """on, line_id, other_id, distance: the other line of least symmetric distance, if that is at most ``most`` of the line's length."""
+    away = symmetric_distance(F.col("line"), F.col("other"))
+    scored = lines.join(others, on).select(on, "line_id", "other_id", away.alias("distance"), (most * polyline_length(F.col("line"))).alias("_most"))
+    return scored.groupBy(on, "line_id", "_most").agg(F.min_by("other_id", F.struct("distance", "other_id")).alias("other_id"), F.min("distance").alias("distance")).filter("distance <= _most").drop("_most")

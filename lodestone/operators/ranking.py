@@ -15,12 +15,16 @@ from .filters import ranked
 
 def fuse(rankings: dict[str, DataFrame], row: str, most: int | None = 200, k: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of rankings (row, rank): row, score, channels and rank; ties by row."""
+    return ranked(fused_scores(rankings, row, k), [F.desc(F.round("score", 12)), F.col(row)], most)
+
+
+def fused_scores(rankings: dict[str, DataFrame], row: str, k: int = 60) -> DataFrame:
+    """row, score and channels, without an order."""
     every = None
     for order, (name, ranking) in enumerate(rankings.items()):
         part = ranking.select(row, (1.0 / (k + F.col("rank"))).alias("share"), F.struct(F.lit(order).alias("o"), F.lit(name).alias("name")).alias("channel"))
         every = part if every is None else every.unionByName(part)
-    fused = every.groupBy(row).agg(F.sum("share").alias("score"), F.array_join(F.transform(F.array_sort(F.collect_list("channel")), lambda c: c["name"]), "+").alias("channels"))
-    return ranked(fused, [F.desc(F.round("score", 12)), F.col(row)], most)
+    return every.groupBy(row).agg(F.sum("share").alias("score"), F.array_join(F.transform(F.array_sort(F.collect_list("channel")), lambda c: c["name"]), "+").alias("channels"))
 
 
 def numbered(df: DataFrame, order: Sequence[Column], template: str, name: str) -> DataFrame:
@@ -82,4 +86,4 @@ def suppress_overlaps(detections: DataFrame, least_iou: float = 0.5) -> DataFram
 
 def natural_order(c: Column, classes: str) -> list[Column]:
     """By class letter in the given order, then by number: C2 before C10 before R1."""
-    return [F.locate(F.substring(c, 1, 1), F.lit(classes)), F.substring(c, F.lit(2), F.length(c)).cast("int")]
+    return [F.position(F.substring(c, 1, 1), F.lit(classes)), F.substring(c, F.lit(2), F.length(c)).cast("int")]

@@ -15,6 +15,7 @@ INDUSTRY_NAMES = {
 }
 PERSONAL_UNITS = ("근로자", "산재근로자", "특고·필수노동자", "이동노동자", "농업인", "어업인", "건설근로자", "현장실습생")
 WAYS = {"보조금·비용지원": ["보조금", "비용지원"], "융자": ["융자"], "무료 서비스": ["무상서비스"], "보험료·세금 혜택": ["보험료지원", "보험료감면", "세제", "인정제도"]}
+NOTED = {"condition": "기타대상조건", "excluded_targets": "제외대상", "no_double": "중복지원 제한", "contractor": "원청부담"}
 VERDICTS = ("해당", "조건부", "확인필요", "개인대상", "지역사업", "타지역", "제외")
 STATUSES = ("부족", "확인 필요", "충족", "해당 없음")
 SYNONYMS = [
@@ -69,18 +70,20 @@ def eligibility(a: Applicant) -> tuple[Column, Column]:
     """Verdict and reasons (joined by " | ") of programmes for an applicant; the order of the checks decides.
 
     Columns: region, unit, low, high (workers), cap (of a construction), combined, industries, excluded, needs_hazard,
-    hazard_kind, verified, year, insured, condition, original, basis. All are text, '' if there is nothing.
+    hazard_kind, verified, year, insured, no_arrears, condition, excluded_targets, no_double, contractor, original, basis. All
+    are text, '' if there is nothing.
     """
     c = F.col
     region = F.trim(F.split_part(c("region"), F.lit("("), F.lit(1)))
     first = lambda x: F.split_part(x, F.lit(" "), F.lit(1))
     regional = region != "전국"
-    near = F.when(regional & F.contains(region, F.lit(" ")) & (region != a.region), F.concat(region, F.lit(" 확인")))
+    near = F.when(regional & F.contains(region, F.lit(" ")) & (region != a.region), F.concat(region, F.lit(" 사업 — 그 기초지자체 사업장만 해당하는지 확인")))
     low, high = c("low").try_cast("int"), c("high").try_cast("int")
     builds = a.industry == "전체" or a.industry[0] == "F"
     cap_out = (c("cap") != "") & (c("low") == "") & (c("high") == "") & F.lit(not builds)
     small, middle = {"소": ("Y", "Y"), "중": ("N", "Y"), "대": ("N", "N"), "모름": ("모름", "모름")}[a.size]
     basis = F.when(c("combined") == "또는_소기업", small).when(c("combined") == "또는_중소기업", middle)
+    word = F.split_part(c("combined"), F.lit("_"), F.lit(2))
     over = high.isNotNull() & (F.lit(a.workers) >= high)
     too_large = over & (basis.isNull() | (basis == "N"))
     if a.industry == "전체":
@@ -94,21 +97,21 @@ def eligibility(a: Applicant) -> tuple[Column, Column]:
     checks = F.array_compact(
         F.array(
             near,
-            F.when(c("cap") != "", F.concat(F.lit("공사금액 "), c("cap"), F.lit("억원 미만"))),
-            F.when(over & (basis == "모름"), F.concat(c("high"), F.lit("인 이상: 규모 확인"))),
+            F.when(c("cap") != "", F.concat(F.lit("공사금액 "), c("cap"), F.lit("억원 미만 현장만 해당"))),
+            F.when(over & (basis == "모름"), F.concat(c("high"), F.lit("인 이상이지만 "), word, F.lit(" 규모 기준 이하면 가능"))),
             exclusion_check,
-            F.when(hazard & F.lit(a.hazard == "모름"), F.concat(F.lit("유해인자: "), c("hazard_kind"))),
-            F.when(c("verified") == "미확인", F.lit("요건 미확인")),
+            F.when(hazard & F.lit(a.hazard == "모름"), F.concat(F.lit("유해인자 보유 필요: "), c("hazard_kind"))),
+            F.when(c("verified") == "미확인", F.lit("요건 미확인(공고문 확인 필요)")),
         )
     )
     notes = F.array_compact(
         F.array(
-            F.when(over & (basis == "Y"), F.concat(c("high"), F.lit("인 이상이지만 규모 기준 이하"))),
+            F.when(over & (basis == "Y"), F.concat(c("high"), F.lit("인 이상이지만 "), word, F.lit("라서 해당"))),
             F.when(F.lit(a.industry == "전체") & (c("industries") != "전체"), F.concat(F.lit("대상업종: "), c("industries"))),
             F.when(F.lit(a.industry == "전체") & (c("excluded") != ""), F.concat(F.lit("제외업종: "), c("excluded"))),
             F.when(c("year") < "2026", F.concat(c("year"), F.lit("년 자료"))),
-            F.when(c("insured") == "Y", F.lit("산재보험 가입")),
-            F.when(c("condition") != "", F.concat(F.lit("조건: "), c("condition"))),
+            F.when(c("insured") == "Y", F.concat(F.lit("산재보험 가입"), F.when(c("no_arrears") == "Y", " · 보험료 체납 없음").otherwise(""))),
+            *[F.when(c(name) != "", F.concat(F.lit(f"{label}: "), c(name))) for name, label in NOTED.items()],
         )
     )
     conditional = F.startswith(c("basis"), F.lit("해당없음")) | F.startswith(c("condition"), F.lit("다음 중 하나"))
@@ -119,7 +122,7 @@ def eligibility(a: Applicant) -> tuple[Column, Column]:
         (personal, "개인대상", F.concat_ws(" | ", F.coalesce(F.nullif(c("condition"), F.lit("")), c("original")), near)),
         (cap_out, "제외", F.lit("건설현장 대상")),
         (low.isNotNull() & (F.lit(a.workers) < low), "제외", F.concat(c("low"), F.lit("인 이상만"))),
-        (too_large, "제외", F.concat(c("high"), F.lit("인 미만만"))),
+        (too_large, "제외", F.concat(c("high"), F.lit("인 미만만"), F.when(basis.isNotNull(), F.concat(F.lit("("), word, F.lit(" 아님)"))).otherwise(""))),
         (other_industry, "제외", F.concat(F.lit("대상업종 "), c("industries"))),
         (excluded, "제외", F.concat(F.lit("제외업종 "), c("excluded"))),
         (hazard & F.lit(a.hazard == "N"), "제외", F.concat(F.lit("유해인자 보유 필요: "), c("hazard_kind"))),

@@ -87,7 +87,7 @@ def j15_prefix_overlap(spark, d):
 def j20_nearest_centre(spark, d):
     a = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", F.col("c_acctbal").alias("v"))
     b = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", F.col("s_acctbal").alias("v"))
-    return joins.nearest_value(a, b, "nation", "c_custkey", "v", "s_suppkey", "v").select("c_custkey", "s_suppkey", F.round("distance", 2).alias("distance"))
+    return joins.nearest_value(a, b, "nation", "c_custkey", "v", "s_suppkey", "v").filter("s_suppkey IS NOT NULL").select("c_custkey", "s_suppkey", F.round("distance", 2).alias("distance"))
 
 
 @query("""SELECT label, count(*) FILTER (WHERE abs(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) > 1e-4 OR len(embedding) <> 64) AS bad, count(*) AS n FROM embeddings GROUP BY label""")

@@ -11,17 +11,21 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that driver and executors share (spark.checkpoint.dir) and read again, so that lineage ends."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder's path where driver and executors share files (spark.checkpoint.dir); only where none is named, one on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(folder)
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that lineage ends."""
+    path = shared_folder(df.sparkSession, "tables")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
