@@ -245,7 +245,7 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds:
     rows = cut(text_rows(docs, "_rid").mapInArrow(sketch, "doc_id long, rid long, key long, codes array<long>"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "key")
     texts = cut(rows.groupBy("key").agg(F.min(F.struct(order.alias("order"), "codes")).alias("one")).select("key", "one.order", "one.codes"))
-    codes = cut(texts.select("key", "order", F.posexplode("codes").alias("seed", "code")))
+    codes = cut(texts.select("key", "order", F.posexplode("codes").alias("seed", "code")).withColumn("seed", F.col("seed").cast("long")))  # hashed with the code: of the type that links have
     name = lambda c: F.xxhash64("seed", c)
     labels = components(links(codes.select("seed", "code").distinct(), budget).select(name("a").alias("a"), name("b").alias("b")))
     grouped = cut(codes.withColumn("node", name("code")).join(labels.withColumnRenamed("code", "node"), "node", "left").select(F.coalesce("label", "node").alias("group"), "key", "order"))
