@@ -38,13 +38,17 @@ def containing(texts: DataFrame, phrases: DataFrame, text: str, phrase: str) ->
     """Pairs of a text and a phrase of three words or more that it contains.
 
     An inner word of a contained phrase is a whole word of the text, so the pairs meet on the phrase's longest inner word and
-    only those are compared, rather than each text with each phrase.
+    only those are compared, rather than each text with each phrase. They meet by the texts' hashes; the texts themselves are
+    moved once, to their candidates.
     """
     inner = F.slice(F.split("_phrase", " "), 2, F.greatest(F.lit(0), F.size(F.split("_phrase", " ")) - 2))
     longest = F.element_at(F.array_sort(inner, lambda a, b: F.length(b) - F.length(a)), 1)
     keyed = phrases.withColumn("_phrase", plain(F.col(phrase))).filter("size(split(_phrase, ' ')) > 2").withColumn("_anchor", longest)
-    opened = texts.withColumn("_text", plain(F.col(text))).withColumn("_anchor", F.explode(F.array_distinct(F.split("_text", " "))))
-    return opened.join(keyed, "_anchor").filter(F.contains("_text", F.col("_phrase"))).drop("_anchor", "_text", "_phrase")
+    named = texts.withColumn("_text", plain(F.col(text))).withColumn("_id", F.xxhash64("_text"))
+    words = named.select("_id", F.explode(F.array_distinct(F.split("_text", " "))).alias("_anchor"))
+    candidates = words.join(keyed.select("_phrase", "_anchor").distinct(), "_anchor").select("_id", "_phrase").distinct()
+    found = named.join(candidates, "_id").filter(F.contains("_text", F.col("_phrase")))
+    return found.join(keyed, "_phrase").drop("_id", "_anchor", "_text", "_phrase")
 
 
 def grams(c: Column, n: int) -> Column:

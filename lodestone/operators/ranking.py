@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.files import cut
 from .filters import ranked
 
 
@@ -28,11 +29,15 @@ def fused_scores(rankings: dict[str, DataFrame], row: str, k: int = 60) -> DataF
 
 
 def numbered(df: DataFrame, order: Sequence[Column], template: str, name: str) -> DataFrame:
-    """Ids from 0 in a total order, without bringing all rows to one task: ranks in range partitions plus the sizes of those before."""
-    spread = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    """Ids from 0 in a total order, without bringing all rows to one task: ranks in range partitions plus the sizes of those before.
+
+    The partitions are written out, since their bounds come from samples and both uses need the same ones.
+    """
+    spread = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     own = spread.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))
+    one = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(one), F.lit(0)).alias("_before"))
     joined = own.join(F.broadcast(before), "_part")  # one row per partition
     return joined.withColumn(name, F.format_string(template, F.col("_before") + F.col("_rank") - 1)).drop("_part", "_rank", "_before")
 

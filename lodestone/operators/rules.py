@@ -155,10 +155,10 @@ def duty_applies(subjects: DataFrame, thresholds: DataFrame, ambiguous: DataFram
     rows = thresholds.select("row", F.col("industry").alias("code"), "minimum", "below")
     meets = rows.select("row", "minimum", "below", F.explode(F.array_distinct(F.array("code", F.substring("code", 1, 1)))).alias("industry")).groupBy("industry").agg(F.countDistinct("row").alias("n_rows"), F.min_by("minimum", "row").alias("minimum"), F.min_by("below", "row").alias("below"))
     unclear = ambiguous.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("code")), lambda n: F.substring("code", F.lit(1), n))).alias("industry")).distinct().withColumn("unclear", F.lit(True))
-    least = thresholds.agg(F.min("minimum").alias("least"))
-    joined = subjects.join(meets, "industry", "left").join(unclear, "industry", "left").join(F.broadcast(least))  # one row
+    least = thresholds.agg(F.min("minimum")).first()[0]
+    joined = subjects.join(meets, "industry", "left").join(unclear, "industry", "left")
     workers = F.col("workers")
-    lowest = F.least("least", F.lit(default)) if default is not None else F.col("least")
+    lowest = F.lit(min((x for x in (least, default) if x is not None), default=None)).cast("int")
     vague = F.coalesce("unclear", F.lit(False)) | ((F.length("industry") == 1) & (F.coalesce("n_rows", F.lit(0)) > 1))
     minimum = F.when(F.col("n_rows").isNotNull(), F.col("minimum")).otherwise(F.lit(default))
     building = F.lit(None).cast("boolean") if construction else F.lit(False) if default is None else workers >= default

@@ -7,52 +7,63 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
 from ..operators.filters import ranked
 from ..operators.joins import loosely_equal
 from ..operators.ranking import fuse
+from ..sources.files import cut
 
 K1, B = 1.2, 0.75
 LIMIT, LEAST_SIMILARITY, PARTICLE_WEIGHT, MOST_PARTICLES = 200, 0.35, 0.5, 24
 
 
-def postings(docs: DataFrame, row: str, terms: Column) -> DataFrame:
-    """row, term, tf."""
-    return docs.select(F.col(row).alias("row"), F.explode(terms).alias("term")).groupBy("row", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def bm25_index(docs: DataFrame, row: str, terms: Column, wanted: Sequence[str] | None = None, prefixes: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Postings (row, term, tf, dl) and corpus totals (one row: n, avgdl). With ``wanted`` only postings of those terms are made, from the token arrays, before anything is exploded."""
+    """Postings (row, dl, term, tf) and corpus totals (one row: n, avgdl).
+
+    With ``wanted`` only postings of those terms are made (with ``prefixes`` of those up to two characters longer, too): each
+    text is read once and leaves its length and its matching tokens.
+    """
     sized = docs.select(F.col(row).alias("row"), terms.alias("terms")).withColumn("dl", F.size("terms"))
-    totals = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    kept = F.col("terms")
     if wanted is not None:
         listed = list(wanted)
         match = (lambda t: F.lit(False)) if not listed else lambda t: t.isin(*listed)
         if prefixes and listed:
             match = lambda t: t.isin(*listed) | F.exists(F.array(*map(F.lit, listed)), lambda w: F.startswith(t, w) & (F.length(t) - F.length(w) <= 2) & ~F.contains(t, F.lit(" ")))
-        kept = F.filter("terms", match)
-    opened = sized.select("row", "dl", F.explode(kept).alias("term")).groupBy("row", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return opened, totals
+        sized = cut(sized.select("row", "dl", F.filter("terms", match).alias("terms")))
+    totals = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    return sized.select("row", "dl", F.explode("terms").alias("term")).groupBy("row", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), totals
+
+
+def save_index(index: DataFrame, totals: DataFrame, path: str) -> None:
+    """Postings in files of term ranges, sorted by term, so that a query reads the row groups of its terms only."""
+    index.repartitionByRange("term", "row").sortWithinPartitions("term", "row").write.parquet(f"{path}/postings")
+    totals.coalesce(1).write.parquet(f"{path}/totals")
+
+
+def load_index(spark: SparkSession, path: str, wanted: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The saved postings of some terms, and the totals."""
+    return spark.read.parquet(f"{path}/postings").filter(F.col("term").isin(*wanted)), spark.read.parquet(f"{path}/totals")
 
 
 def bm25(index: DataFrame, totals: DataFrame, weighted: Sequence[tuple[str, float]], k1: float = K1, b: float = B, particles: bool = False) -> DataFrame:
     """row and score. Terms weigh as given, as often as they are given; with ``particles`` index terms of one or two more characters count half."""
     spark = index.sparkSession
-    query = spark.createDataFrame([(t, float(w)) for t, w in weighted], "q string, weight double")
+    n, average = totals.first()
+    query = spark.createDataFrame([(t, float(w)) for t, w in weighted], "q string, weight double")  # the words of one question
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     used = df.join(F.broadcast(query), F.col("term") == F.col("q")).select("term", "df", "weight")
     if particles:
-        longer = df.join(F.broadcast(query.filter("length(q) >= 2 AND NOT contains(q, ' ')")), F.startswith("term", F.col("q")) & (F.length("term") > F.length("q")) & (F.length("term") - F.length("q") <= 2) & ~F.contains("term", F.lit(" ")))
-        first = ranked(longer.select("q", "term", "df", "weight").withColumn("weight", F.col("weight") * PARTICLE_WEIGHT), [F.col("term")], MOST_PARTICLES, ["q"], "_n")
+        shorter = F.filter(F.array(*[F.substring("term", F.lit(1), F.length("term") - i) for i in (1, 2)]), lambda p: F.length(p) >= 2)
+        longer = df.filter(~F.contains("term", F.lit(" "))).withColumn("q", F.explode(shorter)).join(F.broadcast(query), "q")
+        first = ranked(longer.select("q", "term", "df", (F.col("weight") * PARTICLE_WEIGHT).alias("weight")), [F.col("term")], MOST_PARTICLES, ["q"], "_n")
         used = used.unionByName(first.select("term", "df", "weight"))
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    share = F.col("weight") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    joined = index.join(F.broadcast(used.groupBy("term", "df").agg(F.sum("weight").alias("weight"))), "term").join(F.broadcast(totals))
-    return joined.groupBy("row").agg(F.sum(share).alias("score"))
+    idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    share = F.col("weight") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(average)))
+    terms = used.groupBy("term", "df").agg(F.sum("weight").alias("weight"))
+    return index.join(F.broadcast(terms), "term").groupBy("row").agg(F.sum(share).alias("score"))  # a question's terms and 24 more for each
 
 
 def similarities(vectors: DataFrame, row: str, vector: str, query: Sequence[float]) -> DataFrame:
