@@ -15,6 +15,7 @@ component unless all of its component are null.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -199,7 +200,7 @@ def simhash_dedup(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame
 
 
 #: Near duplicates of a pipeline: fingerprints of pairs of words for each of SEEDS hashes, linked at NEAR bits.
-SEEDS, NEAR = 16, 3
+SEEDS, NEAR = 24, 3
 _ODD = np.random.default_rng(11).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -209,26 +210,101 @@ def _shingles(tokens: list[bytes], words: int) -> np.ndarray:
 
 
 def _many_fingerprints(h: np.ndarray, seeds: int) -> list[int]:
-    out = []
-    for odd in _ODD[:seeds]:
-        mixed = (h ^ (h >> np.uint64(31))) * odd
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(32)
-        counts = np.zeros(64, np.int64)
-        for k in range(0, len(mixed), 4096):
-            counts += np.unpackbits(mixed[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
-        out.append(int.from_bytes(np.packbits(counts * 2 > len(h), bitorder="little").tobytes(), "little", signed=True))
-    return out
+    """Majority bits of the values as each seed mixes them."""
+    mixed = (h ^ (h >> np.uint64(31))) * _ODD[:seeds, None]
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(32)
+    counts = np.zeros((seeds, 64), np.int64)
+    for k in range(0, len(h), 255):  # as many ones as a byte can count
+        bits = np.unpackbits(np.ascontiguousarray(mixed[:, k : k + 255]).view(np.uint8).reshape(seeds, -1, 8), axis=2, bitorder="little")
+        counts += bits.sum(axis=1, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(h), axis=1, bitorder="little").view(np.int64).ravel().tolist()
+
+
+#: Bytes of shingle sets in a group up to which one task compares its texts; larger groups first go through passes of HEADS texts each.
+MOST_SETS, HEADS = 1 << 20, 4
+
+
+def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """If the Jaccard similarity of two sorted sets is at least ``similarity``."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def _group_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b (b the first of its component) between similar texts of a group, from rows of group, key and shingles. A group is in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, keys, sets = None, [], []
+
+        def linked() -> pa.RecordBatch:
+            label = list(range(len(keys)))
+            for i in range(len(keys)):
+                for j in range(i):
+                    if label[i] != label[j] and _alike(sets[i], sets[j], similarity):
+                        low, high = sorted((label[i], label[j]))
+                        label = [low if x == high else x for x in label]
+            at = [i for i, x in enumerate(label) if x != i]
+            return pa.RecordBatch.from_arrays([pa.array([keys[i] for i in at], pa.int64()), pa.array([keys[label[i]] for i in at], pa.int64())], ["a", "b"])
+
+        for batch in slices(batches, 100):
+            for g, key, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != group:
+                    if len(keys) > 1:
+                        yield linked()
+                    group, keys, sets = g, [], []
+                keys.append(key)
+                sets.append(np.frombuffer(shingles, np.uint64))
+        if len(keys) > 1:
+            yield linked()
+
+    return rows.select("group", "key", "shingles").repartition("group").sortWithinPartitions("group", "key").mapInArrow(run, "a long, b long")
+
+
+def _pair_links(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b of similar pairs, from rows of group, key, shingles, head and leads (the head's shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 200):
+            columns = (batch.column(c).to_pylist() for c in ("group", "key", "shingles", "head", "leads"))
+            found = [(g, k, h) for g, k, a, h, b in zip(*columns, strict=True) if _alike(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), similarity)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], ["group", "a", "b"])
+
+    return pairs.mapInArrow(run, "group long, a long, b long")
+
+
+def _similar(members: DataFrame, shingled: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b between similar texts, from members (group, key, bytes) and shingled (key, shingles).
+
+    Groups of few bytes are compared as a whole, each in one task. In a larger one HEADS texts at a time are compared with all
+    that are left of it, in any number of tasks; they and those similar to one of them are then done with, until the rest is small.
+    """
+    out: list[DataFrame] = []
+    while True:
+        sizes = cut(members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("all")).filter("n > 1"))
+        small = members.join(sizes.filter(F.col("all") <= MOST_SETS).select("group"), "group")
+        out.append(cut(_group_links(small.join(shingled, "key"), similarity)))
+        large = sizes.filter(F.col("all") > MOST_SETS).select("group")
+        if large.isEmpty():
+            return reduce(DataFrame.union, out)
+        members = cut(members.join(large, "group"))
+        heads = members.groupBy("group", F.pmod(F.xxhash64("key"), F.lit(HEADS)).alias("share")).agg(F.min("key").alias("head"))
+        leads = cut(heads.select("group", "head").join(shingled.withColumnsRenamed({"key": "head", "shingles": "leads"}), "head"))
+        rest = members.join(shingled, "key").join(leads, "group").filter("key <> head")
+        found = cut(_pair_links(rest.select("group", "key", "shingles", "head", "leads"), similarity))
+        out.append(found.select("a", "b"))
+        done = found.select("group", F.col("a").alias("key")).union(leads.select("group", "head"))
+        members = cut(members.join(done, ["group", "key"], "left_anti"))
 
 
 def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds: int = SEEDS, budget: int = NEAR) -> DataFrame:
-    """``docs`` without near duplicates: each row that goes has ``similarity`` (Jaccard, of ``words``-word shingles) or more to one that stays.
+    """``docs`` with one row of each group of near duplicates: rows linked, directly or through others, by ``similarity`` (Jaccard, of ``words``-word shingles) or more.
 
-    Candidates are in groups of texts that share or nearly share a fingerprint, for each of several fingerprints. A text that is
-    the first one (least doc_id, null last) in all of its groups leads: it stays, and those of its groups' texts that are similar
-    to it go. So on with what is left, until all texts have led or are gone.
-    Texts of the same words are one text. Rows equal in doc_id and text leave one.
+    Candidates are texts whose fingerprints of pairs of words are equal or near for one of several hashes; their shingles decide.
+    The row of least doc_id stays (null last). Texts of the same words are one text. Rows equal in doc_id and text leave one.
     """
     names = [c for c in docs.columns if c != "_rid"]
     docs = docs.withColumn("_rid", F.xxhash64("doc_id", "text"))
@@ -245,13 +321,14 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds:
     rows = cut(text_rows(docs, "_rid").mapInArrow(sketch, "doc_id long, rid long, key long, codes array<long>"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "key")
     texts = cut(rows.groupBy("key").agg(F.min(F.struct(order.alias("order"), "codes")).alias("one")).select("key", "one.order", "one.codes"))
-    codes = cut(texts.select("key", "order", F.posexplode("codes").alias("seed", "code")).withColumn("seed", F.col("seed").cast("long")))  # hashed with the code: of the type that links have
+    codes = cut(texts.select("key", F.posexplode("codes").alias("seed", "code")).withColumn("seed", F.col("seed").cast("long")))  # hashed with the code: of the type that links have
     name = lambda c: F.xxhash64("seed", c)
     labels = components(links(codes.select("seed", "code").distinct(), budget).select(name("a").alias("a"), name("b").alias("b")))
-    grouped = cut(codes.withColumn("node", name("code")).join(labels.withColumnRenamed("code", "node"), "node", "left").select(F.coalesce("label", "node").alias("group"), "key", "order"))
-    several = cut(grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group"))
-    left = cut(grouped.join(several, "group"))
-    firsts = cut(left.select("order.rid", "key").distinct())
+    grouped = cut(codes.withColumn("node", name("code")).join(labels.withColumnRenamed("code", "node"), "node", "left").select(F.coalesce("label", "node").alias("group"), "key"))
+    sizes = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("key").alias("x"), F.bit_xor(F.xxhash64("key")).alias("y")).filter("n > 1")
+    several = cut(sizes.groupBy("n", "x", "y").agg(F.min("group").alias("group")).select("group"))  # one of those that hold the same texts
+    members = cut(grouped.join(several, "group"))
+    firsts = cut(members.select("key").distinct().join(texts, "key").select("order.rid", "key"))
     wanted = docs.sparkSession.sparkContext.broadcast(repeated_filter(firsts.select(F.col("rid").alias("h")), filter_log2(firsts.count()), least=1))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,28 +339,8 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds:
 
     shingled = text_rows(docs, "_rid").mapInArrow(sets, "rid long, shingles binary").join(firsts, "rid").select("key", "shingles")
     shingled = cut(shingled.dropDuplicates(["key"]))
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            same = []
-            for a, b in zip(batch.column("shingles").to_pylist(), batch.column("leads").to_pylist(), strict=True):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                same.append(both >= similarity * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(same)], ["key", "same"])
-
-    gone = None
-    while not left.isEmpty():
-        first = cut(left.groupBy("group").agg(F.min("order").alias("first")))
-        tagged = cut(left.join(first, "group"))
-        leaders = cut(tagged.groupBy("key").agg(F.bool_and(F.col("order") == F.col("first")).alias("leads")).filter("leads").select("key"))
-        pairs = tagged.filter("key <> first.key").select("key", F.col("first.key").alias("leader")).distinct()
-        pairs = cut(pairs.join(leaders.withColumnRenamed("key", "leader"), "leader"))
-        both = cut(pairs.join(shingled, "key").select("key", "leader", "shingles")).join(shingled.withColumnsRenamed({"key": "leader", "shingles": "leads"}), "leader")
-        new = cut(both.select("key", "shingles", "leads").mapInArrow(alike, "key long, same boolean").filter("same").select("key").distinct())
-        gone = new if gone is None else gone.union(new)
-        rest = cut(left.join(new.union(leaders), "key", "left_anti"))
-        left = cut(rest.join(rest.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group"), "group"))
-    kept = texts if gone is None else texts.join(gone, "key", "left_anti")
-    kept = cut(kept.select(F.col("order.rid").alias("_rid")))
+    weighed = cut(members.join(shingled.select("key", F.octet_length("shingles").cast("long").alias("bytes")), "key"))
+    alike = components(_similar(weighed, shingled, similarity))
+    firsts = texts.select("key", "order").join(alike, F.col("key") == F.col("code"), "left").groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("order").alias("order"))
+    kept = cut(firsts.select(F.col("order.rid").alias("_rid")))
     return docs.join(kept, "_rid", "left_semi").dropDuplicates(["_rid"]).select(*names)
