@@ -162,3 +162,69 @@ def m16_numeric_text(spark, d):
     i = F.col("event_id")
     v = F.when(i % 3 == 0, F.concat(F.lit("1,"), (i % 900 + 100).cast("string"))).when(i % 3 == 1, "-").otherwise(i.cast("string"))
     return table(spark, d, "events").select("event_id", T.numeric_text(v).alias("kept"))
+
+
+@query("""SELECT p_partkey FROM part WHERE CASE WHEN p_size % 4 = 0 THEN 'F41' WHEN p_size % 4 = 1 THEN 'construction' WHEN p_size % 4 = 2 THEN 'C25' ELSE 'other' END IN ('F41', 'construction')""")
+def f17_threshold_rows(spark, d):
+    """Rows of a threshold table that an industry of construction sees."""
+    kind = F.when(F.col("p_size") % 4 == 0, "F41").when(F.col("p_size") % 4 == 1, "construction").when(F.col("p_size") % 4 == 2, "C25").otherwise("other")
+    return filters.threshold_rows(table(spark, d, "part").select("p_partkey", kind.alias("industry")), "F41").select("p_partkey")
+
+
+@query("""SELECT doc_id FROM documents WHERE contains(text, 'sk-') OR contains(text, 'AKIA') OR contains(text, 'password')""")
+def f22_secret_scan(spark, d):
+    return table(spark, d, "documents").filter(filters.holds_secret(F.col("text"), ["sk-", "AKIA", "password"])).select("doc_id")
+
+
+@query(r"""SELECT doc_id, sha256(regexp_replace(text, '(?i)(license|reserved)', '<mark>\1</mark>', 'g')) AS digest FROM documents WHERE contains(lower(text), 'license')""")
+def t12_highlight(spark, d):
+    docs = table(spark, d, "documents").filter(T.contains_all(F.col("text"), ["license"]))
+    return docs.select("doc_id", F.sha2(T.highlight(F.col("text"), ["license", "reserved"]), 256).alias("digest"))
+
+
+@query(r"""SELECT page_id, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '[^A-Za-z0-9._-]+', '_', 'g') AS file, split_part(url, '?', 1) AS base FROM pages""")
+def t20_file_names(spark, d):
+    """File names that any file system takes, and addresses without their query."""
+    return table(spark, d, "pages").select("page_id", F.regexp_replace(F.regexp_extract("url", "([^/]*)$", 1), "[^A-Za-z0-9._-]+", "_").alias("file"), F.split_part("url", F.lit("?"), F.lit(1)).alias("base"))
+
+
+@query("""SELECT p_partkey, 'https://example.org/search?q=' || url_encode(p_name) AS address FROM part""")
+def t21_addresses(spark, d):
+    encoded = F.replace(F.url_encode("p_name"), F.lit("+"), F.lit("%20"))
+    return table(spark, d, "part").select("p_partkey", F.concat(F.lit("https://example.org/search?q="), encoded).alias("address"))
+
+
+@query("""SELECT c_custkey, substring(sha256('salt' || c_name), 1, 16) AS key FROM customer""")
+def t25_client_key(spark, d):
+    return table(spark, d, "customer").select("c_custkey", T.client_key("salt", F.col("c_name")).alias("key"))
+
+
+@query(r"""SELECT page_id, CAST(len(regexp_extract_all(html, 'href="/([^"]+)"')) AS BIGINT) AS n, sha256(regexp_replace(html, 'href="/([^"]+)"', 'href="https://example.org/\1"', 'g')) AS digest FROM pages""")
+def t31_absolute_links(spark, d):
+    """Relative links made absolute, and how many they were."""
+    changed = F.regexp_replace("html", 'href="/([^"]+)"', 'href="https://example.org/$1"')
+    return table(spark, d, "pages").select("page_id", F.regexp_count("html", F.lit('href="/([^"]+)"')).cast("bigint").alias("n"), F.sha2(changed, 256).alias("digest"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, round_even(l_extendedprice / 8, 1) AS even, floor(l_extendedprice / 8 * 10 + 0.5) / 10 AS up, CAST(greatest(1, ceil(l_quantity / 7)) AS BIGINT) AS units FROM lineitem WHERE l_orderkey < 500""")
+def m5_roundings(spark, d):
+    """Halves to even, halves up, and whole units of cost."""
+    from ..functions.vectors import half_up
+
+    eighth = F.col("l_extendedprice") / 8
+    rows = table(spark, d, "lineitem").filter("l_orderkey < 500")
+    return rows.select("l_orderkey", "l_linenumber", F.bround(eighth, 1).alias("even"), half_up(eighth).alias("up"), F.greatest(F.lit(1), F.ceil(F.col("l_quantity") / 7)).alias("units"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) < 1 THEN 'empty' WHEN NOT regexp_matches(source, '^src[0-9]+$') THEN 'source' WHEN lang NOT IN ('en', 'de') THEN 'lang' END AS reason FROM documents""")
+def l2_first_reason(spark, d):
+    """Why intake would refuse a row: the first check that it fails."""
+    checks = {"empty": F.length("text") >= 1, "source": F.col("source").rlike("^src[0-9]+$"), "lang": F.col("lang").isin("en", "de")}
+    return table(spark, d, "documents").select("doc_id", validate.first_reason(checks).alias("reason"))
+
+
+@query("""SELECT p_brand AS category, count(*) AS n, count(*) FILTER (WHERE k <> 1) AS unclear FROM (SELECT p_brand, p_name, count(DISTINCT p_type) AS k FROM part GROUP BY 1, 2) GROUP BY 1""")
+def q6_exactly_one(spark, d):
+    """Names of a brand, and those that don't have exactly one type."""
+    kinds = table(spark, d, "part").groupBy(F.col("p_brand").alias("category"), "p_name").agg(F.countDistinct("p_type").alias("k"))
+    return kinds.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("k") != 1).alias("unclear"))

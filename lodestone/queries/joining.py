@@ -125,3 +125,99 @@ def u1_union_priority(spark, d):
 @query("""SELECT l_partkey AS id FROM lineitem WHERE l_quantity > 49 UNION SELECT p_partkey FROM part WHERE p_size = 50""")
 def u2_set_union(spark, d):
     return table(spark, d, "lineitem").filter("l_quantity > 49").select(F.col("l_partkey").alias("id")).union(table(spark, d, "part").filter("p_size = 50").select("p_partkey")).distinct()
+
+
+@query("""WITH e AS (SELECT l_suppkey AS source, l_partkey AS target, min(l_orderkey) AS first FROM lineitem GROUP BY 1, 2)
+          SELECT source, target, first, coalesce(o_orderpriority, '') AS title FROM e LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') o ON o_orderkey = first""")
+def j10_first_evidence(spark, d):
+    """Edges with the title of their first piece of evidence, empty where it isn't known."""
+    edges = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target")).agg(F.min("l_orderkey").alias("first"))
+    known = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("first"), F.col("o_orderpriority").alias("title"))
+    return joins.with_default(edges, known, "first").select("source", "target", "first", "title")
+
+
+@query("""SELECT label, n, rank FROM (SELECT p_name AS label, count(*) AS n, row_number() OVER (ORDER BY length(p_name) DESC, p_name) AS rank FROM part WHERE contains('a red widget and a blue bolt, small ring', p_name) AND length(p_name) >= 4 GROUP BY p_name) WHERE rank <= 6""")
+def j13_labels_in_question(spark, d):
+    """Labels that a question holds, the longest ones first."""
+    held = table(spark, d, "part").filter(F.contains(F.lit("a red widget and a blue bolt, small ring"), F.col("p_name")) & (F.length("p_name") >= 4))
+    counted = held.groupBy(F.col("p_name").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return filters.ranked(counted, [F.desc(F.length("label")), F.col("label")], 6)
+
+
+@query("""SELECT o_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ' ' ORDER BY l_linenumber, l_partkey) AS items FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY o_orderkey""")
+def j17_item_text(spark, d):
+    """The items of a programme as one text, in order."""
+    orders = table(spark, d, "orders").filter("o_orderstatus = 'F'").select("o_orderkey")
+    nested = joins.with_children(orders, table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", ["l_linenumber", "l_partkey"])
+    return nested.filter(F.size("children") > 0).select("o_orderkey", F.array_join(F.col("children.l_partkey").cast("array<string>"), " ").alias("items"))
+
+
+@query("""SELECT c_custkey, answer, points FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderpriority) AS answer FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a ON a.o_custkey = c_custkey
+          LEFT JOIN (SELECT o_custkey, count(*) AS points FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) p ON p.o_custkey = c_custkey WHERE answer IS NOT NULL OR points IS NOT NULL""")
+def j19_any_answer(spark, d):
+    """Tasks with what two reviewers say, if any of them says anything."""
+    orders = table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    answers = orders.filter("o_orderstatus = 'F'").groupBy("c_custkey").agg(F.min("o_orderpriority").alias("answer"))
+    points = orders.filter("o_orderstatus = 'O'").groupBy("c_custkey").agg(F.count(F.lit(1)).alias("points"))
+    joined = table(spark, d, "customer").select("c_custkey").join(answers, "c_custkey", "left").join(points, "c_custkey", "left")
+    return joined.filter("answer IS NOT NULL OR points IS NOT NULL")
+
+
+BOXES = """b AS (SELECT p_partkey // 20 AS image, p_partkey % 20 AS box_id, CAST(p_partkey * 37 % 100 AS DOUBLE) AS x, CAST(p_partkey * 53 % 100 AS DOUBLE) AS y, CAST(p_size AS DOUBLE) AS s FROM part),
+           q AS (SELECT p_partkey // 20 AS image, p_partkey % 20 AS point_id, CAST(p_partkey * 11 % 120 AS DOUBLE) AS px, CAST(p_partkey * 29 % 120 AS DOUBLE) AS py FROM part)"""
+
+
+def _boxes(spark, d):
+    k, s = F.col("p_partkey"), F.col("p_size").cast("double")
+    x, y = (k * 37 % 100).cast("double"), (k * 53 % 100).cast("double")
+    parts = table(spark, d, "part").withColumn("image", F.expr("p_partkey div 20"))
+    boxes = parts.select("image", (k % 20).alias("box_id"), F.array(x, y, x + s, y + s).alias("box"))
+    return boxes, parts.select("image", (k % 20).alias("point_id"), F.array((k * 11 % 120).cast("double"), (k * 29 % 120).cast("double")).alias("point"))
+
+
+@query(f"""WITH {BOXES}, h AS (SELECT q.image, point_id, box_id, row_number() OVER (PARTITION BY q.image, point_id ORDER BY s * s, box_id) AS n FROM q JOIN b ON b.image = q.image AND px BETWEEN x AND x + s AND py BETWEEN y AND y + s)
+          SELECT q.image, q.point_id, h.box_id FROM q LEFT JOIN h ON h.image = q.image AND h.point_id = q.point_id AND n = 1""")
+def j21_smallest_box(spark, d):
+    """The smallest box of an image that holds a point."""
+    boxes, points = _boxes(spark, d)
+    return joins.smallest_box(points, boxes, "image")
+
+
+@query(f"""WITH {BOXES}, c AS (SELECT q.image, point_id, box_id, s, sqrt((px - x - s / 2) * (px - x - s / 2) + (py - y - s / 2) * (py - y - s / 2)) AS away, px BETWEEN x - 0.2 * s AND x + 1.2 * s AND py BETWEEN y - 0.2 * s AND y + 1.2 * s AS inside FROM q JOIN b ON b.image = q.image)
+          SELECT image, point_id, box_id FROM (SELECT *, row_number() OVER (PARTITION BY image, point_id ORDER BY away, box_id) AS n FROM c WHERE inside OR away <= 1.5 * sqrt(2 * s * s)) WHERE n = 1""")
+def j20_attachment_box(spark, d):
+    """The box with the nearest centre among those that hold a point or are near it."""
+    boxes, points = _boxes(spark, d)
+    return joins.attachment_box(points, boxes, "image")
+
+
+@query(f"""WITH {BOXES} SELECT image, box_id FROM b WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.image = b.image AND px BETWEEN x AND x + s AND py BETWEEN y AND y + s)""")
+def j23_unmatched(spark, d):
+    """Boxes that hold no point."""
+    from pyspark.sql.functions import col
+
+    boxes, points = _boxes(spark, d)
+    held = boxes.join(points, "image").filter(V.in_box(col("point"), col("box"))).select("image", "box_id").distinct()
+    return joins.not_done(boxes, held, ["image", "box_id"]).select("image", "box_id")
+
+
+@query("""WITH r AS (SELECT p_partkey AS report, unnest([p_brand, p_type]) AS node FROM part) SELECT report, count(*) AS nodes FROM r WHERE node IN ('Brand#12', 'LARGE') GROUP BY report""")
+def j26_reports_of_nodes(spark, d):
+    """Reports by the chosen nodes that they are about."""
+    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("report"), F.explode(F.array("p_brand", "p_type")).alias("node"))
+    chosen = spark.createDataFrame([("Brand#12",), ("LARGE",)], "node string")
+    return nodes.join(chosen, "node", "left_semi").groupBy("report").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@query("""SELECT count(*) AS n, count(mentions) AS with_mentions, count(stage) AS with_stage FROM (SELECT p_name AS name, 1 AS mentions, NULL AS stage FROM part UNION ALL BY NAME SELECT s_name AS name, 'stage2' AS stage FROM supplier)""")
+def u5_concatenated_sources(spark, d):
+    """Sources of different columns one after the other."""
+    parts = table(spark, d, "part").select(F.col("p_name").alias("name"), F.lit(1).alias("mentions"))
+    both = parts.unionByName(table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.lit("stage2").alias("stage")), allowMissingColumns=True)
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count("mentions").alias("with_mentions"), F.count("stage").alias("with_stage"))
+
+
+@query("""SELECT p_brand, string_agg(DISTINCT w, ' ' ORDER BY w) AS words FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY p_brand""")
+def u6_merged_sets(spark, d):
+    words = table(spark, d, "part").select("p_brand", F.explode(F.split("p_name", " ")).alias("w"))
+    return words.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("w")), " ").alias("words"))

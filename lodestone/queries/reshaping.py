@@ -88,3 +88,24 @@ def m21_cell_types(spark, d):
     i = F.col("event_id")
     v = F.when(i % 5 == 0, "").when(i % 5 == 1, "True").when(i % 5 == 2, F.concat(i.cast("string"), F.lit(".5"))).when(i % 5 == 3, i.cast("string")).otherwise(F.col("event_type"))
     return table(spark, d, "events").select("event_id", v.alias("v")).select("event_id", typed_cell(F.col("v"))["kind"].alias("kind"))
+
+
+@query("""SELECT user_id, string_agg(DISTINCT event_type, ';' ORDER BY event_type) AS kinds, count(*) FILTER (WHERE event_type = 'click') AS clicks FROM events GROUP BY user_id""")
+def x5_nested_to_wide(spark, d):
+    """Lists of a nested batch as columns, joined by semicolons."""
+    events = table(spark, d, "events").groupBy("user_id").agg(F.collect_list("event_type").alias("e"))
+    return events.select("user_id", F.array_join(F.array_sort(F.array_distinct("e")), ";").alias("kinds"), F.size(F.filter("e", lambda x: x == "click")).cast("bigint").alias("clicks"))
+
+
+@query(r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1)) AS href FROM pages)
+          SELECT href, count(*) AS editions, min(page_id) AS first_page, max(page_id) AS latest_page FROM l GROUP BY href""")
+def x10_link_index(spark, d):
+    """One row per linked file: how many pages have it, the first and the latest one."""
+    rows = table(spark, d, "pages").select("page_id", F.explode(reshape.links(F.col("html"))).alias("link")).select("page_id", "link.href")
+    return rows.groupBy("href").agg(F.count(F.lit(1)).alias("editions"), F.min("page_id").alias("first_page"), F.max("page_id").alias("latest_page"))
+
+
+@query(r"""SELECT page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, hex(encode(substring(html, 1, 4))) AS magic, CAST(regexp_extract(html, 'track\(([0-9]+)\)', 1) AS BIGINT) AS number FROM pages""")
+def x12_page_parse(spark, d):
+    """Language, first bytes and number of a page."""
+    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"), F.hex(F.encode(F.substring("html", 1, 4), "UTF-8")).alias("magic"), F.regexp_extract("html", r"track\(([0-9]+)\)", 1).cast("bigint").alias("number"))

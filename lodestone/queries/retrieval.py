@@ -170,3 +170,29 @@ def j14_ungrounded_quotes(spark, d):
     """Quotes (here a letter) that the document they name doesn't hold, white space and forms aside."""
     quotes = table(spark, d, "benchmark").select((F.col("item_id") * 7).alias("doc_id"), "item_id", F.substring("text", 1, 1).alias("quote"))
     return validate.ungrounded(quotes, table(spark, d, "documents").select("doc_id", "text"), "doc_id", "quote", "text").select("item_id")
+
+
+@query("""WITH n AS (SELECT p_partkey AS id, p_name, p_brand FROM part WHERE p_name IN ('red widget', 'blue bolt')), e AS (SELECT DISTINCT p_name AS s, p_type AS rel, p_brand AS t FROM part WHERE p_name IN ('red widget', 'blue bolt'))
+          SELECT s, rel, t, rank FROM (SELECT *, row_number() OVER (ORDER BY s, rel, t) AS rank FROM e) WHERE rank <= 12""")
+def r7_related_concepts(spark, d):
+    """The first distinct relations of the concepts that a question names."""
+    named = table(spark, d, "part").filter(F.col("p_name").isin("red widget", "blue bolt"))
+    relations = named.select(F.col("p_name").alias("s"), F.col("p_type").alias("rel"), F.col("p_brand").alias("t")).distinct()
+    return filters.ranked(relations, [F.col("s"), F.col("rel"), F.col("t")], 12)
+
+
+@query("""WITH w AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS position, count(*) OVER (PARTITION BY conv_id) AS siblings FROM conversations)
+          SELECT w.conv_id, w.turn, position, siblings, coalesce(relations, 0) AS relations FROM w LEFT JOIN (SELECT doc_id, count(*) AS relations FROM labels GROUP BY 1) r ON r.doc_id = conv_id WHERE role = 'assistant'""")
+def r9_chunk_detail(spark, d):
+    """Chunks with their place among their siblings and the relations that cite their document."""
+    turns = table(spark, d, "conversations")
+    placed = ranking.siblings(turns, "conv_id", ["turn", "role", "text"], "turn").filter("role = 'assistant'")
+    citing = table(spark, d, "labels").groupBy(F.col("doc_id").alias("conv_id")).agg(F.count(F.lit(1)).alias("relations"))
+    return placed.join(citing, "conv_id", "left").select("conv_id", "turn", "position", "siblings", F.coalesce("relations", F.lit(0)).alias("relations"))
+
+
+@query("""SELECT o_orderkey, n, first_item FROM (SELECT o_orderkey, count(l_orderkey) AS n, min(l_linenumber) AS first_item FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey = 7 GROUP BY 1)""")
+def r19_case_detail(spark, d):
+    """One case with its child rows: the key reaches the scans of both tables."""
+    items = table(spark, d, "lineitem").filter("l_orderkey = 7").agg(F.count(F.lit(1)).alias("n"), F.min("l_linenumber").alias("first_item"), F.lit(7).cast("bigint").alias("o_orderkey"))
+    return table(spark, d, "orders").filter("o_orderkey = 7").select("o_orderkey").join(items, "o_orderkey")

@@ -111,3 +111,41 @@ def e13_given_list(spark, d):
     ids = spark.createDataFrame([(i, k) for i, k in enumerate((7, 3, 12, -1))], "place int, p_partkey long")
     judged = _programmes(spark, d).join(F.broadcast(ids), "p_partkey")  # a list that someone typed
     return judged.select("place", "p_partkey", rules.eligibility(ASKED)[0].alias("verdict"))
+
+
+@query(f"""WITH j AS (SELECT p_partkey, {VERDICT} AS verdict, CASE p_type WHEN 'PROMO' THEN '융자' WHEN 'SMALL' THEN '보험료·세금 혜택' WHEN 'LARGE' THEN '무료 서비스' ELSE '보조금·비용지원' END AS way,
+                  CAST(contains(p_name, 'red') OR contains(p_name, 'blue') AS BIGINT) AS score FROM part WHERE p_size % 7 <> 0)
+          SELECT p_partkey, verdict, score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, list_position(['해당', '조건부', '확인필요', '개인대상', '지역사업', '타지역', '제외'], verdict), p_partkey) AS rank
+          FROM j WHERE verdict NOT IN ('제외', '타지역') AND way IN ('융자', '무료 서비스')) WHERE rank <= 40""")
+def r17_programme_finder(spark, d):
+    """Scope, verdict, match score, picked ways, then matches first and verdicts in their order."""
+    from ..functions import text as T
+    from ..operators.filters import ranked
+
+    form = F.when(F.col("p_type") == "PROMO", "융자").when(F.col("p_type") == "SMALL", "보험료감면").when(F.col("p_type") == "LARGE", "무상서비스").otherwise("비용지원")
+    named = table(spark, d, "part").select("p_partkey", T.search_key(F.col("p_name")).alias("key"))
+    score = T.synonym_score(F.col("key"), "red", [["red", "blue"]]).cast("bigint")
+    programmes = _programmes(spark, d).filter(rules.in_scope(ASKED.who, F.col("unit"))).join(named, "p_partkey")
+    judged = programmes.select("p_partkey", rules.eligibility(ASKED)[0].alias("verdict"), rules.way_of(form).alias("way"), score.alias("score"))
+    picked = judged.filter(~F.col("verdict").isin("제외", "타지역") & F.col("way").isin("융자", "무료 서비스"))
+    place = F.array_position(F.array(*map(F.lit, rules.VERDICTS)), F.col("verdict"))
+    return ranked(picked, [F.desc("score"), place, F.col("p_partkey")], 40).select("p_partkey", "verdict", "score", "rank")
+
+
+@query("""SELECT 0 AS row, unnest(['C25', 'C29']) AS industry, 50 AS minimum, 'table' AS kind UNION ALL SELECT 1, unnest(['K64', 'C26']), 300, 'table' UNION ALL SELECT -1, 'J58', NULL, 'unclear' UNION ALL SELECT -1, '', 100, 'default'""")
+def e9_threshold_rows(spark, d):
+    """A nested threshold table as long rows, its unclear codes and its default included."""
+    nested = spark.createDataFrame([([(["C25", "C29"], 50), (["K64", "C26"], 300)], ["J58"], 100)], "rows array<struct<industries array<string>, minimum int>>, unclear array<string>, otherwise int")
+    opened = nested.select(F.posexplode("rows").alias("row", "r")).select("row", F.explode("r.industries").alias("industry"), "r.minimum", F.lit("table").alias("kind"))
+    unclear = nested.select(F.lit(-1).alias("row"), F.explode("unclear").alias("industry"), F.lit(None).cast("int").alias("minimum"), F.lit("unclear").alias("kind"))
+    return opened.unionAll(unclear).unionAll(nested.select(F.lit(-1), F.lit(""), "otherwise", F.lit("default")))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_type IN ('LARGE', 'SMALL') AND contains(p_name, 'red') THEN p_type ELSE '' END AS form,
+          CASE WHEN p_type IN ('LARGE', 'SMALL') AND contains(p_name, 'red') THEN '' ELSE 'form' END || CASE WHEN p_size <= 25 THEN '' ELSE ' size' END AS dropped FROM part""")
+def e11_proposal_check(spark, d):
+    """Proposed values count if they are in their list and their evidence is in the text; the others are named."""
+    good_form = F.col("p_type").isin("LARGE", "SMALL") & F.contains("p_name", F.lit("red"))
+    good_size = F.col("p_size") <= 25
+    dropped = F.concat(F.when(good_form, "").otherwise("form"), F.when(good_size, "").otherwise(" size"))
+    return table(spark, d, "part").select("p_partkey", F.when(good_form, F.col("p_type")).otherwise("").alias("form"), dropped.alias("dropped"))

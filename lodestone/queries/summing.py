@@ -121,3 +121,27 @@ def a17_next_questions(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
     missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in ("quality", "toxic")]))
     return rows.select("n_chars", F.explode(missing).alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("open_items"), F.min("n_chars").alias("first_rank"))
+
+
+@query("""SELECT stage, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS stage FROM part) GROUP BY stage""")
+def a12_set_histogram(spark, d):
+    """Nodes by each member of a set-valued column."""
+    return table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("stage")).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT lang, count(*) AS n, count(*) FILTER (WHERE n_chars > 200) AS substantive, CAST(sum(n_chars) AS BIGINT) AS chars, round(avg(n_chars) FILTER (WHERE n_chars > 200), 3) AS mean FROM documents GROUP BY lang""")
+def a21_extraction_statistics(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_chars") > 200).alias("substantive"), F.sum("n_chars").alias("chars"), F.round(F.avg(F.when(F.col("n_chars") > 200, F.col("n_chars"))), 3).alias("mean"))
+
+
+@query("""SELECT n_name, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name""")
+def a27_category_counts(spark, d):
+    counts = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "nation").join(counts, "n_nationkey", "left").select("n_name", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("""SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'parts', count(*) FROM part UNION ALL SELECT 'pages', count(*) FROM pages""")
+def a29_row_counts(spark, d):
+    counts = [table(spark, d, t).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n, t in (("orders", "orders"), ("parts", "part"), ("pages", "pages"))]
+    return counts[0].unionAll(counts[1]).unionAll(counts[2])
