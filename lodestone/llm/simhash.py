@@ -223,7 +223,7 @@ def _many_fingerprints(h: np.ndarray, seeds: int) -> list[int]:
 
 
 #: Bytes of shingle sets in a group up to which one task compares its texts; larger groups first go through passes of HEADS texts each.
-MOST_SETS, HEADS = 1 << 20, 4
+MOST_SETS, HEADS = 1 << 20, 16
 
 
 def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -265,15 +265,15 @@ def _group_links(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def _pair_links(pairs: DataFrame, similarity: float) -> DataFrame:
-    """Links a, b of similar pairs, from rows of group, key, shingles, head and leads (the head's shingles)."""
+    """Links a, b of similar pairs, from rows of key, shingles, head and leads (the head's shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 200):
-            columns = (batch.column(c).to_pylist() for c in ("group", "key", "shingles", "head", "leads"))
-            found = [(g, k, h) for g, k, a, h, b in zip(*columns, strict=True) if _alike(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), similarity)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], ["group", "a", "b"])
+            columns = (batch.column(c).to_pylist() for c in ("key", "shingles", "head", "leads"))
+            found = [(k, h) for k, a, h, b in zip(*columns, strict=True) if _alike(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), similarity)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], ["a", "b"])
 
-    return pairs.mapInArrow(run, "group long, a long, b long")
+    return pairs.select("key", "shingles", "head", "leads").mapInArrow(run, "a long, b long")
 
 
 def _similar(members: DataFrame, shingled: DataFrame, similarity: float) -> DataFrame:
@@ -291,13 +291,14 @@ def _similar(members: DataFrame, shingled: DataFrame, similarity: float) -> Data
         if large.isEmpty():
             return reduce(DataFrame.union, out)
         members = cut(members.join(large, "group"))
-        heads = members.groupBy("group", F.pmod(F.xxhash64("key"), F.lit(HEADS)).alias("share")).agg(F.min("key").alias("head"))
-        leads = cut(heads.select("group", "head").join(shingled.withColumnsRenamed({"key": "head", "shingles": "leads"}), "head"))
-        rest = members.join(shingled, "key").join(leads, "group").filter("key <> head")
-        found = cut(_pair_links(rest.select("group", "key", "shingles", "head", "leads"), similarity))
-        out.append(found.select("a", "b"))
-        done = found.select("group", F.col("a").alias("key")).union(leads.select("group", "head"))
-        members = cut(members.join(done, ["group", "key"], "left_anti"))
+        heads = members.groupBy("group", F.pmod(F.xxhash64("key"), F.lit(HEADS)).alias("share")).agg(F.min("key").alias("head")).select("group", "head")
+        pairs = cut(members.select("group", "key").join(heads, "group").filter("key <> head"))
+        once = pairs.select("key", "head").distinct()  # groups of different hashes often hold the same texts
+        leads = shingled.withColumnsRenamed({"key": "head", "shingles": "leads"})
+        found = cut(_pair_links(once.join(shingled, "key").join(leads, "head"), similarity))
+        out.append(found)
+        alike = pairs.join(found.withColumnsRenamed({"a": "key", "b": "head"}), ["key", "head"]).select("group", "key")
+        members = cut(members.join(alike.union(heads), ["group", "key"], "left_anti"))
 
 
 def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds: int = SEEDS, budget: int = NEAR) -> DataFrame:

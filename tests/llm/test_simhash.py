@@ -96,8 +96,10 @@ def jaccard(a, b, k=5):
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
-def test_near_dedup(spark):
+@pytest.mark.parametrize("most", [S.MOST_SETS, 3_000])
+def test_near_dedup(spark, monkeypatch, most):
     """One of each group of near copies stays, nothing else goes, and each that goes is alike to one that stays."""
+    monkeypatch.setattr(S, "MOST_SETS", most)
     rows = []
     for i in range(40):
         base = words(150, 500 + i // 4).split()
