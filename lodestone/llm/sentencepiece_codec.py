@@ -16,6 +16,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 from collections.abc import Iterator
@@ -216,17 +217,30 @@ class Codec:
         return text.replace(BLANK, " ")[1:]
 
 
+_held: dict[str, Codec] = {}
+
+
+def held_codec(name: str, pieces) -> Codec:
+    """The codec of a vocabulary, built once for all tasks of a Python worker, with the words that it has looked up."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = Codec(*pieces.value)
+    return _held[name]
+
+
 def load(docs: DataFrame, model: str):
-    """The vocabulary (as large as it is, whatever the corpus) as a broadcast variable."""
-    return docs.sparkSession.sparkContext.broadcast(load_pieces(model))
+    """The vocabulary's digest, and the vocabulary (as large as it is, whatever the corpus) as a broadcast variable."""
+    with open(model, "rb") as file:
+        name = hashlib.sha256(file.read()).hexdigest()
+    return name, docs.sparkSession.sparkContext.broadcast(load_pieces(model))
 
 
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id and ids (array of int)."""
-    pieces = load(docs, model)
+    name, pieces = load(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*pieces.value)
+        codec = held_codec(name, pieces)
         for batch in slices(batches):
             coded = [codec.encode(t) for t in batch.column(1).to_pylist()]
             flat = np.frombuffer(b"".join(coded), "<i4")
@@ -238,10 +252,10 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 def decode(coded: DataFrame, model: str = MODEL) -> DataFrame:
     """``coded`` (doc_id, ids; null: none) with the text that the ids stand for."""
-    pieces = load(coded, model)
+    name, pieces = load(coded, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*pieces.value)
+        codec = held_codec(name, pieces)
         for batch in slices(batches):
             texts = [codec.decode(np.asarray(row.values.to_numpy()) if row.is_valid else np.zeros(0, np.int32)) for row in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
