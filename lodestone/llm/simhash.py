@@ -14,17 +14,19 @@ component unless all of its component are null.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, filter_log2, repeated_filter, slices, text_rows
+from .common import Bloom, cut, filter_log2, repeated_filter, slices, text_rows
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Fingerprints in a bucket; larger ones are split.
@@ -226,6 +228,10 @@ def _many_fingerprints(h: np.ndarray, seeds: int) -> list[int]:
 MOST_SETS, HEADS = 1 << 20, 16
 
 
+#: Frequent shingles are those of OFTEN rows or more in one row of SAMPLE.
+SAMPLE, OFTEN = 8, 8
+
+
 def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     """If the Jaccard similarity of two sorted sets is at least ``similarity``."""
     if min(len(a), len(b)) < similarity * max(len(a), len(b)):
@@ -301,10 +307,80 @@ def _similar(members: DataFrame, shingled: DataFrame, similarity: float) -> Data
         members = cut(members.join(alike.union(heads), ["group", "key"], "left_anti"))
 
 
+def _frequent(docs: DataFrame, words: int) -> Bloom:
+    """A filter of shingles that many texts hold, from one row in SAMPLE. It sets an order of shingles only: any filter gives the same links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 100):
+            h = [_shingles(t.encode().translate(LOWER).split(), words) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64))], ["h"])
+
+    some = text_rows(docs.filter(F.pmod("_rid", F.lit(SAMPLE)) == 0)).mapInArrow(run, "h long")
+    often = cut(some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN).select("h"))
+    return repeated_filter(often, filter_log2(often.count()), least=1)
+
+
+def _prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """shingle, key, at and size (of its set) of the first shingles of each text that some other row may have among its first ones.
+
+    Shingles are ordered by ``_frequent``, then by hash. Two sets of ``similarity`` s share s * n shingles at least, n being the
+    size of either, so that the first one they share is among the first n - s * n + 1 of both.
+    """
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, words))
+
+    def emit(seen: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, 100):
+                rows = []
+                for text in batch.column("text").to_pylist():
+                    tokens = text.encode().translate(LOWER).split()
+                    h = _shingles(tokens, words)
+                    often = frequent.value.has(h)
+                    first = np.concatenate([h[~often], h[often]])[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+                    at = np.flatnonzero(seen.value.has(first)) if seen else np.arange(len(first))
+                    key = np.uint64(xxhash.xxh64_intdigest(b" ".join(tokens), 1)).astype(np.int64)
+                    rows.append((first[at].view(np.int64), np.full(len(at), key), at.astype(np.int32), np.full(len(at), len(h), np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], ["shingle", "key", "at", "size"])
+
+        return run
+
+    of, schema = text_rows(docs), "shingle long, key long, at int, size int"
+    about = of.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    again = repeated_filter(of.mapInArrow(emit(None), schema).select(F.col("shingle").alias("h")), filter_log2(about // 30))
+    return of.mapInArrow(emit(docs.sparkSession.sparkContext.broadcast(again)), schema).distinct()
+
+
+def _missing_pairs(firsts: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """key, head of all texts that may have ``similarity`` and aren't in one component of ``labels`` (code, label), from their first shingles."""
+    named = cut(firsts.join(labels.withColumnRenamed("code", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")))
+    mixed = named.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("shingle")
+    named = cut(named.join(mixed, "shingle"))
+    other = named.select("shingle", F.col("key").alias("head"), F.col("label").alias("l"), F.col("at").alias("a"), F.col("size").alias("s"))
+    pairs = named.join(other, "shingle").filter("key > head AND label <> l")
+    # of the first shingle that two texts share, what follows in either is the rest of what they can share
+    pairs = pairs.filter(F.least(F.col("size") - F.col("at"), F.col("s") - F.col("a")) >= similarity / (1 + similarity) * (F.col("size") + F.col("s")) - 1e-9)
+    return cut(pairs.select("key", "head").distinct())
+
+
+def _sets(docs: DataFrame, firsts: DataFrame, words: int) -> DataFrame:
+    """key and shingles of the rows that ``firsts`` (rid, key) names."""
+    wanted = docs.sparkSession.sparkContext.broadcast(repeated_filter(firsts.select(F.col("rid").alias("h")), filter_log2(firsts.count()), least=1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 100):
+            on = np.flatnonzero(wanted.value.has(batch.column("_rid").to_numpy().view(np.uint64)))
+            shingled = [_shingles(t.encode().translate(LOWER).split(), words).tobytes() for t in batch.column("text").take(pa.array(on)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_rid").take(pa.array(on)), pa.array(shingled, pa.binary())], ["rid", "shingles"])
+
+    shingled = text_rows(docs, "_rid").mapInArrow(run, "rid long, shingles binary").join(firsts, "rid").select("key", "shingles")
+    return cut(shingled.dropDuplicates(["key"]))
+
+
 def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds: int = SEEDS, budget: int = NEAR) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: rows linked, directly or through others, by ``similarity`` (Jaccard, of ``words``-word shingles) or more.
 
-    Candidates are texts whose fingerprints of pairs of words are equal or near for one of several hashes; their shingles decide.
+    Texts whose fingerprints of pairs of words are equal or near for one of several hashes are compared first; then all that share
+    one of their first shingles and aren't linked yet, so that no pair of ``similarity`` is left out. Their shingles decide.
     The row of least doc_id stays (null last). Texts of the same words are one text. Rows equal in doc_id and text leave one.
     """
     names = [c for c in docs.columns if c != "_rid"]
@@ -330,18 +406,14 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds:
     several = cut(sizes.groupBy("n", "x", "y").agg(F.min("group").alias("group")).select("group"))  # one of those that hold the same texts
     members = cut(grouped.join(several, "group"))
     firsts = cut(members.select("key").distinct().join(texts, "key").select("order.rid", "key"))
-    wanted = docs.sparkSession.sparkContext.broadcast(repeated_filter(firsts.select(F.col("rid").alias("h")), filter_log2(firsts.count()), least=1))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 100):
-            on = np.flatnonzero(wanted.value.has(batch.column("_rid").to_numpy().view(np.uint64)))
-            shingled = [_shingles(t.encode().translate(LOWER).split(), words).tobytes() for t in batch.column("text").take(pa.array(on)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_rid").take(pa.array(on)), pa.array(shingled, pa.binary())], ["rid", "shingles"])
-
-    shingled = text_rows(docs, "_rid").mapInArrow(sets, "rid long, shingles binary").join(firsts, "rid").select("key", "shingles")
-    shingled = cut(shingled.dropDuplicates(["key"]))
+    shingled = _sets(docs, firsts, words)
     weighed = cut(members.join(shingled.select("key", F.octet_length("shingles").cast("long").alias("bytes")), "key"))
-    alike = components(_similar(weighed, shingled, similarity))
+    found = cut(_similar(weighed, shingled, similarity))
+    pairs = _missing_pairs(_prefixes(docs, words, similarity), components(found), similarity)
+    firsts = cut(pairs.select("key").union(pairs.select("head")).distinct().join(texts, "key").select("order.rid", "key"))
+    shingled = _sets(docs, firsts, words)
+    more = _pair_links(pairs.join(shingled, "key").join(shingled.withColumnsRenamed({"key": "head", "shingles": "leads"}), "head"), similarity)
+    alike = components(cut(found.union(more)))
     firsts = texts.select("key", "order").join(alike, F.col("key") == F.col("code"), "left").groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("order").alias("order"))
     kept = cut(firsts.select(F.col("order.rid").alias("_rid")))
     return docs.join(kept, "_rid", "left_semi").dropDuplicates(["_rid"]).select(*names)

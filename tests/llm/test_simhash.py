@@ -120,3 +120,25 @@ def test_near_dedup(spark, monkeypatch, most):
 
 def test_near_dedup_of_nothing(spark):
     assert S.near_dedup(documents(spark, [])).count() == 0
+
+
+def block_pairs():
+    """Pairs of one contiguous difference (appended, cut off or replaced words) of similarity 0.8 to 0.9; none is alike to another's texts."""
+    rows = []
+    for i in range(60):
+        base = words(180, 7000 + i, 5000).split()
+        n = (10, 14, 18, 22, 26, 30, 34)[i % 7]
+        other = words(n, 9000 + i, 5000).split()
+        changed = (base + other, base[:-n], base[:60] + other[: n // 2] + base[60 + n // 2 :])[i % 3]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(changed))]
+    return rows
+
+
+def test_near_dedup_of_block_differences(spark, monkeypatch):
+    """All pairs of 0.8 or more are found, whatever the order of shingles; none below."""
+    rows = block_pairs()
+    expected = {i for i, t in rows if i % 2 == 0 or jaccard(t, rows[i - 1][1]) < 0.8}
+    assert sum(0.8 <= jaccard(rows[i][1], rows[i + 1][1]) <= 0.9 for i in range(0, 120, 2)) >= 30
+    for often in (8, 1):
+        monkeypatch.setattr(S, "OFTEN", often, raising=False)
+        assert {r["doc_id"] for r in S.near_dedup(documents(spark, rows)).collect()} == expected
