@@ -286,7 +286,8 @@ def _similar(members: DataFrame, shingled: DataFrame, similarity: float) -> Data
     """Links a, b between similar texts, from members (group, key, bytes) and shingled (key, shingles).
 
     Groups of few bytes are compared as a whole, each in one task. In a larger one HEADS texts at a time are compared with all
-    that are left of it, in any number of tasks; they and those similar to one of them are then done with, until the rest is small.
+    that are left of it, in any number of tasks; they and those similar to one of them are then done with, until the rest is small. Links that this misses (of a text done with
+    to one that isn't alike to its head) are left to ``_missing_pairs``.
     """
     out: list[DataFrame] = []
     while True:

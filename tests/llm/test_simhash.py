@@ -142,3 +142,17 @@ def test_near_dedup_of_block_differences(spark, monkeypatch):
     for often in (8, 1):
         monkeypatch.setattr(S, "OFTEN", often, raising=False)
         assert {r["doc_id"] for r in S.near_dedup(documents(spark, rows)).collect()} == expected
+
+
+def test_near_dedup_of_chains_in_large_groups(spark, monkeypatch):
+    """A and C are alike to B only: a group over MOST_SETS, compared with one head a pass, loses neither link."""
+    monkeypatch.setattr(S, "MOST_SETS", 3_000)
+    monkeypatch.setattr(S, "HEADS", 1)
+    rows = []
+    for i in range(12):
+        a, other = words(180, 3000 + i, 5000).split(), words(20, 4000 + i, 5000).split()
+        b = other[:10] + a[10:]
+        texts = [" ".join(x) for x in (a, b, b[:-10] + other[10:])]
+        assert min(jaccard(texts[0], texts[1]), jaccard(texts[1], texts[2])) >= 0.8 > jaccard(texts[0], texts[2])
+        rows += [(3 * i + k, x) for k, x in enumerate(texts)]
+    assert {r["doc_id"] for r in S.near_dedup(documents(spark, rows)).collect()} == set(range(0, 36, 3))
