@@ -14,19 +14,16 @@ component unless all of its component are null.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, cut, filter_log2, repeated_filter, slices, text_rows
+from .common import cut, drop, slices, text_rows
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Fingerprints in a bucket; larger ones are split.
@@ -130,7 +127,7 @@ def _keys(mask: Column, parts: int, level: int) -> Column:
 
 
 def links(codes: DataFrame, budget: int = 2) -> DataFrame:
-    """Links seed, a, b (b the first member of a's component in some bucket) between the different fingerprints of ``codes`` (seed, code)."""
+    """Links seed, a, b between the different fingerprints of ``codes`` (seed, code): spanning forests of what some buckets link."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(rows: np.ndarray) -> pa.RecordBatch:
@@ -140,10 +137,15 @@ def links(codes: DataFrame, budget: int = 2) -> DataFrame:
             low, high = edges[:-1], edges[1:]
             several = high - low > 1
             own = np.ascontiguousarray(rows[:, 3])
-            i, j = trie_pairs(own.view(np.uint64), low[several], high[several], budget)
-            first = first_members(len(rows), i, j)
-            at = np.flatnonzero(first != np.arange(len(rows)))
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[at, 0])), pa.array(own[at]), pa.array(own[first[at]])], ["seed", "a", "b"])
+            low, high = low[several], high[several]
+            share = np.cumsum((high - low) ** 2) // (MOST * MOST)  # buckets that are joined at a time: pairs bound the memory
+            found = [trie_pairs(own.view(np.uint64), low[share == x], high[share == x], budget) for x in np.unique(share)]
+            # one code may be in several buckets: of all its links only a spanning forest's are needed
+            nodes, at = np.unique(rows[:, [0, 3]], axis=0, return_inverse=True)
+            at = at.ravel()
+            first = first_members(len(nodes), *(at[np.concatenate([np.zeros(0, np.int64), *x])] for x in zip(*found, strict=True))) if found else np.arange(len(nodes))
+            on = np.flatnonzero(first != np.arange(len(nodes)))
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (nodes[on, 0], nodes[on, 1], nodes[first[on], 1])], ["seed", "a", "b"])
 
         held: list[np.ndarray] = []
         for batch in batches:  # sorted by bucket: the last bucket may go on
@@ -181,13 +183,17 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(edges.union(edges.select("b", "a")).distinct())
     labels = cut(both.groupBy(F.col("a").alias("code")).agg(F.least(F.col("code"), F.min("b")).alias("label")))
     while True:
-        near = both.join(labels, both["b"] == labels["code"]).groupBy("a").agg(F.min("label").alias("least"))
-        step = cut(labels.join(near, labels["code"] == near["a"], "left").select("code", F.least("label", "least").alias("label"), F.col("label").alias("was")))
+        near = both.join(labels.drop("was"), F.col("b") == F.col("code")).groupBy("a").agg(F.min("label").alias("least"))
+        step = cut(labels.drop("was").join(near, F.col("code") == F.col("a"), "left").select("code", F.least("label", "least").alias("label"), F.col("label").alias("was")))
         over = step.select(F.col("code").alias("root"), F.col("label").alias("above"))
         new = cut(step.join(over, step["label"] == over["root"]).select("code", F.least("label", "above").alias("label"), "was"))
+        drop(labels, step)
         if new.filter("label <> was").isEmpty():
-            return new.select("code", "label")
-        labels = new.select("code", "label")
+            drop(both)
+            found = new.select("code", "label")
+            found._written = new._written
+            return found
+        labels = new
 
 
 def simhash_dedup(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame:
@@ -199,222 +205,3 @@ def simhash_dedup(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame
     least = cut(named.groupBy("label").agg(F.min("first").alias("component_id")))
     named = cut(named.join(least, "label").select("code", "component_id"))
     return rows.join(named, "code").select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-#: Near duplicates of a pipeline: fingerprints of pairs of words for each of SEEDS hashes, linked at NEAR bits.
-SEEDS, NEAR = 24, 3
-_ODD = np.random.default_rng(11).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
-
-
-def _shingles(tokens: list[bytes], words: int) -> np.ndarray:
-    """Sorted hashes of the different shingles; of the whole text if it has fewer words."""
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(tokens[i : i + words]), 42) for i in range(max(1, len(tokens) - words + 1))], np.uint64))
-
-
-def _many_fingerprints(h: np.ndarray, seeds: int) -> list[int]:
-    """Majority bits of the values as each seed mixes them."""
-    mixed = (h ^ (h >> np.uint64(31))) * _ODD[:seeds, None]
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(32)
-    counts = np.zeros((seeds, 64), np.int64)
-    for k in range(0, len(h), 255):  # as many ones as a byte can count
-        bits = np.unpackbits(np.ascontiguousarray(mixed[:, k : k + 255]).view(np.uint8).reshape(seeds, -1, 8), axis=2, bitorder="little")
-        counts += bits.sum(axis=1, dtype=np.uint8)
-    return np.packbits(counts * 2 > len(h), axis=1, bitorder="little").view(np.int64).ravel().tolist()
-
-
-#: Bytes of shingle sets in a group up to which one task compares its texts; larger groups first go through passes of HEADS texts each.
-MOST_SETS, HEADS = 1 << 20, 16
-
-
-#: Frequent shingles are those of OFTEN rows or more in one row of SAMPLE.
-SAMPLE, OFTEN = 8, 8
-
-
-def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """If the Jaccard similarity of two sorted sets is at least ``similarity``."""
-    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= similarity * (len(a) + len(b) - both)
-
-
-def _group_links(rows: DataFrame, similarity: float) -> DataFrame:
-    """Links a, b (b the first of its component) between similar texts of a group, from rows of group, key and shingles. A group is in one task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, keys, sets = None, [], []
-
-        def linked() -> pa.RecordBatch:
-            label = list(range(len(keys)))
-            for i in range(len(keys)):
-                for j in range(i):
-                    if label[i] != label[j] and _alike(sets[i], sets[j], similarity):
-                        low, high = sorted((label[i], label[j]))
-                        label = [low if x == high else x for x in label]
-            at = [i for i, x in enumerate(label) if x != i]
-            return pa.RecordBatch.from_arrays([pa.array([keys[i] for i in at], pa.int64()), pa.array([keys[label[i]] for i in at], pa.int64())], ["a", "b"])
-
-        for batch in slices(batches, 100):
-            for g, key, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if g != group:
-                    if len(keys) > 1:
-                        yield linked()
-                    group, keys, sets = g, [], []
-                keys.append(key)
-                sets.append(np.frombuffer(shingles, np.uint64))
-        if len(keys) > 1:
-            yield linked()
-
-    return rows.select("group", "key", "shingles").repartition("group").sortWithinPartitions("group", "key").mapInArrow(run, "a long, b long")
-
-
-def _pair_links(pairs: DataFrame, similarity: float) -> DataFrame:
-    """Links a, b of similar pairs, from rows of key, shingles, head and leads (the head's shingles)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 200):
-            columns = (batch.column(c).to_pylist() for c in ("key", "shingles", "head", "leads"))
-            found = [(k, h) for k, a, h, b in zip(*columns, strict=True) if _alike(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), similarity)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], ["a", "b"])
-
-    return pairs.select("key", "shingles", "head", "leads").mapInArrow(run, "a long, b long")
-
-
-def _similar(members: DataFrame, shingled: DataFrame, similarity: float) -> DataFrame:
-    """Links a, b between similar texts, from members (group, key, bytes) and shingled (key, shingles).
-
-    Groups of few bytes are compared as a whole, each in one task. In a larger one HEADS texts at a time are compared with all
-    that are left of it, in any number of tasks; they and those similar to one of them are then done with, until the rest is small. Links that this misses (of a text done with
-    to one that isn't alike to its head) are left to ``_missing_pairs``.
-    """
-    out: list[DataFrame] = []
-    while True:
-        sizes = cut(members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("all")).filter("n > 1"))
-        small = members.join(sizes.filter(F.col("all") <= MOST_SETS).select("group"), "group")
-        out.append(cut(_group_links(small.join(shingled, "key"), similarity)))
-        large = sizes.filter(F.col("all") > MOST_SETS).select("group")
-        if large.isEmpty():
-            return reduce(DataFrame.union, out)
-        members = cut(members.join(large, "group"))
-        heads = members.groupBy("group", F.pmod(F.xxhash64("key"), F.lit(HEADS)).alias("share")).agg(F.min("key").alias("head")).select("group", "head")
-        pairs = cut(members.select("group", "key").join(heads, "group").filter("key <> head"))
-        once = pairs.select("key", "head").distinct()  # groups of different hashes often hold the same texts
-        leads = shingled.withColumnsRenamed({"key": "head", "shingles": "leads"})
-        found = cut(_pair_links(once.join(shingled, "key").join(leads, "head"), similarity))
-        out.append(found)
-        alike = pairs.join(found.withColumnsRenamed({"a": "key", "b": "head"}), ["key", "head"]).select("group", "key")
-        members = cut(members.join(alike.union(heads), ["group", "key"], "left_anti"))
-
-
-def _frequent(docs: DataFrame, words: int) -> Bloom:
-    """A filter of shingles that many texts hold, from one row in SAMPLE. It sets an order of shingles only: any filter gives the same links."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 100):
-            h = [_shingles(t.encode().translate(LOWER).split(), words) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64))], ["h"])
-
-    some = text_rows(docs.filter(F.pmod("_rid", F.lit(SAMPLE)) == 0)).mapInArrow(run, "h long")
-    often = cut(some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN).select("h"))
-    return repeated_filter(often, filter_log2(often.count()), least=1)
-
-
-def _prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """shingle, key, at and size (of its set) of the first shingles of each text that some other row may have among its first ones.
-
-    Shingles are ordered by ``_frequent``, then by hash. Two sets of ``similarity`` s share s * n shingles at least, n being the
-    size of either, so that the first one they share is among the first n - s * n + 1 of both.
-    """
-    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, words))
-
-    def emit(seen: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, 100):
-                rows = []
-                for text in batch.column("text").to_pylist():
-                    tokens = text.encode().translate(LOWER).split()
-                    h = _shingles(tokens, words)
-                    often = frequent.value.has(h)
-                    first = np.concatenate([h[~often], h[often]])[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
-                    at = np.flatnonzero(seen.value.has(first)) if seen else np.arange(len(first))
-                    key = np.uint64(xxhash.xxh64_intdigest(b" ".join(tokens), 1)).astype(np.int64)
-                    rows.append((first[at].view(np.int64), np.full(len(at), key), at.astype(np.int32), np.full(len(at), len(h), np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], ["shingle", "key", "at", "size"])
-
-        return run
-
-    of, schema = text_rows(docs), "shingle long, key long, at int, size int"
-    about = of.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    again = repeated_filter(of.mapInArrow(emit(None), schema).select(F.col("shingle").alias("h")), filter_log2(about // 30))
-    return of.mapInArrow(emit(docs.sparkSession.sparkContext.broadcast(again)), schema).distinct()
-
-
-def _missing_pairs(firsts: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """key, head of all texts that may have ``similarity`` and aren't in one component of ``labels`` (code, label), from their first shingles."""
-    named = cut(firsts.join(labels.withColumnRenamed("code", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")))
-    mixed = named.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("shingle")
-    named = cut(named.join(mixed, "shingle"))
-    other = named.select("shingle", F.col("key").alias("head"), F.col("label").alias("l"), F.col("at").alias("a"), F.col("size").alias("s"))
-    pairs = named.join(other, "shingle").filter("key > head AND label <> l")
-    # of the first shingle that two texts share, what follows in either is the rest of what they can share
-    pairs = pairs.filter(F.least(F.col("size") - F.col("at"), F.col("s") - F.col("a")) >= similarity / (1 + similarity) * (F.col("size") + F.col("s")) - 1e-9)
-    return cut(pairs.select("key", "head").distinct())
-
-
-def _sets(docs: DataFrame, firsts: DataFrame, words: int) -> DataFrame:
-    """key and shingles of the rows that ``firsts`` (rid, key) names."""
-    wanted = docs.sparkSession.sparkContext.broadcast(repeated_filter(firsts.select(F.col("rid").alias("h")), filter_log2(firsts.count()), least=1))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 100):
-            on = np.flatnonzero(wanted.value.has(batch.column("_rid").to_numpy().view(np.uint64)))
-            shingled = [_shingles(t.encode().translate(LOWER).split(), words).tobytes() for t in batch.column("text").take(pa.array(on)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_rid").take(pa.array(on)), pa.array(shingled, pa.binary())], ["rid", "shingles"])
-
-    shingled = text_rows(docs, "_rid").mapInArrow(run, "rid long, shingles binary").join(firsts, "rid").select("key", "shingles")
-    return cut(shingled.dropDuplicates(["key"]))
-
-
-def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds: int = SEEDS, budget: int = NEAR) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: rows linked, directly or through others, by ``similarity`` (Jaccard, of ``words``-word shingles) or more.
-
-    Texts whose fingerprints of pairs of words are equal or near for one of several hashes are compared first; then all that share
-    one of their first shingles and aren't linked yet, so that no pair of ``similarity`` is left out. Their shingles decide.
-    The row of least doc_id stays (null last). Texts of the same words are one text. Rows equal in doc_id and text leave one.
-    """
-    names = [c for c in docs.columns if c != "_rid"]
-    docs = docs.withColumn("_rid", F.xxhash64("doc_id", "text"))
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            keys, codes = [], []
-            for text in batch.column("text").to_pylist():
-                tokens = text.encode().translate(LOWER).split()
-                keys.append(xxhash.xxh64_intdigest(b" ".join(tokens), 1))
-                codes.append(_many_fingerprints(_shingles(tokens, 2), seeds))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_rid"), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(codes, pa.list_(pa.int64()))], ["doc_id", "rid", "key", "codes"])
-
-    rows = cut(text_rows(docs, "_rid").mapInArrow(sketch, "doc_id long, rid long, key long, codes array<long>"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "key")
-    texts = cut(rows.groupBy("key").agg(F.min(F.struct(order.alias("order"), "codes")).alias("one")).select("key", "one.order", "one.codes"))
-    codes = cut(texts.select("key", F.posexplode("codes").alias("seed", "code")).withColumn("seed", F.col("seed").cast("long")))  # hashed with the code: of the type that links have
-    name = lambda c: F.xxhash64("seed", c)
-    labels = components(links(codes.select("seed", "code").distinct(), budget).select(name("a").alias("a"), name("b").alias("b")))
-    grouped = cut(codes.withColumn("node", name("code")).join(labels.withColumnRenamed("code", "node"), "node", "left").select(F.coalesce("label", "node").alias("group"), "key"))
-    sizes = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("key").alias("x"), F.bit_xor(F.xxhash64("key")).alias("y")).filter("n > 1")
-    several = cut(sizes.groupBy("n", "x", "y").agg(F.min("group").alias("group")).select("group"))  # one of those that hold the same texts
-    members = cut(grouped.join(several, "group"))
-    firsts = cut(members.select("key").distinct().join(texts, "key").select("order.rid", "key"))
-    shingled = _sets(docs, firsts, words)
-    weighed = cut(members.join(shingled.select("key", F.octet_length("shingles").cast("long").alias("bytes")), "key"))
-    found = cut(_similar(weighed, shingled, similarity))
-    pairs = _missing_pairs(_prefixes(docs, words, similarity), components(found), similarity)
-    firsts = cut(pairs.select("key").union(pairs.select("head")).distinct().join(texts, "key").select("order.rid", "key"))
-    shingled = _sets(docs, firsts, words)
-    more = _pair_links(pairs.join(shingled, "key").join(shingled.withColumnsRenamed({"key": "head", "shingles": "leads"}), "head"), similarity)
-    alike = components(cut(found.union(more)))
-    firsts = texts.select("key", "order").join(alike, F.col("key") == F.col("code"), "left").groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("order").alias("order"))
-    kept = cut(firsts.select(F.col("order.rid").alias("_rid")))
-    return docs.join(kept, "_rid", "left_semi").dropDuplicates(["_rid"]).select(*names)

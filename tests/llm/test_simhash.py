@@ -86,73 +86,3 @@ def test_trie_pairs():
     i, j = S.trie_pairs(codes, np.array([0]), np.array([len(codes)]), 2)
     pairs = {(a, b) for a in range(len(codes)) for b in range(a + 1, len(codes)) if bin(int(codes[a] ^ codes[b])).count("1") <= 2}
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == pairs
-
-
-def jaccard(a, b, k=5):
-    sets = []
-    for t in (a, b):
-        tokens = (t or "").lower().split()
-        sets.append({tuple(tokens[i : i + k]) for i in range(max(1, len(tokens) - k + 1))})
-    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
-
-
-@pytest.mark.parametrize("most", [S.MOST_SETS, 3_000])
-def test_near_dedup(spark, monkeypatch, most):
-    """One of each group of near copies stays, nothing else goes, and each that goes is alike to one that stays."""
-    monkeypatch.setattr(S, "MOST_SETS", most)
-    rows = []
-    for i in range(40):
-        base = words(150, 500 + i // 4).split()
-        if i % 4:
-            base[(i * 13) % 150] = f"other{i}"
-        rows.append((i, " ".join(base)))
-    rows += [(100, None), (101, ""), (102, "alone here"), (103, words(150, 999)), (103, words(150, 999))]
-    df = documents(spark, rows, key="clash")
-    kept = S.near_dedup(df).collect()
-    ids = sorted(r["doc_id"] for r in kept)
-    texts = dict(rows)
-    assert [i for i in ids if i < 40] == [4 * g for g in range(10)]
-    assert set(ids) >= {100, 102, 103} and 101 not in ids and len(ids) == len(set(ids))
-    for i in set(texts) - set(ids):
-        assert max(jaccard(texts[i], texts[k]) for k in ids) >= 0.8
-    assert set(kept[0].asDict()) == set(df.columns)
-
-
-def test_near_dedup_of_nothing(spark):
-    assert S.near_dedup(documents(spark, [])).count() == 0
-
-
-def block_pairs():
-    """Pairs of one contiguous difference (appended, cut off or replaced words) of similarity 0.8 to 0.9; none is alike to another's texts."""
-    rows = []
-    for i in range(60):
-        base = words(180, 7000 + i, 5000).split()
-        n = (10, 14, 18, 22, 26, 30, 34)[i % 7]
-        other = words(n, 9000 + i, 5000).split()
-        changed = (base + other, base[:-n], base[:60] + other[: n // 2] + base[60 + n // 2 :])[i % 3]
-        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(changed))]
-    return rows
-
-
-def test_near_dedup_of_block_differences(spark, monkeypatch):
-    """All pairs of 0.8 or more are found, whatever the order of shingles; none below."""
-    rows = block_pairs()
-    expected = {i for i, t in rows if i % 2 == 0 or jaccard(t, rows[i - 1][1]) < 0.8}
-    assert sum(0.8 <= jaccard(rows[i][1], rows[i + 1][1]) <= 0.9 for i in range(0, 120, 2)) >= 30
-    for often in (8, 1):
-        monkeypatch.setattr(S, "OFTEN", often, raising=False)
-        assert {r["doc_id"] for r in S.near_dedup(documents(spark, rows)).collect()} == expected
-
-
-def test_near_dedup_of_chains_in_large_groups(spark, monkeypatch):
-    """A and C are alike to B only: a group over MOST_SETS, compared with one head a pass, loses neither link."""
-    monkeypatch.setattr(S, "MOST_SETS", 3_000)
-    monkeypatch.setattr(S, "HEADS", 1)
-    rows = []
-    for i in range(12):
-        a, other = words(180, 3000 + i, 5000).split(), words(20, 4000 + i, 5000).split()
-        b = other[:10] + a[10:]
-        texts = [" ".join(x) for x in (a, b, b[:-10] + other[10:])]
-        assert min(jaccard(texts[0], texts[1]), jaccard(texts[1], texts[2])) >= 0.8 > jaccard(texts[0], texts[2])
-        rows += [(3 * i + k, x) for k, x in enumerate(texts)]
-    assert {r["doc_id"] for r in S.near_dedup(documents(spark, rows)).collect()} == set(range(0, 36, 3))
