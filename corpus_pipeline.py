@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut, table
 from lodestone.llm.line_dedup import line_dedup
+from lodestone.llm.near_dedup import near_dedup
 from lodestone.llm.packing import best_fit_packing, word_lengths
 from lodestone.llm.quality import keep_good
-from lodestone.llm.simhash import near_dedup
 from lodestone.llm.suffix_dedup import without_repeats
 
 
