@@ -22,7 +22,7 @@ whatever their names. Texts and rows are told apart by 128-bit hashes, shingles
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, col, cut, drop, filter_log2, fresh, mix, repeated_filter, slices
+from .common import Bloom, col, cut, drop, filter_log2, fresh, mix, repeated_filter, slices, text_buffer
 from .simhash import LOWER, components, links
 
 #: Fingerprints of pairs of words for each of SEEDS hashes, linked at NEAR bits.
@@ -58,18 +58,27 @@ class Words(dict):
         return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
 
 
+#: Kept between the tasks of a Python worker.
+_known = Words()
+
+
 def tokens_of(text: str) -> list[bytes]:
     return text.encode().translate(LOWER).split()
 
 
-def shingles(hashes: np.ndarray, words: int) -> np.ndarray:
-    """Sorted hashes of the different shingles of a text's words; of the whole text if it has fewer."""
+def shingle_hashes(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of the shingles of a text's words; of the whole text if it has fewer."""
     k = min(words, len(hashes))
     n = len(hashes) - k + 1
     h = np.full(n, np.uint64(k))
     for i in range(k):
         h += hashes[i : i + n] * _ODD[i]
-    return np.unique(mix(h))
+    return mix(h)
+
+
+def shingles(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The different ones, sorted."""
+    return np.unique(shingle_hashes(hashes, words))
 
 
 def many_fingerprints(h: np.ndarray, seeds: int) -> list[int]:
@@ -102,83 +111,85 @@ def _hashes(rows: DataFrame, column: str, least: int = 1) -> Bloom:
     return repeated_filter(rows.select(F.col(column).alias("h")), filter_log2(rows.count()), least)
 
 
-def _sketches(rows: DataFrame, words: int, seeds: int) -> DataFrame:
-    """doc_id, rid, rid2, key, size (of the set of shingles) and codes (fingerprints) of each row."""
+def _frequent(rows: DataFrame, words: int) -> Bloom:
+    """A filter of shingles that many rows hold, from one row in SAMPLE."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
-        for batch in slices(batches):
-            keys, sizes, codes = [], [], []
-            for text in batch.column("text").to_pylist():
-                tokens = tokens_of(text)
-                h = known.of(tokens)
-                keys.append(text_key(tokens))
-                sizes.append(len(shingles(h, words)))
-                codes.append(many_fingerprints(shingles(h, 2), seeds))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "rid", "rid2")), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(codes, pa.list_(pa.int64()))], ["doc_id", "rid", "rid2", "key", "size", "codes"])
+        for batch in slices(batches, 100):
+            h = [shingles(_known.of(tokens_of(t)), words) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64))], ["h"])
 
-    return rows.mapInArrow(run, "doc_id long, rid long, rid2 long, key binary, size int, codes array<long>")
+    some = rows.filter(F.pmod("rid2", F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "h long")
+    often = cut(some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN).select("h"))
+    found = _hashes(often, "h")
+    drop(often)
+    return found
 
 
-def _some_texts(rows: DataFrame, chosen: Bloom, names: list[str], schema: str, columns: Callable[[list[list[bytes]], Words], list[pa.Array]]) -> DataFrame:
-    """What ``columns`` makes of the texts whose rid ``chosen`` holds (and of a few others, as Bloom filters go)."""
-    held = rows.sparkSession.sparkContext.broadcast(chosen)
+def _sketches(rows: DataFrame, words: int, similarity: float, seeds: int) -> DataFrame:
+    """doc_id, rid, rid2, key, size (of the set of shingles), codes (fingerprints) and prefix (the first shingles, in order) of each row."""
+    frequent = rows.sparkSession.sparkContext.broadcast(_frequent(rows, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
-        for batch in slices(batches, 100):
-            on = np.flatnonzero(held.value.has(batch.column("rid").to_numpy().view(np.uint64)))
-            if len(on):
-                yield pa.RecordBatch.from_arrays(columns([tokens_of(t) for t in batch.column("text").take(pa.array(on)).to_pylist()], known), names)
+        for batch in slices(batches, 200):
+            keys, sizes, codes, firsts = [], [], [], []
+            for text in batch.column("text").to_pylist():
+                tokens = tokens_of(text)
+                hashes = _known.of(tokens)
+                h = shingles(hashes, words)
+                last = frequent.value.has(h)
+                keys.append(text_key(tokens))
+                sizes.append(len(h))
+                codes.append(many_fingerprints(shingle_hashes(hashes, 2), seeds))
+                firsts.append(np.concatenate([h[~last], h[last]])[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "rid", "rid2")), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(codes, pa.list_(pa.int64())), pa.array(firsts, pa.binary())], ["doc_id", "rid", "rid2", "key", "size", "codes", "prefix"])
 
-    return rows.select("rid", "text").mapInArrow(run, schema)
+    return rows.mapInArrow(run, "doc_id long, rid long, rid2 long, key binary, size int, codes array<long>, prefix binary")
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """key and shingles of the texts of ``wanted`` (rid)."""
-
-    def columns(texts: list[list[bytes]], known: Words) -> list[pa.Array]:
-        return [pa.array([text_key(t) for t in texts], pa.binary()), pa.array([shingles(known.of(t), words).tobytes() for t in texts], pa.binary())]
-
-    return cut(_some_texts(rows, _hashes(wanted, "rid"), ["key", "shingles"], "key binary, shingles binary", columns).dropDuplicates(["key"]))
+    """key and shingles of the texts of ``wanted`` (rid), and of a few others, as Bloom filters go."""
+    chosen = rows.sparkSession.sparkContext.broadcast(_hashes(wanted, "rid"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 100):
+            on = np.flatnonzero(chosen.value.has(batch.column("rid").to_numpy().view(np.uint64)))
+            if len(on):
+                texts = [tokens_of(t) for t in batch.column("text").take(pa.array(on)).to_pylist()]
+                sets = [shingles(_known.of(t), words).tobytes() for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array([text_key(t) for t in texts], pa.binary()), pa.array(sets, pa.binary())], ["key", "shingles"])
 
-def _first_shingles(rows: DataFrame, firsts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """shingle, key, at and size (of its set) of the first shingles of each text that some other text may have among its first ones."""
-    chosen = _hashes(firsts, "rid")
+    return cut(rows.select("rid", "text").mapInArrow(run, "key binary, shingles binary").dropDuplicates(["key"]))
 
-    def everything(texts: list[list[bytes]], known: Words) -> list[pa.Array]:
-        return [pa.array(np.concatenate([shingles(known.of(t), words) for t in texts]).view(np.int64))]
 
-    some = _some_texts(rows.filter(F.pmod("rid2", F.lit(SAMPLE)) == 0), chosen, ["h"], "h long", everything)
-    often = cut(some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN).select("h"))
-    frequent = rows.sparkSession.sparkContext.broadcast(_hashes(often, "h"))
-    drop(often)
+def _first_shingles(sketched: DataFrame, firsts: DataFrame) -> DataFrame:
+    """shingle, key, at and size (of its set) of the first shingles of each text of ``firsts`` (rid) that some other text may have among its first ones."""
+    chosen = sketched.sparkSession.sparkContext.broadcast(_hashes(firsts, "rid"))
 
-    def prefix(tokens: list[bytes], known: Words) -> tuple[np.ndarray, int]:
-        h = shingles(known.of(tokens), words)
-        last = frequent.value.has(h)
-        return np.concatenate([h[~last], h[last]])[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1], len(h)
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+        """Batches, the shingles of all their rows one after the other, their rows and places."""
+        for batch in slices(batches, 1000):
+            batch = batch.filter(pa.array(chosen.value.has(batch.column("rid").to_numpy().view(np.uint64))))
+            data, ends = text_buffer(batch.column("prefix"))
+            sizes = np.diff(ends) // 8
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            yield batch, np.frombuffer(data.tobytes(), np.uint64), owner, np.arange(len(owner)) - ends[owner] // 8
 
-    def prefixes(texts: list[list[bytes]], known: Words) -> list[pa.Array]:
-        return [pa.array(np.concatenate([prefix(t, known)[0] for t in texts]).view(np.int64))]
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, h, _, _ in prefixes(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
-    about = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    seen = repeated_filter(_some_texts(rows, chosen, ["h"], "h long", prefixes), filter_log2(about // 30))
-    again = rows.sparkSession.sparkContext.broadcast(seen)
+    of = sketched.select("rid", "key", "size", "prefix")
+    n = of.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
+    again = sketched.sparkSession.sparkContext.broadcast(repeated_filter(of.mapInArrow(every, "h long"), filter_log2(n // 8)))
 
-    def repeated(texts: list[list[bytes]], known: Words) -> list[pa.Array]:
-        found = []
-        for tokens in texts:
-            first, size = prefix(tokens, known)
-            at = np.flatnonzero(again.value.has(first))
-            found.append((first[at].view(np.int64), np.full(len(at), text_key(tokens), "S16"), at.astype(np.int32), np.full(len(at), size, np.int32)))
-        shingle, key, at, size = (np.concatenate(c) for c in zip(*found, strict=True))
-        buffer = pa.py_buffer(np.ascontiguousarray(key).tobytes())
-        keys = pa.Array.from_buffers(pa.binary(16), len(key), [None, buffer]).cast(pa.binary())
-        return [pa.array(shingle), keys, pa.array(at), pa.array(size)]
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, h, owner, at in prefixes(batches):
+            on = np.flatnonzero(again.value.has(h))
+            of_rows = batch.select(["key", "size"]).take(pa.array(owner[on]))
+            yield pa.RecordBatch.from_arrays([pa.array(h[on].view(np.int64)), of_rows.column(0), pa.array(at[on].astype(np.int32)), of_rows.column(1)], ["shingle", "key", "at", "size"])
 
-    return cut(_some_texts(rows, chosen, ["shingle", "key", "at", "size"], "shingle long, key binary, at int, size int", repeated).distinct())
+    return cut(of.mapInArrow(repeated, "shingle long, key binary, at int, size int").distinct())
 
 
 def _named(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -191,7 +202,8 @@ def _named(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
 def _with_one(groups: DataFrame, labels: DataFrame | None, similarity: float, salt: int) -> DataFrame:
     """key, head (key < head) of the pairs of one text of each group with all others that aren't in its component."""
     named = cut(_named(groups, labels))
-    one = F.min(F.struct(F.xxhash64("key", F.lit(salt)).alias("order"), F.col("key").alias("head"), F.col("label").alias("its"), F.col("size").alias("s"))).alias("one")
+    central = F.col("at") if salt % 2 == 0 else F.lit(0)  # texts with few shingles of their own come early among those that share one
+    one = F.min(F.struct(central.alias("first"), F.xxhash64("key", F.lit(salt)).alias("order"), F.col("key").alias("head"), F.col("label").alias("its"), F.col("size").alias("s"))).alias("one")
     heads = cut(named.groupBy("group").agg(one, F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("group", "one.head", "one.its", "one.s"))
     pairs = named.join(heads, "group").filter((F.col("label") != F.col("its")) & (F.least("size", "s") >= similarity * F.greatest("size", "s") - 1e-9))
     out = cut(pairs.select(F.least("key", "head").alias("key"), F.greatest("key", "head").alias("head")).distinct())
@@ -229,16 +241,16 @@ def _links(rows: DataFrame, texts: DataFrame, pairs: DataFrame, words: int, simi
     return out
 
 
-def near_links(rows: DataFrame, texts: DataFrame, words: int, similarity: float, budget: int) -> DataFrame:
+def near_links(rows: DataFrame, sketched: DataFrame, texts: DataFrame, words: int, similarity: float, budget: int) -> DataFrame:
     """code, label: components of the texts (key, order, size, codes) that are alike to another one."""
     codes = cut(texts.select("key", "size", F.posexplode("codes").alias("seed", "code")).withColumn("seed", F.col("seed").cast("long")))
     name = lambda c: F.xxhash64("seed", c)
     linked = links(codes.select("seed", "code").distinct(), budget)
     labels = components(linked.select(name("a").alias("a"), name("b").alias("b")))
     marked = codes.withColumn("node", name("code")).join(labels.withColumnRenamed("code", "node"), "node", "left")
-    by_code = marked.select(F.coalesce("label", "node").alias("group"), "key", "size")
-    firsts = _first_shingles(rows, texts.select("order.rid"), words, similarity)
-    groups = cut(by_code.union(firsts.select(F.col("shingle").alias("group"), "key", "size")))
+    by_code = marked.select(F.coalesce("label", "node").alias("group"), "key", F.lit(0).alias("at"), "size")
+    firsts = _first_shingles(sketched, texts.select("order.rid"))
+    groups = cut(by_code.union(firsts.select(F.col("shingle").alias("group"), "key", "at", "size")))
     drop(codes, linked, labels)
     found, tried, own = [], [], None
     for salt in range(ROUNDS):
@@ -259,10 +271,10 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds:
     text = F.coalesce(F.col("text"), F.lit(""))
     held = docs.withColumns({a: F.xxhash64("doc_id", text), b: F.xxhash64(F.lit("second"), text, "doc_id")})
     rows = held.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.col(a).alias("rid"), F.col(b).alias("rid2"))
-    sketched = cut(_sketches(rows, words, seeds))
+    sketched = cut(_sketches(rows, words, similarity, seeds))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "rid2")
     texts = cut(sketched.groupBy("key").agg(F.min(F.struct(order.alias("order"), "size", "codes")).alias("one")).select("key", "one.order", "one.size", "one.codes"))
-    alike_to = near_links(rows, texts, words, similarity, budget)
+    alike_to = near_links(rows, sketched, texts, words, similarity, budget)
     ends = texts.select("key", "order").join(alike_to, F.col("key") == F.col("code"), "left").groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("order").alias("order"))
     kept = cut(ends.select(F.col("order.rid").alias(a), F.col("order.rid2").alias(b)))
     ids = sketched.select(F.col("rid").alias(a), F.col("rid2").alias(b))
