@@ -3,12 +3,16 @@
 A line goes down a tree of fixed depth: first by its number of tokens, then by its first LEAD tokens, in which a token with a
 digit counts as a variable field. What comes after those tokens is variable too. Each leaf is a template. A template that
 occurs in at least ``min_docs`` different texts is recurring, and its lines are dropped from all documents, their first
-places included. A document of which recurring lines make up more than ``most_share`` of the characters is no text with
-boilerplate but a copy as a whole; it stays as it is, for the near-duplicate stages.
+places included.
+
+Near copies of one document make all its lines recurring. With ``spare_copies`` a document stays as it is if recurring lines
+make up most of it and some other such document has nearly the same templates: it is a copy as a whole, which near-duplicate
+stages are for. A page that only shares its boilerplate with others is cleaned, whatever its share.
 
 Defined results: null text counts as empty; blank lines are never templates and stay; a template repeated in one text, or in
 equal texts, counts once; a document may lose its last line and have an empty text; an empty table gives no rows; other
-columns stay (their names can't clash: ours are dropped before the end).
+columns stay, whatever their names (n_lines and n_dropped get a longer name where the table has such columns). Templates and
+texts are told apart by two hashes (of 64 bits each; texts by a hash and their size).
 """
 
 from __future__ import annotations
@@ -16,45 +20,68 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import col, cut, drop, fresh
 
 LEAD = 8
 #: Blanks within a line.
 GAP = "[ \\t\\x0B\\f\\r]+"
 FIELD = "<*>"
+#: Copies have so much of their templates in common with the first text of one of PROBES groups; recurring lines are more than MOST of their characters.
+ALIKE, PROBES, MOST = 0.8, 4, 0.5
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """key, size (of the text), line_no, chars, n_tokens, lead and template of every line that isn't blank, from a text column."""
+    """key, size (of the text), line_no, chars, n_tokens, lead, template and other (two hashes) of every line that isn't blank, from a text column."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = docs.select(F.xxhash64(text).alias("key"), F.octet_length(text).alias("size"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     tokens = F.split(F.regexp_replace("line", f"^{GAP}|{GAP}$", ""), GAP)
     lead = F.array_join(F.transform(F.slice("tokens", 1, LEAD), lambda x: F.when(x.rlike("[0-9]"), FIELD).otherwise(x)), " ")
     split = lines.select("key", "size", "line_no", F.length("line").alias("chars"), tokens.alias("tokens")).filter("tokens[0] <> ''")
-    return split.select("key", "size", "line_no", "chars", F.size("tokens").alias("n_tokens"), lead.alias("lead")).withColumn("template", F.xxhash64("n_tokens", "lead"))
+    rows = split.select("key", "size", "line_no", "chars", F.size("tokens").alias("n_tokens"), lead.alias("lead"))
+    return rows.withColumns({"template": F.xxhash64("n_tokens", "lead"), "other": F.xxhash64(F.lit("second"), "lead", "n_tokens")})
 
 
 def recurring_templates(lines: DataFrame, min_docs: int) -> DataFrame:
-    """template and n_docs, of those in at least ``min_docs`` different texts."""
-    return lines.select("template", "key", "size").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") >= min_docs)
+    """template, other and n_docs, of those in at least ``min_docs`` different texts."""
+    counted = lines.select("template", "other", "key", "size").distinct().groupBy("template", "other").agg(F.count(F.lit(1)).alias("n_docs"))
+    return counted.filter(F.col("n_docs") >= min_docs)
+
+
+def copies(lines: DataFrame, marked: DataFrame) -> DataFrame:
+    """key and size of texts that are copies as a whole, from all lines and those that recur (key, size, line_no, chars)."""
+    of = ["key", "size"]
+    share = lines.select(*of, "line_no", "chars").distinct().groupBy(*of).agg(F.sum("chars").alias("all"))
+    most = marked.groupBy(*of).agg(F.sum("chars").alias("recur")).join(share, of).filter(F.col("recur") > MOST * F.col("all")).select(*of)
+    sets = cut(lines.join(most, of).groupBy(*of).agg(F.collect_set("template").alias("templates")))
+    probes = F.array(*[F.array_min(F.transform("templates", lambda x, i=i: F.xxhash64(x, F.lit(i)))) for i in range(PROBES)])
+    probed = sets.select(*of, "templates", F.posexplode(probes).alias("probe", "least"))
+    first = F.min(F.struct(F.col("key").alias("k"), F.col("size").alias("s"), F.col("templates").alias("those"))).alias("first")
+    heads = probed.groupBy("probe", "least").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").select("probe", "least", "first.*")
+    both = F.size(F.array_intersect("templates", "those"))
+    near = (both >= ALIKE * (F.size("templates") + F.size("those") - both)) & ~((F.col("key") == F.col("k")) & (F.col("size") == F.col("s")))
+    found = cut(probed.join(heads, ["probe", "least"]).filter(near).select("key", "size", "k", "s"))
+    drop(sets)
+    return cut(found.select(*of).union(found.select("k", "s")).distinct())
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 10, most_share: float = 0.5) -> DataFrame:
+def line_dedup(docs: DataFrame, min_docs: int = 10, spare_copies: bool = False) -> DataFrame:
     """``docs`` with recurring lines dropped from text, and n_lines and n_dropped (long)."""
     lines = cut(parsed(docs).drop("n_tokens", "lead"))
-    recurring = cut(recurring_templates(lines, min_docs).select("template"))
-    marked = lines.join(recurring, "template", "left_semi").select("key", "size", "line_no", "chars").distinct()
-    drops = cut(marked.groupBy("key", "size").agg(F.collect_list("line_no").alias("_drop"), F.sum("chars").alias("_chars")))
+    recurring = recurring_templates(lines, min_docs).select("template", "other")
+    marked = cut(lines.join(recurring, ["template", "other"], "left_semi").select("key", "size", "line_no", "chars").distinct())
+    going = marked.join(copies(lines, marked), ["key", "size"], "left_anti") if spare_copies else marked
+    key, size, numbers = fresh(docs, "key"), fresh(docs, "size"), fresh(docs, "numbers")
+    drops = cut(going.groupBy(F.col("key").alias(key), F.col("size").alias(size)).agg(F.collect_list("line_no").alias(numbers)))
+    drop(lines, marked)
     text = F.coalesce(F.col("text"), F.lit(""))
-    held = docs.withColumn("_key", F.xxhash64(text)).withColumn("_size", F.octet_length(text))
-    joined = held.join(drops.withColumnsRenamed({"key": "_key", "size": "_size"}), ["_key", "_size"], "left")
+    held = docs.withColumns({key: F.xxhash64(text), size: F.octet_length(text)})
+    joined = held.join(drops.hint("merge"), [key, size], "left")  # grows with the corpus: never broadcast
     all_lines = F.split(text, "\n")
-    whole = F.col("_drop").isNull() | (F.col("_chars") > most_share * (F.length(text) - F.size(all_lines) + 1))
-    left = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("_drop", i)), "\n")
+    left = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains(numbers, i)), "\n")
     return joined.select(
-        *[F.when(whole, text).otherwise(left).alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
-        F.size(all_lines).cast("long").alias("n_lines"),
-        F.when(whole, 0).otherwise(F.size("_drop")).cast("long").alias("n_dropped"),
+        *[F.when(F.col(numbers).isNull(), text).otherwise(left).alias(c) if c == "text" else col(c) for c in docs.columns],
+        F.size(all_lines).cast("long").alias(fresh(docs, "n_lines")),
+        F.coalesce(F.size(numbers), F.lit(0)).cast("long").alias(fresh(docs, "n_dropped")),
     )
 
 
@@ -65,8 +92,7 @@ SQL = r"""
     p AS (SELECT *, len(tokens) AS n, array_to_string(list_transform(tokens[1:8], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' ') AS lead FROM k),
     r AS (SELECT n, lead FROM p WHERE tokens[1] <> '' GROUP BY n, lead HAVING count(DISTINCT text) >= 10),
     m AS (SELECT p.*, r.n IS NOT NULL AS recurs FROM p LEFT JOIN r ON p.n = r.n AND p.lead = r.lead AND p.tokens[1] <> ''),
-    d AS (SELECT text, count(*) AS n_lines, count(*) FILTER (WHERE recurs) AS n_recur,
-                 coalesce(sum(length(line)) FILTER (WHERE recurs), 0) > 0.5 * sum(length(line)) AS whole,
+    d AS (SELECT text, count(*) AS n_lines, count(*) FILTER (WHERE recurs) AS n_dropped,
                  coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT recurs), '') AS kept FROM m GROUP BY text)
-    SELECT doc_id, CASE WHEN whole THEN d.text ELSE kept END AS text, n_lines, CASE WHEN whole THEN 0 ELSE n_recur END AS n_dropped
+    SELECT doc_id, kept AS text, n_lines, n_dropped
     FROM t JOIN d ON t.text = d.text"""

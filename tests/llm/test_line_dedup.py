@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import pytest
 from cases import awkward, documents, words
+from pyspark.sql import functions as F
 
 from lodestone.llm import queries
 from lodestone.llm.line_dedup import line_dedup
@@ -15,7 +16,7 @@ def template(line):
     return (len(tokens), tuple("<*>" if re.search("[0-9]", t) else t for t in tokens[:8])) if tokens else None
 
 
-def brute(rows, min_docs, most_share=0.5):
+def brute(rows, min_docs):
     texts = defaultdict(set)
     for _, t in rows:
         for line in (t or "").split("\n"):
@@ -25,8 +26,6 @@ def brute(rows, min_docs, most_share=0.5):
     for i, t in rows:
         lines = (t or "").split("\n")
         drop = [template(x) is not None and len(texts[template(x)]) >= min_docs for x in lines]
-        if sum(len(x) for x, d in zip(lines, drop, strict=True) if d) > most_share * sum(map(len, lines)):
-            drop = [False] * len(lines)
         out.append((i, "\n".join(x for x, d in zip(lines, drop, strict=True) if not d), len(lines), sum(drop)))
     return sorted(out, key=str)
 
@@ -44,7 +43,7 @@ def logs():
 
 @pytest.mark.parametrize(("rows", "min_docs"), [(logs(), 10), (logs(), 60), (logs(), 63), (awkward(), 2), ([], 2)])
 def test_brute_force(spark, rows, min_docs):
-    assert found(documents(spark, rows, key="clash", template="clash", size="clash"), min_docs) == brute(rows, min_docs)
+    assert found(documents(spark, rows, key="clash", template="clash", size="clash", numbers="clash", _drop="clash"), min_docs) == brute(rows, min_docs)
 
 
 def test_sql(spark, small):
@@ -56,3 +55,31 @@ def test_sql(spark, small):
 def test_no_python_in_the_plan(spark):
     plan = line_dedup(documents(spark, logs()), 10)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["key", "KEY_", "size", "numbers", "line_no", "chars", "n_lines", "n_dropped", "_key", "_size", "_drop", "_chars", "template", "a.b"]
+    df = documents(spark, logs()).withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    out = line_dedup(df, 10)
+    assert out.columns == [*df.columns, "n_lines_", "n_dropped_"]
+    rows = out.collect()
+    assert len(rows) == len(logs()) and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names) and any(r["n_dropped_"] for r in rows)
+
+
+def plain(n, seed, vocabulary):
+    """Words without digits: each line has a template of its own."""
+    return words(n, seed, vocabulary).translate(str.maketrans("0123456789", "abcdefghij"))
+
+
+def test_copies_are_spared(spark):
+    """A family of near copies stays whole; short pages that share more than half of themselves are cleaned."""
+    story = [plain(14, 300 + k, 5000) for k in range(12)]
+    family = [(i, "\n".join([*story[: i % 12], f"{plain(12, 400 + i, 5000)} edit", *story[i % 12 + 1 :]])) for i in range(24)]
+    common = [plain(10, 500 + k, 5000) for k in range(6)]
+    pages = [(100 + i, "\n".join([*common, *[plain(9, 600 + 10 * i + k, 5000) for k in range(4)]])) for i in range(20)]
+    rows = family + pages + [(200, None), (201, "")]
+    left = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_dedup(documents(spark, rows), 10, spare_copies=True).collect()}
+    assert all(left[i] == (t, 0) for i, t in family)
+    assert all(left[i] == ("\n".join(t.split("\n")[6:]), 6) for i, t in pages)
+    assert left[200] == ("", 0) and left[201] == ("", 0)
+    assert line_dedup(documents(spark, []), 10, spare_copies=True).count() == 0
