@@ -26,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines of recurring templates."""
-    return _measured(line_dedup(docs, min_docs=10), docs.columns)
+    """Documents without lines of recurring templates; near copies are left to the next stage."""
+    return _measured(line_dedup(docs, min_docs=10, spare_copies=True), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
