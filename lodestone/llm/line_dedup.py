@@ -27,7 +27,7 @@ LEAD = 8
 GAP = "[ \\t\\x0B\\f\\r]+"
 FIELD = "<*>"
 #: Copies have so much of their templates in common with the first text of one of PROBES groups; recurring lines are more than MOST of their characters.
-ALIKE, PROBES, MOST = 0.8, 4, 0.5
+ALIKE, PROBES, MOST = 0.6, 4, 0.5
 
 
 def parsed(docs: DataFrame) -> DataFrame:
