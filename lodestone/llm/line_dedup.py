@@ -53,7 +53,7 @@ def copies(lines: DataFrame, marked: DataFrame) -> DataFrame:
     share = lines.select(*of, "line_no", "chars").distinct().groupBy(*of).agg(F.sum("chars").alias("all"))
     most = marked.groupBy(*of).agg(F.sum("chars").alias("recur")).join(share, of).filter(F.col("recur") > MOST * F.col("all")).select(*of)
     sets = cut(lines.join(most, of).groupBy(*of).agg(F.collect_set("template").alias("templates")))
-    probes = F.array(*[F.array_min(F.transform("templates", lambda x, i=i: F.xxhash64(x, F.lit(i)))) for i in range(PROBES)])
+    probes = F.array(*[F.array_min(F.transform("templates", lambda x: F.xxhash64(x, F.lit(i)))) for i in range(PROBES)])  # noqa: B023
     probed = sets.select(*of, "templates", F.posexplode(probes).alias("probe", "least"))
     first = F.min(F.struct(F.col("key").alias("k"), F.col("size").alias("s"), F.col("templates").alias("those"))).alias("first")
     heads = probed.groupBy("probe", "least").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").select("probe", "least", "first.*")
