@@ -16,7 +16,7 @@ with a context of at most 2 * width - k bytes.
 5. Each document gets its marked spans and is cut.
 
 Defined results: null text counts as empty; texts shorter than ``width`` stay whole; equal rows (same doc_id and text) are two
-places, so both lose the text; an empty table gives no rows; other columns are ignored. Windows are told apart by two 64-bit
+places, so both lose the text; an empty table gives no rows; other columns stay, whatever their names. Windows are told apart by two 64-bit
 hashes where they are counted, and by their bytes in the suffix arrays.
 """
 
@@ -29,11 +29,11 @@ from functools import lru_cache, reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from .common import cut, filter_log2, mix, repeated_filter, slices, text_buffer, text_rows
+from .common import col, cut, drop, filter_log2, fresh, mix, repeated_filter, slices, text_buffer, text_rows
 from .suffix_array import repeated_starts
 
 BLOCK = 1 << 18
@@ -137,7 +137,7 @@ def signed(h: np.ndarray) -> pa.Array:
 
 
 def repeated_spans(docs: DataFrame, width: int = 200) -> DataFrame:
-    """rid, doc_id, start, stop (bytes) of repeated windows, not yet merged. ``docs`` has doc_id, text, rid."""
+    """rid, doc_id, start, stop (bytes) of maximal repeated runs. ``docs`` has doc_id, text, rid."""
     sc = docs.sparkSession.sparkContext
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,8 +167,10 @@ def repeated_spans(docs: DataFrame, width: int = 200) -> DataFrame:
             yield pa.RecordBatch.from_arrays([signed(place_key(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], ["h"])
 
     wanted = sc.broadcast(repeated_filter(to_fetch.mapInArrow(keys, "h long"), filter_log2(to_fetch.count()), least=1))
+    drop(to_fetch)
     large = mixed.filter(F.col("bytes") > MOST_BYTES).select("h")
     dealt = sc.broadcast(repeated_filter(large, filter_log2(large.count()), least=1))
+    drop(mixed)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,23 +221,38 @@ def repeated_spans(docs: DataFrame, width: int = 200) -> DataFrame:
         by_key = rows.select("rid", "doc_id", "first", "h", "body").repartition("h").sortWithinPartitions("h")
         return by_key.mapInArrow(arrays, "rid long, doc_id long, start long, stop long")
 
-    found_in = [in_arrays(fetched.filter("NOT many"))]
-    rest = fetched.filter("many")
+    found_in = [cut(in_arrays(fetched.filter("NOT many")))]
+    source, rest = fetched, fetched.filter("many")
     for step in PIECES:
         if rest.isEmpty():
             break
         dealt_rows = cut(_pieces(rest, width, step))
+        drop(source)
         kinds = cut(dealt_rows.groupBy("h", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "first")).alias("one"), F.max(F.octet_length("body")).alias("size")))
-        repeated = cut(kinds.filter("n > 1").select("h", "content"))
-        found_in.append(dealt_rows.join(repeated, ["h", "content"]).select("rid", "doc_id", F.col("first").alias("start"), (F.col("first") + F.octet_length("body")).alias("stop")))
-        keys_of = cut(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("bytes")).filter("kinds > 1"))
+        repeated = kinds.filter("n > 1").select("h", "content")
+        found_in.append(cut(dealt_rows.select("h", "content", "rid", "doc_id", F.col("first").alias("start"), (F.col("first") + F.octet_length("body")).alias("stop")).join(repeated, ["h", "content"]).drop("h", "content")))
+        keys_of = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("bytes")).filter("kinds > 1")
         needed = cut(kinds.join(keys_of, "h").select("h", "content", "one.rid", "one.first", (F.col("bytes") > MOST_BYTES).alias("many")))
-        held = cut(dealt_rows.join(needed, ["h", "content", "rid", "first"]).select("rid", "doc_id", "first", "place", "h", "many", "body"))
-        found_in.append(in_arrays(held.filter("NOT many")))
-        rest = held.filter("many")
-    copies = cut(contexts.filter("n > 1").select("h", "context"))
+        source = cut(dealt_rows.join(needed, ["h", "content", "rid", "first"]).select("rid", "doc_id", "first", "place", "h", "many", "body"))
+        drop(dealt_rows, kinds, needed)
+        found_in.append(cut(in_arrays(source.filter("NOT many"))))
+        rest = source.filter("many")
+    drop(source)
+    copies = contexts.filter("n > 1").select("h", "context")
     whole = found.join(copies, ["h", "context"]).select("rid", "doc_id", F.col("first").alias("start"), (F.col("last") + width).alias("stop"))
-    return reduce(DataFrame.unionByName, found_in, whole)
+    out = cut(_merged(reduce(DataFrame.unionByName, found_in, whole)))
+    drop(found, contexts, *found_in)
+    return out
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """Spans (rid, doc_id, start, stop) of which those of a document that overlap or touch are one."""
+    once = spans.groupBy("rid", "doc_id", "start").agg(F.max("stop").alias("stop"))
+    in_order = Window.partitionBy("rid", "doc_id").orderBy("start")
+    reached = F.max("stop").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = once.withColumn("begins", F.coalesce((F.col("start") > reached).cast("int"), F.lit(1)))
+    numbered = begins.withColumn("run", F.sum("begins").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("rid", "doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
 
 
 def _pieces(rows: DataFrame, width: int, step: int) -> DataFrame:
@@ -262,20 +279,16 @@ def _pieces(rows: DataFrame, width: int, step: int) -> DataFrame:
 
 def suffix_dedup(docs: DataFrame, width: int = 200, as_text: bool = False) -> DataFrame:
     """doc_id, row (the other columns), kept (the bytes left; as text without what is left of characters that were cut through), spans (array of start, stop: maximal removed runs), n_bytes, one row per row of ``docs``."""
-    docs = text_rows(docs, F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c not in ("doc_id", "text")]).alias("row")).withColumn("rid", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(docs.drop("row"), width).groupBy("rid", "doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    others = [col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    docs = text_rows(docs, F.struct(F.lit(0).alias(fresh(docs, "none")), *others).alias("row")).withColumn("rid", F.xxhash64("doc_id", "text"))
+    spans = repeated_spans(docs.drop("row"), width).groupBy("rid", "doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     joined = docs.join(spans.withColumnRenamed("doc_id", "id"), (docs["rid"] == spans["rid"]) & F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "row", "text", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             kept, runs, sizes = [], [], []
             for text, marks in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                data, merged = text.encode(), []
-                for mark in marks or ():
-                    if merged and mark["start"] <= merged[-1]["stop"]:
-                        merged[-1]["stop"] = max(merged[-1]["stop"], mark["stop"])
-                    else:
-                        merged.append(dict(mark))
+                data, merged = text.encode(), marks or []
                 at, left = 0, []
                 for run in merged:
                     left.append(data[at : run["start"]])
@@ -304,4 +317,4 @@ def digest(cut_docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
     """``docs`` with repeated passages cut out of text; what is left of a character that was cut through goes too."""
     left = suffix_dedup(docs, width, as_text=True)
-    return left.select(*[F.col("kept").alias(c) if c == "text" else F.col(c) if c == "doc_id" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return left.select(*[F.col("kept").alias(c) if c == "text" else F.col(c) if c == "doc_id" else col("row")[c].alias(c) for c in docs.columns])

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from cases import awkward, documents, words
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -72,6 +73,29 @@ def test_without_repeats_keeps_columns_and_characters(spark):
     assert left[3]["text"] == "" and "é" not in left[1]["text"] and left[1]["text"].startswith("one")
 
 
+def test_columns_of_any_name_stay(spark):
+    names = ["_", "none", "NONE_", "row", "rid", "spans", "kept", "n_bytes", "h", "a.b", "start"]
+    df = documents(spark, passages()).withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    out = S.without_repeats(df)
+    assert out.columns == df.columns
+    rows = out.collect()
+    assert len(rows) == len(passages()) and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+
+
+def test_texts_longer_than_a_block(spark):
+    """Repeats within, across and at the edges of the blocks that a long text is gone through in; and runs of one short period."""
+    passage = words(60, 5, 5000)
+    long = list(words(60_000, 8, 90_000))
+    for at in (10, S.BLOCK - 300, S.BLOCK - 100, 2 * S.BLOCK - 450, len(long) - len(passage)):
+        long[at : at + len(passage)] = passage
+    rows = [(1, "".join(long)), (2, passage[5:305]), (3, words(400, 6, 5000))]
+    assert len(rows[0][1]) > 300_000
+    assert found(documents(spark, rows)) == brute(rows)
+    period = "abc" * 700_000
+    (got,) = found(documents(spark, [(1, period)]))
+    assert got == (1, len(period), len(period), 1, hashlib.sha256(b"").hexdigest())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(min_size=0, max_size=60).map(lambda b: bytes(x % 3 + 97 for x in b)), min_size=1, max_size=6))
 def test_suffix_arrays(texts):
