@@ -6,11 +6,12 @@ pairs, directly or through others, are one group, of which the row of least doc_
 1. Texts of the same words (A-Z lower-cased) are one text.
 2. Candidate groups are (a) texts whose fingerprints are linked by the trie self-join of simhash.py, and (b) texts that have one
    of their first shingles in common. Shingles are ordered by frequency, then hash; two sets of similarity s share s * n shingles
-   at least, n being the size of either, so that the first one they share is among the first n - s * n + 1 of both.
+   at least, n being the size of either, so that of the first n - s * n + k of both, k at least are shared. k grows with n
+   (MORE): a text with fewer first shingles that occur elsewhere has no near duplicate, and chance meetings of texts end there.
 3. ROUNDS times, one text of each group (the same one for most groups of a family) is compared with all others that aren't in its
    component yet: as many comparisons as groups have members, and most large groups become one component.
-4. All pairs with a first shingle in common that are still in different components are compared, whatever their number: none
-   of ``similarity`` is missed. Such pairs grow with the square of a group only where its texts are alike below ``similarity``.
+4. All pairs that share enough of their first shingles and are still in different components are compared, whatever their
+   number: none of ``similarity`` is missed. They grow with the square of a group only where its texts are alike below that.
 
 Shingles decide in 3 and 4. Neither the size of a group nor the fingerprints change the result.
 
@@ -28,7 +29,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Bloom, col, cut, drop, filter_log2, fresh, mix, repeated_filter, slices, text_buffer
@@ -40,6 +41,8 @@ SEEDS, NEAR = 4, 3
 ROUNDS = 2
 #: Frequent shingles are those of OFTEN texts or more in one text of SAMPLE. They set an order of shingles only.
 SAMPLE, OFTEN = 8, 8
+#: What the number of first shingles that near duplicates have in common grows by with the size of their sets.
+MORE = 0.05
 #: Words whose hashes a task keeps at hand.
 KEPT = 500_000
 _ODD = np.random.default_rng(11).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -141,7 +144,7 @@ def _sketches(rows: DataFrame, words: int, similarity: float, seeds: int) -> Dat
                 keys.append(text_key(tokens))
                 sizes.append(len(h))
                 codes.append(many_fingerprints(shingle_hashes(hashes, 2), seeds))
-                firsts.append(np.concatenate([h[~last], h[last]])[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].tobytes())
+                firsts.append(np.concatenate([h[~last], h[last]])[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 + int(MORE * len(h))].tobytes())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "rid", "rid2")), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(codes, pa.list_(pa.int64())), pa.array(firsts, pa.binary())], ["doc_id", "rid", "rid2", "key", "size", "codes", "prefix"])
 
     return rows.mapInArrow(run, "doc_id long, rid long, rid2 long, key binary, size int, codes array<long>, prefix binary")
@@ -162,8 +165,8 @@ def _sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return cut(rows.select("rid", "text").mapInArrow(run, "key binary, shingles binary").dropDuplicates(["key"]))
 
 
-def _first_shingles(sketched: DataFrame, firsts: DataFrame) -> DataFrame:
-    """shingle, key, at and size (of its set) of the first shingles of each text of ``firsts`` (rid) that some other text may have among its first ones."""
+def _first_shingles(sketched: DataFrame, firsts: DataFrame, similarity: float) -> DataFrame:
+    """shingle, key, at and size (of its set) of the first shingles that some other text may have among its first ones, of the texts of ``firsts`` (rid) with enough of them."""
     chosen = sketched.sparkSession.sparkContext.broadcast(_hashes(firsts, "rid"))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
@@ -181,11 +184,13 @@ def _first_shingles(sketched: DataFrame, firsts: DataFrame) -> DataFrame:
 
     of = sketched.select("rid", "key", "size", "prefix")
     n = of.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
-    again = sketched.sparkSession.sparkContext.broadcast(repeated_filter(of.mapInArrow(every, "h long"), filter_log2(n // 8)))
+    again = sketched.sparkSession.sparkContext.broadcast(repeated_filter(of.mapInArrow(every, "h long"), filter_log2(n // 8, 6)))
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, h, owner, at in prefixes(batches):
-            on = np.flatnonzero(again.value.has(h))
+            shared = again.value.has(h)
+            least = 1 + (MORE * similarity * batch.column("size").to_numpy()).astype(np.int64)
+            on = np.flatnonzero(shared & (np.bincount(owner, shared, len(least)) >= least)[owner])
             of_rows = batch.select(["key", "size"]).take(pa.array(owner[on]))
             yield pa.RecordBatch.from_arrays([pa.array(h[on].view(np.int64)), of_rows.column(0), pa.array(at[on].astype(np.int32)), of_rows.column(1)], ["shingle", "key", "at", "size"])
 
@@ -199,27 +204,35 @@ def _named(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
     return groups.join(labels.withColumnRenamed("code", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
+def _shared(similarity: float) -> Column:
+    """How many of their first shingles two texts (of sizes size and s) of ``similarity`` share at least."""
+    both = F.ceil(similarity / (1 + similarity) * (F.col("size") + F.col("s")) - 1e-9)
+    own = [both - F.ceil(similarity * F.col(n) - 1e-9) + 1 + F.floor(MORE * F.col(n)) for n in ("size", "s")]
+    return F.least(*own)
+
+
 def _with_one(groups: DataFrame, labels: DataFrame | None, similarity: float, salt: int) -> DataFrame:
-    """key, head (key < head) of the pairs of one text of each group with all others that aren't in its component."""
+    """key, head (key < head) of the pairs of one text of each group with all others that aren't in its component and may be alike."""
     named = cut(_named(groups, labels))
     central = F.col("at") if salt % 2 == 0 else F.lit(0)  # texts with few shingles of their own come early among those that share one
     one = F.min(F.struct(central.alias("first"), F.xxhash64("key", F.lit(salt)).alias("order"), F.col("key").alias("head"), F.col("label").alias("its"), F.col("size").alias("s"))).alias("one")
     heads = cut(named.groupBy("group").agg(one, F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("group", "one.head", "one.its", "one.s"))
     pairs = named.join(heads, "group").filter((F.col("label") != F.col("its")) & (F.least("size", "s") >= similarity * F.greatest("size", "s") - 1e-9))
-    out = cut(pairs.select(F.least("key", "head").alias("key"), F.greatest("key", "head").alias("head")).distinct())
+    counted = pairs.groupBy(F.least("key", "head").alias("key"), F.greatest("key", "head").alias("head")).agg(F.count_if(F.col("at") >= 0).alias("shared"), F.count_if(F.col("at") < 0).alias("coded"), F.min(_shared(similarity)).alias("least"))
+    out = cut(counted.filter("coded > 0 OR 4 * shared >= least").select("key", "head"))
     drop(named, heads)
     return out
 
 
 def _all_left(firsts: DataFrame, labels: DataFrame | None, similarity: float) -> DataFrame:
-    """key, head (key < head) of the pairs that may have ``similarity``, have a first shingle in common and are in different components."""
-    every = cut(_named(firsts, labels))
+    """key, head (key < head) of the pairs that share as many first shingles as those of ``similarity`` do and are in different components."""
+    every = cut(_named(firsts.drop("at"), labels))
     mixed = every.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("shingle")
     named = cut(every.join(mixed, "shingle"))
-    other = named.select("shingle", F.col("key").alias("head"), F.col("label").alias("its"), F.col("at").alias("a"), F.col("size").alias("s"))
-    # of the first shingle that two texts share, what follows in either is the rest of what they can share
-    rest = F.least(F.col("size") - F.col("at"), F.col("s") - F.col("a")) >= similarity / (1 + similarity) * (F.col("size") + F.col("s")) - 1e-9
-    out = cut(named.join(other, "shingle").filter((F.col("key") < F.col("head")) & (F.col("label") != F.col("its")) & rest).select("key", "head").distinct())
+    other = named.select("shingle", F.col("key").alias("head"), F.col("label").alias("its"), F.col("size").alias("s"))
+    pairs = named.join(other, "shingle").filter((F.col("key") < F.col("head")) & (F.col("label") != F.col("its")) & (F.least("size", "s") >= similarity * F.greatest("size", "s") - 1e-9))
+    counted = pairs.groupBy("key", "head").agg(F.count(F.lit(1)).alias("shared"), F.min(_shared(similarity)).alias("least"))
+    out = cut(counted.filter("shared >= least").select("key", "head"))
     drop(every, named)
     return out
 
@@ -248,8 +261,8 @@ def near_links(rows: DataFrame, sketched: DataFrame, texts: DataFrame, words: in
     linked = links(codes.select("seed", "code").distinct(), budget)
     labels = components(linked.select(name("a").alias("a"), name("b").alias("b")))
     marked = codes.withColumn("node", name("code")).join(labels.withColumnRenamed("code", "node"), "node", "left")
-    by_code = marked.select(F.coalesce("label", "node").alias("group"), "key", F.lit(0).alias("at"), "size")
-    firsts = _first_shingles(sketched, texts.select("order.rid"))
+    by_code = marked.select(F.coalesce("label", "node").alias("group"), "key", F.lit(-1).alias("at"), "size")
+    firsts = _first_shingles(sketched, texts.select("order.rid"), similarity)
     groups = cut(by_code.union(firsts.select(F.col("shingle").alias("group"), "key", "at", "size")))
     drop(codes, linked, labels)
     found, tried, own = [], [], None

@@ -3,6 +3,7 @@ import re
 import pytest
 from cases import awkward, documents, words
 from test_line_dedup import brute as lines_brute
+from test_line_dedup import plain
 from test_suffix_dedup import brute as spans_brute
 
 import corpus_pipeline as P
@@ -16,9 +17,9 @@ def write(spark, folder, rows, labels):
 
 def test_stages(spark, tmp_path):
     """Each stage on a small corpus: what it has to catch goes, clean documents stay, columns stay."""
-    shared, line = words(80, 1), "Visit us at page 7 for more"
-    rows = [(i, f"{words(60, 10 + i)}\n{line}\n{words(50, 300 + i)}") for i in range(30)]
-    rows += [(40, rows[0][1] + " end"), (41, words(90, 2_000) + "\n" + shared), (42, words(70, 2_001) + "\n" + shared), (43, None), (44, "")]
+    shared, line = plain(120, 1, 400), "Visit us at page 7 for more"
+    rows = [(i, f"{plain(60, 10 + i, 400)}\n{line}\n{plain(50, 300 + i, 400)}") for i in range(30)]
+    rows += [(40, rows[0][1] + " end"), (41, plain(90, 2_000, 400) + "\n" + shared), (42, plain(70, 2_001, 400) + "\n" + shared), (43, None), (44, "")]
     folder = write(spark, tmp_path / "d", rows, [])
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     stages = [f for _, f in P.STAGES]
