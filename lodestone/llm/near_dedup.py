@@ -36,13 +36,13 @@ from .common import Bloom, col, cut, drop, filter_log2, fresh, mix, repeated_fil
 from .simhash import LOWER, components, links
 
 #: Fingerprints of pairs of words for each of SEEDS hashes, linked at NEAR bits.
-SEEDS, NEAR = 4, 3
+SEEDS, NEAR = 2, 3
 #: Rounds in which one text of each group is compared with all others.
 ROUNDS = 2
 #: Frequent shingles are those of OFTEN texts or more in one text of SAMPLE. They set an order of shingles only.
 SAMPLE, OFTEN = 8, 8
 #: What the number of first shingles that near duplicates have in common grows by with the size of their sets.
-MORE = 0.05
+MORE = 0.02
 #: Words whose hashes a task keeps at hand.
 KEPT = 500_000
 _ODD = np.random.default_rng(11).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -225,13 +225,19 @@ def _with_one(groups: DataFrame, labels: DataFrame | None, similarity: float, sa
 
 
 def _all_left(firsts: DataFrame, labels: DataFrame | None, similarity: float) -> DataFrame:
-    """key, head (key < head) of the pairs that share as many first shingles as those of ``similarity`` do and are in different components."""
-    every = cut(_named(firsts.drop("at"), labels))
+    """key, head (key < head) of the pairs that share as many first shingles as those of ``similarity`` do and are in different components.
+
+    What follows the i-th shingle that two texts share is, in either, all they can share beside the i before: of pairs of
+    ``similarity``, the first ones that they share come early in both.
+    """
+    every = cut(_named(firsts, labels))
     mixed = every.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("shingle")
     named = cut(every.join(mixed, "shingle"))
-    other = named.select("shingle", F.col("key").alias("head"), F.col("label").alias("its"), F.col("size").alias("s"))
-    pairs = named.join(other, "shingle").filter((F.col("key") < F.col("head")) & (F.col("label") != F.col("its")) & (F.least("size", "s") >= similarity * F.greatest("size", "s") - 1e-9))
-    counted = pairs.groupBy("key", "head").agg(F.count(F.lit(1)).alias("shared"), F.min(_shared(similarity)).alias("least"))
+    other = named.select("shingle", F.col("key").alias("head"), F.col("label").alias("its"), F.col("size").alias("s"), F.col("at").alias("a"))
+    enough = 1 + F.floor(MORE * F.least("size", "s"))
+    rest = F.least(F.col("size") - F.col("at"), F.col("s") - F.col("a")) >= similarity / (1 + similarity) * (F.col("size") + F.col("s")) - 1e-9 - enough + 1
+    near = (F.col("key") < F.col("head")) & (F.col("label") != F.col("its")) & (F.least("size", "s") >= similarity * F.greatest("size", "s") - 1e-9) & rest
+    counted = named.join(other, "shingle").filter(near).groupBy("key", "head").agg(F.count(F.lit(1)).alias("shared"), F.min(enough).alias("least"))
     out = cut(counted.filter("shared >= least").select("key", "head"))
     drop(every, named)
     return out

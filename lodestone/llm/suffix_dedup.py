@@ -282,7 +282,8 @@ def suffix_dedup(docs: DataFrame, width: int = 200, as_text: bool = False) -> Da
     others = [col(c) for c in docs.columns if c not in ("doc_id", "text")]
     docs = text_rows(docs, F.struct(F.lit(0).alias(fresh(docs, "none")), *others).alias("row")).withColumn("rid", F.xxhash64("doc_id", "text"))
     spans = repeated_spans(docs.drop("row"), width).groupBy("rid", "doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    joined = docs.join(spans.withColumnRenamed("doc_id", "id"), (docs["rid"] == spans["rid"]) & F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "row", "text", "spans")
+    # the spans grow with the corpus: never broadcast
+    joined = docs.join(spans.withColumnRenamed("doc_id", "id").hint("merge"), (docs["rid"] == spans["rid"]) & F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "row", "text", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
