@@ -34,19 +34,28 @@ def plain(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
 
 
+#: Characters on which phrases of one or two words meet texts.
+FIRST = 4
+
+
 def containing(texts: DataFrame, phrases: DataFrame, text: str, phrase: str) -> DataFrame:
-    """Pairs of a text and a phrase of three words or more that it contains.
+    """Pairs of a text and a phrase that it contains; empty phrases are in none.
 
     An inner word of a contained phrase is a whole word of the text, so the pairs meet on the phrase's longest inner word and
-    only those are compared, rather than each text with each phrase. They meet by the texts' hashes; the texts themselves are
-    moved once, to their candidates.
+    only those are compared, rather than each text with each phrase. Phrases of one or two words have no inner word and meet on
+    their first characters. They meet by two hashes of the texts; the texts themselves are moved once, to their candidates.
     """
     inner = F.slice(F.split("_phrase", " "), 2, F.greatest(F.lit(0), F.size(F.split("_phrase", " ")) - 2))
-    longest = F.element_at(F.array_sort(inner, lambda a, b: F.length(b) - F.length(a)), 1)
-    keyed = phrases.withColumn("_phrase", plain(F.col(phrase))).filter("size(split(_phrase, ' ')) > 2").withColumn("_anchor", longest)
-    named = texts.withColumn("_text", plain(F.col(text))).withColumn("_id", F.xxhash64("_text"))
+    longest = F.try_element_at(F.array_sort(inner, lambda a, b: F.length(b) - F.length(a)), F.lit(1))
+    keyed = phrases.withColumn("_phrase", plain(F.col(phrase))).filter("_phrase <> ''").withColumn("_anchor", longest)
+    named = texts.withColumn("_text", plain(F.col(text))).withColumn("_id", F.struct(F.xxhash64("_text"), F.xxhash64(F.lit("second"), "_text")))
     words = named.select("_id", F.explode(F.array_distinct(F.split("_text", " "))).alias("_anchor"))
-    candidates = words.join(keyed.select("_phrase", "_anchor").distinct(), "_anchor").select("_id", "_phrase").distinct()
+    candidates = words.join(keyed.select("_phrase", "_anchor").filter("_anchor IS NOT NULL").distinct(), "_anchor").select("_id", "_phrase")
+    short = keyed.filter("_anchor IS NULL").select("_phrase").distinct()
+    for n in range(1, FIRST + 1):
+        begins = short.filter(F.length("_phrase") == n if n < FIRST else F.length("_phrase") >= n).withColumn("_anchor", F.substring("_phrase", 1, n))
+        candidates = candidates.union(named.select("_id", F.explode(grams(F.col("_text"), n)).alias("_anchor")).join(begins, "_anchor").select("_id", "_phrase"))
+    candidates = candidates.distinct()
     found = named.join(candidates, "_id").filter(F.contains("_text", F.col("_phrase")))
     return found.join(keyed, "_phrase").drop("_id", "_anchor", "_text", "_phrase")
 

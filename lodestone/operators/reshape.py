@@ -2,50 +2,95 @@
 
 from __future__ import annotations
 
-import html
-import re
 from collections.abc import Iterator, Sequence
+from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+from pyspark.sql.types import StructType
+
+#: Fixed value: headers of periods (a year, perhaps with its quarter, a month, or the total).
+PERIOD = r"^(\d{4}년( \d/4분기)?|\d{1,2}월|계)$"
+#: Columns that a cell can span, as HTML has it.
+WIDEST = 1000
+
+
+class TableReader(HTMLParser):
+    """Rows of (text, rows spanned, columns spanned) of each table of a page, in the order in which tables begin."""
+
+    def __init__(self, page: str):
+        super().__init__()
+        self.tables: list[list[list[tuple[list[str], int, int]]]] = []
+        self.open: list[dict] = []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "table":
+            self.tables.append([])
+            self.open.append({"rows": self.tables[-1], "cell": None})
+        elif self.open and tag == "tr":
+            self.open[-1]["rows"].append([])
+            self.open[-1]["cell"] = None
+        elif self.open and tag in ("td", "th") and self.open[-1]["rows"]:
+            given = dict(attrs)
+            down, across = (int(v) if (v := (given.get(k) or "").strip()).isascii() and v.isdigit() else 1 for k in ("rowspan", "colspan"))
+            self.open[-1]["cell"] = []
+            self.open[-1]["rows"][-1].append((self.open[-1]["cell"], max(1, down), min(WIDEST, max(1, across))))
+
+    def handle_endtag(self, tag: str) -> None:
+        if self.open and tag == "table":
+            self.open.pop()
+        elif self.open and tag in ("td", "th", "tr"):
+            self.open[-1]["cell"] = None
+
+    def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1]["cell"] is not None:
+            self.open[-1]["cell"].append(data)
+
+
+def grid(rows: list[list[tuple[list[str], int, int]]]) -> list[list[str]]:
+    """Lines of equal width: spanned cells repeated as far as the table has rows, a later cell before an earlier one, empty text in gaps."""
+    lines: list[dict[int, str]] = []
+    hanging: dict[int, list[tuple[str, int]]] = {}  # column: text and last row of the cells that reach down, the latest last
+    for r, cells in enumerate(rows):
+        hanging = {c: left for c, over in hanging.items() if (left := [x for x in over if x[1] >= r])}
+        line = {c: over[-1][0] for c, over in hanging.items()}
+        place = 0
+        for parts, down, across in cells:
+            while place in line:
+                place += 1
+            text = " ".join(" ".join(parts).split())
+            for c in range(place, place + across):
+                line[c] = text
+                if down > 1:
+                    hanging.setdefault(c, []).append((text, r + down - 1))
+            place += across
+        lines.append(line)
+    width = max((c + 1 for line in lines for c in line), default=0)
+    return [[line.get(c, "") for c in range(width)] for line in lines] if width else []
 
-PERIOD = r"^(\d{4}년.*|\d{1,2}월|계)$"
 
+def table_cells(pages: DataFrame, key: str, source: str) -> DataFrame:
+    """key, table_no, row_no, col_no and cell of all tables (that have cells) of all pages; null pages have none.
 
-def _cells(source: str) -> Iterator[tuple[int, int, int, str]]:
-    """table, row, column and text of every cell of a page, spanned cells repeated."""
-    for number, body in enumerate(re.findall(r"<table.*?</table>", source, re.DOTALL)):
-        taken: set[tuple[int, int]] = set()
-        for r, row in enumerate(re.findall(r"<tr.*?</tr>", body, re.DOTALL)):
-            c = 0
-            for attributes, inner in re.findall(r"<t[hd]([^>]*)>(.*?)</t[hd]>", row, re.DOTALL):
-                while (r, c) in taken:
-                    c += 1
-                span = {k: int(v) for k, v in re.findall(r'(rowspan|colspan)="?(\d+)', attributes)}
-                text = " ".join(html.unescape(re.sub(r"<[^>]+>", " ", inner)).split())
-                for i in range(span.get("rowspan", 1)):
-                    for j in range(span.get("colspan", 1)):
-                        taken.add((r + i, c + j))
-                        yield number, r + i, c + j, text
-                c += span.get("colspan", 1)
-
-
-@udtf(returnType="table_no int, row_no int, col_no int, cell string")
-class TableCells:
-    """Places of cells depend on the spans of those before, which no regular expression can follow."""
-
-    def eval(self, source: str) -> Iterator[tuple[int, int, int, str]]:
-        if source:
-            yield from _cells(source)
+    Places of cells depend on the spans of those before, which no expression can follow.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 200):
+                some = batch.slice(k, 200)
+                found: list[tuple[int, int, int, int, str]] = []
+                for i, page in enumerate(some.column(1).to_pylist()):
+                    filled = [g for rows in TableReader(page or "").tables if (g := grid(rows))]
+                    found += [(i, t, r, c, text) for t, g in enumerate(filled) for r, line in enumerate(g) for c, text in enumerate(line)]
+                numbers = [pa.array([x[j] for x in found], pa.int32()) for j in range(4)]
+                yield pa.RecordBatch.from_arrays([some.column(0).take(numbers[0]), *numbers[1:], pa.array([x[4] for x in found], pa.string())], [key, "table_no", "row_no", "col_no", "cell"])
 
-def table_cells(pages: DataFrame, key: str, source: str) -> DataFrame:
-    """key, table_no, row_no, col_no and cell of all tables of all pages."""
-    spark = pages.sparkSession
-    spark.udtf.register("table_cells", TableCells)
-    pages.select(F.col(key).alias("key"), F.col(source).alias("source")).createOrReplaceTempView("pages_with_tables")
-    return spark.sql("SELECT p.key, t.* FROM pages_with_tables p, LATERAL table_cells(p.source) t").withColumnRenamed("key", key)
+    rows = pages.select(F.col(key), F.col(source).alias("source"))
+    return rows.mapInArrow(run, StructType([rows.schema[0]]).add("table_no", "integer").add("row_no", "integer").add("col_no", "integer").add("cell", "string"))
 
 
 def long_facts(cells: DataFrame, key: str, skipped: str = "담당자명") -> DataFrame:
@@ -66,8 +111,11 @@ def wide(facts: DataFrame, key: str, column: str, value: str, ordinal: str, name
 
 
 def names_in(facts: DataFrame, column: str) -> list[str]:
-    """The columns that :func:`wide` can have: the different names, of which there are as many as a table can have columns."""
-    return [r[0] for r in facts.select(column).distinct().orderBy(column).limit(10_000).collect()]
+    """The columns that :func:`wide` can have: the different names, at most as many as a table can have columns."""
+    names = [r[0] for r in facts.select(column).distinct().orderBy(column).limit(10_001).collect()]
+    if len(names) > 10_000:
+        raise ValueError(f"{column} has more than 10,000 different names; none is left out")
+    return names
 
 
 def melted(df: DataFrame, key: str, columns: Sequence[str], separator: str = ";") -> DataFrame:

@@ -5,8 +5,10 @@ Statistics of the corpus (document frequency, lengths) are always of the whole i
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +78,34 @@ def top(scores: DataFrame, most: int = LIMIT, digits: int = 6) -> DataFrame:
     return ranked(scores.withColumn("score", F.round("score", digits)), [F.desc("score"), F.col("row")], most)
 
 
+def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, most: int, block: int = 1024, digits: int = 6) -> DataFrame:
+    """query, row, score, rank: the ``most`` vectors of largest dot product with each query, ties by row.
+
+    Both sides are dealt by hash into blocks of about ``block`` rows; each block of queries meets each block of vectors once, as
+    a product of matrices that leaves ``most`` rows of each query, so that no more than these are ranked in the end.
+    """
+
+    def packed(rows: DataFrame, name: str) -> DataFrame:
+        shares = max(1, -(-rows.count() // block))
+        dealt = rows.select(F.pmod(F.xxhash64(key), F.lit(shares)).alias(f"{name}_block"), F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
+        return dealt.groupBy(f"{name}_block").agg(F.collect_list(F.struct("k", "v")).alias(name))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for asked, held in zip(batch.column("asked"), batch.column("held"), strict=True):
+                ids, rows = (x.values.field("k").to_numpy(zero_copy_only=False) for x in (asked, held))
+                a, b = (np.array(x.values.field("v").to_pylist(), float).reshape(len(x.values), -1) for x in (asked, held))
+                scores = np.round(a @ b.T, digits)
+                order = np.lexsort((np.broadcast_to(rows, scores.shape), -scores), axis=1)[:, :most]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(rows[order].ravel()), pa.array(np.take_along_axis(scores, order, axis=1).ravel())], ["query", "row", "score"])
+
+    asked = packed(queries, "asked")
+    held = packed(vectors, "held").withColumn("asked_block", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-queries.count() // block)) - 1))))
+    pairs = held.withColumn("asked_block", F.col("asked_block").cast("long")).join(asked, "asked_block").select("asked", "held")
+    found = pairs.mapInArrow(run, "query long, row long, score double")
+    return ranked(found, [F.desc("score"), F.col("row")], most, ["query"])
+
+
 def hybrid(lexical: DataFrame, dense: DataFrame, candidates: DataFrame | None = None, most: int = LIMIT, least: float | None = None) -> DataFrame:
     """Both rankings of the candidates, fused: row, score, channels, rank."""
     if candidates is not None:

@@ -206,13 +206,13 @@ def t31_absolute_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_count("html", F.lit('href="/([^"]+)"')).cast("bigint").alias("n"), F.sha2(changed, 256).alias("digest"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, round_even(l_extendedprice / 8, 1) AS even, floor(l_extendedprice / 8 * 10 + 0.5) / 10 AS up, CAST(greatest(1, ceil(l_quantity / 7)) AS BIGINT) AS units FROM lineitem WHERE l_orderkey < 500""")
+@query("""SELECT l_orderkey, l_linenumber, round_even(l_extendedprice / 8, 1) AS even, floor(l_extendedprice / 8 * 10 + 0.5) / 10 AS up, CAST(greatest(1, ceil(l_quantity / 7)) AS BIGINT) AS units FROM lineitem""")
 def m5_roundings(spark, d):
     """Halves to even, halves up, and whole units of cost."""
     from ..functions.vectors import half_up
 
     eighth = F.col("l_extendedprice") / 8
-    rows = table(spark, d, "lineitem").filter("l_orderkey < 500")
+    rows = table(spark, d, "lineitem")
     return rows.select("l_orderkey", "l_linenumber", F.bround(eighth, 1).alias("even"), half_up(eighth).alias("up"), F.greatest(F.lit(1), F.ceil(F.col("l_quantity") / 7)).alias("units"))
 
 

@@ -25,6 +25,16 @@ def x1_html_table_grid(spark, d):
     return reshape.table_cells(_pages(spark, d), "p_partkey", "html")
 
 
+@query("""WITH g AS (SELECT p_partkey, unnest([(0, 0, 'a'), (0, 1, 'b'), (0, 2, p_brand), (1, 0, 'c'), (1, 1, p_type), (1, 2, p_type), (2, 0, 'e'), (2, 1, ''), (2, 2, p_brand)]) AS c FROM part)
+          SELECT p_partkey, 0 AS table_no, c[1] AS row_no, c[2] AS col_no, c[3] AS cell FROM g""")
+def x1_html_table_spans(spark, d):
+    """Spans that overlap, a span longer than its table, and a gap; tables without cells don't count."""
+    c = F.col
+    first = F.concat(F.lit("<table></table><table><tr><td>a</td><td>b</td><td rowspan=100000000>"), c("p_brand"), F.lit("</td></tr>"))
+    rest = F.concat(F.lit("<tr><td>c</td><td colspan='2'>"), c("p_type"), F.lit("</td></tr><tr><td>e</td></tr></table>"))
+    return reshape.table_cells(table(spark, d, "part").select("p_partkey", F.concat(first, rest).alias("html")), "p_partkey", "html")
+
+
 @query("""SELECT p_partkey, 0 AS table_no, unnest([1, 1, 2, 2]) AS row_no, p_brand || ' > ' || unnest(['size', 'size', 'type', 'type']) AS label, unnest(['2024년', '계', '2024년', '계']) AS period,
           unnest([CAST(p_size AS VARCHAR), 'x', p_type, 'y']) AS value FROM part""")
 def x2_long_facts(spark, d):

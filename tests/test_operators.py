@@ -135,6 +135,43 @@ def test_html_tables(spark):
     assert cells == {(0, 0, 0, "A"), (0, 0, 1, "2024년"), (0, 0, 2, "2024년"), (0, 1, 0, "A"), (0, 1, 1, "<b>"), (0, 1, 2, "x y")}
 
 
+def test_html_tables_that_overlap(spark):
+    """A later cell before an earlier one, gaps filled, spans cut at the table's end, tables in tables, marks in cells."""
+    page = "<table><tr><td>a<td>b<td rowspan='900000000'>C</tr><tr><td>d</td><td colspan=2 rowspan=2>E</td></tr><tr><td>f</td></tr><tr></tr></table>"
+    nested = "<table><tr><td>x<b>y</b><table><tr><th>in</th></tr></table></td><td colspan=0></td></tr></table>"
+    rows = reshape.table_cells(spark.createDataFrame([("k", page + nested)], "id string, html string"), "id", "html").collect()
+    lines = {}
+    for r in sorted(rows, key=lambda r: (r["table_no"], r["row_no"], r["col_no"])):
+        lines.setdefault((r["table_no"], r["row_no"]), []).append(r["cell"])
+    assert lines == {(0, 0): ["a", "b", "C"], (0, 1): ["d", "E", "E"], (0, 2): ["f", "E", "E"], (0, 3): ["", "", "C"], (1, 0): ["x y", ""], (2, 0): ["in"]}
+
+
+def test_periods(spark):
+    heads = ["구분", "2024년", "2024년 1/4분기", "2024년 비고", "3월", "계"]
+    cells = spark.createDataFrame([(1, 0, r, c, t if r == 0 else f"v{c}") for r in range(2) for c, t in enumerate(heads)], "id int, table_no int, row_no int, col_no int, cell string")
+    assert {(r["label"], r["period"], r["value"]) for r in reshape.long_facts(cells, "id").collect()} == {("v0", heads[c], f"v{c}") for c in (1, 2, 4, 5)}
+
+
+def test_short_phrases(spark):
+    """Phrases of any number of words and characters, inside words too."""
+    texts = spark.createDataFrame([(1, "The red Widget  rolls"), (2, "a b"), (3, ""), (4, None), (1, "The red Widget  rolls")], "id int, text string")
+    phrases = spark.createDataFrame([(10, "d wid"), (11, "rolls"), (12, "b"), (13, ""), (14, None), (15, "red widget ro"), (16, "e red widget rolls"), (17, "zz"), (18, "oll")], "p int, phrase string")
+    found = sorted((r["id"], r["p"]) for r in joins.containing(texts, phrases, "text", "phrase").collect())
+    assert found == sorted([(1, p) for p in (10, 11, 15, 16, 18)] * 2 + [(2, 12)])
+
+
+def test_nearest_vectors(spark):
+    """Blocks of both sides give the ranks of all products, ties by row."""
+    from lodestone.plans import retrieval
+
+    rng = np.random.default_rng(4)
+    values = rng.integers(-3, 4, (300, 5)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(values)], "id int, v array<double>")
+    got = {(r["query"], r["rank"]): r["row"] for r in retrieval.nearest(df.filter("id % 20 = 0"), df, "id", "v", 7, block=40).collect()}
+    scores = values @ values.T
+    assert got == {(q, k + 1): int(row) for q in range(0, 300, 20) for k, row in enumerate(np.lexsort((np.arange(300), -scores[q]))[:7])}
+
+
 def test_numbered(spark):
     rows = [(int(v),) for v in np.random.default_rng(3).permutation(500)]
     ids = {r["v"]: r["id"] for r in ranking.numbered(spark.createDataFrame(rows, "v int"), [F.col("v")], "n%06d", "id").collect()}
