@@ -5,7 +5,8 @@ merges, and a sum of them would not give the ids that such a model gives; there
 another if merging their joined text gives back just these two, and each place then has one path, that of the text before it.
 Going through a text, only the last places are needed, as many as the longest piece has characters. Whenever the backpointer paths of all of them meet
 in one place, what lies before it can't change any more: its ids are given out and forgotten. A text is first cut where no
-piece can reach across (before blanks, for ordinary vocabularies), which changes nothing and lets repeated words be looked up.
+piece can reach across (before blanks, for ordinary vocabularies), which changes nothing and lets the ids of repeated words be looked
+up; words not seen before, of whatever length, go through the same routine.
 
 A character that no piece covers becomes its UTF-8 bytes where the vocabulary has byte pieces, or else the unknown piece.
 
@@ -63,8 +64,6 @@ class Codec:
                 node = node.setdefault(c, {})
             node[""] = (score, i)
         self.rank = {p: s for p, s, _ in usable}
-        self.scored = {p: (s, i) for p, s, i in usable}
-        self.prefixes: dict[str, tuple[int, int, float]] = {}
         self.pieces = [p for p, _, _ in pieces]
         self.allowed: dict[tuple[int, int], bool] = {}
         self.longest = max((len(p) for p, _, _ in usable), default=1)
@@ -143,32 +142,6 @@ class Codec:
         if done < n:
             yield self._ids(text, back, done, n)
 
-    def whole(self, word: str) -> list[int]:
-        """Ids of a word that the window holds as a whole; the last step of each of its prefixes is looked up if another word began so."""
-        known, steps = self.prefixes, [(0, -1, 0.0)]
-        for end in range(1, len(word) + 1):
-            prefix = word[:end]
-            step = known.get(prefix)
-            if step is None:
-                for start in range(end - 1, max(0, end - self.longest) - 1, -1):
-                    if (piece := self.scored.get(prefix[start:])) is None:
-                        continue
-                    score, which = piece
-                    if not self.merges:
-                        total = score + steps[start][2]
-                        if step is None or total >= step[2]:
-                            step = start, which, total
-                    elif not start or self.follows(steps[start][1], which):
-                        step = start, which, 0.0
-                        break
-                if step is None or (not self.merges and prefix[-1] not in self.scored and steps[end - 1][2] + self.worst > step[2]):
-                    step = end - 1, -1, steps[end - 1][2] + self.worst
-                if len(known) >= 2 * KEPT:
-                    known.clear()
-                known[prefix] = step
-            steps.append(step)
-        return self._ids(word, dict(enumerate(steps)), 0, len(word))
-
     @staticmethod
     def _meet(best: dict[int, float], back: dict[int, tuple[int, int]], done: int) -> int:
         """The last place that the paths to all live places go through."""
@@ -200,9 +173,8 @@ class Codec:
         for word in self.words(BLANK + text.replace(" ", BLANK)):
             ids = known.get(word)
             if ids is None:
-                short = len(word) <= self.longest
-                ids = pack(self.whole(word) if short else [i for part in self.stream(word) for i in part])
-                if short:
+                ids = pack([i for part in self.stream(word) for i in part])
+                if len(word) <= self.longest:
                     if len(known) >= KEPT:
                         known.clear()
                     known[word] = ids
