@@ -123,6 +123,16 @@ def mask_personal(c: Column) -> Column:
     return out
 
 
+def sentence(template: str, *values: Column) -> Column:
+    """A template with %s for each value; null values are written as empty text."""
+    return F.format_string(template, *[F.coalesce(v.cast("string"), F.lit("")) for v in values])
+
+
+def rewritten(c: Column, pattern: str, replacement: str) -> tuple[Column, Column]:
+    """The text with all matches replaced ($1 and so on for groups), and how many there were."""
+    return F.regexp_replace(c, pattern, replacement), F.regexp_count(c, F.lit(pattern)).cast("bigint")
+
+
 def strip_part(c: Column) -> Column:
     return F.regexp_replace(c, r"_part\d+$", "")
 

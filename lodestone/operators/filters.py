@@ -36,6 +36,11 @@ def bounded(wanted: Mapping[str, str | Sequence[str]]) -> Mapping[str, str | Seq
     return wanted
 
 
+def skipping(df: DataFrame, column: str, pattern: str) -> DataFrame:
+    """Rows whose column doesn't hold the pattern anywhere; null holds nothing."""
+    return df.filter(~F.coalesce(F.col(column).rlike(pattern), F.lit(False)))
+
+
 def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int = 20) -> DataFrame:
     """One page of rows in a total order."""
     if not (1 <= number <= 100_000 and 1 <= size <= 100):

@@ -29,6 +29,13 @@ def reconcile(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
+def must_match(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
+    """An inner join that fails, naming the key, where a row of ``a`` has no partner."""
+    held = a.join(b.withColumn("_held", F.lit(True)), on, "left")
+    lost = F.raise_error(F.concat(F.lit(f"no partner for {on} "), F.coalesce(F.col(on).cast("string"), F.lit("null"))))
+    return held.filter(F.coalesce(F.col("_held"), lost.cast("boolean"))).drop("_held")
+
+
 def plain(c: Column) -> Column:
     """For containment: lower case, white space as single blanks."""
     return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))

@@ -28,6 +28,12 @@ def fused_scores(rankings: dict[str, DataFrame], row: str, k: int = 60) -> DataF
     return every.groupBy(row).agg(F.sum("share").alias("score"), F.array_join(F.transform(F.array_sort(F.collect_list("channel")), lambda c: c["name"]), "+").alias("channels"))
 
 
+def numbered_by_size(members: DataFrame, group: str, pattern: str, name: str) -> DataFrame:
+    """group, size and a number for each group: the largest first, ties by group."""
+    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
+    return numbered(sizes, [F.desc("size"), F.col(group)], pattern, name)
+
+
 def numbered(df: DataFrame, order: Sequence[Column], template: str, name: str) -> DataFrame:
     """Ids from 0 in a total order, without bringing all rows to one task: ranks in range partitions plus the sizes of those before.
 

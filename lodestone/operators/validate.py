@@ -19,6 +19,23 @@ def ungrounded(quotes: DataFrame, sources: DataFrame, on: str, quote: str, text:
     return joined.withColumn("_held", held).filter("NOT _held").drop("_text", "_held")
 
 
+def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
+    """The required columns that a table lacks, in the order given."""
+    return [c for c in required if c not in df.columns]
+
+
+def required(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df``, if it has these columns."""
+    if missing := missing_columns(df, columns):
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df
+
+
+def unknown_fields(rules: DataFrame, field: str, known: Sequence[str]) -> DataFrame:
+    """Rules on a field (null too) that isn't known."""
+    return rules.filter(~F.coalesce(F.col(field).isin(list(known)), F.lit(False)))
+
+
 def first_reason(checks: Mapping[str, Column]) -> Column:
     """The name of the first check that a row fails; null if it passes all."""
     out = F.lit(None).cast("string")

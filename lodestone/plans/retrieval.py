@@ -73,6 +73,11 @@ def similarities(vectors: DataFrame, row: str, vector: str, query: Sequence[floa
     return vectors.select(F.col(row).alias("row"), dot(F.col(vector), F.array(*[F.lit(float(x)) for x in query])).alias("score"))
 
 
+def floored(scores: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
+    """Scores below ``least`` count as zero."""
+    return scores.withColumn("score", F.when(F.col("score") >= least, F.col("score")).otherwise(0.0))
+
+
 def top(scores: DataFrame, most: int = LIMIT, digits: int = 6) -> DataFrame:
     """Rows by score (rounded, so that noise in sums breaks no ties), then by row."""
     return ranked(scores.withColumn("score", F.round("score", digits)), [F.desc("score"), F.col("row")], most)

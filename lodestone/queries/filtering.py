@@ -228,3 +228,56 @@ def q6_exactly_one(spark, d):
     """Names of a brand, and those that don't have exactly one type."""
     kinds = table(spark, d, "part").groupBy(F.col("p_brand").alias("category"), "p_name").agg(F.countDistinct("p_type").alias("k"))
     return kinds.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("k") != 1).alias("unclear"))
+
+
+@query("""SELECT p_partkey, p_name FROM part WHERE NOT regexp_matches(p_name, 'widget|^blue')""")
+def f14_skipped_titles(spark, d):
+    return filters.skipping(table(spark, d, "part"), "p_name", "widget|^blue").select("p_partkey", "p_name")
+
+
+@query("""SELECT p_partkey, 'The ' || p_name || ' of ' || p_brand || ' has size ' || p_size || '.' AS sentence FROM part""")
+def t22_sentences(spark, d):
+    text = T.sentence("The %s of %s has size %s.", F.col("p_name"), F.col("p_brand"), F.col("p_size"))
+    return table(spark, d, "part").select("p_partkey", text.alias("sentence"))
+
+
+@query(r"""SELECT page_id, replace(regexp_replace(html, 'href="/([^"]+)"', 'href="https://example.org/\1"', 'g'), 'href="https://example.org/a', 'href="/a') AS html,
+          CAST(len(regexp_extract_all(html, 'href="/([^"]+)"')) - len(regexp_extract_all(html, 'href="/a([^"]*)"')) AS BIGINT) AS n FROM pages""")
+def t30_counted_rewrite(spark, d):
+    """Links are made absolute, but for those to pages with an a in front, and counted."""
+    html, n = T.rewritten(F.col("html"), 'href="/(?!a)([^"]+)"', 'href="https://example.org/$1"')
+    return table(spark, d, "pages").select("page_id", html.alias("html"), n.alias("n"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CAST(ceil(CAST(l_quantity AS DOUBLE) * 3 / 1000) + ceil(CAST(l_quantity AS DOUBLE) * 15 / 1000) AS BIGINT) AS cost FROM lineitem""")
+def m7_whole_costs(spark, d):
+    """Units in and out at prices per thousand, each rounded up to whole units of money."""
+    units = F.col("l_quantity").cast("double")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.ceil(units * 3 / 1000) + F.ceil(units * 15 / 1000)).cast("bigint").alias("cost"))
+
+
+@query("""SELECT unnest(['doc_id', 'text', 'title', 'lang', 'year']) AS name EXCEPT SELECT column_name FROM (DESCRIBE documents)""")
+def q3_missing_columns(spark, d):
+    docs = validate.required(table(spark, d, "documents"), ["doc_id", "text"])
+    missing = validate.missing_columns(docs, ["doc_id", "text", "title", "lang", "year"])
+    return spark.createDataFrame([(c,) for c in missing], "name string")
+
+
+@query("""SELECT p_partkey AS rule, p_brand AS field FROM part WHERE p_brand NOT IN ('Brand#11', 'Brand#12', 'Brand#13')""")
+def q9_unknown_fields(spark, d):
+    rules = table(spark, d, "part").select(F.col("p_partkey").alias("rule"), F.col("p_brand").alias("field"))
+    return validate.unknown_fields(rules, "field", ["Brand#11", "Brand#12", "Brand#13"])
+
+
+@query(r"""SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(lower(substring(text, 1)), '[a-z0-9]+'))) AS BIGINT) AS n FROM documents WHERE lang = 'en'""")
+def t2_distinct_tokens(spark, d):
+    """Different words of a text, stop words included."""
+    docs = table(spark, d, "documents").filter("lang = 'en'")
+    return docs.select("doc_id", F.size(T.distinct_tokens(F.col("text"))).cast("bigint").alias("n"))
+
+
+@query("""SELECT DISTINCT regexp_replace(lower(p_brand || ' (' || p_name || ')'), '[^a-z0-9]', '', 'g') AS name, regexp_replace(lower(p_brand || ' ' || p_type), '[\\s·ㆍ]', '', 'g') AS term FROM part""")
+def t5_name_keys(spark, d):
+    """Keys under which names (letters and numbers only) and terms (no blanks, no dots) are compared."""
+    name, term = F.concat("p_brand", F.lit(" ("), "p_name", F.lit(")")), F.concat_ws(" ", "p_brand", "p_type")
+    return table(spark, d, "part").select(T.name_key(name).alias("name"), T.term_key(term).alias("term")).distinct()

@@ -221,3 +221,10 @@ def u5_concatenated_sources(spark, d):
 def u6_merged_sets(spark, d):
     words = table(spark, d, "part").select("p_brand", F.explode(F.split("p_name", " ")).alias("w"))
     return words.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("w")), " ").alias("words"))
+
+
+@query("""SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON c_custkey = o_custkey""")
+def j16_must_match(spark, d):
+    """Every order has a customer, or the join fails."""
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    return joins.must_match(table(spark, d, "orders").select("o_orderkey", "o_custkey"), customers, "o_custkey").select("o_orderkey", "c_mktsegment")

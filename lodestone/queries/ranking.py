@@ -134,3 +134,9 @@ def w25_grouped_by_first_seen(spark, d):
     place = F.array_position(F.array(F.lit("LARGE"), F.lit("SMALL")), F.col("p_type"))
     status = F.when(place == 0, 3).otherwise(place)
     return filters.ranked(parts.join(seen, "p_brand"), [F.col("seen"), status, F.col("p_partkey")], 60).select("p_partkey", "rank")
+
+
+@query("""SELECT p_brand AS community, size, printf('c%04d', row_number() OVER (ORDER BY size DESC, p_brand) - 1) AS id FROM (SELECT p_brand, count(*) AS size FROM part GROUP BY 1)""")
+def w19_numbered_communities(spark, d):
+    members = table(spark, d, "part").select(F.col("p_brand").alias("community"))
+    return ranking.numbered_by_size(members, "community", "c%04d", "id").select("community", "size", "id")

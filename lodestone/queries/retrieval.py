@@ -200,3 +200,10 @@ def r19_case_detail(spark, d):
     """One case with its child rows: the key reaches the scans of both tables."""
     items = table(spark, d, "lineitem").filter("l_orderkey = 7").agg(F.count(F.lit(1)).alias("n"), F.min("l_linenumber").alias("first_item"), F.lit(7).cast("bigint").alias("o_orderkey"))
     return table(spark, d, "orders").filter("o_orderkey = 7").select("o_orderkey").join(items, "o_orderkey")
+
+
+@query("""WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id AS row, round(list_dot_product(embedding::DOUBLE[], q.v), 6) AS score FROM embeddings, q)
+          SELECT row, CASE WHEN score >= 0.1 THEN score ELSE 0 END AS score FROM s""")
+def f16_score_floor(spark, d):
+    scores = R.similarities(table(spark, d, "embeddings"), "vec_id", "embedding", _question(spark, d)).withColumn("score", F.round("score", 6))
+    return R.floored(scores, 0.1)
