@@ -163,9 +163,11 @@ def repeated_filter(hashes: DataFrame, log2: int, least: int = 2) -> Bloom:
                 twice = twice | np.frombuffer(zlib.decompress(t), np.uint8)
         return pa.table({"page": pa.array([key[0].as_py()], pa.int32()), "twice": pa.array([zlib.compress((twice if least > 1 else once).tobytes(), 1)], pa.binary())})
 
-    pages = hashes.mapInArrow(scan, "page int, once binary, twice binary").groupBy("page").applyInArrow(merge, "page int, twice binary")
+    # written first: the pages of all tasks are then read in a few parts, not by a job for each task
+    pages = cut(hashes.mapInArrow(scan, "page int, once binary, twice binary").groupBy("page").applyInArrow(merge, "page int, twice binary"))
     out = Bloom(log2)
     for row in pages.toLocalIterator():
         bits = np.frombuffer(zlib.decompress(row["twice"]), np.uint8)
         out.bits[row["page"] * page : row["page"] * page + len(bits)] = bits
+    drop(pages)
     return out
