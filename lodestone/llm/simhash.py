@@ -179,21 +179,24 @@ def links(codes: DataFrame, budget: int = 2) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """code, label: the smallest code reachable over ``edges`` (a, b), for every code that has an edge."""
+    """code, label: the smallest code reachable over ``edges`` (a, b), for every code that has an edge.
+
+    In each round a code takes the least label of its neighbours and of the code that is its own label, so that labels travel
+    twice as far each time. A join and a sum; lineage is cut after each.
+    """
     both = cut(edges.union(edges.select("b", "a")).distinct())
     labels = cut(both.groupBy(F.col("a").alias("code")).agg(F.least(F.col("code"), F.min("b")).alias("label")))
     while True:
-        near = both.join(labels.drop("was"), F.col("b") == F.col("code")).groupBy("a").agg(F.min("label").alias("least"))
-        step = cut(labels.drop("was").join(near, F.col("code") == F.col("a"), "left").select("code", F.least("label", "least").alias("label"), F.col("label").alias("was")))
-        over = step.select(F.col("code").alias("root"), F.col("label").alias("above"))
-        new = cut(step.join(over, step["label"] == over["root"]).select("code", F.least("label", "above").alias("label"), "was"))
-        drop(labels, step)
+        own = labels.select(F.col("code").alias("a"), F.col("label").alias("b"), F.col("label").alias("was"))
+        asked = both.withColumn("was", F.lit(None).cast(labels.schema["label"].dataType)).unionByName(own)
+        reached = asked.join(labels.withColumnRenamed("label", "next"), F.col("b") == F.col("code")).groupBy("a")
+        new = cut(reached.agg(F.min("next").alias("label"), F.min("was").alias("was")).select(F.col("a").alias("code"), F.least("label", "was").alias("label"), "was"))
+        drop(labels)
+        labels = new.select("code", "label")
+        labels._written = new._written
         if new.filter("label <> was").isEmpty():
             drop(both)
-            found = new.select("code", "label")
-            found._written = new._written
-            return found
-        labels = new
+            return labels
 
 
 def simhash_dedup(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame:
