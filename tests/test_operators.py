@@ -26,17 +26,47 @@ def test_deep_hierarchy(spark):
     assert hierarchy.ancestors(codes).count() == 28
 
 
-def test_communities_beat_label_propagation(spark):
-    """Two-level planted groups: each node is in one community, and modularity is that of the planted groups."""
-    rng = random.Random(0)
-    edges = {(a, b) for a, b in itertools.combinations(range(60), 2) if rng.random() < (0.6 if a // 12 == b // 12 else 0.02)}
-    pairs = spark.createDataFrame([(f"n{a:02}", f"n{b:02}", 1) for a, b in edges], "a string, b string, weight long")
-    found = graph.communities(pairs)
-    members = spark.createDataFrame([(f"n{i:02}", str(i // 12)) for i in range(60)], "id string, community string")
-    assert found.count() == found.select("id").distinct().count() == 60
+def _planted(rng, size, groups, inside, outside):
+    """Edges among ``groups`` groups of ``size`` nodes each, n00 and on."""
+    n = size * groups
+    return [(f"n{a:03}", f"n{b:03}", 1) for a, b in itertools.combinations(range(n), 2) if rng.random() < (inside if a // size == b // size else outside)]
+
+
+def test_louvain_finds_planted_groups(spark):
+    """Each node is in one community, named by its least id, and modularity is that of the planted groups."""
+    pairs = spark.createDataFrame(_planted(random.Random(0), 12, 5, 0.6, 0.02), "a string, b string, weight long")
+    found = graph.louvain(pairs.withColumn("of", F.lit("")))
+    members = spark.createDataFrame([(f"n{i:03}", str(i // 12)) for i in range(60)], "id string, community string")
+    rows = found.collect()
+    assert len(rows) == len({r["id"] for r in rows}) == 60
+    assert all(r["community"] == min(x["id"] for x in rows if x["community"] == r["community"]) for r in rows)
     assert graph.modularity(pairs, found) >= 0.9 * graph.modularity(pairs, members)
 
 
+def test_communities_have_two_levels(spark):
+    """A community over 40 nodes is split along its own groups; small ones aren't; pairs and loops alone are in none; numbers go by size."""
+    rng = random.Random(1)
+    groups = [range(i * 12, i * 12 + 12) for i in range(4)]  # one community of 48: four groups, tied together
+    edges = [(a, b, 4) for g in groups for a, b in itertools.combinations(g, 2) if rng.random() < 0.7]
+    edges += [(a, b, 1) for a, b in itertools.combinations(range(48), 2) if a // 12 != b // 12 and rng.random() < 0.25]
+    edges += [(a, b, 9) for a, b in itertools.combinations(range(100, 130), 2)]
+    edges += [(200, 201, 1), (300, 300, 5)]
+    # many others far away, so that the four groups weigh too little to stand alone at the first level
+    edges += [(a, b, 40) for start in range(1000, 1600, 30) for a, b in itertools.combinations(range(start, start + 30), 2)]
+    rows = graph.communities(spark.createDataFrame(edges, "a long, b long, weight long")).collect()
+    top = {r["id"]: r["community"] for r in rows if r["level"] == 0}
+    sub = {r["id"]: (r["community"], r["parent"]) for r in rows if r["level"] == 1}
+    assert top.keys() == {*range(48), *range(100, 130), *range(1000, 1600)}
+    assert {top[i] for i in range(48)} == {"c0-0000"} and len({top[i] for i in range(100, 130)}) == 1
+    assert sub.keys() == set(range(48)) and {p for _, p in sub.values()} == {"c0-0000"}
+    assert [len({sub[i] for i in g}) for g in groups] == [1] * 4 and {c for c, _ in sub.values()} == {f"c0-0000-00{j}" for j in range(4)}
+
+
+def test_communities_of_nothing(spark):
+    assert graph.communities(spark.createDataFrame([], "a long, b long, weight long")).count() == 0
+    assert graph.communities(spark.createDataFrame([(1, 1, 3)], "a long, b long, weight long")).count() == 0
+
+
 def test_merge_and_fold(spark):
     mentions = spark.createDataFrame([("Ａ", "t", "c1", "d1", "x", "s1", 1), ("a", "t", "c2", "d1", "x", "s2", 2), ("a", "t", "c2", "d2", "", "s2", 3), ("b", "t", "c1", "d1", "y", "s1", 4)], "name string, type string, chunk string, document string, description string, stage string, ord long")
     from lodestone.functions.text import name_key
