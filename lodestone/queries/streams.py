@@ -25,6 +25,35 @@ def l4_stream_intake(spark, d):
     return spark.read.parquet(f"{out}/days").groupBy(F.col("day").cast("string").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _intake(spark, d, delivered, pending):
+    """A folder of days: events that meet ``delivered`` from the table, then those of ``pending`` from a folder where they waited."""
+    events = table(spark, d, "events")
+    waiting, out = shared_folder(spark, "pending"), shared_folder(spark, "stream")
+    events.filter(pending).write.parquet(waiting)
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "false").parquet(d)
+    both = stream.filter(delivered).unionByName(E.read_pending(spark, waiting, events.schema, "parquet"))
+    batches = both.select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), F.col("ts").alias("received"), "event_type")
+    E.write_days(E.once_only(batches), f"{out}/days", f"{out}/checkpoint").awaitTermination()
+    return f"{out}/days"
+
+
+@query("""SELECT strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM (SELECT DISTINCT event_id, ts, event_type FROM events) GROUP BY ALL""")
+def l6_pending_delivery(spark, d):
+    """A fifth of the events waited in a folder, and half of those had come through as well: all are there once, on their own day."""
+    days = _intake(spark, d, "event_id % 5 <> 0 OR event_id % 10 = 0", "event_id % 5 = 0")
+    return spark.read.parquet(days).groupBy(F.col("day").cast("string").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH e AS (SELECT DISTINCT event_id, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS day FROM events)
+          SELECT day, count(*) AS n, day < (SELECT max(day) FROM e) AS closed FROM e GROUP BY day""")
+def l7_day_finalisation(spark, d):
+    """Rows of each day of the log, and whether its folder was closed; the last day counts as today."""
+    days = _intake(spark, d, "true", "false")
+    counts = spark.read.parquet(days).groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    closed = E.close_days(spark, days, counts.agg(F.max("day")).first()[0] or "")
+    return counts.withColumn("closed", F.col("day").isin(closed) if closed else F.lit(False))
+
+
 @query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def l_windowed_counts(spark, d):
     """Event-time windows, which the log itself doesn't have: the same operator works on a stream with a watermark."""

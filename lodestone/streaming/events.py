@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 ZONE = "Asia/Seoul"
@@ -21,7 +22,17 @@ def local_day(ts: Column) -> Column:
 
 def read_batches(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Batches from files below day folders, as they come; what doesn't parse is kept aside in _corrupt_record."""
-    return spark.readStream.schema(schema.add("_corrupt_record", "string") if "_corrupt_record" not in schema.names else schema).option("recursiveFileLookup", "true").json(path)
+    kept = [x for x in schema if x.name != "_corrupt_record"]
+    return spark.readStream.schema(StructType([*kept, StructField("_corrupt_record", StringType())])).option("recursiveFileLookup", "true").json(path)
+
+
+def read_pending(spark: SparkSession, path: str, schema: StructType, kind: str = "json") -> DataFrame:
+    """What was set aside while the log couldn't be reached, as a stream to be united with the others before ``once_only``.
+
+    A file is deleted only after the batch that holds it was committed to the log (the last one of a run in the next run), so that
+    a run that fails delivers it again, and ``once_only`` lets it through once. Rows keep the day they were received on.
+    """
+    return spark.readStream.schema(schema).format(kind).option("recursiveFileLookup", "true").option("cleanSource", "delete").load(path)
 
 
 def valid_batch() -> list[Column]:
@@ -48,6 +59,30 @@ def write_days(batches: DataFrame, path: str, checkpoint: str) -> StreamingQuery
     return days.writeStream.format("parquet").partitionBy("day").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def close_days(spark: SparkSession, path: str, today: str) -> list[str]:
+    """Makes the folders of days before ``today`` read-only, with all their files, and returns those closed now.
+
+    A change of permissions, made by the driver for each file of a day once; the folder comes last, so that a call cut short is
+    taken up by the next. Pending rows must be delivered first. Names without a day and days closed before are left alone.
+    """
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = jvm.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    mode = lambda status: status.getPermission().toShort()
+    closed = []
+    for folder in sorted(fs.listStatus(root), key=lambda x: x.getPath().getName()):
+        day = re.fullmatch(r"day=(\d{4}-\d\d-\d\d)", folder.getPath().getName())
+        if not (folder.isDirectory() and day and day[1] < today and mode(folder) & 0o222):
+            continue
+        files = fs.listFiles(folder.getPath(), True)
+        while files.hasNext():
+            one = files.next()
+            fs.setPermission(one.getPath(), jvm.permission.FsPermission(format(mode(one) & 0o555, "o")))
+        fs.setPermission(folder.getPath(), jvm.permission.FsPermission(format(mode(folder) & 0o555, "o")))
+        closed.append(day[1])
+    return closed
+
+
 def windowed_counts(events: DataFrame, ts: str, by: str, size: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Counts by event-time window; rows later than ``late`` are no longer waited for. (The log itself has no such operator.)"""
     return events.withWatermark(ts, late).groupBy(F.window(ts, size), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), by, "n")

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -38,6 +39,42 @@ def test_intake_is_once_only_over_restarts(spark, tmp_path):
     assert run() == sorted([*first, ("session-9", 0, "2026-01-02")])
 
 
+def test_pending_batches_come_once_and_are_removed(spark, tmp_path):
+    """What waited is stored once, on the day it was received, also where it had come through; its files go after they are committed."""
+    source, pending, out, state = tmp_path / "in", tmp_path / "pending", str(tmp_path / "out"), str(tmp_path / "state")
+    pending.mkdir()
+
+    def run():
+        both = E.read_batches(spark, str(source), EVENT_BATCHES).drop("_corrupt_record").unionByName(E.read_pending(spark, str(pending), EVENT_BATCHES))
+        E.write_days(E.once_only(both), out, state).awaitTermination()
+        return sorted((r["session"], r["seq"], str(r["day"])) for r in spark.read.parquet(out).collect())
+
+    drop_in(source / "d1", "a.json", batch("session-1", 0))
+    first = [("session-1", 0, "2026-01-02")]
+    assert run() == first
+    drop_in(pending / "late", "b.json", batch("session-1", 0), batch("session-1", 1, "2025-12-30T10:00:00"))
+    drop_in(source / "d2", "c.json", batch("session-2", 0))
+    second = sorted([*first, ("session-1", 1, "2025-12-30"), ("session-2", 0, "2026-01-02")])
+    assert run() == second
+    drop_in(source / "d3", "d.json", batch("session-2", 0))
+    assert run() == second
+    deadline = time.monotonic() + 20
+    while list(pending.rglob("*.json")) and time.monotonic() < deadline:
+        time.sleep(0.2)
+    assert not list(pending.rglob("*.json")) and len(list(source.rglob("*.json"))) == 3
+
+
+def test_days_before_today_are_closed(spark, tmp_path):
+    for name in ("day=2026-01-01", "day=2026-01-02", "day=2026-01-03", "other"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part.parquet").write_text("x")
+    writable = lambda: sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.stat().st_mode & 0o222)
+    assert E.close_days(spark, str(tmp_path), "2026-01-03") == ["2026-01-01", "2026-01-02"]
+    assert writable() == ["day=2026-01-03", "day=2026-01-03/part.parquet", "other", "other/part.parquet"]
+    assert E.close_days(spark, str(tmp_path), "2026-01-03") == []
+    assert E.close_days(spark, str(tmp_path), "2026-01-04") == ["2026-01-03"]
+
+
 def test_windows_in_a_stream(spark, tmp_path):
     """The operator that counts tables by window does so in a stream, rows that are later than the watermark left out."""
     schema = "ts timestamp, kind string"
