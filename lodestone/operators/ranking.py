@@ -48,6 +48,11 @@ def numbered(df: DataFrame, order: Sequence[Column], template: str, name: str) -
     return joined.withColumn(name, F.format_string(template, F.col("_before") + F.col("_rank") - 1)).drop("_part", "_rank", "_before")
 
 
+def by_title(title: Column, language: str = "ko") -> Column:
+    """The order of a catalogue: a language's collation instead of that of bytes."""
+    return F.collate(title, language)
+
+
 def siblings(df: DataFrame, by: str, order: Sequence[str], key: str) -> DataFrame:
     """Position (from 1) and count in a group, and the keys before and after."""
     w = Window.partitionBy(by).orderBy(*order)

@@ -64,10 +64,14 @@ def w16_tiered_order_topn(spark, d):
     return filters.ranked(rows, [F.desc("hits"), F.col("tier"), F.col("p_retailprice"), F.col("p_partkey")], 50).select("p_partkey", "hits", "rank")
 
 
-@query("""SELECT p_partkey, rank FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_name, p_partkey) AS rank FROM part) WHERE rank <= 100""")
+@query("""WITH t AS (SELECT p_partkey, p_retailprice, CASE p_size % 3 WHEN 0 THEN translate(p_name, 'aeioubcdst', '가거고구기나너노漢한') WHEN 1 THEN upper(p_name) ELSE p_name END AS title FROM part)
+          SELECT p_partkey, title, rank FROM (SELECT p_partkey, title, row_number() OVER (ORDER BY title COLLATE ko, p_partkey) AS rank FROM t)""")
 def w17_collated_titles(spark, d):
-    """Titles in Korean collation, which has lower-case ASCII in the order of its bytes."""
-    return filters.ranked(table(spark, d, "part").select("p_partkey", "p_name"), [F.collate("p_name", "ko"), F.col("p_partkey")], 100).select("p_partkey", "rank")
+    """All titles in Korean collation: Hangul and Hanja before Latin letters, lower case before upper case of the same word."""
+    size = F.col("p_size") % 3
+    title = F.when(size == 0, F.translate("p_name", "aeioubcdst", "가거고구기나너노漢한")).when(size == 1, F.upper("p_name")).otherwise(F.col("p_name"))
+    titles = table(spark, d, "part").select("p_partkey", title.alias("title"))
+    return ranking.numbered(titles, [ranking.by_title(F.col("title")), F.col("p_partkey")], "%d", "rank").withColumn("rank", F.col("rank").cast("bigint") + 1)
 
 
 @query("""WITH m AS (SELECT p_name AS key, count(*) AS mentions FROM part GROUP BY 1)

@@ -67,6 +67,13 @@ def test_communities_of_nothing(spark):
     assert graph.communities(spark.createDataFrame([(1, 1, 3)], "a long, b long, weight long")).count() == 0
 
 
+def test_titles_in_korean_collation(spark):
+    """Hangul by syllable and Hanja by its reading before Latin letters, lower case first; not the order of code points."""
+    titles = ["zebra", "Apple", "apple", "한자", "漢字", "나무", "각도", "가방", "가 방", "9", "10", None, ""]
+    ordered = spark.createDataFrame([(x,) for x in titles], "title string").orderBy(ranking.by_title(F.col("title")))
+    assert [r["title"] for r in ordered.collect()] == [None, "", "10", "9", "가 방", "가방", "각도", "나무", "한자", "漢字", "apple", "Apple", "zebra"]
+
+
 def test_merge_and_fold(spark):
     mentions = spark.createDataFrame([("Ａ", "t", "c1", "d1", "x", "s1", 1), ("a", "t", "c2", "d1", "x", "s2", 2), ("a", "t", "c2", "d2", "", "s2", 3), ("b", "t", "c1", "d1", "y", "s1", 4)], "name string, type string, chunk string, document string, description string, stage string, ord long")
     from lodestone.functions.text import name_key
