@@ -1,4 +1,4 @@
-"""The eleven queries of the training-data operators over whole tables, and their SQL."""
+"""The queries of the training-data operators over whole tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format as chats
+from . import fill_in_middle as middles
+from . import license_scan as licenses
 from . import line_dedup as lines
 from . import sentencepiece_codec as pieces
 from . import suffix_dedup as suffixes
@@ -15,6 +17,7 @@ from .exact_dedup import exact_dedup
 from .packing import best_fit_packing, word_lengths
 from .quality import score_quality
 from .simhash import simhash_dedup
+from .spelling import spelling_variants
 from .token_ids import token_rows
 
 
@@ -60,11 +63,25 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(word_lengths(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_chat_format": op2_chat_format, "op3_suffix_dedup": op3_suffix_dedup, "op4_exact_dedup": op4_exact_dedup, "op5_media": op5_media, "op6_simhash": op6_simhash, "op7_quality": op7_quality, "op8_token_ids": op8_token_ids, "op9_line_dedup": op9_line_dedup, "op10_best_fit_packing": op10_best_fit_packing}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middles.digest(middles.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_chat_format": op2_chat_format, "op3_suffix_dedup": op3_suffix_dedup, "op4_exact_dedup": op4_exact_dedup, "op5_media": op5_media, "op6_simhash": op6_simhash, "op7_quality": op7_quality, "op8_token_ids": op8_token_ids, "op9_line_dedup": op9_line_dedup, "op10_best_fit_packing": op10_best_fit_packing, "op11_fill_in_middle": op11_fill_in_middle, "op12_license_scan": op12_license_scan, "op13_spelling_variants": op13_spelling_variants}
 
 SQL = {
     "op2_chat_format": chats.SQL,
     "op9_line_dedup": lines.SQL,
+    "op11_fill_in_middle": middles.SQL,
+    "op12_license_scan": licenses.sql(),
     "op4_exact_dedup": r"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         k AS (SELECT doc_id, length(text) AS n, sha256(regexp_replace(text, '[ \t\n\v\f\r]', '', 'g')) AS text_sha256 FROM t)
