@@ -71,11 +71,13 @@ def distinct_tokens(c: Column) -> Column:
 def analyzed(folded: Column) -> Column:
     """Terms of a text that is already folded: tokens with inner ./- of two characters or more (or a digit), then their bigrams."""
     found = F.filter(F.regexp_extract_all(folded, F.lit(r"([\p{L}\p{N}]+(?:[./-][\p{L}\p{N}]+)*)"), 1), lambda w: (F.length(w) >= 2) | w.rlike("^[0-9]$"))
-    return F.concat(found, bigrams(found))
+    return F.element_at(F.transform(F.array(found), lambda t: F.concat(t, bigrams(t))), 1)  # bound once: what bigrams repeats is a variable
 
 
-def bigrams(found: Column) -> Column:
-    return F.when(F.size(found) > 1, F.transform(F.sequence(F.lit(0), F.size(found) - 2), lambda i: F.concat_ws(" ", F.get(found, i), F.get(found, i + 1)))).otherwise(F.array().cast("array<string>"))
+def bigrams(t: Column) -> Column:
+    """Neighbours as one term each; ``t`` is used several times and should be a column or a variable."""
+    rest = F.greatest(F.size(t) - 1, F.lit(0))
+    return F.zip_with(F.slice(t, F.lit(1), rest), F.slice(t, F.lit(2), rest), lambda a, b: F.concat_ws(" ", a, b))
 
 
 def contains_all(text: Column, terms: list[str]) -> Column:

@@ -53,11 +53,10 @@ def j8_semi_join(spark, d):
     return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
 
 
-@query("""SELECT s_name, p_name, count(*) AS weight FROM (SELECT l_suppkey, l_partkey FROM lineitem) JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey
-          WHERE p_size <= 5 GROUP BY s_name, p_name""")
+@query("""SELECT s_name, p_name, count(*) AS weight FROM (SELECT l_suppkey, l_partkey FROM lineitem) JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey GROUP BY s_name, p_name""")
 def j9_edge_labels(spark, d):
     edges = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("weight"))
-    named = edges.join(table(spark, d, "part").filter("p_size <= 5"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    named = edges.join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     return named.groupBy("s_name", "p_name").agg(F.sum("weight").alias("weight"))
 
 

@@ -77,12 +77,12 @@ def r5_bm25_expansion(spark, d):
     return R.top(R.bm25(index, totals, [("license", 1.0), ("license", 1.0), ("und", 0.6)], particles=True), 100)
 
 
-@query("""SELECT doc_id, hits FROM (SELECT doc_id, CAST((length(lower(text)) - length(replace(lower(text), 'reserved', ''))) // 8 AS BIGINT) AS hits FROM documents
-          WHERE contains(lower(text), 'reserved') AND lang IN ('en', 'fr')) ORDER BY hits DESC, doc_id LIMIT 20 OFFSET 20""")
+@query("""SELECT doc_id, hits FROM (SELECT doc_id, CAST((length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 AS BIGINT) AS hits FROM documents
+          WHERE contains(lower(text), 'the') AND lang IN ('en', 'fr')) ORDER BY hits DESC, doc_id LIMIT 20 OFFSET 20""")
 def r2_keyword_search(spark, d):
     """Filter, all words in the text, most occurrences first, second page."""
-    docs = filters.any_of(table(spark, d, "documents"), {"lang": ["en", "fr"]}).filter(T.contains_all(F.col("text"), ["reserved"]))
-    hits = docs.select("doc_id", T.occurrences(F.col("text"), "reserved").alias("hits"))
+    docs = filters.any_of(table(spark, d, "documents"), {"lang": ["en", "fr"]}).filter(T.contains_all(F.col("text"), ["the"]))
+    hits = docs.select("doc_id", T.occurrences(F.col("text"), "the").alias("hits"))
     return filters.page(hits, [F.desc("hits"), F.col("doc_id")], 2, 20)
 
 

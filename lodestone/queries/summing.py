@@ -100,10 +100,10 @@ def a26_section_roll_up(spark, d):
     return A.roll_up_sections(divisions, "section", "division", F.col("hit"))
 
 
-@query("""SELECT p_brand, arg_min(p_name, p_partkey) AS name, count(*) AS n FROM part WHERE contains(p_type, 'TIN') OR contains(p_type, 'STEEL') GROUP BY p_brand""")
+@query("""SELECT p_brand, arg_min(p_name, p_partkey) AS name, count(*) AS n FROM part WHERE contains(p_name, 'red') OR contains(p_name, 'gear') GROUP BY p_brand""")
 def a28_keyword_dedup(spark, d):
     parts = table(spark, d, "part")
-    found = parts.filter("contains(p_type, 'TIN')").withColumn("word", F.lit("tin")).unionByName(parts.filter("contains(p_type, 'STEEL')").withColumn("word", F.lit("steel")))
+    found = parts.filter("contains(p_name, 'red')").withColumn("word", F.lit("red")).unionByName(parts.filter("contains(p_name, 'gear')").withColumn("word", F.lit("gear")))
     one = A.keyword_hits(found, "p_brand", "word", "p_partkey", ["p_name"])
     sizes = found.select("p_brand", "p_partkey").distinct().groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
     return one.join(sizes, "p_brand").select("p_brand", F.col("p_name").alias("name"), "n")
