@@ -19,7 +19,7 @@ from ..operators.ranking import fuse
 from ..sources.files import cut
 
 K1, B = 1.2, 0.75
-LIMIT, LEAST_SIMILARITY, PARTICLE_WEIGHT, MOST_PARTICLES = 200, 0.35, 0.5, 24
+LIMIT, LEAST_SIMILARITY, PARTICLE_WEIGHT, MOST_PARTICLES, EXPANSION_WEIGHT = 200, 0.35, 0.5, 24, 0.6
 
 
 def bm25_index(docs: DataFrame, row: str, terms: Column, wanted: Sequence[str] | None = None, prefixes: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -120,6 +120,31 @@ def hybrid(lexical: DataFrame, dense: DataFrame, candidates: DataFrame | None =
     return fuse({"keyword": top(lexical.filter("score > 0"), most), "vector": top(dense, most)}, "row", most)
 
 
+def search_page(scores: DataFrame, dense: DataFrame | None, page: int, size: int = 10, most_pages: int = 5, most: int = 100) -> DataFrame:
+    """One page of a search: row, rank, score, similarity, via, total, pages, from scores and similarities (row, score) of the candidates.
+
+    The ``most`` best of each channel are fused, similarities below LEAST_SIMILARITY count as none. The total is all rows with a score
+    and those of the fused ones that only the vectors found; without vectors similarity is null.
+    """
+    if not 1 <= page <= most_pages:
+        raise ValueError(f"pages are 1 to {most_pages}")
+    scores = scores.filter("score > 0")
+    channels = {"words": top(scores, most)}
+    if dense is not None:
+        dense = floored(dense)
+        channels["meaning"] = top(dense.filter("score > 0"), most)
+    fused = cut(fuse(channels, "row", None))  # at most ``most`` rows of each channel
+    total = scores.count() + fused.filter("channels = 'meaning'").count()
+    pages = min(most_pages, -(-min(total, most_pages * size) // size))
+    shown = F.broadcast(fused.filter(F.col("rank").between((page - 1) * size + 1, page * size)).select("row", "rank", F.col("channels").alias("via")))  # one page
+    scored = shown.join(scores.join(shown.select("row"), "row", "left_semi").select("row", F.round("score", 2).alias("score")), "row", "left")
+    if dense is None:
+        scored = scored.withColumn("similarity", F.lit(None).cast("double"))
+    else:
+        scored = scored.join(dense.join(shown.select("row"), "row", "left_semi").select("row", F.round("score", 3).alias("similarity")), "row", "left")
+    return scored.select("row", "rank", F.coalesce("score", F.lit(0.0)).alias("score"), "similarity", "via", F.lit(total).cast("bigint").alias("total"), F.lit(pages).cast("bigint").alias("pages"))
+
+
 def node_scores(names: DataFrame, keys: DataFrame, least: int = 4) -> DataFrame:
     """id and score: 2 for each equal name (id, key), 1 for each that contains a looked-up key or lies in it (both of ``least`` characters)."""
     exact = names.join(keys.select(F.col("key").alias("wanted")), F.col("key") == F.col("wanted")).select("id", F.lit(2).alias("score"))

@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import filters, ranking, validate
+from ..plans import index as I
 from ..plans import retrieval as R
 from ..schemas import table
+from ..sources.files import shared_root
 from .registry import query
 
 #: A question in words that the invented texts have.
@@ -19,10 +21,9 @@ BM25 = """t AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z0-9]+'
 SHARE = "ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))"
 
 
-def _lexical(spark, d, words=WORDS):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    index, totals = R.bm25_index(docs, "doc_id", T.tokens(F.col("text")), words)
-    return R.bm25(index, totals, [(w, 1.0) for w in sorted(set(words))])
+def _index(spark, d, recipe="tokens"):
+    """The index of the documents, in the shared folder; it is built by the first query that asks."""
+    return I.ensure_index(spark, f"{d}/documents.parquet", f"{shared_root(spark)}/index", I.Spec("1", "doc_id", "text", ("lang", "source"), recipe))
 
 
 def _question(spark, d):
@@ -47,9 +48,11 @@ def m3_cosine_topk(spark, d):
           SELECT row, round(score, 6) AS score, channels, rank FROM (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, row) AS rank FROM u) WHERE rank <= 200""")
 def r3_hybrid_search(spark, d):
     """Candidates by filter, BM25 over statistics of all documents and vectors, both rankings fused."""
-    candidates = filters.any_of(table(spark, d, "documents"), {"lang": ["en", "de"], "source": ""}).select(F.col("doc_id").alias("row"))
+    index = _index(spark, d)
+    candidates = filters.any_of(index.table("documents"), {"lang": ["en", "de"], "source": ""}).select("row")
     dense = R.similarities(table(spark, d, "embeddings"), "vec_id", "embedding", _question(spark, d))
-    return R.hybrid(_lexical(spark, d), dense, candidates).withColumn("score", F.round("score", 6))
+    lexical = index.bm25(index.weighted_terms([(w, 1.0) for w in sorted(set(WORDS))]))
+    return R.hybrid(lexical, dense, candidates).withColumn("score", F.round("score", 6))
 
 
 @query("""WITH k AS (SELECT doc_id AS row, CAST((length(lower(text)) - length(replace(lower(text), 'license', ''))) // 7 AS DOUBLE) AS score FROM documents WHERE contains(lower(text), 'license') AND lang = 'en'),
@@ -72,9 +75,50 @@ def r4_substring_hybrid(spark, d):
           SELECT row, score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, row) AS rank FROM (SELECT doc_id AS row, round(sum(weight * {SHARE}), 6) AS score FROM p JOIN u ON u.term = p.term, totals GROUP BY 1)) WHERE rank <= 100""")
 def r5_bm25_expansion(spark, d):
     """Weighted terms (repeated ones count again) and index terms that are up to two characters longer, which count half."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    index, totals = R.bm25_index(docs, "doc_id", T.tokens(F.col("text")), ["license", "und"], prefixes=True)
-    return R.top(R.bm25(index, totals, [("license", 1.0), ("license", 1.0), ("und", 0.6)], particles=True), 100)
+    index = _index(spark, d)
+    return R.top(index.bm25(index.weighted_terms([("license", 1.0), ("license", 1.0), ("und", 0.6)], particles=True)), 100)
+
+
+#: Terms of the analyzer and their statistics, as BM25 has them of tokens.
+ANALYZED = r"""w AS (SELECT doc_id, lang, list_filter(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}]+(?:[./-][\p{L}\p{N}]+)*'), lambda x: length(x) >= 2 OR regexp_matches(x, '^[0-9]$')) AS w FROM documents),
+          t AS (SELECT doc_id, lang, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS w FROM w),
+          totals AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
+          p AS (SELECT doc_id, lang, dl, term, count(*) AS tf FROM (SELECT doc_id, lang, len(w) AS dl, unnest(w) AS term FROM t) GROUP BY ALL),
+          f AS (SELECT term, count(*) AS df FROM p GROUP BY term)"""
+
+
+@query(f"""WITH {ANALYZED}, v AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
+          q AS (SELECT unnest(['released', 'under', 'the', 'mit', 'license', 'released under', 'under the', 'the mit', 'mit license']) AS q, 1.0 AS weight
+                UNION ALL SELECT unnest(['all', 'rights', 'reserved', 'all rights', 'rights reserved']), 0.6),
+          l AS (SELECT term, df, weight * 0.5 AS weight, row_number() OVER (PARTITION BY q ORDER BY term) AS i FROM q JOIN f ON starts_with(term, q) AND length(term) - length(q) BETWEEN 1 AND 2 AND NOT contains(term, ' ')),
+          u AS (SELECT term, df, sum(weight) AS weight FROM (SELECT term, df, weight FROM q JOIN f ON term = q UNION ALL SELECT term, df, weight FROM l WHERE i <= 24) GROUP BY term, df),
+          a AS (SELECT doc_id AS row, sum(weight * {SHARE}) AS score FROM p JOIN u ON u.term = p.term, totals WHERE lang = 'en' GROUP BY 1),
+          s AS (SELECT vec_id AS row, list_dot_product(embedding::DOUBLE[], v.v) AS sim FROM v, embeddings JOIN documents ON doc_id = vec_id WHERE lang = 'en'),
+          m AS (SELECT row, CASE WHEN sim >= 0.35 THEN sim ELSE 0 END AS sim FROM s),
+          r AS (SELECT row, 0 AS o, 'words' AS c, row_number() OVER (ORDER BY round(score, 6) DESC, row) AS rank FROM a UNION ALL SELECT row, 1, 'meaning', row_number() OVER (ORDER BY round(sim, 6) DESC, row) FROM m WHERE sim > 0),
+          x AS (SELECT row, sum(1.0 / (60 + rank)) AS fused, string_agg(c, '+' ORDER BY o) AS via FROM r WHERE rank <= 100 GROUP BY row),
+          k AS (SELECT (SELECT count(*) FROM a) + (SELECT count(*) FROM x WHERE via = 'meaning') AS total),
+          o AS (SELECT *, row_number() OVER (ORDER BY round(fused, 12) DESC, row) AS rank FROM x)
+          SELECT row, rank, round(coalesce(score, 0), 2) AS score, round(sim, 3) AS similarity, via, total, CAST(least(5, ceil(least(total, 50) / 10)) AS BIGINT) AS pages
+          FROM o LEFT JOIN a USING (row) LEFT JOIN m USING (row), k WHERE rank BETWEEN 11 AND 20""")
+def r5_search_page(spark, d):
+    """The whole search: analyzer, expansion by a label at 0.6, longer terms, a domain, vectors with a floor, fusion, total; its second page."""
+    index = _index(spark, d, "analyzer")
+    weighted = [(t, 1.0) for t in index.analyzed("Released under the MIT License")] + [(t, R.EXPANSION_WEIGHT) for t in index.analyzed("All rights reserved")]
+    domain = index.table("documents").filter("lang = 'en'").select("row")
+    scores = index.bm25(index.weighted_terms(weighted, particles=True)).join(domain, "row", "left_semi")
+    dense = R.similarities(table(spark, d, "embeddings"), "vec_id", "embedding", _question(spark, d)).join(domain, "row", "left_semi")
+    return R.search_page(scores, dense, 2)
+
+
+@query(f"""WITH {BM25} SELECT (SELECT count(*) FROM documents) AS n, round((SELECT avgdl FROM totals), 6) AS average, (SELECT count(*) FROM f) AS terms, (SELECT count(*) FROM p) AS postings, (SELECT CAST(sum(tf) AS BIGINT) FROM p) AS tokens,
+          (SELECT CAST(max(df) AS BIGINT) FROM f) AS widest""")
+def r18_index_build(spark, d):
+    """What the built index holds: rows, mean length, terms, postings and their tokens."""
+    index = _index(spark, d)
+    held = index.table("postings").agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("tokens"))
+    terms = index.table("terms").agg(F.count(F.lit(1)).alias("terms"), F.max("df").alias("widest"))
+    return held.withColumn("k", F.lit(0)).join(terms.withColumn("k", F.lit(0)), "k").select(F.lit(index.n).cast("bigint").alias("n"), F.round(F.lit(index.average), 6).alias("average"), "terms", "postings", "tokens", "widest")
 
 
 @query("""SELECT doc_id, hits FROM (SELECT doc_id, CAST((length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 AS BIGINT) AS hits FROM documents

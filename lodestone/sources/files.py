@@ -12,8 +12,8 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 
-def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder's path where driver and executors share files (spark.checkpoint.dir); only where none is named, one on this machine."""
+def shared_root(spark: SparkSession) -> str:
+    """Where driver and executors share files (spark.checkpoint.dir); only where none is named, a folder on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
@@ -21,7 +21,12 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
         folder = tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(folder)
         spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder's path below the shared one."""
+    return f"{shared_root(spark)}/{kind}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
