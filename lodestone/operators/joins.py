@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.vectors import area, distance, in_box, polyline_length, symmetric_distance
+from .scan import running
 
 
 def with_children(parents: DataFrame, children: DataFrame, on: str, columns: Sequence[str], name: str = "children") -> DataFrame:
@@ -91,16 +91,15 @@ def prefix_overlap(a: DataFrame, b: DataFrame, a_key: str, b_key: str, shortest:
 def nearest_value(a: DataFrame, b: DataFrame, by: str, a_id: str, a_value: str, b_id: str, b_value: str) -> DataFrame:
     """For each row of ``a`` the row of ``b`` in the same group whose value is nearest (ties: least id; null if the group has none): by, a_id, b_id, distance.
 
-    One sorted pass over both tables: only the last value before and the first one after can be nearest, so no pairs are made.
+    One sorted pass over both tables: only the last value before and the first one after can be nearest, so no pairs are made, and
+    a group may be of any size.
     """
     points = b.groupBy(by, b_value).agg(F.min(b_id).alias("_b"))
     both = a.select(by, F.col(a_id).alias("_a"), F.col(a_value).alias("_v"), F.lit(None).cast(points.schema["_b"].dataType).alias("_b"), F.lit(1).alias("_k")).unionAll(
         points.select(by, F.lit(None).cast(a.schema[a_id].dataType), F.col(b_value), "_b", F.lit(0))
     )
     point = F.when(F.col("_k") == 0, F.struct("_v", "_b"))
-    up = Window.partitionBy(by).orderBy("_v", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(by).orderBy(F.col("_v").desc(), "_k").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_low", F.last(point, ignorenulls=True).over(up)).withColumn("_high", F.last(point, ignorenulls=True).over(down)).filter("_k = 1")
+    found = running(both, [by], ["_v", "_k", "_a"], lasts={"_low": point}, nexts={"_high": point}).filter("_k = 1")
     near = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)["_v"] - F.col("_v")).alias("d"), F.col(c)["_b"].alias("b")))
     best = found.select(by, "_a", F.array_min(F.array_compact(F.array(near("_low"), near("_high")))).alias("_n"))
     return best.select(by, F.col("_a").alias(a_id), F.col("_n.b").alias(b_id), F.col("_n.d").alias("distance"))

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..sources.files import cut
 from .filters import ranked
+from .scan import running
 
 
 def fuse(rankings: dict[str, DataFrame], row: str, most: int | None = 200, k: int = 60) -> DataFrame:
@@ -60,9 +61,8 @@ def siblings(df: DataFrame, by: str, order: Sequence[str], key: str) -> DataFram
 
 
 def within_budget(df: DataFrame, by: Sequence[str], order: Sequence[str], size: str, budget: int) -> DataFrame:
-    """The rows of each group, in order, up to the first one that makes the total too large."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("total", F.sum(size).over(w)).filter(F.col("total") <= budget)
+    """The rows of each group, in order, up to the first one that makes the total too large. Sizes aren't negative; a group may be of any size."""
+    return running(df, by, order, sums={"total": F.col(size)}).filter(F.col("total") <= budget)
 
 
 def first_wins(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -65,6 +65,43 @@ def l5_daily_admission(spark, d):
     return E.admitted(table(spark, d, "events"), "ts", ["event_id"], 100).select("event_id")
 
 
+def _admitted(spark, d, cap, by=()):
+    """Event ids that a stream lets in, over two runs of which the second begins where the first was stopped."""
+    waiting, out = shared_folder(spark, "arriving"), shared_folder(spark, "stream")
+    events = table(spark, d, "events").select("event_id", "ts", "user_id")
+    for part in (F.col("ts") < "2024-01-12 20:00:00", F.col("ts") >= "2024-01-12 20:00:00"):
+        events.filter(part).coalesce(2).write.mode("append").parquet(waiting)
+        E.admit_stream(spark.readStream.schema(events.schema).parquet(waiting), f"{out}/days", f"{out}/checkpoint", "ts", ["event_id"], cap, by).awaitTermination()
+    return E.read_admitted(spark, f"{out}/days").select("event_id")
+
+
+@query("""SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY CAST(ts + INTERVAL 9 HOUR AS DATE) ORDER BY ts, event_id) AS n FROM events) WHERE n <= 100""")
+def l5_stream_admission(spark, d):
+    """A hundred events of each local day, counted while they arrive and over a restart in the middle of a day."""
+    return _admitted(spark, d, 100)
+
+
+@query("""SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, CAST(ts + INTERVAL 9 HOUR AS DATE) ORDER BY ts, event_id) AS n FROM events) WHERE n <= 2""")
+def l9_stream_quota(spark, d):
+    """Two events of each client and local day."""
+    return _admitted(spark, d, 2, ["user_id"])
+
+
+@query("""WITH e AS (SELECT strftime(ts + INTERVAL 9 HOUR, '%Y%m') AS day, user_id || '-' || event_id % 3 AS name, ts, event_id, event_type FROM events),
+          f AS (SELECT day, name, arg_min(event_type || ' ' || event_id, struct_pack(ts, event_id)) AS content FROM e GROUP BY day, name)
+          SELECT day, name, content, 1::BIGINT AS files FROM f""")
+def s24_create_if_absent(spark, d):
+    """A file for each session and number, made by the first event; all events are delivered twice, by two streams with ledgers of their own."""
+    out = shared_folder(spark, "files")
+    stream = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "false").parquet(d)
+    named = stream.select(F.date_format(F.from_utc_timestamp("ts", E.ZONE), "yyyyMM").alias("day"), F.concat_ws("-", "user_id", F.col("event_id") % 3).alias("name"), F.concat_ws(" ", "event_type", "event_id").alias("content"), "ts", "event_id")
+    E.write_new_files(named, f"{out}/files", f"{out}/first", ["ts", "event_id"]).awaitTermination()
+    later = named.withColumn("content", F.concat(F.lit("again "), "content"))
+    E.write_new_files(later, f"{out}/files", f"{out}/second", ["ts", "event_id"]).awaitTermination()
+    held = spark.read.schema("value string, day string, name string").text(f"{out}/files")
+    return held.groupBy("day", "name").agg(F.first("value").alias("content"), F.count(F.lit(1)).alias("files"))
+
+
 @query("""SELECT day, user_id, n FROM (SELECT CAST(CAST(ts + INTERVAL 9 HOUR AS DATE) AS VARCHAR) AS day, user_id, count(*) AS n FROM events GROUP BY 1, 2) WHERE n > 4""")
 def l9_daily_quota(spark, d):
     """Clients over their quota of a local day."""

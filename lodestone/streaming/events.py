@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
-from pyspark.sql.window import Window
+
+from ..operators.scan import running
+from ..sources import store
 
 ZONE = "Asia/Seoul"
 ACTIONS = ("view", "click", "search", "exposure", "link")
@@ -89,24 +91,79 @@ def windowed_counts(events: DataFrame, ts: str, by: str, size: str = "1 hour", l
 
 
 def admitted(events: DataFrame, ts: str, order: Sequence[str], cap: int = DAILY_CAP) -> DataFrame:
-    """The first ``cap`` rows of each day by time: numbers in hours and the counts of the hours before, so that no task has a whole day."""
-    timed = events.withColumn("_day", F.to_date(ts)).withColumn("_hour", F.date_trunc("hour", F.col(ts)))
-    sizes = timed.groupBy("_day", "_hour").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_day").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    own = F.row_number().over(Window.partitionBy("_day", "_hour").orderBy(ts, *order))
-    return timed.withColumn("_own", own).join(before, ["_day", "_hour"]).filter(F.col("_own") + F.col("_before") <= cap).drop("_day", "_hour", "_own", "_before")
+    """The first ``cap`` rows of each day by time; a day may have any number of rows."""
+    timed = events.withColumn("_day", F.to_date(ts))
+    return running(timed, ["_day"], [ts, *order], sums={"_count": F.lit(1)}).filter(F.col("_count") <= cap).drop("_day", "_count")
+
+
+def admit_stream(events: DataFrame, path: str, checkpoint: str, ts: str, order: Sequence[str], cap: int = DAILY_CAP, by: Sequence[str] = ()) -> StreamingQuery:
+    """The first ``cap`` events of each local day (and each value of ``by``) to arrive, while they arrive, until all there is has been read.
+
+    A micro-batch ranks its own events and adds what the batches before it admitted. Both the events and the counts of a batch are
+    written to folders of its number, so that a batch that is run again after a failure replaces its own part and counts
+    nothing twice; a restart goes on from the counts. A new day has no counts. One day is many tasks (:func:`~lodestone.operators.scan.running`), no state
+    is held in memory. Events of one micro-batch come in the order of ``ts`` and ``order``. :func:`read_admitted` reads the result.
+    """
+    group = ["_day", *by]
+
+    def one(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        numbered = running(batch.withColumn("_day", local_day(F.col(ts))), group, [ts, *order], sums={"_count": F.lit(1)})
+        if store.exists(spark, f"{path}/counts"):
+            counts = spark.read.parquet(f"{path}/counts").filter(F.col("batch") < number)
+            earlier = counts.groupBy(*group).agg(F.sum("n").alias("_earlier"))
+            same = [numbered[c].eqNullSafe(earlier[c]) for c in group]
+            numbered = numbered.join(earlier, same, "left").select(*[numbered[c] for c in numbered.columns], "_earlier")
+        else:
+            numbered = numbered.withColumn("_earlier", F.lit(0))
+        rows = f"{path}/rows/batch={number}"
+        numbered.filter(F.col("_count") + F.coalesce("_earlier", F.lit(0)) <= cap).drop("_count", "_earlier").write.mode("overwrite").parquet(rows)
+        spark.read.parquet(rows).groupBy(*group).agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
+
+    return events.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_admitted(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/rows").drop("batch", "_day")
+
+
+def put_new_files(batch: DataFrame, number: int, path: str, ledger: str, order: Sequence[str]) -> bool:
+    """Files that aren't there yet: one for each (day, name), below day=.../name=..., with the text of ``content``; the first in ``order`` of a name. False if the batch was done.
+
+    A file that is there is never touched. Spark's writers show their files once a job commits, by renaming, so a file is there whole or not at
+    all; a batch that failed half-way is run again and adds what is missing; one whose number is in the stream's ledger is skipped. One
+    stream writes to a path at a time. Only the folders of the batch's days are listed.
+    """
+    spark = batch.sparkSession
+    done = f"{ledger}/{number:010}"
+    if store.exists(spark, done):
+        return False
+    first = batch.groupBy("day", "name").agg(F.min_by("content", F.struct(*order)).alias("content"))
+    folders = [f"{path}/day={r['day']}" for r in batch.select("day").distinct().collect()]  # the few days of one micro-batch
+    there = [f for f in folders if store.exists(spark, f)]
+    if there:
+        present = spark.read.schema("value string, day string, name string").option("basePath", path).text(there).select("day", "name").distinct()
+        first = first.join(present, ["day", "name"], "left_anti")
+    first.repartition("day", "name").write.partitionBy("day", "name").mode("append").text(path)
+    store.put_new(spark, done, "")
+    return True
+
+
+def write_new_files(batches: DataFrame, path: str, checkpoint: str, order: Sequence[str]) -> StreamingQuery:
+    """A stream (day, name, content and what orders them) into files that are only ever added, until all there is has been read."""
+    return batches.writeStream.foreachBatch(lambda df, number: put_new_files(df, number, path, f"{checkpoint}/ledger", order) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def changes(events: DataFrame, by: str, order: Sequence[str], key: Column) -> DataFrame:
     """Rows whose key differs from that of the row before (the first row too)."""
-    w = Window.partitionBy(by).orderBy(*order)
-    return events.withColumn("_key", key).withColumn("_before", F.lag("_key").over(w)).filter(~F.col("_key").eqNullSafe(F.col("_before"))).drop("_key", "_before")
+    found = running(events.withColumn("_key", key), [by], order, lasts={"_before": F.struct("_key")}, before=True)
+    return found.filter(F.col("_before").isNull() | ~F.col("_key").eqNullSafe(F.col("_before._key"))).drop("_key", "_before")
 
 
 def debounced(events: DataFrame, by: str, time: Column, order: Sequence[str], quiet: float) -> DataFrame:
     """Rows that no other row of the group follows within ``quiet``."""
-    w = Window.partitionBy(by).orderBy(*order)
-    return events.withColumn("_t", time).withColumn("_next", F.lead("_t").over(w)).filter(F.col("_next").isNull() | (F.col("_next") - F.col("_t") >= quiet)).drop("_t", "_next")
+    found = running(events.withColumn("_t", time), [by], order, nexts={"_next": F.col("_t")})
+    return found.filter(F.col("_next").isNull() | (F.col("_next") - F.col("_t") >= quiet)).drop("_t", "_next")
 
 
 def reassembled(chunks: DataFrame, by: str, seq: str, size: Column) -> DataFrame:
