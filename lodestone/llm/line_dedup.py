@@ -33,7 +33,8 @@ ALIKE, PROBES, MOST = 0.6, 4, 0.5
 def parsed(docs: DataFrame) -> DataFrame:
     """key, size (of the text), line_no, chars, n_tokens, lead, template and other (two hashes) of every line that isn't blank, from a text column."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = docs.select(F.xxhash64(text).alias("key"), F.octet_length(text).alias("size"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    texts = docs.select(F.xxhash64(text).alias("key"), F.octet_length(text).alias("size"), F.split(text, "\n").alias("lines"))
+    lines = texts.select("key", "size", F.posexplode("lines").alias("line_no", "line"))  # hashed once for a text, not for each of its lines
     tokens = F.split(F.regexp_replace("line", f"^{GAP}|{GAP}$", ""), GAP)
     lead = F.array_join(F.transform(F.slice("tokens", 1, LEAD), lambda x: F.when(x.rlike("[0-9]"), FIELD).otherwise(x)), " ")
     split = lines.select("key", "size", "line_no", F.length("line").alias("chars"), tokens.alias("tokens")).filter("tokens[0] <> ''")
@@ -67,17 +68,19 @@ def copies(lines: DataFrame, marked: DataFrame) -> DataFrame:
 def line_dedup(docs: DataFrame, min_docs: int = 10, spare_copies: bool = False) -> DataFrame:
     """``docs`` with recurring lines dropped from text, and n_lines and n_dropped (long)."""
     lines = cut(parsed(docs).drop("n_tokens", "lead"))
-    recurring = recurring_templates(lines, min_docs).select("template", "other")
+    recurring = cut(recurring_templates(lines, min_docs).select("template", "other"))  # as a table, so that AQE can split the lines of a hot template
     marked = cut(lines.join(recurring, ["template", "other"], "left_semi").select("key", "size", "line_no", "chars").distinct())
     going = marked.join(copies(lines, marked), ["key", "size"], "left_anti") if spare_copies else marked
     key, size, numbers = fresh(docs, "key"), fresh(docs, "size"), fresh(docs, "numbers")
     drops = cut(going.groupBy(F.col("key").alias(key), F.col("size").alias(size)).agg(F.collect_list("line_no").alias(numbers)))
-    drop(lines, marked)
+    drop(lines, recurring, marked)
     text = F.coalesce(F.col("text"), F.lit(""))
     held = docs.withColumns({key: F.xxhash64(text), size: F.octet_length(text)})
     joined = held.join(drops.hint("merge"), [key, size], "left")  # grows with the corpus: never broadcast
     all_lines = F.split(text, "\n")
-    left = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains(numbers, i)), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col(numbers))  # by hash: linear in the lines
+    both = F.array(F.struct(all_lines.alias("lines"), stay.alias("stay")))  # bound once for all lines
+    left = F.element_at(F.transform(both, lambda b: F.array_join(F.transform(b["stay"], lambda i: F.get(b["lines"], i)), "\n")), 1)
     return joined.select(
         *[F.when(F.col(numbers).isNull(), text).otherwise(left).alias(c) if c == "text" else col(c) for c in docs.columns],
         F.size(all_lines).cast("long").alias(fresh(docs, "n_lines")),

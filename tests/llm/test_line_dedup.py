@@ -66,6 +66,16 @@ def test_columns_of_any_name_stay(spark):
     assert len(rows) == len(logs()) and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names) and any(r["n_dropped_"] for r in rows)
 
 
+def test_very_many_lines_in_one_text(spark):
+    """Work is linear in a text's lines."""
+    common = [f"Request {k} took {k} ms on host" for k in range(100_000)]
+    own = [f"{'x' * (k % 50)} {k % 7 * 'y '}own line that stays here for good" for k in range(100_000)]
+    text = "\n".join(line for pair in zip(common, own, strict=True) for line in pair)
+    rows = [(1, text), *[(10 + k, f"Request 1 took {k} ms on host\n{words(5, k)}") for k in range(12)]]
+    out = {r["doc_id"]: r for r in line_dedup(documents(spark, rows), 10).collect()}
+    assert out[1]["n_lines"] == 200_000 and out[1]["n_dropped"] == 100_000 and out[1]["text"] == "\n".join(own)
+
+
 def plain(n, seed, vocabulary):
     """Words without digits: each line has a template of its own."""
     return words(n, seed, vocabulary).translate(str.maketrans("0123456789", "abcdefghij"))
