@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import area, distance, in_box, polyline_length, symmetric_distance
+from ..sources.files import cut
 from .scan import running
 
 
@@ -41,30 +45,47 @@ def plain(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
 
 
-#: Characters on which phrases of one or two words meet texts.
-FIRST = 4
+#: Characters of the phrases that one automaton holds: what a task has in memory, and what is broadcast at once.
+SHARE = 2_000_000
+_automata: dict[int, object] = {}
+
+
+def _holding(share: int, phrases: Broadcast) -> Callable[[Column], Column]:
+    """Numbers of a share's phrases that a text holds, by one pass of an automaton over the text."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        if share not in _automata:  # a worker keeps the one it has
+            import ahocorasick
+
+            _automata.clear()
+            automaton = ahocorasick.Automaton()
+            for i, phrase in enumerate(phrases.value):
+                automaton.add_word(phrase, i)
+            automaton.make_automaton()
+            _automata[share] = automaton
+        return texts.map(lambda t: sorted({i for _, i in _automata[share].iter(t)}) if t else [])
+
+    return F.pandas_udf(run, "array<int>")
 
 
 def containing(texts: DataFrame, phrases: DataFrame, text: str, phrase: str) -> DataFrame:
-    """Pairs of a text and a phrase that it contains; empty phrases are in none.
+    """Pairs of a text and a phrase that it contains, at any place; empty phrases are in none, null texts hold none.
 
-    An inner word of a contained phrase is a whole word of the text, so the pairs meet on the phrase's longest inner word and
-    only those are compared, rather than each text with each phrase. Phrases of one or two words have no inner word and meet on
-    their first characters. They meet by two hashes of the texts; the texts themselves are moved once, to their candidates.
+    Phrases of SHARE characters make an Aho-Corasick automaton, which finds all of them in one pass over a text, where the text is: texts aren't shuffled,
+    only pairs are. With more phrases there are more shares, by hash, and a pass over the texts for each.
     """
-    inner = F.slice(F.split("_phrase", " "), 2, F.greatest(F.lit(0), F.size(F.split("_phrase", " ")) - 2))
-    longest = F.try_element_at(F.array_sort(inner, lambda a, b: F.length(b) - F.length(a)), F.lit(1))
-    keyed = phrases.withColumn("_phrase", plain(F.col(phrase))).filter("_phrase <> ''").withColumn("_anchor", longest)
-    named = texts.withColumn("_text", plain(F.col(text))).withColumn("_id", F.struct(F.xxhash64("_text"), F.xxhash64(F.lit("second"), "_text")))
-    words = named.select("_id", F.explode(F.array_distinct(F.split("_text", " "))).alias("_anchor"))
-    candidates = words.join(keyed.select("_phrase", "_anchor").filter("_anchor IS NOT NULL").distinct(), "_anchor").select("_id", "_phrase")
-    short = keyed.filter("_anchor IS NULL").select("_phrase").distinct()
-    for n in range(1, FIRST + 1):
-        begins = short.filter(F.length("_phrase") == n if n < FIRST else F.length("_phrase") >= n).withColumn("_anchor", F.substring("_phrase", 1, n))
-        candidates = candidates.union(named.select("_id", F.explode(grams(F.col("_text"), n)).alias("_anchor")).join(begins, "_anchor").select("_id", "_phrase"))
-    candidates = candidates.distinct()
-    found = named.join(candidates, "_id").filter(F.contains("_text", F.col("_phrase")))
-    return found.join(keyed, "_phrase").drop("_id", "_anchor", "_text", "_phrase")
+    spark = texts.sparkSession
+    keyed = phrases.withColumn("_phrase", plain(F.col(phrase))).filter("_phrase <> ''")
+    distinct = cut(keyed.select("_phrase").distinct())
+    shares = max(1, -(-(distinct.agg(F.sum(F.length("_phrase"))).first()[0] or 0) // SHARE))
+    out = None
+    for k in range(shares):
+        some = sorted(r[0] for r in distinct.filter(F.pmod(F.xxhash64("_phrase"), F.lit(shares)) == k).collect())  # about SHARE characters
+        held = _holding(uuid.uuid4().int, spark.sparkContext.broadcast(some)) if some else lambda _: F.array().cast("array<int>")
+        numbers = spark.createDataFrame(list(enumerate(some)), "_number int, _phrase string")
+        found = texts.withColumn("_number", F.explode(held(plain(F.col(text))))).join(numbers.join(keyed, "_phrase"), "_number").drop("_number", "_phrase")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def grams(c: Column, n: int) -> Column:
@@ -120,9 +141,36 @@ def with_default(facts: DataFrame, dimension: DataFrame, on: str, default: str =
     return joined.na.fill(default, [c for c in dimension.columns if c != on])
 
 
+#: Cells are no smaller than 2**LEAST_LEVEL.
+LEAST_LEVEL = -20
+
+
+def meeting(points: DataFrame, point: Column, boxes: DataFrame, box: Column, on: str) -> DataFrame:
+    """Pairs of a point and a box of the same group that holds it, borders included, each pair once; null points and boxes are in none.
+
+    They meet on cells of grids: a box is entered in the grid whose cells are just as large as it, where it lies in four cells at most, and a point looks
+    into its cell of each grid that its group has. So work is linear in points and boxes, and a large group is many keys.
+    """
+    size = F.greatest(box[2] - box[0], box[3] - box[1])
+    level = F.greatest(F.lit(LEAST_LEVEL), F.ceil(F.log2(F.greatest(size, F.lit(2.0**LEAST_LEVEL))))).cast("int")
+    cell = lambda v: F.floor(v / F.pow(F.lit(2.0), F.col("_level")))
+    cells = lambda a, b: F.explode(F.sequence(cell(a), cell(b)))
+    whole = size.isNotNull() & (box[2] >= box[0]) & (box[3] >= box[1])
+    entered = boxes.filter(whole).withColumn("_level", level).withColumn("_x", cells(box[0], box[2])).withColumn("_y", cells(box[1], box[3]))
+    levels = boxes.filter(whole).groupBy(on).agg(F.collect_set(level).alias("_levels"))
+    looking = points.filter(point[0].isNotNull() & point[1].isNotNull()).join(levels, on).withColumn("_level", F.explode("_levels")).drop("_levels")
+    placed = looking.withColumns({"_x": cell(point[0]), "_y": cell(point[1])})
+    return placed.join(entered, [on, "_level", "_x", "_y"]).filter(in_box(point, box)).drop("_level", "_x", "_y")
+
+
+def around(centre: Column, half: Column) -> Column:
+    """A square."""
+    return F.array(centre[0] - half, centre[1] - half, centre[0] + half, centre[1] + half)
+
+
 def smallest_box(points: DataFrame, boxes: DataFrame, on: str) -> DataFrame:
     """``points`` (on, point_id, point) with the smallest box (on, box_id, box) that holds the point, ties by box_id; null if none does."""
-    held = points.join(boxes, on).filter(in_box(F.col("point"), F.col("box")))
+    held = meeting(points, F.col("point"), boxes, F.col("box"), on)
     best = held.groupBy(on, "point_id").agg(F.min_by("box_id", F.struct(area(F.col("box")), F.col("box_id"))).alias("box_id"))
     return points.select(on, "point_id").join(best, [on, "point_id"], "left")
 
@@ -132,7 +180,9 @@ def attachment_box(points: DataFrame, boxes: DataFrame, on: str, enlarged: float
     box, point = F.col("box"), F.col("point")
     centre = F.array((box[0] + box[2]) / 2, (box[1] + box[3]) / 2)
     away = distance(point, centre)
-    near = points.join(boxes, on).filter(in_box(point, box, enlarged) | (away <= reach * F.hypot(box[2] - box[0], box[3] - box[1])))
+    diagonal = F.hypot(box[2] - box[0], box[3] - box[1])
+    reached = boxes.withColumn("_reach", around(centre, max(reach, 0.5 + enlarged) * diagonal * (1 + 1e-9)))
+    near = meeting(points, point, reached, F.col("_reach"), on).filter(in_box(point, box, enlarged) | (away <= reach * diagonal))
     return near.groupBy(on, "point_id").agg(F.min_by("box_id", F.struct(away.alias("d"), F.col("box_id"))).alias("box_id"))
 
 
@@ -140,12 +190,21 @@ def nearest_end(lines: DataFrame, others: DataFrame, on: str, reach: float = 0.4
     """on, line_id, other_id: the other line whose end is nearest to a line's end, within ``reach`` of the line's length; ties by other_id."""
     end = lambda c: F.element_at(F.col(c), -1)
     away = distance(end("line"), end("other"))
-    near = lines.join(others, on).filter(away <= reach * polyline_length(F.col("line")))
+    reached = lines.withColumn("_reach", around(end("line"), reach * polyline_length(F.col("line")) * (1 + 1e-9)))
+    near = meeting(others.withColumn("_end", end("other")), F.col("_end"), reached, F.col("_reach"), on).filter(away <= reach * polyline_length(F.col("line")))
     return near.groupBy(on, "line_id").agg(F.min_by("other_id", F.struct(away.alias("d"), F.col("other_id"))).alias("other_id"))
 
 
 def best_match(lines: DataFrame, others: DataFrame, on: str, most: float = 0.5) -> DataFrame:
-    """on, line_id, other_id, distance: the other line of least symmetric distance, if that is at most ``most`` of the line's length."""
+    """on, line_id, other_id, distance: the other line of least symmetric distance, if that is at most ``most`` of the line's length.
+
+    The means of two lines' points are no further apart than their points are on average, whichever way the lines run, so only lines whose means are near are compared.
+    """
     away = symmetric_distance(F.col("line"), F.col("other"))
-    scored = lines.join(others, on).select(on, "line_id", "other_id", away.alias("distance"), (most * polyline_length(F.col("line"))).alias("_most"))
+    limit = most * polyline_length(F.col("line"))
+    total = lambda c, i: F.aggregate(F.col(c), F.lit(0.0), lambda s, p: s + p[i])
+    mean = lambda c: F.array(total(c, 0) / F.size(c), total(c, 1) / F.size(c))
+    reached = lines.withColumn("_reach", around(mean("line"), limit + (limit + 1) * 1e-9))
+    near = meeting(others.withColumn("_mean", mean("other")), F.col("_mean"), reached, F.col("_reach"), on)
+    scored = near.select(on, "line_id", "other_id", away.alias("distance"), limit.alias("_most"))
     return scored.groupBy(on, "line_id", "_most").agg(F.min_by("other_id", F.struct("distance", "other_id")).alias("other_id"), F.min("distance").alias("distance")).filter("distance <= _most").drop("_most")

@@ -20,10 +20,39 @@ def test_hierarchy_faults_and_editions(spark):
     assert down == {("v1", "D34", "D34", 0), ("v1", "D34", "D34.0", 1), ("v2", "D34", "D34", 0), ("x", "a", "a", 0), ("x", "a", "b", 1)}
 
 
-def test_deep_hierarchy(spark):
-    """More levels than recursive SQL would allow rows or plans to grow with."""
-    codes = spark.createDataFrame([("v", str(i), "" if i == 0 else str(i - 1)) for i in range(8)], "edition string, code string, parent string")
-    assert hierarchy.ancestors(codes).count() == 28
+def test_deep_hierarchy(spark, monkeypatch):
+    """A chain takes as many rounds as its length has binary digits."""
+    codes = spark.createDataFrame([("v", str(i), "" if i == 0 else str(i - 1)) for i in range(200)], "edition string, code string, parent string")
+    written = []
+    monkeypatch.setattr(hierarchy, "cut", lambda df, cut=hierarchy.cut: written.append(1) or cut(df))
+    up = hierarchy.ancestors(codes)
+    assert up.count() == 199 * 100 and len(written) <= 3 * 9 + 1
+    assert up.filter("CAST(code AS INT) - depth <> CAST(ancestor AS INT) OR issue <> ''").count() == 0
+
+
+def walked(parents):
+    """Ancestors by walking up from each code."""
+    out = set()
+    for edition, code in parents:
+        seen, at, depth = {code}, code, 0
+        while parents.get((edition, at), "") != "":
+            at, depth = parents[edition, at], depth + 1
+            issue = "cycle" if at in seen else "" if (edition, at) in parents else "dangling"
+            out.add((edition, code, at, depth, issue))
+            if issue:
+                break
+            seen.add(at)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_hierarchies_of_any_shape(spark, seed):
+    """Random parents: chains into cycles of any length, loops, codes that aren't there, tops."""
+    rng = random.Random(seed)
+    parents = {(e, f"c{i}"): rng.choice(["", f"c{i}", "gone"]) if rng.random() < (0.3, 0.05, 0.02, 0.0)[seed] else f"c{rng.randrange(60) if seed % 2 else (i + 1) % 40}" for e in ("v", "w") for i in range(40)}
+    codes = spark.createDataFrame([(e, c, p) for (e, c), p in parents.items()], "edition string, code string, parent string")
+    assert {tuple(r) for r in hierarchy.ancestors(codes).collect()} == walked(parents)
+    assert hierarchy.ancestors(codes.filter("false")).count() == 0
 
 
 def _planted(rng, size, groups, inside, outside):
@@ -213,3 +242,55 @@ def test_numbered(spark):
     rows = [(int(v),) for v in np.random.default_rng(3).permutation(500)]
     ids = {r["v"]: r["id"] for r in ranking.numbered(spark.createDataFrame(rows, "v int"), [F.col("v")], "n%06d", "id").collect()}
     assert ids == {v: f"n{v:06d}" for v in range(500)}
+
+
+def test_phrases_in_shares(spark, monkeypatch):
+    """Several automata find what one does, which is what comparing all pairs finds."""
+    rng = random.Random(11)
+    texts = [(i, "".join(rng.choice("ab 가") for _ in range(rng.randrange(30)))) for i in range(60)] + [(99, None)]
+    phrases = [(i, "".join(rng.choice("ab 가") for _ in range(rng.randrange(1, 5)))) for i in range(80)] + [(500, "a"), (501, "A")]
+    flat = lambda s: " ".join((s or "").lower().split())
+    pairs = sorted((i, j) for i, t in texts for j, p in phrases if flat(p) and flat(p) in flat(t))
+    t, p = spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(phrases, "p int, phrase string")
+    for share in (10_000, 60):
+        monkeypatch.setattr(joins, "SHARE", share)
+        assert sorted((r["id"], r["p"]) for r in joins.containing(t, p, "text", "phrase").collect()) == pairs
+    assert joins.containing(t, p.filter("p < 0"), "text", "phrase").count() == 0
+
+
+def test_points_and_boxes_meet_on_grids(spark):
+    """Boxes of all sizes, borders, points, negative places and nulls, against all pairs."""
+    rng = random.Random(12)
+    boxes, points = [("n", 0, None), ("n", 1, [5.0, 5.0, 1.0, 1.0])], [("n", 0, None), ("m", 1, [0.0, 0.0])]
+    for image in ("a", "b"):
+        for k in range(120):
+            x, y, w, h = rng.randrange(-40, 40), rng.randrange(-40, 40), rng.choice((0, 0.5, 1, 3, 64, 200)), rng.choice((0, 1, 8, 100))
+            boxes.append((image, k, [float(x), float(y), float(x + w), float(y + h)]))
+            points.append((image, k, [float(rng.randrange(-45, 60)), float(rng.randrange(-45, 60))]))
+    b, p = spark.createDataFrame(boxes, "image string, box_id int, box array<double>"), spark.createDataFrame(points, "image string, point_id int, point array<double>")
+    pairs = sorted((i, q, k) for i, q, (x, y) in [r for r in points if r[2]] for j, k, z in boxes if i == j and z and z[0] <= x <= z[2] and z[1] <= y <= z[3])
+    assert sorted((r["image"], r["point_id"], r["box_id"]) for r in joins.meeting(p, F.col("point"), b, F.col("box"), "image").collect()) == pairs and len(pairs) > 500
+
+
+def test_a_large_image_is_not_quadratic(spark):
+    side = 150
+    boxes = spark.range(side * side).select(F.lit("i").alias("image"), F.col("id").alias("box_id"), F.array(*[(v * 10 + e).cast("double") for e in (0, 8) for v in (F.col("id") % side, F.floor(F.col("id") / side))]).alias("box"))
+    points = boxes.select("image", F.col("box_id").alias("point_id"), F.array(F.col("box")[0] + 4, F.col("box")[1] + 4).alias("point"))
+    held = joins.smallest_box(points, boxes, "image")
+    assert held.filter("box_id <> point_id OR box_id IS NULL").count() == 0 and held.count() == side * side
+
+
+def test_lines_that_match_are_found_by_their_means(spark):
+    from lodestone.functions.vectors import polyline_length, symmetric_distance
+
+    rng = random.Random(13)
+    line = lambda: [[rng.uniform(0, 60), rng.uniform(0, 60)] for _ in range(4)]
+    lines = spark.createDataFrame([(i % 2, i, line()) for i in range(40)], "image int, line_id int, line array<array<double>>")
+    others = spark.createDataFrame([(i % 2, i, line()) for i in range(60)], "image int, other_id int, other array<array<double>>")
+    pairs = lines.join(others, "image").select("*", symmetric_distance(F.col("line"), F.col("other")).alias("d"), polyline_length(F.col("line")).alias("n"))
+    end = lambda c: F.element_at(c, -1)
+    best = {r["line_id"]: r["o"] for r in pairs.filter("d <= 0.5 * n").groupBy("line_id").agg(F.min_by("other_id", F.struct("d", "other_id")).alias("o")).collect()}
+    assert {r["line_id"]: r["other_id"] for r in joins.best_match(lines, others, "image").collect()} == best and best
+    away = F.hypot(end("line")[0] - end("other")[0], end("line")[1] - end("other")[1])
+    near = {r["line_id"]: r["o"] for r in pairs.withColumn("e", away).filter("e <= 0.4 * n").groupBy("line_id").agg(F.min_by("other_id", F.struct("e", "other_id")).alias("o")).collect()}
+    assert {r["line_id"]: r["other_id"] for r in joins.nearest_end(lines, others, "image").collect()} == near and near
