@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import filters, joins
+from ..operators import decisions, filters, joins, validate
 from ..schemas import table
 from .registry import query
 
@@ -227,3 +227,103 @@ def j16_must_match(spark, d):
     """Every order has a customer, or the join fails."""
     customers = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
     return joins.must_match(table(spark, d, "orders").select("o_orderkey", "o_custkey"), customers, "o_custkey").select("o_orderkey", "c_mktsegment")
+
+
+GEOMETRY = """g AS (SELECT p_partkey AS k, (p_partkey % 97)::DOUBLE AS x1, (p_partkey % 89)::DOUBLE AS y1, (p_partkey * 3 % 97)::DOUBLE AS x2, (p_partkey * 5 % 89)::DOUBLE AS y2, (p_partkey * 7 % 97)::DOUBLE AS x3, (p_partkey * 11 % 89)::DOUBLE AS y3, p_size::DOUBLE AS s FROM part)"""
+
+
+def _lines(spark, d):
+    """k, image, s and a line of three points for each part."""
+    k = F.col("p_partkey")
+    at = lambda a, b: F.array((k * a % 97).cast("double"), (k * b % 89).cast("double"))
+    return table(spark, d, "part").select(k.alias("k"), F.expr("p_partkey div 20").alias("image"), F.col("p_size").cast("double").alias("s"), F.array(at(1, 1), at(3, 5), at(7, 11)).alias("line"))
+
+
+@query(f"""WITH {GEOMETRY}, b AS (SELECT *, least(x1, x2, x3) AS bx, least(y1, y2, y3) AS ex, greatest(x1, x2, x3) AS cx, greatest(y1, y2, y3) AS fx FROM g),
+          o AS (SELECT *, greatest(0, least(cx, bx + s) - greatest(bx, bx)) * greatest(0, least(fx, ex + s) - ex) AS common, (cx - bx) * (fx - ex) + s * s AS sizes FROM b)
+          SELECT k, round(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) + sqrt((x3 - x2) * (x3 - x2) + (y3 - y2) * (y3 - y2)), 6) AS length, bx AS west, ex AS south, cx AS east, fx AS north,
+                 round(CASE WHEN sizes - common > 0 THEN common / (sizes - common) ELSE 0 END, 6) AS iou,
+                 round(least(3 * sqrt(2 * s * s), sqrt((x3 + s - x1) * (x3 + s - x1) + (y3 + s - y1) * (y3 + s - y1)) + sqrt(2 * s * s) + sqrt((x1 + s - x3) * (x1 + s - x3) + (y1 + s - y3) * (y1 + s - y3))) / 3, 6) AS apart,
+                 round(x1 * 640 / 1000, 6) AS px, round(y1 * 480 / 1000, 6) AS py FROM o""")
+def m8_geometry(spark, d):
+    """Length and box of a line, overlap of its box with a square, mean distance to the line moved by s both ways, and pixels."""
+    moved = F.transform("line", lambda p: F.array(p[0] + F.col("s"), p[1] + F.col("s")))
+    box, line = V.bounding_box(F.col("line")), F.col("line")
+    square = F.array(box[0], box[1], box[0] + F.col("s"), box[1] + F.col("s"))
+    pixels = V.scaled(line, F.lit(640.0), F.lit(480.0))[0]
+    return _lines(spark, d).select(
+        "k", F.round(V.polyline_length(line), 6).alias("length"), box[0].alias("west"), box[1].alias("south"), box[2].alias("east"), box[3].alias("north"), F.round(V.iou(box, square), 6).alias("iou"),
+        F.round(V.symmetric_distance(line, moved), 6).alias("apart"), F.round(pixels[0], 6).alias("px"), F.round(pixels[1], 6).alias("py"),
+    )
+
+
+PAIRS = f"""{GEOMETRY}, n AS (SELECT *, k // 20 AS image, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) + sqrt((x3 - x2) * (x3 - x2) + (y3 - y2) * (y3 - y2)) AS len FROM g),
+           h AS (SELECT a.image, a.k AS line_id, b.k AS other_id, a.len, sqrt((a.x3 - b.x3) * (a.x3 - b.x3) + (a.y3 - b.y3) * (a.y3 - b.y3)) AS ends, sqrt((a.x2 - b.x2) * (a.x2 - b.x2) + (a.y2 - b.y2) * (a.y2 - b.y2)) AS mid,
+                 sqrt((a.x1 - b.x1) * (a.x1 - b.x1) + (a.y1 - b.y1) * (a.y1 - b.y1)) AS starts, sqrt((a.x1 - b.x3) * (a.x1 - b.x3) + (a.y1 - b.y3) * (a.y1 - b.y3)) AS back, sqrt((a.x3 - b.x1) * (a.x3 - b.x1) + (a.y3 - b.y1) * (a.y3 - b.y1)) AS forth
+                 FROM n a JOIN n b ON a.image = b.image AND a.k <> b.k AND a.k % 2 = 0 AND b.k % 2 = 1)"""
+
+
+def _line_pairs(spark, d):
+    lines = _lines(spark, d)
+    return lines.filter("k % 2 = 0").select("image", F.col("k").alias("line_id"), "line"), lines.filter("k % 2 = 1").select("image", F.col("k").alias("other_id"), F.col("line").alias("other"))
+
+
+@query(f"""WITH {PAIRS} SELECT image, line_id, other_id FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY ends, other_id) AS n FROM h WHERE ends <= 0.4 * len) WHERE n = 1""")
+def j22_nearest_end(spark, d):
+    """For lines of even numbers the line of an odd one that ends nearest."""
+    return joins.nearest_end(*_line_pairs(spark, d), "image")
+
+
+@query(f"""WITH {PAIRS} SELECT image, line_id, other_id, round(away, 6) AS distance FROM (SELECT *, least(starts + mid + ends, back + mid + forth) / 3 AS away, row_number() OVER (PARTITION BY line_id ORDER BY least(starts + mid + ends, back + mid + forth) / 3, other_id) AS n FROM h) WHERE n = 1 AND away <= 0.5 * len""")
+def j24_best_match(spark, d):
+    """For lines of even numbers the most alike of the odd ones."""
+    return joins.best_match(*_line_pairs(spark, d), "image").withColumn("distance", F.round("distance", 6))
+
+
+@query(f"""WITH {BOXES}, {PAIRS}, w AS (SELECT image, box_id AS worker, x, y, s, CASE box_id % 3 WHEN 0 THEN 'clipped' WHEN 1 THEN 'unclipped' ELSE 'unknown' END AS label FROM b),
+          e AS (SELECT n.image, n.k AS line_id, n.*, w.worker, w.label AS state, row_number() OVER (PARTITION BY n.k ORDER BY w.s * w.s, w.worker) AS i FROM n LEFT JOIN w ON w.image = n.image AND n.x1 BETWEEN w.x AND w.x + w.s AND n.y1 BETWEEN w.y AND w.y + w.s WHERE n.k % 2 = 0),
+          l AS (SELECT image, (k * 3 % 20) AS worker, k AS number, x1, y1, x2, y2, x3, y3, CASE k % 4 WHEN 1 THEN 'structure' WHEN 3 THEN 'body' ELSE 'not_visible' END AS hook FROM n WHERE k % 2 = 1),
+          a AS (SELECT e.line_id, l.hook, row_number() OVER (PARTITION BY e.line_id ORDER BY sqrt((e.x3 - l.x3) * (e.x3 - l.x3) + (e.y3 - l.y3) * (e.y3 - l.y3)), l.number) AS j FROM e JOIN l ON l.image = e.image AND l.worker = e.worker
+                WHERE e.i = 1 AND sqrt((e.x3 - l.x3) * (e.x3 - l.x3) + (e.y3 - l.y3) * (e.y3 - l.y3)) <= 0.4 * e.len),
+          f AS (SELECT e.image, 'detected' AS origin, e.worker, e.line_id AS line, a.hook, CASE WHEN e.k % 3 = 0 THEN 'unknown' ELSE 'clear' END AS shape,
+                CASE WHEN a.line_id IS NOT NULL THEN CASE a.hook WHEN 'structure' THEN 'structure' WHEN 'body' THEN 'not_structure' END ELSE CASE e.state WHEN 'clipped' THEN 'structure' WHEN 'unclipped' THEN 'not_structure' END END AS given, least(e.x1, e.x2, e.x3) AS west
+                FROM e LEFT JOIN a ON a.line_id = e.line_id AND a.j = 1 WHERE e.i = 1
+                UNION ALL SELECT l.image, 'answered', l.worker, l.number, l.hook, CASE WHEN l.number % 3 = 0 THEN 'unknown' ELSE 'clear' END, CASE l.hook WHEN 'structure' THEN 'structure' WHEN 'body' THEN 'not_structure' END, least(l.x1, l.x2, l.x3)
+                FROM l WHERE (image, worker) IN (SELECT (image, worker) FROM w) AND (image, worker) NOT IN (SELECT (image, worker) FROM e WHERE i = 1 AND worker IS NOT NULL))
+          SELECT image, origin, worker, line, hook, CASE WHEN shape <> 'unknown' THEN shape ELSE coalesce(given, 'unknown') END AS label, CASE WHEN shape <> 'unknown' THEN 'shape' WHEN given IS NOT NULL THEN 'answer' ELSE 'none' END AS source, west FROM f""")
+def e12_decision_chain(spark, d):
+    """Lines of even numbers as detected, those of odd ones as answers; boxes as workers."""
+    boxes, _ = _boxes(spark, d)
+    state = F.when(F.col("box_id") % 3 == 0, "clipped").when(F.col("box_id") % 3 == 1, "unclipped").otherwise("unknown")
+    workers = boxes.select("image", F.col("box_id").alias("worker"), "box", state.alias("label"))
+    lines = _lines(spark, d).withColumn("shape", F.when(F.col("k") % 3 == 0, "unknown").otherwise("clear"))
+    detections = lines.filter("k % 2 = 0").select("image", F.col("k").alias("line_id"), "line", "shape")
+    hook = F.when(F.col("k") % 4 == 1, "structure").when(F.col("k") % 4 == 3, "body").otherwise("not_visible")
+    answers = lines.filter("k % 2 = 1").select("image", (F.col("k") * 3 % 20).alias("worker"), F.col("k").alias("number"), F.col("line").alias("points"), hook.alias("hook"), "shape")
+    found = decisions.combine(detections, workers, answers)
+    return found.select("image", "origin", "worker", "line", "hook", "label", "source", F.col("box")[0].alias("west"))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS chunk, 'n' || l_linenumber AS source, l_returnflag AS kind, 'n' || (l_partkey % 5) AS target, l_quantity > 5 AS quoted, l_orderkey * 10 + l_linenumber AS ord FROM lineitem),
+          e AS (SELECT DISTINCT l_orderkey AS chunk, 'n' || l_linenumber AS name FROM lineitem),
+          c AS (SELECT r.*, CASE WHEN kind NOT IN ('A', 'N') THEN 'kind' WHEN t.name IS NULL THEN 'endpoint' WHEN source = target THEN 'loop' WHEN NOT quoted THEN 'evidence' END AS reason
+                FROM r LEFT JOIN e t ON t.chunk = r.chunk AND t.name = r.target)
+          SELECT chunk, ord, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY chunk, source, kind, target, reason IS NULL ORDER BY ord) > 1 THEN 'duplicate' ELSE reason END AS reason FROM c""")
+def g11_relation_check(spark, d):
+    """Why an extracted relation would be dropped: kind, ends, loops, evidence, copies."""
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("chunk"), F.concat(F.lit("n"), F.col("l_linenumber")).alias("source"), F.col("l_returnflag").alias("kind"), F.concat(F.lit("n"), F.col("l_partkey") % 5).alias("target"), (F.col("l_quantity") > 5).alias("quote_found"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord")
+    )
+    return validate.valid_relations(rows, rows.select("chunk", F.col("source").alias("name")), ["A", "N"]).select("chunk", "ord", "reason")
+
+
+@query(r"""WITH t AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_quantity::INT END AS q, l_linenumber % 5 = 4 AS broken FROM lineitem)
+          SELECT l_orderkey, l_linenumber, CASE WHEN broken OR q IS NULL THEN NULL ELSE q::BIGINT END AS quantity, q IS NOT NULL AND NOT broken AS whole FROM t""")
+def m19_first_object(spark, d):
+    """An object read out of free text around it; text without one, or with a broken one, gives null."""
+    q, n = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber")
+    body = F.concat(F.lit('Answer: {"n": {"q": '), q, F.when(n % 5 == 4, "}").otherwise("}}"), F.lit(" as asked\n"))
+    text = F.when(n % 3 == 0, "no object").otherwise(body)
+    parsed = F.from_json(decisions.first_object(text), "n struct<q: bigint>")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", parsed.alias("p"))
+    return rows.select("l_orderkey", "l_linenumber", F.col("p.n.q").alias("quantity"), F.col("p.n.q").isNotNull().alias("whole"))

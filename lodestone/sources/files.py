@@ -38,7 +38,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """RFC 4180 with a header: quoted line ends, doubled quotes, a byte order mark. Empty cells are empty strings, rows of empty cells only go."""
-    df = spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
+    df = spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     texts = [f.name for f in schema if f.dataType.typeName() == "string"]
     return df.dropna("all").na.fill("", texts)
 
@@ -46,7 +46,7 @@ def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 def write_csv(df: DataFrame, path: str, columns: list[str], quote_all: bool = False) -> None:
     """The given columns (missing ones empty, others left out), CRLF ends."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns]
-    df.select(*cells).write.csv(path, header=True, lineSep="\r\n", emptyValue='""' if quote_all else "", quoteAll=quote_all, escape='"')
+    df.select(*cells).write.csv(path, header=True, lineSep="\r\n", emptyValue='""' if quote_all else "", quoteAll=quote_all, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def csv_line(*cells: F.Column) -> F.Column:

@@ -54,24 +54,42 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def _write(fs, at, text: str) -> None:
+    out = fs.create(at, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def _rename(spark: SparkSession, fs, a, b, *how: str) -> None:
+    jvm = spark._jvm.org.apache.hadoop.fs
+    options = spark.sparkContext._gateway.new_array(jvm.Options.Rename, len(how))
+    for i, name in enumerate(how):
+        options[i] = jvm.Options.Rename.valueOf(name)
+    jvm.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(a, b, options)
+
+
 def put_new(spark: SparkSession, path: str, text: str) -> bool:
     """Create a small file whole, or leave the one that is there: written aside, then renamed where nothing is yet. False if it was there."""
     at, fs = _at(spark, path)
     aside, _ = _at(spark, f"{path}.{uuid.uuid4().hex}.tmp")
     if fs.exists(at):
         return False
-    out = fs.create(aside, False)
+    _write(fs, aside, text)
     try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
-    try:
-        jvm = spark._jvm.org.apache.hadoop.fs
-        none = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 0)
-        jvm.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(aside, at, none)  # fails where a file is
+        _rename(spark, fs, aside, at)  # fails where a file is
         return True
     except Exception:
         fs.delete(aside, False)
         if fs.exists(at):
             return False
         raise
+
+
+def swap(spark: SparkSession, path: str, text: str) -> None:
+    """Put a small file in the place of the one that is there, if any: readers see the one or the other."""
+    at, fs = _at(spark, path)
+    aside, _ = _at(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    _write(fs, aside, text)
+    _rename(spark, fs, aside, at, "OVERWRITE")
