@@ -28,8 +28,20 @@ from ..operators.filters import ranked
 from ..sources import store
 from .retrieval import K1, MOST_PARTICLES, PARTICLE_WEIGHT, B
 
+#: Fills up the last trigrams of a text, so that each character begins one.
+PAD = "\u0000"
+
+
+def trigrams(c: Column) -> Column:
+    """What begins at each character of the lower-cased text: it and the next two."""
+    points = F.regexp_extract_all(F.concat(F.lower(c), F.lit(PAD * 2)), F.lit("(?s)."), F.lit(0))
+    from_each = lambda p: F.transform(F.sequence(F.lit(0), F.size(p) - 3), lambda i: F.concat(F.get(p, i), F.get(p, i + 1), F.get(p, i + 2)))
+    bound = F.transform(F.array(points), lambda p: F.when(F.size(p) > 2, from_each(p)).otherwise(F.array().cast("array<string>")))
+    return F.element_at(bound, 1)
+
+
 #: How a text becomes terms.
-RECIPES: dict[str, Callable[[Column], Column]] = {"tokens": T.tokens, "analyzer": lambda c: T.analyzed(T.nfkc_casefold(c))}
+RECIPES: dict[str, Callable[[Column], Column]] = {"tokens": T.tokens, "analyzer": lambda c: T.analyzed(T.nfkc_casefold(c)), "trigrams": trigrams}
 TABLES = ("documents", "terms", "postings")
 #: Bytes of a row group of postings: small, so that few terms are read beside those asked for.
 GROUP_BYTES = 4 << 20
@@ -45,6 +57,7 @@ class Spec:
     kept: tuple[str, ...] = ()
     recipe: str = "tokens"
     files_per_batch: int = 64
+    places: bool = False  # postings have the terms' places in the text, in order
 
 
 def full_spec(spark: SparkSession, source: str, spec: Spec) -> dict:
@@ -69,7 +82,9 @@ def commit_once(df: Callable[[], DataFrame], path: str, spark: SparkSession, **o
 def _of_batch(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
     named = docs.select(F.col(spec.row).alias("row"), *spec.kept, RECIPES[spec.recipe](F.coalesce(F.col(spec.text), F.lit(""))).alias("terms"))
     sized = named.withColumn("dl", F.size("terms"))
-    counted = sized.select("row", "dl", F.explode("terms").alias("term")).groupBy("term", "row", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    each = F.posexplode("terms").alias("place", "term")
+    places = [F.array_sort(F.collect_list("place")).alias("places")] if spec.places else []
+    counted = sized.select("row", "dl", each).groupBy("term", "row", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"), *places)
     return sized.select("row", "dl", *spec.kept), counted
 
 
@@ -174,6 +189,51 @@ class Index:
         share = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(self.average or 1.0)))
         return self.postings([t for t, _, _ in terms]).groupBy("row").agg(F.sum(share).alias("score"))
 
+    def starts(self, word: str) -> DataFrame:
+        """row and starts (in order, from 0) of all places of a word in the lower-cased texts, overlapping ones too; for an index of trigrams with places.
+
+        Trigrams that cover the word are looked up, and their places moved to where the word would begin must have some in
+        common. A word of one or two characters is what trigrams begin with. So no text is read for words of any length.
+        """
+        spec = self.manifest["spec"]
+        if spec["recipe"] != "trigrams" or not spec["places"]:
+            raise ValueError("the index has no places of trigrams")
+        w = word.lower()
+        if not w or PAD in w:
+            raise ValueError("a word has characters, and no U+0000")
+        if len(w) < 3:
+            short = self.table("postings").filter(F.startswith("term", F.lit(w)))
+            return short.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("starts"))
+        cover = {k: w[k : k + 3] for k in sorted({*range(0, len(w) - 2, 3), len(w) - 3})}
+        terms = sorted(set(cover.values()))
+        held = self.postings(terms).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("m")).filter(F.size("m") == len(terms))
+        moved = [_moved(F.col("m")[term], k) for k, term in cover.items()]
+        common = moved[0]
+        for more in moved[1:]:
+            common = F.array_intersect(common, more)
+        return held.select("row", F.array_sort(common).alias("starts")).filter(F.size("starts") > 0)
+
+    def occurrences(self, words: Sequence[str]) -> DataFrame:
+        """row and hits of the rows that have all words: how often they occur in all, each without overlaps."""
+        every = None
+        for i, word in enumerate(dict.fromkeys(w.lower() for w in words)):
+            one = self.starts(word).select("row", F.lit(i).alias("word"), _without_overlaps(F.col("starts"), len(word)).alias("n"))
+            every, n = one if every is None else every.unionByName(one), i + 1
+        if every is None:
+            raise ValueError("no words")
+        return every.groupBy("row").agg(F.count(F.lit(1)).alias("words"), F.sum("n").cast("bigint").alias("hits")).filter(F.col("words") == n).drop("words")
+
+
+def _moved(places: Column, by: int) -> Column:
+    return F.transform(places, lambda p: p - F.lit(by))
+
+
+def _without_overlaps(starts: Column, size: int) -> Column:
+    """How many of the sorted places of a word of ``size`` characters are left if each begins behind the end of the one before."""
+    none = F.struct(F.lit(0).alias("free"), F.lit(0).alias("n"))
+    step = lambda s, p: F.when(p >= s["free"], F.struct((p + size).alias("free"), (s["n"] + 1).alias("n"))).otherwise(s)
+    return F.aggregate(starts, none, step, lambda s: s["n"])
+
 
 def _idf(n: int, df: int) -> float:
     return math.log1p((n - df + 0.5) / (df + 0.5))

@@ -23,7 +23,7 @@ SHARE = "ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.
 
 def _index(spark, d, recipe="tokens"):
     """The index of the documents, in the shared folder; it is built by the first query that asks."""
-    return I.ensure_index(spark, f"{d}/documents.parquet", f"{shared_root(spark)}/index", I.Spec("1", "doc_id", "text", ("lang", "source"), recipe))
+    return I.ensure_index(spark, f"{d}/documents.parquet", f"{shared_root(spark)}/index", I.Spec("1", "doc_id", "text", ("lang", "source"), recipe, places=recipe == "trigrams"))
 
 
 def _question(spark, d):
@@ -62,9 +62,10 @@ def r3_hybrid_search(spark, d):
           SELECT row, round(sum(1.0 / (60 + rank)), 6) AS score FROM r WHERE rank <= 200 GROUP BY row""")
 def r4_substring_hybrid(spark, d):
     """Occurrences of the words instead of BM25; the fused list isn't cut."""
-    docs = table(spark, d, "documents").filter("lang = 'en'")
-    hits = docs.filter(T.contains_all(F.col("text"), ["license"])).select(F.col("doc_id").alias("row"), T.occurrences(F.col("text"), "license").cast("double").alias("score"))
-    dense = R.similarities(table(spark, d, "embeddings"), "vec_id", "embedding", _question(spark, d)).join(docs.select(F.col("doc_id").alias("row")), "row", "left_semi")
+    index = _index(spark, d, "trigrams")
+    docs = index.table("documents").filter("lang = 'en'").select("row")
+    hits = index.occurrences(["license"]).join(docs, "row", "left_semi").select("row", F.col("hits").cast("double").alias("score"))
+    dense = R.similarities(table(spark, d, "embeddings"), "vec_id", "embedding", _question(spark, d)).join(docs, "row", "left_semi")
     return ranking.fused_scores({"keyword": R.top(hits), "vector": R.top(dense)}, "row").select("row", F.round("score", 6).alias("score"))
 
 
@@ -125,8 +126,9 @@ def r18_index_build(spark, d):
           WHERE contains(lower(text), 'the') AND lang IN ('en', 'fr')) ORDER BY hits DESC, doc_id LIMIT 20 OFFSET 20""")
 def r2_keyword_search(spark, d):
     """Filter, all words in the text, most occurrences first, second page."""
-    docs = filters.any_of(table(spark, d, "documents"), {"lang": ["en", "fr"]}).filter(T.contains_all(F.col("text"), ["the"]))
-    hits = docs.select("doc_id", T.occurrences(F.col("text"), "the").alias("hits"))
+    index = _index(spark, d, "trigrams")
+    docs = filters.any_of(index.table("documents"), {"lang": ["en", "fr"]}).select("row")
+    hits = index.occurrences(["the"]).join(docs, "row", "left_semi").select(F.col("row").alias("doc_id"), "hits")
     return filters.page(hits, [F.desc("hits"), F.col("doc_id")], 2, 20)
 
 

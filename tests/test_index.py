@@ -125,3 +125,24 @@ def test_pages_of_a_search(spark):
     assert len(lone) == 10 and lone[0]["similarity"] is None and lone[0]["total"] == 30
     with pytest.raises(ValueError, match="pages"):
         R.search_page(scores, dense, 6)
+
+
+def test_substrings_are_found_by_their_trigrams(spark, tmp_path):
+    """Words of any length, at any place, overlapping themselves, against a scan."""
+    import random
+
+    rng = random.Random(6)
+    texts = [(i, "".join(rng.choice("ab가 \n") for _ in range(rng.randrange(40)))) for i in range(120)] + [(900, "AAAAaaa"), (901, None), (902, ""), (903, "x"), (904, "The LICENSE\U0001f600license")]
+    path = str(tmp_path / "texts")
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(3).write.parquet(path)
+    index = I.ensure_index(spark, path, str(tmp_path / "index"), I.Spec("1", "doc_id", "text", (), "trigrams", places=True))
+    for words in (["a"], ["ab"], ["가"], ["aa"], ["aba"], ["a b가"], ["ab", "b a"], ["license"], ["\U0001f600l"], ["aaaa"], ["b\n"], ["zzz"], ["ab", "zz"]):
+        held = {i: sum((t or "").lower().count(w) for w in words) for i, t in texts if all(w in (t or "").lower() for w in words)}
+        assert {r["row"]: r["hits"] for r in index.occurrences(words).collect()} == held, words
+    with pytest.raises(ValueError, match="characters"):
+        index.starts("")
+    plan = index.starts("license")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PushedFilters: \[In\(term, \[cen,lic,nse\]\)\]", plan) or "In(term" in plan
+    tokens = I.ensure_index(spark, path, str(tmp_path / "index"), I.Spec("1", "doc_id", "text"))
+    with pytest.raises(ValueError, match="no places"):
+        tokens.starts("license")
