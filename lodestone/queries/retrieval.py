@@ -6,6 +6,7 @@ from ..functions import text as T
 from ..operators import filters, ranking, validate
 from ..plans import index as I
 from ..plans import retrieval as R
+from ..plans import vectors as V
 from ..schemas import table
 from ..sources.files import shared_root
 from .registry import query
@@ -40,6 +41,15 @@ def m3_cosine_topk(spark, d):
     return R.nearest(vectors.filter("vec_id % 20 = 0"), vectors, "vec_id", "embedding", 20)
 
 
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+          s AS (SELECT q.vec_id AS query, v.vec_id AS row, round(list_dot_product(q.e, v.e), 6) AS score FROM v AS q, v WHERE q.vec_id % 20 = 0)
+          SELECT query, row, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, row) AS rank FROM s) WHERE rank <= 10""")
+def w2_pruned_topk(spark, d):
+    """The ten vectors most alike to each of the query set (ids divisible by 20), by cells and bounds."""
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return V.nearest_pruned(vectors.filter("vec_id % 20 = 0"), vectors, "vec_id", "embedding", 10)
+
+
 @query(f"""WITH {BM25}, q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
           a AS (SELECT doc_id AS row, round(sum({SHARE}), 6) AS score FROM p JOIN f ON f.term = p.term, totals WHERE p.term IN ({LISTED}) AND lang IN ('en', 'de') GROUP BY 1),
           b AS (SELECT vec_id AS row, round(list_dot_product(embedding::DOUBLE[], q.v), 6) AS score FROM q, embeddings JOIN documents ON doc_id = vec_id WHERE lang IN ('en', 'de')),

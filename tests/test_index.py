@@ -146,3 +146,30 @@ def test_substrings_are_found_by_their_trigrams(spark, tmp_path):
     tokens = I.ensure_index(spark, path, str(tmp_path / "index"), I.Spec("1", "doc_id", "text"))
     with pytest.raises(ValueError, match="no places"):
         tokens.starts("license")
+
+
+def test_pruned_vectors_equal_the_full_product(spark, monkeypatch):
+    """Clusters, a zero vector, vectors of any length, equal ones, more rows asked for than there are; and with clusters most products are left out."""
+    import numpy as np
+
+    from lodestone.plans import vectors as V
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 8)) * 3
+    rows = np.concatenate([centres[rng.integers(0, 12, 900)] + rng.normal(size=(900, 8)) * 0.05, rng.normal(size=(60, 8)), np.zeros((1, 8)), np.ones((3, 8))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "id long, v array<double>")
+    scores = np.round(rows[::20] @ rows.T, 6)
+    made, products = [], V._products
+    monkeypatch.setattr(V, "_products", lambda asked, held, *a: made.append(asked) or products(asked, held, *a))
+    for most in (7, 2000):
+        found = {(r["query"], r["rank"]): (r["row"], r["score"]) for r in V.nearest_pruned(df.filter("id % 20 = 0"), df, "id", "v", most, block=50).collect()}
+        want = {}
+        for q, s in enumerate(scores):
+            for rank, row in enumerate(np.lexsort((np.arange(len(s)), -s))[:most], 1):
+                want[q * 20, rank] = (int(row), float(s[row]))
+        assert found.keys() == want.keys() and all(found[k][0] == want[k][0] and abs(found[k][1] - want[k][1]) < 2e-6 for k in want)
+        if most == 7:
+            sizes = {r["cell"]: r["n"] for r in V.in_cells(df, "id", "v", V.centroids(df, "id", "v")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+            met = sum(sizes[r["cell"]] for asked in made for r in asked.select("cell").collect())
+            assert met < 0.6 * scores.size
+    assert V.nearest_pruned(df.filter("id < 0"), df.filter("id < 0"), "id", "v", 3).count() == 0
