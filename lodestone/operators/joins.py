@@ -34,10 +34,13 @@ def reconcile(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def must_match(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
-    """An inner join that fails, naming the key, where a row of ``a`` has no partner."""
-    held = a.join(b.withColumn("_held", F.lit(True)), on, "left")
+    """An inner join that fails, naming the key, where a row of ``a`` has no partner. Keys of ``b`` are unique; rows of a key that isn't come once for each."""
+    mark = "_held"
+    while mark in {*a.columns, *b.columns}:
+        mark += "_"
+    held = a.join(b.withColumn(mark, F.lit(True)), on, "left")
     lost = F.raise_error(F.concat(F.lit(f"no partner for {on} "), F.coalesce(F.col(on).cast("string"), F.lit("null"))))
-    return held.filter(F.coalesce(F.col("_held"), lost.cast("boolean"))).drop("_held")
+    return held.filter(F.coalesce(F.col(mark), lost.cast("boolean"))).drop(mark)
 
 
 def plain(c: Column) -> Column:
