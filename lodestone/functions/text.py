@@ -61,7 +61,8 @@ def tokens(c: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     """Words of Hangul or of a-z and 0-9, without stop words; longer Hangul words are followed by all their bigrams."""
     kept = F.filter(words(c), lambda w: ~w.isin(*stop)) if stop else words(c)
     pairs = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))
-    return F.flatten(F.transform(kept, lambda w: F.when(w.rlike("^[가-힣]+$") & (F.length(w) > 2), F.concat(F.array(w), pairs(w))).otherwise(F.array(w))))
+    hangul = lambda w: (w >= "가") & (F.length(w) > 2)  # noqa: E731  a word is all Hangul or all a-z and 0-9, which come before
+    return F.flatten(F.transform(kept, lambda w: F.when(hangul(w), F.concat(F.array(w), pairs(w))).otherwise(F.array(w))))
 
 
 def distinct_tokens(c: Column) -> Column:

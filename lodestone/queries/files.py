@@ -48,3 +48,12 @@ def s23_release(spark, d):
     sizes = listed.groupBy("table").agg(F.sum(F.col("rows").cast("bigint")).alias("rows"), F.sum(F.col("bytes").cast("bigint") - header).alias("bytes"))
     columns = release.read_release(spark, path, "data_dictionary").groupBy("table").agg(F.count(F.lit(1)).alias("columns"))
     return sizes.join(columns, "table")
+
+
+@query("""WITH f AS (SELECT p_brand, string_agg(p_name, chr(10) ORDER BY p_partkey) || chr(10) AS content FROM part GROUP BY p_brand) SELECT CAST(octet_length(encode(content)) AS BIGINT) AS bytes, sha256(content) AS sha256 FROM f""")
+def s9_inventory(spark, d):
+    """Size and digest of every file below a folder: one for each brand, with the names of its parts."""
+    path = shared_folder(spark, "brands")
+    parts = table(spark, d, "part").select("p_brand", "p_partkey", "p_name").repartition("p_brand").sortWithinPartitions("p_brand", "p_partkey")
+    parts.select("p_brand", "p_name").write.partitionBy("p_brand").text(path)
+    return files.inventory(spark, path).select("bytes", "sha256")
