@@ -189,6 +189,11 @@ def classify(c: Column, rules: list[tuple[str, str]], other: str) -> Column:
     return out.otherwise(F.lit(other))
 
 
+#: Lines of one release's listing, which its digest needs in one place.
+MOST_LISTED = 1_000_000
+
+
 def digest_of_listing(path: Column, sha: Column) -> Column:
-    """Digest of a release: of its sorted lines path, tab, digest. An aggregate."""
-    return F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat(path, F.lit("\t"), sha))), "\n"), 256)
+    """Digest of a release: of its sorted lines path, tab, digest. An aggregate; it fails beyond MOST_LISTED lines."""
+    lines = F.sort_array(F.collect_list(F.concat(path, F.lit("\t"), sha)))
+    return F.when(F.size(lines) <= MOST_LISTED, F.sha2(F.array_join(lines, "\n"), 256)).otherwise(F.raise_error(F.lit(f"a listing has {MOST_LISTED} lines at most")).cast("string"))

@@ -43,7 +43,7 @@ def s23_release(spark, d):
     parts, customers = table(spark, d, "part").select("p_partkey", "p_name", "p_brand"), table(spark, d, "customer").select("c_custkey", "c_name")
     release.publish({"part": parts.limit(0)}, path, "0")
     release.publish({"part": parts, "customer": customers}, path, "1")
-    header = F.when(F.col("table") == "part", len('﻿"p_partkey","p_name","p_brand"\r\n'.encode())).otherwise(len('﻿"c_custkey","c_name"\r\n'.encode()))
+    header = F.when(F.col("table") == "part", len('\ufeff"p_partkey","p_name","p_brand"\r\n'.encode())).otherwise(len('\ufeff"c_custkey","c_name"\r\n'.encode()))
     listed = release.read_release(spark, path, "inventory").withColumn("table", F.split_part("path", F.lit("/"), F.lit(1))).filter("table <> 'data_dictionary'")
     sizes = listed.groupBy("table").agg(F.sum(F.col("rows").cast("bigint")).alias("rows"), F.sum(F.col("bytes").cast("bigint") - header).alias("bytes"))
     columns = release.read_release(spark, path, "data_dictionary").groupBy("table").agg(F.count(F.lit(1)).alias("columns"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import store
 from .files import csv_line
 
-MARK = "﻿"
+MARK = "\ufeff"
 DICTIONARY = ("table", "column", "description", "type", "nullable")
 INVENTORY = ("path", "bytes", "sha256", "rows")
 

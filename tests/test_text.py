@@ -74,3 +74,14 @@ def test_bm25(spark, tmp_path):
     R.save_index(index, totals, str(tmp_path / "index"))
     saved = {r["row"]: r["score"] for r in R.bm25(*R.load_index(spark, str(tmp_path / "index"), ["a"]), [("a", 1.0)]).collect()}
     assert saved == {0: pytest.approx(idf(1) * share(2, 3))}
+
+
+def test_listings_are_bounded(spark, monkeypatch):
+    import hashlib
+
+    files = spark.createDataFrame([("b", "2"), ("a", "1")], "p string, s string")
+    digest = lambda: files.agg(T.digest_of_listing(F.col("p"), F.col("s")).alias("d")).first()["d"]
+    assert digest() == hashlib.sha256(b"a\t1\nb\t2").hexdigest()
+    monkeypatch.setattr(T, "MOST_LISTED", 1)
+    with pytest.raises(Exception, match="1 lines at most"):
+        digest()
