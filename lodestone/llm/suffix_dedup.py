@@ -42,8 +42,9 @@ PLACES = np.uint64((1 << 20) - 1)
 MOST_BYTES = 32_768
 #: Windows in the pieces of runs whose anchor has more than that.
 PIECES = (32, 4, 1)
-#: Bytes of contexts that a task holds at a time.
+#: Bytes of contexts that a task holds at a time, and runs that it cuts into pieces at a time (each up to ``width`` pieces of ``width`` bytes).
 SOME_BYTES = 500_000
+SOME_RUNS = 50
 
 
 @lru_cache(2)
@@ -260,7 +261,7 @@ def _pieces(rows: DataFrame, width: int, step: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = xxhash.xxh64_intdigest
-        for batch in slices(batches):
+        for batch in slices(batches, SOME_RUNS):
             out: list[tuple] = []
             for rid, doc_id, first, place, body in zip(*(batch.column(c).to_pylist() for c in ("rid", "doc_id", "first", "place", "body")), strict=True):
                 at, last = first, first + len(body) - width
