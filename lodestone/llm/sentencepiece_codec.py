@@ -72,6 +72,7 @@ class Codec:
         self.worst = min((s for _, s, _ in usable), default=0.0) - PENALTY
         self.words = self._cutter([p for p, _, _ in usable])
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.text_of = np.array([BYTE.fullmatch(p) and "" or ("" if kind == "" else p) for p, _, kind in pieces], object)
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.is_byte = np.zeros(len(pieces), bool)
@@ -94,14 +95,21 @@ class Codec:
         if before < 0 or after < 0 or (found := self.allowed.get((before, after))):
             return True
         if found is None:
-            left, rank = self.pieces[before], self.rank
-            parts = list(left + self.pieces[after])
-            while len(parts) > 1:
-                best, at = max(((rank.get(a + b, -np.inf), -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))), default=(-np.inf, 0))
-                if best == -np.inf:
+            left, get = self.pieces[before], self.rank.get
+            parts, edge = [*left, *self.pieces[after]], len(left)  # so many parts are of the first piece
+            while True:
+                best, at, one = -np.inf, 0, parts[0]
+                for k in range(1, len(parts)):
+                    other = parts[k]
+                    rank = get(one + other)
+                    if rank is not None and rank > best:
+                        best, at = rank, k
+                    one = other
+                if not at or at == edge:  # no merge, or one of both pieces, which never comes apart again
                     break
-                parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
-            found = parts == [left, self.pieces[after]]
+                edge -= at < edge
+                parts[at - 1 : at + 1] = [parts[at - 1] + parts[at]]
+            found = not at and edge == 1 and len(parts) == 2
             if len(self.allowed) >= KEPT:
                 self.allowed.clear()
             self.allowed[before, after] = found
@@ -113,6 +121,7 @@ class Codec:
         best: dict[int, float] = {0: 0.0}  # scores of places that can still be left
         back: dict[int, tuple[int, int]] = {}  # place: (place before, id or -1), after the last commitment
         last = -1  # what was committed last
+        allowed = self.allowed.get
         for i in range(n):
             here = best.pop(i, None)
             if here is None:
@@ -121,14 +130,17 @@ class Codec:
             before = back[i][1] if i > done else last
             while end < n and (node := node.get(text[end])) is not None:
                 end += 1
-                if "" in node:
-                    score, which = node[""]
-                    single |= end == i + 1
-                    if merges:
-                        if end not in best and self.follows(before, which):
+                if (piece := node.get("")) is None:
+                    continue
+                if end == i + 1:
+                    single = True
+                if merges:
+                    if end not in best:
+                        which = piece[1]
+                        if (found := allowed((before, which))) or found is None and self.follows(before, which):
                             best[end], back[end] = 0.0, (i, which)
-                    elif (total := here + score) > best.get(end, -np.inf):
-                        best[end], back[end] = total, (i, which)
+                elif (total := here + piece[0]) > best.get(end, -np.inf):
+                    best[end], back[end] = total, (i, piece[1])
             if not single and (total := here + worst) > best.get(i + 1, -np.inf):
                 best[i + 1], back[i + 1] = total, (i, -1)
             if i - done >= longest:
@@ -169,14 +181,16 @@ class Codec:
         """Ids as little-endian 32-bit integers."""
         if not text:
             return b""
-        known, out = self.known, []
+        known, older, out = self.known, self.older, []
         for word in self.words(BLANK + text.replace(" ", BLANK)):
             ids = known.get(word)
             if ids is None:
-                ids = pack([i for part in self.stream(word) for i in part])
+                if (ids := older.get(word)) is None:
+                    ids = pack([i for part in self.stream(word) for i in part])
                 if len(word) <= self.longest:
-                    if len(known) >= KEPT:
-                        known.clear()
+                    if len(known) >= KEPT:  # frequent words come over from the ones before, the others go with the next change
+                        known, older = {}, known
+                        self.known, self.older = known, older
                     known[word] = ids
             out.append(ids)
         return b"".join(out)

@@ -72,3 +72,13 @@ def test_round_trip(spark, rows):
     df = P.decode(P.encode(documents(spark, rows, ids="clash")))
     back = sorted([(r["doc_id"], r["text"]) for r in df.collect()], key=str)
     assert back == sorted([(i, (t or "").replace(P.BLANK, " ")) for i, t in rows], key=str)
+
+
+def test_words_kept_at_hand_change_nothing(monkeypatch):
+    """Ids are the same with few words and pairs kept, whichever generation they come from."""
+    texts = [words(200, i, 300) + " mixed Ünï 日本 words" for i in range(12)]
+    whole = P.Codec(*P.load_pieces(P.MODEL))
+    want = [whole.encode(t) for t in texts]
+    monkeypatch.setattr(P, "KEPT", 40)
+    few = P.Codec(*P.load_pieces(P.MODEL))
+    assert [few.encode(t) for t in texts] == want and few.older and len(few.known) <= 40
