@@ -34,6 +34,28 @@ def a9_entity_merge(spark, d):
     return merge_nodes(mentions, F.col("document")).select("key", "type", "name", "mentions", (F.size("aliases") + 1).cast("bigint").alias("n_names"))
 
 
+def _item_mentions(spark, d):
+    """Suppliers as lines of orders mention them."""
+    line = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("name"), F.col("l_returnflag").alias("type"), line.alias("chunk"), F.col("l_orderkey").alias("document"), F.lit("").alias("description"), F.lit("stage1").alias("stage"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+
+
+@query("""SELECT CAST(l_suppkey AS VARCHAR) AS key, l_returnflag AS type, l_orderkey AS document, concat_ws('-', l_orderkey, l_linenumber) AS chunk, count(*) AS mentions, min(l_orderkey * 10 + l_linenumber) AS ord
+          FROM lineitem GROUP BY 1, 2, 3, 4""")
+def a9_entity_links(spark, d):
+    from ..operators.graph import node_links
+
+    return node_links(_item_mentions(spark, d), F.col("name"))
+
+
+@query("""SELECT CAST(l_suppkey AS VARCHAR) AS key, l_returnflag AS type, count(*) AS mentions, count(DISTINCT concat_ws('-', l_orderkey, l_linenumber)) AS n_chunks, count(DISTINCT l_orderkey) AS n_documents
+          FROM lineitem GROUP BY 1, 2""")
+def a9_entity_counts(spark, d):
+    from ..operators.graph import merge_nodes
+
+    return merge_nodes(_item_mentions(spark, d), F.col("name"), lists=False).select("key", "type", "mentions", "n_chunks", "n_documents")
+
+
 @query("""WITH r AS (SELECT l_suppkey AS source, l_partkey AS target, l_returnflag AS label, l_orderkey * 10 + l_linenumber AS ord FROM lineitem),
           c AS (SELECT source, target, label, count(*) AS n, min(ord) AS o FROM r GROUP BY ALL)
           SELECT source, target, CAST(sum(n) AS BIGINT) AS weight, arg_max(label, (n, -o)) AS label FROM c WHERE source <> target GROUP BY source, target""")

@@ -91,6 +91,31 @@ def test_communities_have_two_levels(spark):
     assert [len({sub[i] for i in g}) for g in groups] == [1] * 4 and {c for c, _ in sub.values()} == {f"c0-0000-00{j}" for j in range(4)}
 
 
+def test_louvain_looks_at_nodes_awake(spark, monkeypatch):
+    """A ring of 80 groups: the last rounds look at few nodes, and each group is whole in the end."""
+    edges = [(f"n{6 * g + a:03}", f"n{6 * g + b:03}", 3) for g in range(80) for a, b in itertools.combinations(range(6), 2)]
+    edges += [(f"n{6 * g:03}", f"n{6 * ((g + 1) % 80) + 5:03}", 1) for g in range(80)]
+    written = []
+    monkeypatch.setattr(graph, "cut", lambda df, real=graph.cut: (written.append(df.columns), real(df))[1])
+    pairs = spark.createDataFrame(edges, "a string, b string, weight long")
+    found = graph.louvain(pairs.withColumn("of", F.lit("")))
+    of = {r["id"]: r["community"] for r in found.collect()}
+    assert ["id"] in written
+    assert all(len({of[f"n{6 * g + i:03}"] for i in range(6)}) == 1 for g in range(80))
+    planted = spark.createDataFrame([(f"n{i:03}", str(i // 6)) for i in range(480)], "id string, community string")
+    assert graph.modularity(pairs, found) >= graph.modularity(pairs, planted)
+
+
+def test_links_of_nodes_are_a_table(spark):
+    """Without lists a node has the numbers of its chunks and documents; null ones aren't counted, and repeated mentions count once."""
+    rows = [("A", "x", "c1", "d1", "", "s", 1), ("A", "x", "c1", "d1", "", "s", 2), ("a", "x", "c2", "d1", "t", "s", 3), ("a", "x", None, None, "", "s", 4), ("b", "y", None, None, "", "s", 5)]
+    mentions = spark.createDataFrame(rows, "name string, type string, chunk string, document string, description string, stage string, ord long")
+    nodes = {r["key"]: r for r in graph.merge_nodes(mentions, F.lower("name"), lists=False).collect()}
+    assert [(nodes[k]["n_chunks"], nodes[k]["n_documents"], nodes[k]["mentions"]) for k in "ab"] == [(2, 1, 4), (0, 0, 1)]
+    links = {tuple(r) for r in graph.node_links(mentions, F.lower("name")).collect()}
+    assert links == {("a", "x", "d1", "c1", 2, 1), ("a", "x", "d1", "c2", 1, 3), ("a", "x", None, None, 1, 4), ("b", "y", None, None, 1, 5)}
+
+
 def test_communities_of_nothing(spark):
     assert graph.communities(spark.createDataFrame([], "a long, b long, weight long")).count() == 0
     assert graph.communities(spark.createDataFrame([(1, 1, 3)], "a long, b long, weight long")).count() == 0
