@@ -132,47 +132,56 @@ class _Codes:
     """A Huffman table: symbol and length by the next 16 bits."""
 
     def __init__(self, counts: bytes, symbols: bytes):
-        self.symbols, self.lengths = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.uint8)
+        values, lengths = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.uint8)
         self.only = (symbols[0], next(n for n, c in enumerate(counts, 1) if c)) if len(symbols) == 1 else None
         code, at = 0, 0
         for n, count in enumerate(counts, 1):
             for _ in range(count):
                 start = code << (16 - n)
-                self.symbols[start : start + (1 << (16 - n))] = symbols[at]
-                self.lengths[start : start + (1 << (16 - n))] = n
+                values[start : start + (1 << (16 - n))] = symbols[at]
+                lengths[start : start + (1 << (16 - n))] = n
                 code, at = code + 1, at + 1
             code <<= 1
+        self.symbols, self.lengths = values.tobytes(), lengths.tobytes()  # single items of bytes are ints, and quick to read
 
 
 class _Bits:
+    """Bits of a scan, read forward: each byte's place has the 32 bits from there on, so that no read costs more in a long scan."""
+
     def __init__(self, data: bytes):
-        self.value, self.left = int.from_bytes(data + b"\xff\xff\xff", "big"), 8 * len(data) + 24
+        ahead = np.frombuffer(data + b"\xff" * 8, np.uint8).astype(np.uint32)
+        self.ahead = memoryview(ahead[:-3] << 24 | ahead[1:-2] << 16 | ahead[2:-1] << 8 | ahead[3:])
+        self.at, self.end = 0, 8 * len(data) + 24
 
     def take(self, n: int) -> int:
-        self.left -= n
-        if self.left < 0:
+        """The next n bits, 16 at most."""
+        at = self.at
+        self.at = at + n
+        if self.at > self.end:
             raise ValueError("the scan ends too early")
-        return (self.value >> self.left) & ((1 << n) - 1)
+        return self.ahead[at >> 3] >> (32 - (at & 7) - n) & ((1 << n) - 1)
 
     def symbol(self, codes: _Codes) -> int:
-        if self.left < 16:
+        at = self.at
+        if at + 16 > self.end:
             raise ValueError("the scan ends too early")
-        ahead = (self.value >> (self.left - 16)) & 0xFFFF
-        if not codes.lengths[ahead]:
+        next16 = self.ahead[at >> 3] >> (16 - (at & 7)) & 0xFFFF
+        length = codes.lengths[next16]
+        if not length:
             raise ValueError("no such code")
-        self.left -= int(codes.lengths[ahead])
-        return int(codes.symbols[ahead])
+        self.at = at + length
+        return codes.symbols[next16]
 
     def signed(self, size: int) -> int:
         value = self.take(size) if size else 0
         return value if not size or value >> (size - 1) else value - (1 << size) + 1
 
 
-def _refine(bits: _Bits, block: np.ndarray, k: int, last: int, step: int, zeros: int) -> int:
+def _refine(bits: _Bits, block: list[int], k: int, last: int, step: int, zeros: int) -> int:
     """Correction bits from k on, past so many coefficients that are zero so far; the place reached."""
     while k <= last:
         if block[k]:
-            if bits.take(1) and not abs(int(block[k])) & step:
+            if bits.take(1) and not abs(block[k]) & step:
                 block[k] += step if block[k] > 0 else -step
         elif zeros == 0:
             break
@@ -194,26 +203,27 @@ def _slow(bits: _Bits, blocks: list[tuple[np.ndarray, _Codes | None, int]], firs
                 before[which] = before.get(which, 0) + bits.signed(bits.symbol(codes))
                 block[0] = before[which] << low
             continue
-        k = first
+        row, k = block.tolist(), first
         while k <= last and not run:
             skip, size = divmod(bits.symbol(codes), 16)
             if size == 0 and skip < 15:
                 run = (1 << skip) + bits.take(skip)
             elif high:
                 value = (1 if bits.take(1) else -1) << low if size else 0
-                k = _refine(bits, block, k, last, 1 << low, skip)
+                k = _refine(bits, row, k, last, 1 << low, skip)
                 if value and k <= last:
-                    block[k] = value
+                    row[k] = value
                 k += 1
             else:
                 k += skip
                 if size:
-                    block[k] = bits.signed(size) * (1 << low)
+                    row[k] = bits.signed(size) * (1 << low)
                 k += 1
         if run:
             if high:
-                _refine(bits, block, k, last, 1 << low, 64)
+                _refine(bits, row, k, last, 1 << low, 64)
             run -= 1
+        block[:] = row
 
 
 def _fast(data: bytes, component: Component, codes: _Codes, rows: int, columns: int, first: int, last: int, high: int, low: int) -> bool:

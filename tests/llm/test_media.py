@@ -29,6 +29,24 @@ def test_slow_reading_gives_the_same(monkeypatch):
     assert all((fast.components[c].blocks == slow.components[c].blocks).all() for c in fast.components)
 
 
+@pytest.mark.parametrize("at", range(8))
+def test_bits_from_any_place(at):
+    """Reads of up to 16 bits across bytes, the filled-up end included, and none beyond it."""
+    data = bytes(random.Random(at).randrange(256) for _ in range(40))
+    plain = "".join(f"{b:08b}" for b in data) + "1" * 24
+    bits, place = jpeg._Bits(data), at
+    bits.take(at)
+    for n in [*range(17), 3, 16, 11] * 3:
+        if place + n > len(plain):
+            with pytest.raises(ValueError):
+                bits.take(n)
+            break
+        assert bits.take(n) == int(plain[place : place + n] or "0", 2)
+        place += n
+    else:
+        assert False
+
+
 class Writer:
     """Codes of nine bits for all symbols in use, as a plain encoder of any coefficients would write them."""
 
