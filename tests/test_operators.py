@@ -24,6 +24,7 @@ def test_deep_hierarchy(spark, monkeypatch):
     """A chain takes as many rounds as its length has binary digits."""
     codes = spark.createDataFrame([("v", str(i), "" if i == 0 else str(i - 1)) for i in range(200)], "edition string, code string, parent string")
     written = []
+    monkeypatch.setattr(graph, "SMALL", 0)
     monkeypatch.setattr(hierarchy, "cut", lambda df, cut=hierarchy.cut: written.append(1) or cut(df))
     up = hierarchy.ancestors(codes)
     assert up.count() == 199 * 100 and len(written) <= 3 * 9 + 1
@@ -96,6 +97,7 @@ def test_louvain_looks_at_nodes_awake(spark, monkeypatch):
     edges = [(f"n{6 * g + a:03}", f"n{6 * g + b:03}", 3) for g in range(80) for a, b in itertools.combinations(range(6), 2)]
     edges += [(f"n{6 * g:03}", f"n{6 * ((g + 1) % 80) + 5:03}", 1) for g in range(80)]
     written = []
+    monkeypatch.setattr(graph, "SMALL", 0)
     monkeypatch.setattr(graph, "cut", lambda df, real=graph.cut: (written.append(df.columns), real(df))[1])
     pairs = spark.createDataFrame(edges, "a string, b string, weight long")
     found = graph.louvain(pairs.withColumn("of", F.lit("")))
