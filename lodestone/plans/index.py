@@ -8,7 +8,8 @@ Spark has committed them, so that a build that is called again goes on where the
     terms       term, df, sorted
     postings    term, row, dl, tf, in ranges of (term, row), sorted: a question reads the row groups of its terms
 
-and a manifest with the specification, totals and each table's listing, which is what makes the index exist. A reader
+(postings with places stay in the batches' files, which are runs sorted by term: as large as the texts many times over, they
+are written once and never shuffled), and a manifest with the specification, totals and each table's listing, which is what makes the index exist. A reader
 refuses an index whose specification isn't the one it expects or whose files aren't those of the manifest.
 """
 
@@ -17,9 +18,12 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,19 +36,13 @@ from .retrieval import K1, MOST_PARTICLES, PARTICLE_WEIGHT, B
 PAD = "\u0000"
 
 
-def trigrams(c: Column) -> Column:
-    """What begins at each character of the lower-cased text: it and the next two."""
-    points = F.regexp_extract_all(F.concat(F.lower(c), F.lit(PAD * 2)), F.lit("(?s)."), F.lit(0))
-    from_each = lambda p: F.transform(F.sequence(F.lit(0), F.size(p) - 3), lambda i: F.concat(F.get(p, i), F.get(p, i + 1), F.get(p, i + 2)))
-    bound = F.transform(F.array(points), lambda p: F.when(F.size(p) > 2, from_each(p)).otherwise(F.array().cast("array<string>")))
-    return F.element_at(bound, 1)
-
-
-#: How a text becomes terms.
-RECIPES: dict[str, Callable[[Column], Column]] = {"tokens": T.tokens, "analyzer": lambda c: T.analyzed(T.nfkc_casefold(c)), "trigrams": trigrams}
+#: How a text becomes terms; for trigrams, the text whose characters each begin one (it and the next two).
+RECIPES: dict[str, Callable[[Column], Column]] = {"tokens": T.tokens, "analyzer": lambda c: T.analyzed(T.nfkc_casefold(c)), "trigrams": F.lower}
 TABLES = ("documents", "terms", "postings")
 #: Bytes of a row group of postings: small, so that few terms are read beside those asked for.
 GROUP_BYTES = 4 << 20
+#: Terms that are counted at once, in whole texts: what a task has in memory.
+PIECE = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -64,7 +62,7 @@ def full_spec(spark: SparkSession, source: str, spec: Spec) -> dict:
     """The specification with the listing of the source as it is now."""
     if spec.recipe not in RECIPES:
         raise ValueError(f"no recipe {spec.recipe}")
-    return {**asdict(spec), "kept": list(spec.kept), "source": store.listing_digest(store.data_files(spark, source))}
+    return {**asdict(spec), "kept": list(spec.kept), "format": 2, "source": store.listing_digest(store.data_files(spark, source))}
 
 
 def digest(full: dict) -> str:
@@ -79,13 +77,79 @@ def commit_once(df: Callable[[], DataFrame], path: str, spark: SparkSession, **o
     return True
 
 
+def _in_trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Callable[[np.ndarray], pa.Array]]:
+    """A key for what begins at each character of each text, how many each text has, and the terms of sorted different keys."""
+    given = texts.to_pylist()
+    sizes = np.array([len(t) for t in given], np.int64)
+    points = np.frombuffer("".join(t + PAD * 2 for t in given).encode("utf-32-le"), "<u4").astype(np.int64)
+    keys = np.zeros(len(points), np.int64)
+    keys[:-2] = points[:-2] << 42 | points[1:-1] << 21 | points[2:]
+    begins = np.ones(len(points), bool)
+    ends = np.cumsum(sizes + 2)
+    begins[ends - 1] = begins[ends - 2] = False
+
+    def terms(different: np.ndarray) -> pa.Array:
+        parts = np.stack([different >> 42, different >> 21 & 0x1FFFFF, different & 0x1FFFFF], axis=1).astype("<u4")
+        joined = parts.tobytes().decode("utf-32-le")
+        return pa.array([joined[k : k + 3] for k in range(0, len(joined), 3)], pa.string())
+
+    return keys[begins], sizes, terms
+
+
+def _in_lists(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, Callable[[np.ndarray], pa.Array]]:
+    """As :func:`_in_trigrams`, of lists of terms."""
+    coded = lists.flatten().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    return rank[coded.indices.to_numpy(zero_copy_only=False)], sizes, lambda different: coded.dictionary.take(pa.array(order[different]))
+
+
+def _postings(rows: pa.Array, content: pa.Array, names: list[str], places: bool) -> pa.RecordBatch:
+    """term, row, dl, tf and, if asked for, places of whole texts, by (term, text)."""
+    keys, sizes, terms = (_in_lists if pa.types.is_list(content.type) else _in_trigrams)(content)
+    order = np.argsort(keys, kind="stable")  # terms stand by text and place, and stay so
+    sorted_keys, text = keys[order], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+    other = np.ones(len(order), bool)
+    other[1:] = sorted_keys[1:] != sorted_keys[:-1]
+    first = other.copy()
+    first[1:] |= text[1:] != text[:-1]
+    starts = np.flatnonzero(first)
+    ends = np.append(starts, len(order))
+    of_term, of_text = np.cumsum(other)[starts] - 1, text[starts]
+    columns = [terms(sorted_keys[other]).take(pa.array(of_term)), rows.take(pa.array(of_text)), pa.array(sizes[of_text], pa.int32()), pa.array(np.diff(ends), pa.int32())]
+    if places:
+        at = order - (np.cumsum(sizes) - sizes)[text]
+        columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32())))
+    return pa.RecordBatch.from_arrays(columns, names)
+
+
 def _of_batch(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
-    named = docs.select(F.col(spec.row).alias("row"), *spec.kept, RECIPES[spec.recipe](F.coalesce(F.col(spec.text), F.lit(""))).alias("terms"))
-    sized = named.withColumn("dl", F.size("terms"))
-    each = F.posexplode("terms").alias("place", "term")
-    places = [F.array_sort(F.collect_list("place")).alias("places")] if spec.places else []
-    counted = sized.select("row", "dl", each).groupBy("term", "row", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"), *places)
-    return sized.select("row", "dl", *spec.kept), counted
+    """Documents and postings. A text's terms are counted where the text is, so nothing is shuffled; each run of output is sorted by term."""
+    content = RECIPES[spec.recipe](F.coalesce(F.col(spec.text), F.lit("")))
+    size = (F.length if spec.recipe == "trigrams" else F.size)("terms")
+    named = docs.select(F.col(spec.row).alias("row"), *spec.kept, content.alias("terms"))
+    rows = named.select("row", "terms")
+    shape = f"term string, row {rows.schema['row'].dataType.simpleString()}, dl int, tf int" + (", places array<int>" if spec.places else "")
+    names = ["term", "row", "dl", "tf"] + ["places"] * spec.places
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content = batch.column(1)
+            lengths = pc.list_value_length(content) if pa.types.is_list(content.type) else pc.utf8_length(content)
+            piece = np.cumsum(lengths.to_numpy(zero_copy_only=False)) // PIECE
+            cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a < b:
+                    yield _postings(batch.column(0).slice(a, b - a), content.slice(a, b - a), names, spec.places)
+
+    return named.select("row", size.alias("dl"), *spec.kept), rows.mapInArrow(run, shape)
+
+
+def _tables(path: str, places: bool) -> dict[str, str]:
+    """Where the tables are; postings with places are the batches' own."""
+    return {name: f"{path}/batches/postings" if places and name == "postings" else f"{path}/{name}" for name in TABLES}
 
 
 def build_index(spark: SparkSession, source: str, path: str, spec: Spec) -> list[str]:
@@ -106,7 +170,7 @@ def build_index(spark: SparkSession, source: str, path: str, spec: Spec) -> list
     for k, batch in enumerate(batches):
         documents, postings = _of_batch(spark.read.parquet(*batch), spec)
         for name, df in (("documents", documents), ("postings", postings)):
-            if commit_once(lambda df=df: df, f"{path}/batches/{name}/{k:06}", spark):
+            if commit_once(lambda df=df: df, f"{path}/batches/{name}/{k:06}", spark, **{"parquet.block.size": GROUP_BYTES}):
                 made.append(f"{name}/{k:06}")
     whole = lambda name: spark.read.parquet(*[f"{path}/batches/{name}/{k:06}" for k in range(len(batches))])
     final = {
@@ -114,11 +178,13 @@ def build_index(spark: SparkSession, source: str, path: str, spec: Spec) -> list
         "terms": lambda: whole("postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("term").sortWithinPartitions("term"),
         "postings": lambda: whole("postings").repartitionByRange("term", "row").sortWithinPartitions("term", "row"),
     }
+    if spec.places:
+        del final["postings"]
     for name, df in final.items():
         if commit_once(df, f"{path}/{name}", spark, **{"parquet.block.size": GROUP_BYTES}):
             made.append(name)
     n, total = spark.read.parquet(f"{path}/documents").agg(F.count(F.lit(1)), F.sum("dl")).first()
-    listings = {name: store.data_files(spark, f"{path}/{name}") for name in TABLES}
+    listings = {name: store.data_files(spark, at) for name, at in _tables(path, spec.places).items()}
     manifest = {"spec": full, "n": n, "average": total / n if n else 0.0, "tables": {name: {"files": len(x), "bytes": sum(f.bytes for f in x), "listing": store.listing_digest(x, changed=False)} for name, x in listings.items()}}
     store.put_new(spark, f"{path}/manifest.json", json.dumps(manifest, sort_keys=True))
     return made
@@ -138,13 +204,15 @@ class Index:
         self.spark, self.path, self.manifest = spark, path, json.loads(found)
         if wrong := sorted(k for k, v in expected.items() if self.manifest["spec"].get(k) != v):
             raise StaleIndex(f"the index has another {', '.join(wrong)}")
-        for name in TABLES:
-            if store.listing_digest(store.data_files(spark, f"{path}/{name}"), changed=False) != self.manifest["tables"][name]["listing"]:
+        self.tables = _tables(path, self.manifest["spec"]["places"])
+        for name, at in self.tables.items():
+            if store.listing_digest(store.data_files(spark, at), changed=False) != self.manifest["tables"][name]["listing"]:
                 raise StaleIndex(f"files of {name} aren't those of the manifest")
         self.n, self.average = self.manifest["n"], self.manifest["average"]
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        at = self.tables[name]
+        return self.spark.read.option("recursiveFileLookup", "true").parquet(at) if "/batches/" in at else self.spark.read.parquet(at)
 
     def postings(self, wanted: Sequence[str]) -> DataFrame:
         """Postings of the given terms; the filter reaches the scan."""
@@ -206,6 +274,8 @@ class Index:
             return short.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("starts"))
         cover = {k: w[k : k + 3] for k in sorted({*range(0, len(w) - 2, 3), len(w) - 3})}
         terms = sorted(set(cover.values()))
+        if len(cover) == 1:  # a row has one posting of it
+            return self.postings(terms).select("row", F.col("places").alias("starts"))
         held = self.postings(terms).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("m")).filter(F.size("m") == len(terms))
         moved = [_moved(F.col("m")[term], k) for k, term in cover.items()]
         common = moved[0]

@@ -173,3 +173,16 @@ def test_pruned_vectors_equal_the_full_product(spark, monkeypatch):
             met = sum(sizes[r["cell"]] for asked in made for r in asked.select("cell").collect())
             assert met < 0.6 * scores.size
     assert V.nearest_pruned(df.filter("id < 0"), df.filter("id < 0"), "id", "v", 3).count() == 0
+
+
+def test_places_are_written_once_and_not_shuffled(spark, tmp_path, monkeypatch):
+    """Postings with places are the batches' own, counted in pieces of whole texts; a text that is longer than a piece is one."""
+    monkeypatch.setattr(I, "PIECE", 40)
+    path = str(tmp_path / "texts")
+    spark.createDataFrame([(i, "the other " * (i % 9)) for i in range(60)], "doc_id long, text string").coalesce(1).write.parquet(path)
+    spec = I.Spec("1", "doc_id", "text", (), "trigrams", places=True)
+    assert "Exchange" not in I._of_batch(spark.read.parquet(path), spec)[1]._jdf.queryExecution().executedPlan().toString()
+    index = I.ensure_index(spark, path, str(tmp_path / "index"), spec)
+    assert not list((tmp_path / "index").glob("*/postings"))
+    assert {r["row"]: (r["starts"], r["hits"]) for r in index.starts("the").join(index.occurrences(["the"]), "row").collect()} == {i: ([p + 10 * k for k in range(i % 9) for p in (0, 5)], 2 * (i % 9)) for i in range(60) if i % 9}
+    assert {r["row"]: r["dl"] for r in index.table("documents").collect()} == {i: 10 * (i % 9) for i in range(60)}
