@@ -152,18 +152,19 @@ def meeting(points: DataFrame, point: Column, boxes: DataFrame, box: Column, on:
     """Pairs of a point and a box of the same group that holds it, borders included, each pair once; null points and boxes are in none.
 
     They meet on cells of grids: a box is entered in the grid whose cells are just as large as it, where it lies in four cells at most, and a point looks
-    into its cell of each grid that its group has. So work is linear in points and boxes, and a large group is many keys.
+    into its cell of each grid that its group has. So work is linear in points and boxes, and a large group is many keys. Rows are dealt out
+    before they are entered and joins are by sorting: tables that are small as files are not so as entries, and none is broadcast.
     """
     size = F.greatest(box[2] - box[0], box[3] - box[1])
     level = F.greatest(F.lit(LEAST_LEVEL), F.ceil(F.log2(F.greatest(size, F.lit(2.0**LEAST_LEVEL))))).cast("int")
     cell = lambda v: F.floor(v / F.pow(F.lit(2.0), F.col("_level")))
     cells = lambda a, b: F.explode(F.sequence(cell(a), cell(b)))
     whole = size.isNotNull() & (box[2] >= box[0]) & (box[3] >= box[1])
-    entered = boxes.filter(whole).withColumn("_level", level).withColumn("_x", cells(box[0], box[2])).withColumn("_y", cells(box[1], box[3]))
+    entered = boxes.filter(whole).repartition(F.col(on), box[0], box[1]).withColumn("_level", level).withColumn("_x", cells(box[0], box[2])).withColumn("_y", cells(box[1], box[3]))
     levels = boxes.filter(whole).groupBy(on).agg(F.collect_set(level).alias("_levels"))
-    looking = points.filter(point[0].isNotNull() & point[1].isNotNull()).join(levels, on).withColumn("_level", F.explode("_levels")).drop("_levels")
+    looking = points.filter(point[0].isNotNull() & point[1].isNotNull()).repartition(F.col(on), point[0], point[1]).join(levels.hint("merge"), on).withColumn("_level", F.explode("_levels")).drop("_levels")
     placed = looking.withColumns({"_x": cell(point[0]), "_y": cell(point[1])})
-    return placed.join(entered, [on, "_level", "_x", "_y"]).filter(in_box(point, box)).drop("_level", "_x", "_y")
+    return placed.join(entered.hint("merge"), [on, "_level", "_x", "_y"]).filter(in_box(point, box)).drop("_level", "_x", "_y")
 
 
 def around(centre: Column, half: Column) -> Column:
@@ -175,7 +176,7 @@ def smallest_box(points: DataFrame, boxes: DataFrame, on: str) -> DataFrame:
     """``points`` (on, point_id, point) with the smallest box (on, box_id, box) that holds the point, ties by box_id; null if none does."""
     held = meeting(points, F.col("point"), boxes, F.col("box"), on)
     best = held.groupBy(on, "point_id").agg(F.min_by("box_id", F.struct(area(F.col("box")), F.col("box_id"))).alias("box_id"))
-    return points.select(on, "point_id").join(best, [on, "point_id"], "left")
+    return points.select(on, "point_id").join(best.hint("merge"), [on, "point_id"], "left")
 
 
 def attachment_box(points: DataFrame, boxes: DataFrame, on: str, enlarged: float = 0.2, reach: float = 1.5) -> DataFrame:
@@ -193,6 +194,7 @@ def nearest_end(lines: DataFrame, others: DataFrame, on: str, reach: float = 0.4
     """on, line_id, other_id: the other line whose end is nearest to a line's end, within ``reach`` of the line's length; ties by other_id."""
     end = lambda c: F.element_at(F.col(c), -1)
     away = distance(end("line"), end("other"))
+    lines = lines.repartition(on, "line_id")  # before their lengths are made
     reached = lines.withColumn("_reach", around(end("line"), reach * polyline_length(F.col("line")) * (1 + 1e-9)))
     near = meeting(others.withColumn("_end", end("other")), F.col("_end"), reached, F.col("_reach"), on).filter(away <= reach * polyline_length(F.col("line")))
     return near.groupBy(on, "line_id").agg(F.min_by("other_id", F.struct(away.alias("d"), F.col("other_id"))).alias("other_id"))
@@ -204,6 +206,7 @@ def best_match(lines: DataFrame, others: DataFrame, on: str, most: float = 0.5)
     The means of two lines' points are no further apart than their points are on average, whichever way the lines run, so only lines whose means are near are compared.
     """
     away = symmetric_distance(F.col("line"), F.col("other"))
+    lines, others = lines.repartition(on, "line_id"), others.repartition(on, "other_id")  # before their lengths and means are made
     limit = most * polyline_length(F.col("line"))
     total = lambda c, i: F.aggregate(F.col(c), F.lit(0.0), lambda s, p: s + p[i])
     mean = lambda c: F.array(total(c, 0) / F.size(c), total(c, 1) / F.size(c))
