@@ -36,18 +36,20 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mappin
     several = held.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.collect_list(F.struct("_part", *[f"_out_{k}" for k in named_keys(sums, lasts, nexts)])).alias("_held")).filter(F.size("_held") > 1)
     each = several.select(*[f"_by_{c}" for c in by], F.explode("_held").alias("_h")).select(*[f"_by_{c}" for c in by], "_h.*").withColumnRenamed("_part", "_at")
     earlier = Window.partitionBy(*[f"_by_{c}" for c in by]).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy(*[f"_by_{c}" for c in by]).orderBy("_at").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*[f"_by_{c}" for c in by]).orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, -1)
     carried = each.select(
         "_at",
         *[f"_by_{c}" for c in by],
         *[F.sum(f"_out_{k}").over(earlier).alias(f"_carry_{k}") for k in sums],
         *[F.last(f"_out_{k}", ignorenulls=True).over(earlier).alias(f"_carry_{k}") for k in lasts],
-        *[F.first(f"_out_{k}", ignorenulls=True).over(later).alias(f"_carry_{k}") for k in nexts],
+        *[F.last(f"_out_{k}", ignorenulls=True).over(later).alias(f"_carry_{k}") for k in nexts],
     )
     own = Window.partitionBy("_part", *by).orderBy(*order)
-    up_to, behind = own.rowsBetween(Window.unboundedPreceding, -1 if before else 0), own.rowsBetween(1, Window.unboundedFollowing)
+    up_to = own.rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    # what follows a row is what comes before it the other way round: Spark goes over a frame with an open end anew for each row
+    behind = Window.partitionBy("_part", *by).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
     local = spread.withColumns(
-        {f"_own_{k}": F.sum(f"_in_{k}").over(up_to) for k in sums} | {f"_own_{k}": F.last(f"_in_{k}", ignorenulls=True).over(up_to) for k in lasts} | {f"_own_{k}": F.first(f"_in_{k}", ignorenulls=True).over(behind) for k in nexts}
+        {f"_own_{k}": F.sum(f"_in_{k}").over(up_to) for k in sums} | {f"_own_{k}": F.last(f"_in_{k}", ignorenulls=True).over(up_to) for k in lasts} | {f"_own_{k}": F.last(f"_in_{k}", ignorenulls=True).over(behind) for k in nexts}
     )
     same = F.col("_part") == F.col("_at")
     for c in by:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodestone.operators import joins
+from lodestone.operators.scan import running
 
 
 def plan(df):
@@ -18,3 +19,11 @@ def test_boxes_and_lines_are_not_broadcast(spark):
     points, boxes, lines, others = (df.limit(5) for df in (points, boxes, lines, others))  # bounded, so that Spark would broadcast them
     for found in (joins.smallest_box(points, boxes, "image"), joins.attachment_box(points, boxes, "image"), joins.nearest_end(lines, others, "image"), joins.best_match(lines, others, "image")):
         assert found.count() == 1 and "Broadcast" not in plan(found)
+
+
+def test_next_values_take_no_frame_with_an_open_end(spark):
+    """Spark goes over such a frame anew for each row."""
+    df = spark.createDataFrame([("g", i, i % 3 or None) for i in range(50)], "g string, i long, v long")
+    found = running(df, ["g"], ["i"], nexts={"_next": F.col("v")})
+    assert "unboundedfollowing" not in plan(found).lower()
+    assert {r["i"]: r["_next"] for r in found.collect()} == {i: next((k % 3 for k in range(i + 1, 50) if k % 3), None) for i in range(50)}
