@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.files import cut
+
 #: Fixed value: headers of periods (a year, perhaps with its quarter, a month, or the total).
 PERIOD = r"^(\d{4}년( \d/4분기)?|\d{1,2}월|계)$"
 #: Columns that a cell can span, as HTML has it.
@@ -75,7 +77,8 @@ def grid(rows: list[list[tuple[list[str], int, int]]]) -> list[list[str]]:
 def table_cells(pages: DataFrame, key: str, source: str) -> DataFrame:
     """key, table_no, row_no, col_no and cell of all tables (that have cells) of all pages; null pages have none.
 
-    Places of cells depend on the spans of those before, which no expression can follow.
+    Places of cells depend on the spans of those before, which no expression can follow. Pages are dealt to a fixed number of tasks first: a
+    table whose file is small would else be read by one or two, for what Spark sees is its bytes and not the work on them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,13 +92,17 @@ def table_cells(pages: DataFrame, key: str, source: str) -> DataFrame:
                 numbers = [pa.array([x[j] for x in found], pa.int32()) for j in range(4)]
                 yield pa.RecordBatch.from_arrays([some.column(0).take(numbers[0]), *numbers[1:], pa.array([x[4] for x in found], pa.string())], [key, "table_no", "row_no", "col_no", "cell"])
 
-    rows = pages.select(F.col(key), F.col(source).alias("source"))
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pages.repartition(tasks, key).select(F.col(key), F.col(source).alias("source"))
     return rows.mapInArrow(run, StructType([rows.schema[0]]).add("table_no", "integer").add("row_no", "integer").add("col_no", "integer").add("cell", "string"))
 
 
 def long_facts(cells: DataFrame, key: str, skipped: str = "담당자명") -> DataFrame:
-    """key, table_no, label, period, value: body cells below period headers, labelled by the different cells before the first period."""
-    by = [key, "table_no"]
+    """key, table_no, label, period, value: body cells below period headers, labelled by the different cells before the first period.
+
+    Cells are used four times, so they are written first: pages are parsed once.
+    """
+    by, cells = [key, "table_no"], cut(cells)
     heads = cells.filter("row_no = 0")
     periods = heads.filter(F.col("cell").rlike(PERIOD)).select(*by, F.col("col_no"), F.col("cell").alias("period"))
     first = periods.groupBy(*by).agg(F.min("col_no").alias("first"))

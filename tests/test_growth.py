@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import joins
+from lodestone.operators import joins, reshape
 from lodestone.operators.scan import running
 
 
@@ -27,3 +27,11 @@ def test_next_values_take_no_frame_with_an_open_end(spark):
     found = running(df, ["g"], ["i"], nexts={"_next": F.col("v")})
     assert "unboundedfollowing" not in plan(found).lower()
     assert {r["i"]: r["_next"] for r in found.collect()} == {i: next((k % 3 for k in range(i + 1, 50) if k % 3), None) for i in range(50)}
+
+
+def test_pages_are_dealt_out_and_parsed_once(spark):
+    pages = spark.createDataFrame([(i, "<table><tr><th>a</th><th>2024년</th></tr><tr><td>b</td><td>1</td></tr></table>") for i in range(20)], "id long, html string").coalesce(1)
+    cells = reshape.table_cells(pages, "id", "html")
+    assert cells.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    facts = reshape.long_facts(cells, "id")
+    assert facts.count() == 20 and "MapInArrow" not in plan(facts)
