@@ -146,7 +146,11 @@ def search_page(scores: DataFrame, dense: DataFrame | None, page: int, size: int
 
 
 def node_scores(names: DataFrame, keys: DataFrame, least: int = 4) -> DataFrame:
-    """id and score: 2 for each equal name (id, key), 1 for each that contains a looked-up key or lies in it (both of ``least`` characters)."""
+    """id and score: 2 for each equal name (id, key), 1 for each that contains a looked-up key or lies in it (both of ``least`` characters).
+
+    Keys are those of one question and are broadcast: names share few grams, so that a join by them would put most names into a few tasks.
+    """
+    names, keys = names.repartition("id"), F.broadcast(keys)
     exact = names.join(keys.select(F.col("key").alias("wanted")), F.col("key") == F.col("wanted")).select("id", F.lit(2).alias("score"))
     loose = loosely_equal(names, keys.select(F.col("key").alias("wanted")), "key", "wanted", least).select("id", F.lit(1).alias("score"))
     return exact.unionByName(loose).groupBy("id").agg(F.sum("score").alias("score"))

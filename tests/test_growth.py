@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import joins, reshape
 from lodestone.operators.scan import running
+from lodestone.plans import retrieval as R
 
 
 def plan(df):
@@ -35,3 +36,10 @@ def test_pages_are_dealt_out_and_parsed_once(spark):
     assert cells.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     facts = reshape.long_facts(cells, "id")
     assert facts.count() == 20 and "MapInArrow" not in plan(facts)
+
+
+def test_keys_of_a_question_are_broadcast(spark):
+    names = spark.createDataFrame([(i, "redbolt") for i in range(9)] + [(9, "red"), (10, "redboltnut")], "id long, key string")
+    found = R.node_scores(names, spark.createDataFrame([("redbolt",), ("boltnut",)], "key string"))
+    assert "SortMergeJoin" not in plan(found)
+    assert {r["id"]: r["score"] for r in found.collect()} == {**{i: 3 for i in range(9)}, 10: 2}
