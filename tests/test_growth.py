@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import joins, reshape
+from lodestone.operators import graph, joins, reshape
 from lodestone.operators.scan import running
 from lodestone.plans import retrieval as R
 
@@ -43,3 +43,9 @@ def test_keys_of_a_question_are_broadcast(spark):
     found = R.node_scores(names, spark.createDataFrame([("redbolt",), ("boltnut",)], "key string"))
     assert "SortMergeJoin" not in plan(found)
     assert {r["id"]: r["score"] for r in found.collect()} == {**{i: 3 for i in range(9)}, 10: 2}
+
+
+def test_degrees_read_edges_once(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "b")], "source string, target string")
+    assert "Union" not in plan(graph.degrees(edges))
+    assert {r["id"]: r["degree"] for r in graph.degrees(edges).collect()} == {"a": 2, "b": 3, "c": 1}
