@@ -49,3 +49,18 @@ def test_degrees_read_edges_once(spark):
     edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "b")], "source string, target string")
     assert "Union" not in plan(graph.degrees(edges))
     assert {r["id"]: r["degree"] for r in graph.degrees(edges).collect()} == {"a": 2, "b": 3, "c": 1}
+
+
+def test_small_graphs_take_no_rounds_over_tables(spark, monkeypatch):
+    """Only graphs of more than SMALL links do, and their communities are finished in a task once few links are left."""
+    cliques = lambda of, n: [(of, f"{of}{6 * g + a:03}", f"{of}{6 * g + b:03}", 3) for g in range(n) for a in range(6) for b in range(a)] + [(of, f"{of}{6 * g:03}", f"{of}{6 * ((g + 1) % n) + 5:03}", 1) for g in range(n)]
+    seen, moved = [], graph._moved
+    monkeypatch.setattr(graph, "_moved", lambda nodes, *rest: (seen.append({r["of"] for r in nodes.select("of").distinct().collect()}), moved(nodes, *rest))[1])
+    pairs = spark.createDataFrame(cliques("s", 4) + cliques("t", 12), "of string, a string, b string, weight long")
+    for small, expected in ((1_000_000, []), (200, [{"t"}])):
+        monkeypatch.setattr(graph, "SMALL", small)
+        seen.clear()
+        found = {r["id"]: r["community"] for r in graph.louvain(pairs).collect()}
+        assert seen == expected and len(found) == 16 * 6
+        assert all(len({found[f"{of}{6 * g + i:03}"] for i in range(6)}) == 1 for of, n in (("s", 4), ("t", 12)) for g in range(n))
+        assert all(c == min(x for x in found if found[x] == c) for c in found.values())
