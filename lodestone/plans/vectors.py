@@ -21,6 +21,8 @@ from ..sources.files import cut
 
 #: Rows that centroids are fitted on at most, and how many centroids there are at most.
 SAMPLE, CELLS = 20_000, 256
+#: Rows whose angles to all centroids a task has in memory at once.
+PIECE = 1024
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -54,7 +56,7 @@ def in_cells(vectors: DataFrame, key: str, vector: str, around: np.ndarray) -> D
     """k, v, cell, angle (to its centroid) and norm of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(a, PIECE) for whole in batches for a in range(0, whole.num_rows, PIECE)):
             if batch.num_rows:
                 rows = matrix(batch.column(1))
                 to = angles(rows, around)
@@ -64,12 +66,12 @@ def in_cells(vectors: DataFrame, key: str, vector: str, around: np.ndarray) -> D
     return vectors.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, "k long, v array<double>, cell long, angle double, norm double")
 
 
-def _products(asked: DataFrame, held: DataFrame, most: int, block: int, sizes: dict[int, int], digits: int) -> DataFrame:
-    """query, row, score: the ``most`` best of each block of a cell for each question (cell, k, v) that asks the cell."""
+def _products(asked: DataFrame, held: DataFrame, most: int, block: int, sizes: dict[int, int], digits: int, parts: int) -> DataFrame:
+    """query, row, score: the ``most`` best of each block of a cell for each question (cell, k, v) that asks the cell; a cell's questions are in ``parts`` parts."""
     blocks = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, -(-n // block))])
     dealt = held.withColumn("block", F.pmod(F.xxhash64("k"), blocks[F.col("cell")]))
     rows = dealt.groupBy("cell", "block").agg(F.collect_list(F.struct("k", "v")).alias("held"))
-    questions = asked.groupBy("cell", F.pmod(F.xxhash64("k"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct("k", "v")).alias("asked"))
+    questions = asked.groupBy("cell", F.pmod(F.xxhash64("k"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("k", "v")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,25 +107,28 @@ def nearest_pruned(queries: DataFrame, vectors: DataFrame, key: str, vector: str
         np.put_along_axis(first, near, enough, axis=1)
         return bound, first
 
-    def meets(second: bool):
+    def meets(rows: DataFrame, second: bool) -> DataFrame:
+        """k, v and cell. A question leaves its task once, with the list of its cells; Spark repeats its vector for each, row by row."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows:
-                    bound, first = order_of(matrix(batch.column(1)))
+                for piece in (batch.slice(a, PIECE) for a in range(0, batch.num_rows, PIECE)):
+                    bound, first = order_of(matrix(piece.column(1)))
                     if second:
-                        first = ~first & (bound >= batch.column(2).to_numpy(zero_copy_only=False)[:, None])
-                    q, c = np.nonzero(first)
-                    take = pa.array(q)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(cells[c])], ["k", "v", "cell"])
+                        first = ~first & (bound >= piece.column(2).to_numpy(zero_copy_only=False)[:, None])
+                    ends = np.append(0, np.cumsum(first.sum(axis=1)))
+                    met = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cells[np.nonzero(first)[1]], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), met], ["k", "v", "cells"])
 
-        return run
+        return rows.mapInArrow(run, "k long, v array<double>, cells array<long>").select("k", "v", F.explode("cells").alias("cell"))
 
     asked = queries.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
-    shape, each = "k long, v array<double>, cell long", {int(c): int(facts[c]["n"]) for c in cells}
-    one = cut(_products(asked.mapInArrow(meets(False), shape), held, most, block, each, digits))
+    parts = max(64, -(-queries.count() // block))
+    each = {int(c): int(facts[c]["n"]) for c in cells}
+    one = cut(_products(meets(asked, False), held, most, block, each, digits, parts))
     best = ranked(one, [F.desc("score"), F.col("row")], most, ["query"])
     least = best.groupBy("query").agg(F.when(F.count(F.lit(1)) >= most, F.min("score")).otherwise(float("-inf")).alias("least"))
     again = asked.join(least, asked["k"] == least["query"]).select("k", "v", "least")
-    two = cut(_products(again.mapInArrow(meets(True), shape), held, most, block, each, digits))
+    two = cut(_products(meets(again, True), held, most, block, each, digits, parts))
     return ranked(best.select("query", "row", "score").unionByName(two), [F.desc("score"), F.col("row")], most, ["query"])
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import graph, joins, reshape
 from lodestone.operators.scan import running
 from lodestone.plans import retrieval as R
+from lodestone.plans import vectors
 
 
 def plan(df):
@@ -64,3 +65,15 @@ def test_small_graphs_take_no_rounds_over_tables(spark, monkeypatch):
         assert seen == expected and len(found) == 16 * 6
         assert all(len({found[f"{of}{6 * g + i:03}"] for i in range(6)}) == 1 for of, n in (("s", 4), ("t", 12)) for g in range(n))
         assert all(c == min(x for x in found if found[x] == c) for c in found.values())
+
+
+def test_vectors_are_not_repeated_in_python(spark, monkeypatch):
+    """A question that meets many cells leaves a task once, with their list."""
+    monkeypatch.setattr(vectors, "CELLS", 8)
+    seen, products = [], vectors._products
+    monkeypatch.setattr(vectors, "_products", lambda asked, *rest: (seen.append("Generate explode(cells" in plan(asked)), products(asked, *rest))[1])
+    df = spark.createDataFrame([(i, [float((i * k) % 17 - 8) for k in range(1, 6)]) for i in range(1, 200)], "id long, v array<double>")
+    asked = df.filter("id % 20 = 0")
+    found = vectors.nearest_pruned(asked, df, "id", "v", 5)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, R.nearest(asked, df, "id", "v", 5).collect()))
+    assert seen == [True, True]
