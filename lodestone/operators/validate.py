@@ -11,6 +11,9 @@ from pyspark.sql.window import Window
 
 from ..functions.text import squash
 
+#: Relations that a task joins and sorts at once, about.
+PART = 500_000
+
 
 def ungrounded(quotes: DataFrame, sources: DataFrame, on: str, quote: str, text: str) -> DataFrame:
     """Quotes whose source doesn't hold them (white space and forms aside), or that have no source."""
@@ -51,10 +54,16 @@ def cited(statements: DataFrame, known: Sequence[str], most: int = 8, longest: i
 
 
 def valid_relations(relations: DataFrame, entities: DataFrame, kinds: Sequence[str]) -> DataFrame:
-    """``relations`` (chunk, source, kind, target, quote_found, ord) with reason: why it is dropped, or null."""
-    names = entities.select("chunk", "name").distinct()
-    ends = relations.join(names.select("chunk", F.col("name").alias("source"), F.lit(True).alias("_s")), ["chunk", "source"], "left").join(names.select("chunk", F.col("name").alias("target"), F.lit(True).alias("_t")), ["chunk", "target"], "left")
-    checks = {"kind": F.col("kind").isin(*kinds), "endpoint": F.col("_s") & F.col("_t"), "loop": F.col("source") != F.col("target"), "evidence": F.col("quote_found")}
+    """``relations`` (chunk, source, kind, target, quote_found, ord) with reason: why it is dropped, or null.
+
+    Both are dealt by (chunk, name) into parts of about PART rows, so that what a task sorts doesn't grow with the tables.
+    """
+    shares = max(1, int(relations.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-relations.count() // PART))
+    names = entities.select("chunk", "name").repartition(shares, "chunk", "name").distinct()
+    ends = relations
+    for end in ("source", "target"):
+        ends = ends.repartition(shares, "chunk", end).join(names.select("chunk", F.col("name").alias(end), F.lit(True).alias(f"_{end}")), ["chunk", end], "left")
+    checks = {"kind": F.col("kind").isin(*kinds), "endpoint": F.col("_source") & F.col("_target"), "loop": F.col("source") != F.col("target"), "evidence": F.col("quote_found")}
     checked = ends.withColumn("reason", first_reason(checks))
     again = F.row_number().over(Window.partitionBy("chunk", "source", "kind", "target", F.col("reason").isNull()).orderBy("ord")) > 1
     return checked.withColumn("_again", again).withColumn("reason", F.when(F.col("reason").isNull() & F.col("_again"), "duplicate").otherwise(F.col("reason"))).select(*relations.columns, "reason")
