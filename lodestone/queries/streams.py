@@ -98,8 +98,7 @@ def s24_create_if_absent(spark, d):
     E.write_new_files(named, f"{out}/files", f"{out}/first", ["ts", "event_id"]).awaitTermination()
     later = named.withColumn("content", F.concat(F.lit("again "), "content"))
     E.write_new_files(later, f"{out}/files", f"{out}/second", ["ts", "event_id"]).awaitTermination()
-    held = spark.read.schema("value string, day string, name string").text(f"{out}/files")
-    return held.groupBy("day", "name").agg(F.first("value").alias("content"), F.count(F.lit(1)).alias("files"))
+    return E.read_new_files(spark, f"{out}/files").groupBy("day", "name").agg(F.first("content").alias("content"), F.count(F.lit(1)).alias("files"))
 
 
 @query("""SELECT day, user_id, n FROM (SELECT CAST(CAST(ts + INTERVAL 9 HOUR AS DATE) AS VARCHAR) AS day, user_id, count(*) AS n FROM events GROUP BY 1, 2) WHERE n > 4""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from typing import NamedTuple
 
@@ -25,6 +26,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its store, as libraries other than Hadoop's take it."""
+    at, fs = _at(spark, path)
+    uri = re.sub("^file:/+", "file:///", at.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri().toString())
+    return re.sub("^s3[an]:", "s3:", uri)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder, sorted; none if it isn't there."""
+    at, fs = _at(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at) if x.isDirectory()) if fs.exists(at) else []
+
+
 def data_files(spark: SparkSession, path: str) -> list[File]:
     """The data files below a path (not those that begin with _ or a dot), sorted; a file is its own listing."""
     at, fs = _at(spark, path)

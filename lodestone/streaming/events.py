@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote, unquote
+from zlib import crc32
 
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -127,28 +132,86 @@ def read_admitted(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/rows").drop("batch", "_day")
 
 
+#: Folders that the files of a day are dealt into, so that no folder holds them all.
+SHARES = 256
+#: A day or name that is null, as Spark's own writers call it.
+NULL = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _file_name(value: str | None) -> str:
+    return NULL if value is None else quote(value, safe="")
+
+
+def _value(name: str) -> str | None:
+    return None if name == NULL else unquote(name)
+
+
+def _file_path(root: str, day: str | None, name: str | None) -> str:
+    return f"{root}/day={_file_name(day)}/{crc32(_file_name(name).encode()) % SHARES:02x}/{_file_name(name)}.txt"
+
+
 def put_new_files(batch: DataFrame, number: int, path: str, ledger: str, order: Sequence[str]) -> bool:
-    """Files that aren't there yet: one for each (day, name), below day=.../name=..., with the text of ``content``; the first in ``order`` of a name. False if the batch was done.
+    """Files that aren't there yet: one for each (day, name), ``day=.../<share>/<name>.txt``, with the text of ``content``; the first in ``order`` of a name. False if the batch was done.
 
-    A file that is there is never touched. Spark's writers show their files once a job commits, by renaming, so a file is there whole or not at
+    A file that is there is never touched. Tasks look for their own names, write aside and rename, so a file is there whole or not at
     all; a batch that failed half-way is run again and adds what is missing; one whose number is in the stream's ledger is skipped. One
-    stream writes to a path at a time. Only the folders of the batch's days are listed.
+    stream writes to a path at a time. Nothing is listed, and the driver renames nothing: the cost is that of the batch's own files.
+    The store must be one that pyarrow knows (local or mounted, HDFS, S3, GCS, ABFS).
     """
     spark = batch.sparkSession
     done = f"{ledger}/{number:010}"
     if store.exists(spark, done):
         return False
+    at = store.qualified(spark, path)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = FileSystem.from_uri(at)
+        made: set[str] = set()
+        for some in batches:
+            paths = [_file_path(root, day, name) for day, name in zip(some.column("day").to_pylist(), some.column("name").to_pylist(), strict=True)]
+            new = [info.type == FileType.NotFound for info in fs.get_file_info(paths)]
+            for target, content, absent in zip(paths, some.column("content").to_pylist(), new, strict=True):
+                if not absent:
+                    continue
+                for folder in {target.rpartition("/")[0], f"{root}/_aside"} - made:
+                    fs.create_dir(folder, recursive=True)
+                    made.add(folder)
+                aside = f"{root}/_aside/{uuid.uuid4().hex}"
+                with fs.open_output_stream(aside) as out:
+                    out.write((content or "").encode())
+                fs.move(aside, target)
+            yield pa.RecordBatch.from_arrays([pa.array([sum(new)], pa.int64())], ["made"])
+
     first = batch.groupBy("day", "name").agg(F.min_by("content", F.struct(*order)).alias("content"))
-    folders = [f"{path}/day={r['day']}" for r in batch.select("day").distinct().collect()]  # the few days of one micro-batch
-    there = [f for f in folders if store.exists(spark, f)]
-    if there:
-        present = spark.read.schema("value string, day string, name string").option("basePath", path).text(there).select("day", "name").distinct()
-        first = first.join(present, ["day", "name"], "left_anti")
-    first.repartition("day", "name").write.partitionBy("day", "name").mode("append").text(path)
+    # a small row costs as much as its file: rows are dealt to a given number of tasks; by a key of its own, as Spark would take the aggregate's few otherwise
+    dealt = first.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("name", "day"))
+    dealt.mapInArrow(put, "made long").agg(F.sum("made")).collect()
     store.put_new(spark, done, "")
     return True
 
 
+def read_new_files(spark: SparkSession, path: str) -> DataFrame:
+    """day, name and content of all files of :func:`put_new_files`, each share of a day listed and read by a task."""
+    at = store.qualified(spark, path)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = FileSystem.from_uri(at)
+        for some in batches:
+            for day, share in zip(some.column("day").to_pylist(), some.column("share").to_pylist(), strict=True):
+                names = [info.base_name for info in fs.get_file_info(FileSelector(f"{root}/{day}/{share:02x}", allow_not_found=True))]
+                for k in range(0, len(names), 1000):
+                    part, texts = names[k : k + 1000], []
+                    for name in part:
+                        with fs.open_input_stream(f"{root}/{day}/{share:02x}/{name}") as held:
+                            texts.append(held.read().decode())
+                    columns = [[_value(day.removeprefix("day="))] * len(part), [_value(n.removesuffix(".txt")) for n in part], texts]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["day", "name", "content"])
+
+    days = [d for d in store.folders(spark, path) if d.startswith("day=")]
+    shares = spark.range(SHARES).select(F.explode(F.array(*map(F.lit, days)).cast("array<string>")).alias("day"), F.col("id").alias("share"))
+    return shares.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "day", "share").mapInArrow(read, "day string, name string, content string")
+
+
 def write_new_files(batches: DataFrame, path: str, checkpoint: str, order: Sequence[str]) -> StreamingQuery:
     """A stream (day, name, content and what orders them) into files that are only ever added, until all there is has been read."""
     return batches.writeStream.foreachBatch(lambda df, number: put_new_files(df, number, path, f"{checkpoint}/ledger", order) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -126,3 +126,23 @@ def test_session_logic(spark):
     assert sorted(r["id"] for r in E.debounced(df, "user", F.col("t"), ["t"], 900).collect()) == [1, 3, 4]
     chunks = spark.createDataFrame([("u", 0, "ab"), ("u", 1, "c"), ("u", 1, "c"), ("v", 0, "a"), ("v", 2, "b")], "upload string, seq int, body string")
     assert {tuple(r) for r in E.reassembled(chunks, "upload", "seq", F.length("body")).collect()} == {("u", 2, 3, True), ("v", 2, 2, False)}
+
+
+def test_new_files_are_put_by_many_tasks_and_never_touched(spark, tmp_path):
+    """Names of any characters, none and null; a batch that is run again, or comes by another ledger, changes nothing. The driver's writers are not used: no job of theirs commits."""
+    names = [f"{i}-{i % 3}" for i in range(200)] + ["a/b", "..", ".x", "_y", "가 %2F", "", None]
+    rows = [(day, n, f"{day} {n}\nend", i) for i, n in enumerate(names) for day in ("202401", "2024/02")]
+    batch = spark.createDataFrame(rows + [(d, n, "later", i + 1000) for d, n, _, i in rows], "day string, name string, content string, at long")
+    path = str(tmp_path / "files")
+    assert E.read_new_files(spark, path).count() == 0
+    assert E.put_new_files(batch, 0, path, str(tmp_path / "first"), ["at"])
+    held = lambda: sorted(map(tuple, E.read_new_files(spark, path).collect()), key=str)
+    assert held() == sorted([(d, n, c) for d, n, c, _ in rows], key=str)
+    assert not E.put_new_files(batch, 0, path, str(tmp_path / "first"), ["at"])
+    left = next((tmp_path / "files").glob("day=202401/*/7-1.txt"))  # as a batch that failed half-way leaves it
+    left.unlink()
+    again = batch.withColumn("content", F.concat(F.lit("again "), "content")).withColumn("at", F.col("at") + 1)
+    assert E.put_new_files(again, 0, path, str(tmp_path / "second"), ["at"])
+    assert left.read_text() == "again 202401 7-1\nend"
+    assert [x for x in held() if x[1] != "7-1"] == sorted([(d, n, c) for d, n, c, _ in rows if n != "7-1"], key=str)
+    assert not list((tmp_path / "files").rglob("part-*")) and not list((tmp_path / "files" / "_aside").iterdir())
