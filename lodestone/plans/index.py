@@ -8,9 +8,12 @@ Spark has committed them, so that a build that is called again goes on where the
     terms       term, df, sorted
     postings    term, row, dl, tf, in ranges of (term, row), sorted: a question reads the row groups of its terms
 
-(postings with places stay in the batches' files, which are runs sorted by term: as large as the texts many times over, they
-are written once and never shuffled), and a manifest with the specification, totals and each table's listing, which is what makes the index exist. A reader
+and a manifest with the specification, totals and each table's listing, which is what makes the index exist. A reader
 refuses an index whose specification isn't the one it expects or whose files aren't those of the manifest.
+
+With ``runs`` (and always with places) postings stay in the batches' files, runs sorted by term, each with the rows of the documents it has (term null) before
+it: texts are read once, postings are written once and never shuffled, and a question reads the row groups of its terms in each run. Terms are then no
+table: they are counted from the postings of those that are asked for.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ import json
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -56,13 +61,18 @@ class Spec:
     recipe: str = "tokens"
     files_per_batch: int = 64
     places: bool = False  # postings have the terms' places in the text, in order
+    runs: bool = False  # postings stay where their texts are
+
+    @property
+    def in_runs(self) -> bool:
+        return self.runs or self.places
 
 
 def full_spec(spark: SparkSession, source: str, spec: Spec) -> dict:
     """The specification with the listing of the source as it is now."""
     if spec.recipe not in RECIPES:
         raise ValueError(f"no recipe {spec.recipe}")
-    return {**asdict(spec), "kept": list(spec.kept), "format": 2, "source": store.listing_digest(store.data_files(spark, source))}
+    return {**asdict(spec), "kept": list(spec.kept), "format": 3, "source": store.listing_digest(store.data_files(spark, source))}
 
 
 def digest(full: dict) -> str:
@@ -126,12 +136,17 @@ def _postings(rows: pa.Array, content: pa.Array, names: list[str], places: bool)
 
 
 def _of_batch(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
-    """Documents and postings. A text's terms are counted where the text is, so nothing is shuffled; each run of output is sorted by term."""
+    """Documents and postings. A text's terms are counted where the text is, so nothing is shuffled; each run of output is sorted by term.
+
+    With runs, postings have the documents' rows as well (term null), which are all that has kept columns.
+    """
     content = RECIPES[spec.recipe](F.coalesce(F.col(spec.text), F.lit("")))
     size = (F.length if spec.recipe == "trigrams" else F.size)("terms")
     named = docs.select(F.col(spec.row).alias("row"), *spec.kept, content.alias("terms"))
-    rows = named.select("row", "terms")
+    kept = spec.kept if spec.in_runs else ()
+    rows = named.select("row", "terms", *kept)
     shape = f"term string, row {rows.schema['row'].dataType.simpleString()}, dl int, tf int" + (", places array<int>" if spec.places else "")
+    shape += "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
     names = ["term", "row", "dl", "tf"] + ["places"] * spec.places
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,14 +157,22 @@ def _of_batch(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
             cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a < b:
-                    yield _postings(batch.column(0).slice(a, b - a), content.slice(a, b - a), names, spec.places)
+                    found = _postings(batch.column(0).slice(a, b - a), content.slice(a, b - a), names, spec.places)
+                    if not spec.in_runs:
+                        yield found
+                        continue
+                    own = [batch.column(2 + i).slice(a, b - a) for i in range(len(kept))]
+                    n = b - a
+                    of_docs = [pa.nulls(n, pa.string()), batch.column(0).slice(a, n), lengths.slice(a, n).cast(pa.int32()), pa.array(np.zeros(n, np.int32))]
+                    yield pa.RecordBatch.from_arrays([*of_docs, *[pa.nulls(n, pa.list_(pa.int32()))] * spec.places, *own], [*names, *kept])
+                    yield pa.RecordBatch.from_arrays([*found.columns, *[pa.nulls(found.num_rows, c.type) for c in own]], [*names, *kept])
 
     return named.select("row", size.alias("dl"), *spec.kept), rows.mapInArrow(run, shape)
 
 
-def _tables(path: str, places: bool) -> dict[str, str]:
-    """Where the tables are; postings with places are the batches' own."""
-    return {name: f"{path}/batches/postings" if places and name == "postings" else f"{path}/{name}" for name in TABLES}
+def _tables(path: str, runs: bool) -> dict[str, str]:
+    """Where the tables are; runs are the batches' own, and terms none."""
+    return {"documents": f"{path}/documents", "postings": f"{path}/batches/postings"} if runs else {name: f"{path}/{name}" for name in TABLES}
 
 
 def build_index(spark: SparkSession, source: str, path: str, spec: Spec) -> list[str]:
@@ -169,22 +192,23 @@ def build_index(spark: SparkSession, source: str, path: str, spec: Spec) -> list
     made, batches = [], [files[k : k + spec.files_per_batch] for k in range(0, len(files), spec.files_per_batch)]
     for k, batch in enumerate(batches):
         documents, postings = _of_batch(spark.read.parquet(*batch), spec)
-        for name, df in (("documents", documents), ("postings", postings)):
+        for name, df in (("documents", documents), ("postings", postings))[spec.in_runs :]:
             if commit_once(lambda df=df: df, f"{path}/batches/{name}/{k:06}", spark, **{"parquet.block.size": GROUP_BYTES}):
                 made.append(f"{name}/{k:06}")
     whole = lambda name: spark.read.parquet(*[f"{path}/batches/{name}/{k:06}" for k in range(len(batches))])
-    final = {
-        "documents": lambda: whole("documents"),
-        "terms": lambda: whole("postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("term").sortWithinPartitions("term"),
-        "postings": lambda: whole("postings").repartitionByRange("term", "row").sortWithinPartitions("term", "row"),
-    }
-    if spec.places:
-        del final["postings"]
+    if spec.in_runs:
+        final = {"documents": lambda: whole("postings").filter("term IS NULL").select("row", "dl", *spec.kept)}
+    else:
+        final = {
+            "documents": lambda: whole("documents"),
+            "terms": lambda: whole("postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("term").sortWithinPartitions("term"),
+            "postings": lambda: whole("postings").repartitionByRange("term", "row").sortWithinPartitions("term", "row"),
+        }
     for name, df in final.items():
         if commit_once(df, f"{path}/{name}", spark, **{"parquet.block.size": GROUP_BYTES}):
             made.append(name)
     n, total = spark.read.parquet(f"{path}/documents").agg(F.count(F.lit(1)), F.sum("dl")).first()
-    listings = {name: store.data_files(spark, at) for name, at in _tables(path, spec.places).items()}
+    listings = {name: store.data_files(spark, at) for name, at in _tables(path, spec.in_runs).items()}
     manifest = {"spec": full, "n": n, "average": total / n if n else 0.0, "tables": {name: {"files": len(x), "bytes": sum(f.bytes for f in x), "listing": store.listing_digest(x, changed=False)} for name, x in listings.items()}}
     store.put_new(spark, f"{path}/manifest.json", json.dumps(manifest, sort_keys=True))
     return made
@@ -204,15 +228,20 @@ class Index:
         self.spark, self.path, self.manifest = spark, path, json.loads(found)
         if wrong := sorted(k for k, v in expected.items() if self.manifest["spec"].get(k) != v):
             raise StaleIndex(f"the index has another {', '.join(wrong)}")
-        self.tables = _tables(path, self.manifest["spec"]["places"])
+        self.tables = _tables(path, self.manifest["spec"]["runs"] or self.manifest["spec"]["places"])
         for name, at in self.tables.items():
             if store.listing_digest(store.data_files(spark, at), changed=False) != self.manifest["tables"][name]["listing"]:
                 raise StaleIndex(f"files of {name} aren't those of the manifest")
         self.n, self.average = self.manifest["n"], self.manifest["average"]
 
     def table(self, name: str) -> DataFrame:
+        if name not in self.tables:  # terms of runs; a filter of terms reaches the scan
+            return self.table("postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         at = self.tables[name]
-        return self.spark.read.option("recursiveFileLookup", "true").parquet(at) if "/batches/" in at else self.spark.read.parquet(at)
+        if "/batches/" not in at:
+            return self.spark.read.parquet(at)
+        found = self.spark.read.option("recursiveFileLookup", "true").parquet(at)
+        return found.filter(F.col("term").isNotNull()).drop(*self.manifest["spec"]["kept"])
 
     def postings(self, wanted: Sequence[str]) -> DataFrame:
         """Postings of the given terms; the filter reaches the scan."""
@@ -237,13 +266,11 @@ class Index:
         for t, w in weighted:
             if t in df:
                 total[t] = total.get(t, 0.0) + w
-        if particles:
-            longer = None
-            for q in (q for q in asked if len(q) >= 2):
-                grown = terms.filter(F.startswith("term", F.lit(q)) & (F.length("term") - len(q)).between(1, 2) & ~F.contains("term", F.lit(" ")))
-                first = ranked(grown, [F.col("term")], MOST_PARTICLES).select(F.lit(q).alias("q"), "term", "df")
-                longer = first if longer is None else longer.unionByName(first)
-            for r in longer.collect() if longer is not None else []:
+        if particles and (short := [q for q in asked if len(q) >= 2 and " " not in q]):
+            longer_than = lambda t, q: F.startswith(t, q) & (F.length(t) - F.length(q)).between(1, 2) & ~F.contains(t, F.lit(" "))
+            grown = terms.filter(reduce(or_, [longer_than(F.col("term"), F.lit(q)) for q in short]))  # one pass for all
+            of_each = grown.withColumn("q", F.explode(F.filter(F.array(*map(F.lit, short)), lambda q: longer_than(F.col("term"), q))))
+            for r in ranked(of_each, [F.col("term")], MOST_PARTICLES, ["q"]).collect():
                 df[r["term"]] = r["df"]
                 total[r["term"]] = total.get(r["term"], 0.0) + PARTICLE_WEIGHT * sum(w for t, w in weighted if t == r["q"])
         return sorted((t, df[t], w) for t, w in total.items())

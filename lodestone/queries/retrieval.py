@@ -24,7 +24,7 @@ SHARE = "ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.
 
 def _index(spark, d, recipe="tokens"):
     """The index of the documents, in the shared folder; it is built by the first query that asks."""
-    return I.ensure_index(spark, f"{d}/documents.parquet", f"{shared_root(spark)}/index", I.Spec("1", "doc_id", "text", ("lang", "source"), recipe, places=recipe == "trigrams"))
+    return I.ensure_index(spark, f"{d}/documents.parquet", f"{shared_root(spark)}/index", I.Spec("1", "doc_id", "text", ("lang", "source"), recipe, places=recipe == "trigrams", runs=True))
 
 
 def _question(spark, d):

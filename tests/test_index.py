@@ -186,3 +186,26 @@ def test_places_are_written_once_and_not_shuffled(spark, tmp_path, monkeypatch):
     assert not list((tmp_path / "index").glob("*/postings"))
     assert {r["row"]: (r["starts"], r["hits"]) for r in index.starts("the").join(index.occurrences(["the"]), "row").collect()} == {i: ([p + 10 * k for k in range(i % 9) for p in (0, 5)], 2 * (i % 9)) for i in range(60) if i % 9}
     assert {r["row"]: r["dl"] for r in index.table("documents").collect()} == {i: 10 * (i % 9) for i in range(60)}
+
+
+@pytest.mark.parametrize("recipe", ["tokens", "analyzer"])
+def test_runs_are_written_once_and_answer_the_same(spark, source, tmp_path, monkeypatch, recipe):
+    """Postings stay where they were written, with the documents' rows; no terms are written, and a build that broke is taken up."""
+    monkeypatch.setattr(I, "PIECE", 500)
+    specs = [I.Spec("1", "doc_id", "text", ("lang",), recipe, 2, runs=runs) for runs in (False, True)]
+    ranges = I.ensure_index(spark, source, str(tmp_path / "ranges"), specs[0])
+    path, commit, calls = tmp_path / "runs", I.commit_once, []
+    monkeypatch.setattr(I, "commit_once", lambda *a, **kw: calls.append(a) or (commit(*a, **kw) if len(calls) < 3 else 1 / 0))
+    with pytest.raises(ZeroDivisionError):
+        I.build_index(spark, source, str(path), specs[1])
+    monkeypatch.setattr(I, "commit_once", commit)
+    assert I.build_index(spark, source, str(path), specs[1]) == ["postings/000002", "documents"]
+    assert sorted(x.name for x in path.iterdir() if x.is_dir()) == ["batches", "documents"] and [x.name for x in (path / "batches").iterdir()] == ["postings"]
+    runs = I.open_index(spark, source, str(path), specs[1])
+    assert rows(runs) == rows(ranges) and (runs.n, runs.average) == (ranges.n, ranges.average)
+    for weighted in ([("license", 1.0), ("license", 1.0), ("und", 0.6)], [("th", 1.0), ("the mit", 1.0), ("no", 0.5)]):
+        terms = runs.weighted_terms(weighted, particles=True)
+        assert terms == ranges.weighted_terms(weighted, particles=True) and len(terms) > 1
+        assert sorted((r["row"], round(r["score"], 9)) for r in runs.bm25(terms).collect()) == sorted((r["row"], round(r["score"], 9)) for r in ranges.bm25(terms).collect())
+    plan = runs.table("terms").filter(F.startswith("term", F.lit("lic")))._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(term,lic)" in plan
