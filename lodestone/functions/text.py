@@ -69,10 +69,14 @@ def distinct_tokens(c: Column) -> Column:
     return F.array_distinct(tokens(c, ()))
 
 
+def analyzed_words(folded: Column) -> Column:
+    """Tokens of a text that is already folded, with inner ./- and of two characters or more (or a digit)."""
+    return F.filter(F.regexp_extract_all(folded, F.lit(r"([\p{L}\p{N}]+(?:[./-][\p{L}\p{N}]+)*)"), 1), lambda w: (F.length(w) >= 2) | w.rlike("^[0-9]$"))
+
+
 def analyzed(folded: Column) -> Column:
-    """Terms of a text that is already folded: tokens with inner ./- of two characters or more (or a digit), then their bigrams."""
-    found = F.filter(F.regexp_extract_all(folded, F.lit(r"([\p{L}\p{N}]+(?:[./-][\p{L}\p{N}]+)*)"), 1), lambda w: (F.length(w) >= 2) | w.rlike("^[0-9]$"))
-    return F.element_at(F.transform(F.array(found), lambda t: F.concat(t, bigrams(t))), 1)  # bound once: what bigrams repeats is a variable
+    """Terms of a text that is already folded: :func:`analyzed_words`, then their bigrams."""
+    return F.element_at(F.transform(F.array(analyzed_words(folded)), lambda t: F.concat(t, bigrams(t))), 1)  # bound once: what bigrams repeats is a variable
 
 
 def bigrams(t: Column) -> Column:

@@ -116,9 +116,32 @@ def _in_lists(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, Callable[[np.nda
     return rank[coded.indices.to_numpy(zero_copy_only=False)], sizes, lambda different: coded.dictionary.take(pa.array(order[different]))
 
 
-def _postings(rows: pa.Array, content: pa.Array, names: list[str], places: bool) -> pa.RecordBatch:
+def _in_pairs(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, Callable[[np.ndarray], pa.Array]]:
+    """As :func:`_in_lists`, of lists of words, each followed by its neighbours as one term each (:func:`~lodestone.functions.text.bigrams`).
+
+    No word has a character before the space, so terms are in the order of their first and second words.
+    """
+    words, n, _ = coded = _in_lists(lists)
+    base = int(words.max(initial=-1)) + 2
+    sizes = n + np.maximum(n - 1, 0)
+    starts, before = np.cumsum(sizes) - sizes, np.cumsum(n) - n
+    keys = np.empty(int(sizes.sum()), np.int64)
+    text = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(words)) - before[text]
+    keys[starts[text] + at] = words * base
+    second = np.flatnonzero(at > 0)
+    keys[(starts + n)[text[second]] + at[second] - 1] = words[second - 1] * base + words[second] + 1
+
+    def terms(different: np.ndarray) -> pa.Array:
+        firsts, seconds = coded[2](different // base), coded[2](np.maximum(different % base - 1, 0))
+        return pc.if_else(pa.array(different % base == 0), firsts, pc.binary_join_element_wise(firsts, seconds, " "))
+
+    return keys, sizes, terms
+
+
+def _postings(rows: pa.Array, content: pa.Array, names: list[str], places: bool, pairs: bool = False) -> pa.RecordBatch:
     """term, row, dl, tf and, if asked for, places of whole texts, by (term, text)."""
-    keys, sizes, terms = (_in_lists if pa.types.is_list(content.type) else _in_trigrams)(content)
+    keys, sizes, terms = (_in_pairs if pairs else _in_lists if pa.types.is_list(content.type) else _in_trigrams)(content)
     order = np.argsort(keys, kind="stable")  # terms stand by text and place, and stay so
     sorted_keys, text = keys[order], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
     other = np.ones(len(order), bool)
@@ -140,8 +163,11 @@ def _of_batch(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
 
     With runs, postings have the documents' rows as well (term null), which are all that has kept columns.
     """
-    content = RECIPES[spec.recipe](F.coalesce(F.col(spec.text), F.lit("")))
+    pairs = spec.recipe == "analyzer"  # neighbours are put together where they are counted
+    text = F.coalesce(F.col(spec.text), F.lit(""))
+    content = T.analyzed_words(T.nfkc_casefold(text)) if pairs else RECIPES[spec.recipe](text)
     size = (F.length if spec.recipe == "trigrams" else F.size)("terms")
+    size = size + F.greatest(size - 1, F.lit(0)) if pairs else size
     named = docs.select(F.col(spec.row).alias("row"), *spec.kept, content.alias("terms"))
     kept = spec.kept if spec.in_runs else ()
     rows = named.select("row", "terms", *kept)
@@ -153,17 +179,19 @@ def _of_batch(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             content = batch.column(1)
             lengths = pc.list_value_length(content) if pa.types.is_list(content.type) else pc.utf8_length(content)
-            piece = np.cumsum(lengths.to_numpy(zero_copy_only=False)) // PIECE
+            n_terms = lengths.to_numpy(zero_copy_only=False).astype(np.int64)
+            n_terms = n_terms + np.maximum(n_terms - 1, 0) if pairs else n_terms
+            piece = np.cumsum(n_terms) // PIECE
             cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a < b:
-                    found = _postings(batch.column(0).slice(a, b - a), content.slice(a, b - a), names, spec.places)
+                    found = _postings(batch.column(0).slice(a, b - a), content.slice(a, b - a), names, spec.places, pairs)
                     if not spec.in_runs:
                         yield found
                         continue
                     own = [batch.column(2 + i).slice(a, b - a) for i in range(len(kept))]
                     n = b - a
-                    of_docs = [pa.nulls(n, pa.string()), batch.column(0).slice(a, n), lengths.slice(a, n).cast(pa.int32()), pa.array(np.zeros(n, np.int32))]
+                    of_docs = [pa.nulls(n, pa.string()), batch.column(0).slice(a, n), pa.array(n_terms[a:b], pa.int32()), pa.array(np.zeros(n, np.int32))]
                     yield pa.RecordBatch.from_arrays([*of_docs, *[pa.nulls(n, pa.list_(pa.int32()))] * spec.places, *own], [*names, *kept])
                     yield pa.RecordBatch.from_arrays([*found.columns, *[pa.nulls(found.num_rows, c.type) for c in own]], [*names, *kept])
 

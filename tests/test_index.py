@@ -209,3 +209,17 @@ def test_runs_are_written_once_and_answer_the_same(spark, source, tmp_path, monk
         assert sorted((r["row"], round(r["score"], 9)) for r in runs.bm25(terms).collect()) == sorted((r["row"], round(r["score"], 9)) for r in ranges.bm25(terms).collect())
     plan = runs.table("terms").filter(F.startswith("term", F.lit("lic")))._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(term,lic)" in plan
+
+
+def test_neighbours_are_put_together_where_they_are_counted(spark):
+    """The lists that go to Python have words only; postings and their places are those of the whole lists of terms."""
+    import pyarrow as pa
+
+    some = ["a1", "a1-b", "a1.c", "b", "9", "가나", "ab/c", "a"]
+    texts = [[some[(i * k + i // 3) % 8] for i in range(k)] for k in (0, 1, 2, 5, 30, 0, 7)]
+    whole = [t + [f"{a} {b}" for a, b in zip(t, t[1:], strict=False)] for t in texts]
+    for part in (slice(None), slice(0, 1), slice(1, 2)):
+        made = [I._postings(pa.array(range(len(x[part])), pa.int64()), pa.array(x[part], pa.list_(pa.string())), ["term", "row", "dl", "tf", "places"], True, pairs) for x, pairs in ((texts, True), (whole, False))]
+        assert made[0].equals(made[1])
+    docs = spark.createDataFrame([(1, "one two")], "doc_id long, text string")
+    assert "concat_ws" not in I._of_batch(docs, I.Spec("1", "doc_id", "text", (), "analyzer", runs=True))[1]._jdf.queryExecution().executedPlan().toString()
