@@ -24,7 +24,7 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 import numpy as np
 import pyarrow as pa
@@ -283,7 +283,7 @@ class Index:
         """term, df and weight of the index terms that a question's terms stand for, weights added up.
 
         With ``particles`` also terms of one or two more characters, the first MOST_PARTICLES of each in order, at PARTICLE_WEIGHT; so few rows that
-        they are the driver's.
+        they are the driver's. :meth:`bm25_of_all` takes all of them.
         """
         asked = sorted({t for t, _ in weighted})
         if not asked:
@@ -294,23 +294,40 @@ class Index:
         for t, w in weighted:
             if t in df:
                 total[t] = total.get(t, 0.0) + w
-        if particles and (short := [q for q in asked if len(q) >= 2 and " " not in q]):
-            longer_than = lambda t, q: F.startswith(t, q) & (F.length(t) - F.length(q)).between(1, 2) & ~F.contains(t, F.lit(" "))
-            grown = terms.filter(reduce(or_, [longer_than(F.col("term"), F.lit(q)) for q in short]))  # one pass for all
-            of_each = grown.withColumn("q", F.explode(F.filter(F.array(*map(F.lit, short)), lambda q: longer_than(F.col("term"), q))))
+        if particles and (short := _that_grow(asked)):
+            grown = terms.filter(reduce(or_, [_longer(F.col("term"), F.lit(q)) for q in short]))  # one pass for all
+            of_each = grown.withColumn("q", F.explode(F.filter(F.array(*map(F.lit, short)), lambda q: _longer(F.col("term"), q))))
             for r in ranked(of_each, [F.col("term")], MOST_PARTICLES, ["q"]).collect():
                 df[r["term"]] = r["df"]
                 total[r["term"]] = total.get(r["term"], 0.0) + PARTICLE_WEIGHT * sum(w for t, w in weighted if t == r["q"])
         return sorted((t, df[t], w) for t, w in total.items())
 
+    def bm25_of_all(self, weighted: Sequence[tuple[str, float]]) -> DataFrame:
+        """row and score as by :meth:`bm25`, with all terms of one or two more characters, at PARTICLE_WEIGHT.
+
+        How many these are is the index's affair, so they stay a table: a term's weight is an expression of it, and its df is joined.
+        """
+        if not weighted:
+            return self.bm25([])
+        term, short = F.col("term"), set(_that_grow([t for t, _ in weighted]))
+        meant = {q: (term == q, _longer(term, F.lit(q)) if q in short else F.lit(False)) for q, _ in weighted}
+        weight = reduce(add, [F.when(meant[q][0], w).when(meant[q][1], PARTICLE_WEIGHT * w).otherwise(0.0) for q, w in weighted])
+        near = reduce(or_, [F.startswith(term, F.lit(q)) if q in short else term == q for q in meant])  # a filter that reaches the scan
+        wanted = reduce(or_, [same | longer for same, longer in meant.values()])
+        df, postings = (self.table(name).filter(near).filter(wanted) for name in ("terms", "postings"))
+        idf = F.log1p((F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        return postings.join(df, "term").groupBy("row").agg(F.sum(self._share(weight * idf, K1, B)).alias("score"))
+
     def bm25(self, terms: Sequence[tuple[str, int, float]], k1: float = K1, b: float = B) -> DataFrame:
         """row and score from the postings of weighted terms (:meth:`weighted_terms`)."""
         if not terms:
             return self.table("documents").limit(0).select("row", F.lit(0.0).alias("score"))
         idf = [(t, w * _idf(self.n, df)) for t, df, w in terms]
         weight = F.create_map(*[F.lit(x) for pair in idf for x in pair])[F.col("term")]
-        share = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(self.average or 1.0)))
-        return self.postings([t for t, _, _ in terms]).groupBy("row").agg(F.sum(share).alias("score"))
+        return self.postings([t for t, _, _ in terms]).groupBy("row").agg(F.sum(self._share(weight, k1, b)).alias("score"))
+
+    def _share(self, weight: Column, k1: float, b: float) -> Column:
+        return weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(self.average or 1.0)))
 
     def starts(self, word: str) -> DataFrame:
         """row and starts (in order, from 0) of all places of a word in the lower-cased texts, overlapping ones too; for an index of trigrams with places.
@@ -360,6 +377,16 @@ def _without_overlaps(starts: Column, size: int) -> Column:
     return F.aggregate(starts, none, step, lambda s: s["n"])
 
 
+def _that_grow(asked: Sequence[str]) -> list[str]:
+    """Words of a question that longer terms stand for, too."""
+    return [q for q in asked if len(q) >= 2 and " " not in q]
+
+
+def _longer(term: Column, q: Column) -> Column:
+    """Is it the word and one or two more characters?"""
+    return F.startswith(term, q) & (F.length(term) - F.length(q)).between(1, 2) & ~F.contains(term, F.lit(" "))
+
+
 def _idf(n: int, df: int) -> float:
     return math.log1p((n - df + 0.5) / (df + 0.5))
 

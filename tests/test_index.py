@@ -93,6 +93,22 @@ def test_scores_equal_those_of_the_raw_table(spark, source, tmp_path, weighted,
     assert found == ({r["row"]: round(r["score"], 9) for r in raw.collect()} if raw else {})
 
 
+@pytest.mark.parametrize("runs", [False, True])
+def test_all_longer_terms_count(spark, tmp_path, runs):
+    """Also those behind the first 24 in order, one document each; the bare word, a neighbour and what is longer by three are told apart."""
+    words = [f"ab{c}" for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    texts = [*words, "ab", "abzz", "abzzz", "xab", "a", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.repartition(3, "doc_id").write.parquet(str(tmp_path / "documents"))
+    index = I.ensure_index(spark, str(tmp_path / "documents"), str(tmp_path / "index"), I.Spec("1", "doc_id", "text", (), "tokens", 1, runs=runs))
+    share = I._idf(index.n, 1) * 2.2 / (1 + 1.2 * (0.25 + 0.75 / index.average))
+    found = {texts[r["row"]]: round(r["score"] / share, 9) for r in index.bm25_of_all([("ab", 1.0), ("ab", 1.0), ("abz", 0.6), ("a", 0.5)]).collect()}
+    assert found == {**{w: 1.0 for w in words}, "ab": 2.0, "abz": 1.6, "abzz": 1.3, "abzzz": 0.3, "a": 0.5}
+    assert index.bm25_of_all([]).count() == 0
+    plan = index.bm25_of_all([("ab", 1.0)])._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(term,ab)" in plan
+
+
 def test_questions_read_the_row_groups_of_their_terms(spark, source, tmp_path):
     index = I.ensure_index(spark, source, str(tmp_path / "index"), SPEC)
     plan = index.bm25([("license", 3, 1.0), ("und", 5, 1.0)])._jdf.queryExecution().executedPlan().toString()
