@@ -1,5 +1,6 @@
 """Plans whose memory and time in one task must not grow with a table that is small as a file."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph, joins, reshape, validate
@@ -67,6 +68,46 @@ def test_small_graphs_take_no_rounds_over_tables(spark, monkeypatch):
         assert all(c == min(x for x in found if found[x] == c) for c in found.values())
 
 
+def test_connected_parts_take_no_rounds_over_tables(spark, monkeypatch):
+    """A large graph of small parts goes through tasks part by part, small ones some together, and its communities are those of the whole graph in one task."""
+    ring = lambda of, n: [("x", f"{of}{6 * g + a:03}", f"{of}{6 * g + b:03}", 3) for g in range(n) for a in range(6) for b in range(a)] + [("x", f"{of}{6 * g:03}", f"{of}{6 * ((g + 1) % n) + 5:03}", 1) for g in range(n)]
+    pairs = spark.createDataFrame(ring("s", 4) + ring("t", 12) + [("x", f"u{i:03}", f"v{i:03}", 1) for i in range(40)], "of string, a string, b string, weight long")
+    seen, moved = [], graph._moved
+    monkeypatch.setattr(graph, "_moved", lambda *a: (seen.append(a), moved(*a))[1])
+    found = []
+    for small in (1_000_000, 400):  # the graph has 592 links, its largest part 384
+        monkeypatch.setattr(graph, "SMALL", small)
+        found.append(sorted(map(tuple, graph.louvain(pairs).collect())))
+    assert found[0] == found[1] and len(found[0]) == 16 * 6 + 80 and not seen
+
+
+def test_components_are_found_from_forests(spark, monkeypatch):
+    """A path, a star and pairs, whatever a task keeps at once; tasks leave no more links than nodes that they met."""
+    links = [(f"p{i:03}", f"p{i + 1:03}") for i in range(60)] + [(f"s{i:03}", "s100") for i in range(30)] + [(f"v{i}", f"u{i}") for i in range(5)]
+    links += [(b, a) for a, b in links[::2]] + links[::3]
+    df = spark.createDataFrame(links, "a string, b string").repartition(3)
+    expected = {**{f"p{i:03}": "p000" for i in range(61)}, **{f"s{i:03}": "s000" for i in [*range(30), 100]}, **{f"{x}{i}": f"u{i}" for i in range(5) for x in "uv"}}
+    for kept in (500_000, 3):
+        monkeypatch.setattr(graph, "KEPT", kept)
+        assert {r["id"]: r["root"] for r in graph.components(df).collect()} == expected
+    monkeypatch.setattr(graph, "KEPT", 500_000)
+    assert graph._forest(df.coalesce(1)).count() == len(expected) - 7
+    assert graph.components(df.limit(0)).count() == 0
+
+
+def test_nodes_move_alike_by_arrays_and_by_dictionaries(monkeypatch):
+    rng = np.random.default_rng(0)
+    a, b = rng.integers(0, 60, (2, 600))
+    a, b, w = a[a != b], b[a != b], rng.integers(1, 9, 600)[a != b].astype(float)
+    starts, targets, weights = graph._linked(np.append(a, b), np.append(b, a), np.append(w, w), 60)
+    strength = np.add.reduceat(weights, starts[:-1])
+    found = []
+    for dense in (0, 60):
+        monkeypatch.setattr(graph, "DENSE", dense)
+        found.append(graph._settled(starts, targets, weights, strength, np.full(60, 1 / weights.sum())).tolist())
+    assert found[0] == found[1] and len(set(found[0])) < 60
+
+
 def test_vectors_are_not_repeated_in_python(spark, monkeypatch):
     """A question that meets many cells leaves a task once, with their list."""
     monkeypatch.setattr(vectors, "CELLS", 8)
