@@ -77,6 +77,7 @@ def test_connected_parts_take_no_rounds_over_tables(spark, monkeypatch):
     found = []
     for small in (1_000_000, 400):  # the graph has 592 links, its largest part 384
         monkeypatch.setattr(graph, "SMALL", small)
+        monkeypatch.setattr(graph, "PARTED", small)
         found.append(sorted(map(tuple, graph.louvain(pairs).collect())))
     assert found[0] == found[1] and len(found[0]) == 16 * 6 + 80 and not seen
 
