@@ -6,7 +6,6 @@ import re
 import uuid
 from collections.abc import Iterator, Sequence
 from urllib.parse import quote, unquote
-from zlib import crc32
 
 import pyarrow as pa
 from pyarrow.fs import FileSelector, FileSystem, FileType
@@ -132,8 +131,6 @@ def read_admitted(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/rows").drop("batch", "_day")
 
 
-#: Folders that the files of a day are dealt into, so that no folder holds them all.
-SHARES = 256
 #: A day or name that is null, as Spark's own writers call it.
 NULL = "__HIVE_DEFAULT_PARTITION__"
 
@@ -147,11 +144,11 @@ def _value(name: str) -> str | None:
 
 
 def _file_path(root: str, day: str | None, name: str | None) -> str:
-    return f"{root}/day={_file_name(day)}/{crc32(_file_name(name).encode()) % SHARES:02x}/{_file_name(name)}.txt"
+    return f"{root}/day={_file_name(day)}/name={_file_name(name)}/{_file_name(name)}.txt"
 
 
 def put_new_files(batch: DataFrame, number: int, path: str, ledger: str, order: Sequence[str]) -> bool:
-    """Files that aren't there yet: one for each (day, name), ``day=.../<share>/<name>.txt``, with the text of ``content``; the first in ``order`` of a name. False if the batch was done.
+    """Files that aren't there yet: one for each (day, name), ``day=.../name=<name>/<name>.txt``, with the text of ``content``; the first in ``order`` of a name. False if the batch was done.
 
     A file that is there is never touched. Tasks look for their own names, write aside and rename, so a file is there whole or not at
     all; a batch that failed half-way is run again and adds what is missing; one whose number is in the stream's ledger is skipped. One
@@ -173,9 +170,11 @@ def put_new_files(batch: DataFrame, number: int, path: str, ledger: str, order:
             for target, content, absent in zip(paths, some.column("content").to_pylist(), new, strict=True):
                 if not absent:
                     continue
-                for folder in {target.rpartition("/")[0], f"{root}/_aside"} - made:
-                    fs.create_dir(folder, recursive=True)
-                    made.add(folder)
+                folder = target.rpartition("/")[0]
+                for above in {folder.rpartition("/")[0], f"{root}/_aside"} - made:
+                    fs.create_dir(above, recursive=True)
+                    made.add(above)
+                fs.create_dir(folder, recursive=False)
                 aside = f"{root}/_aside/{uuid.uuid4().hex}"
                 with fs.open_output_stream(aside) as out:
                     out.write((content or "").encode())
@@ -191,25 +190,36 @@ def put_new_files(batch: DataFrame, number: int, path: str, ledger: str, order:
 
 
 def read_new_files(spark: SparkSession, path: str) -> DataFrame:
-    """day, name and content of all files of :func:`put_new_files`, each share of a day listed and read by a task."""
+    """day, name and content of all files of :func:`put_new_files`; the names of a day are listed by a task, and dealt out to be read."""
     at = store.qualified(spark, path)
 
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = FileSystem.from_uri(at)
+        for some in batches:
+            for day in some.column("day").to_pylist():
+                names = [info.base_name for info in fs.get_file_info(FileSelector(f"{root}/{day}", allow_not_found=True)) if info.base_name.startswith("name=")]
+                for k in range(0, len(names), 10_000):
+                    part = names[k : k + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([day] * len(part), pa.string()), pa.array(part, pa.string())], ["day", "name"])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = FileSystem.from_uri(at)
         for some in batches:
-            for day, share in zip(some.column("day").to_pylist(), some.column("share").to_pylist(), strict=True):
-                names = [info.base_name for info in fs.get_file_info(FileSelector(f"{root}/{day}/{share:02x}", allow_not_found=True))]
-                for k in range(0, len(names), 1000):
-                    part, texts = names[k : k + 1000], []
-                    for name in part:
-                        with fs.open_input_stream(f"{root}/{day}/{share:02x}/{name}") as held:
-                            texts.append(held.read().decode())
-                    columns = [[_value(day.removeprefix("day="))] * len(part), [_value(n.removesuffix(".txt")) for n in part], texts]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["day", "name", "content"])
-
-    days = [d for d in store.folders(spark, path) if d.startswith("day=")]
-    shares = spark.range(SHARES).select(F.explode(F.array(*map(F.lit, days)).cast("array<string>")).alias("day"), F.col("id").alias("share"))
-    return shares.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "day", "share").mapInArrow(read, "day string, name string, content string")
+            days, names = ([x.partition("=")[2] for x in some.column(c).to_pylist()] for c in ("day", "name"))
+            for k in range(0, len(names), 1000):
+                found = []
+                for day, name in zip(days[k : k + 1000], names[k : k + 1000], strict=True):
+                    try:
+                        with fs.open_input_stream(f"{root}/day={day}/name={name}/{name}.txt") as held:
+                            found.append((_value(day), _value(name), held.read().decode()))
+                    except FileNotFoundError:  # a batch that failed may leave a folder without a file
+                        pass
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.string()) for c in range(3)], ["day", "name", "content"])
+
+    days = spark.createDataFrame([(d,) for d in store.folders(spark, path) if d.startswith("day=")], "day string")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = days.repartition(tasks, "day").mapInArrow(listed, "day string, name string")
+    return names.repartition(tasks, F.xxhash64("name", "day")).mapInArrow(read, "day string, name string, content string")
 
 
 def write_new_files(batches: DataFrame, path: str, checkpoint: str, order: Sequence[str]) -> StreamingQuery:
